@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, external_shuffle, packing, secret_scan, stream_dedup, token_counts
+from . import chat_format, decontaminate, external_shuffle, ngram_join, packing, secret_scan, stream_dedup, token_counts
 from .common import fresh_path, save, table
 
 
@@ -39,6 +39,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stream_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -81,6 +85,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
