@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh_path, save, small_or_not
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lives in RocksDB; without fallocate a store with few keys takes few bytes, however many partitions there are.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_digest(text: Column) -> Column:
@@ -23,9 +27,10 @@ def sha256_digest(text: Column) -> Column:
 def run_state(digests: DataFrame, path: str, files_per_batch: int = 512) -> DataFrame:
     """Stream the files below path (schema of digests) through keyed state: (digest, keep_id, group_size) of every digest."""
     spark = digests.sparkSession
-    out, provider = fresh_path(spark, "dedup-groups"), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, _ROCKS)
+    out = fresh_path(spark, "dedup-groups")
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
         groups = stream.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -34,7 +39,8 @@ def run_state(digests: DataFrame, path: str, files_per_batch: int = 512) -> Data
         query = sink.option("checkpointLocation", fresh_path(spark, "dedup-state")).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, keep_id bigint, group_size bigint"
     spark.createDataFrame([], schema).write.mode("append").parquet(f"{out}/epoch=-1")
     updates = spark.read.schema(schema).parquet(out)
