@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, external_shuffle, ngram_join, packing, secret_scan, stream_dedup, token_counts
-from .common import fresh_path, save, table
+from . import chat_format, decontaminate, external_shuffle, ngram_join, packing, secret_scan, stream_dedup, suffix_tree, token_counts, toxicity
+from .common import crc_fold, fresh_path, save, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(table(spark, sf_dir, "documents"), group="lang"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=lambda c: crc_fold(F.col(c), 5) != 0)
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score(docs, net).select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -87,6 +98,8 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_score": op8_lm_score,
+    "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
