@@ -26,8 +26,10 @@ HIDDEN, INPUT = 8, 12
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 14
 TRAIN_ROWS = 4_000
 EPOCHS, BATCH, RATE = 8, 64, 0.02
-#: Before these epochs the windows that stand for the texts are chosen anew.
-CHOOSE = (1, 2, 4)
+#: A small sample is passed more often, until so many steps are made.
+LEAST_STEPS = 480
+#: After these shares of the training the windows that stand for the texts are chosen anew.
+CHOOSE = (1 / 8, 2 / 8, 4 / 8)
 
 
 @dataclass
@@ -178,18 +180,20 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
     first = np.searchsorted(text, np.arange(len(label)))
     slot = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(label)))
+    again = {max(1, int(epochs * x)) for x in CHOOSE}
+    for epoch in range(epochs):
         # the window that stands for each text: its highest so far
         if not epoch:
             logits = rng.random(len(text)).astype(np.float32)
-        elif epoch in CHOOSE:
+        elif epoch in again:
             logits = net.score_windows(c, begin, length)
         order = np.lexsort((logits, text))
         top = order[np.concatenate([first[1:], [len(text)]]) - 1]
         spare = rng.integers(first, np.concatenate([first[1:], [len(text)]]))
         pick = np.where((label == 0) & (rng.random(len(label)) < 0.3), spare, top)
         shuffled = rng.permutation(len(label))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for i in range(0, len(shuffled), BATCH):
             rows = shuffled[i : i + BATCH]
             b, n = begin[pick[rows]], length[pick[rows]]
