@@ -80,8 +80,11 @@ class Network:
         for d in "fb":
             self.p |= {f"W{d}": g(INPUT, 3 * HIDDEN), f"U{d}": g(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, c: Coded) -> np.ndarray:
+    def inputs(self, c: Coded, whole: np.ndarray | None = None) -> np.ndarray:
+        """One row per distinct word; where whole is given and false, without its word embedding."""
         x = self.p["word"][c.word].copy()
+        if whole is not None:
+            x[~whole] = 0
         count = np.diff(c.gram_first)
         if len(c.gram):
             x += np.add.reduceat(self.p["char"][c.gram], c.gram_first[:-1]) / count[:, None]
@@ -166,6 +169,28 @@ class Network:
         return out
 
 
+def first_guess(c: Coded, label: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each window the highest log-odds of a word: in how many texts of either label its rows of the two tables occur."""
+    owner = np.repeat(np.arange(len(label)), np.diff(c.first))
+
+    def odds(row: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
+        pairs = np.unique(row.astype(np.int64) * len(label) + text)
+        n = np.stack([np.bincount(pairs // len(label), weights=label[pairs % len(label)] == y, minlength=rows) for y in (0, 1)])
+        total = np.array([(label == 0).sum(), (label == 1).sum()])[:, None]
+        share = (n + 1) / (total + 2)
+        return np.log(share[1] / share[0])
+
+    if not len(c.code):
+        return np.zeros(len(begin), np.float32)
+    by_word = odds(c.word[c.code], owner, WORD_ROWS)[c.word]
+    count = np.diff(c.gram_first)
+    at = np.repeat(c.gram_first[:-1][c.code] - (np.cumsum(count[c.code]) - count[c.code]), count[c.code]) + np.arange(int(count[c.code].sum()))
+    by_gram = np.maximum.reduceat(odds(c.gram[at], np.repeat(owner, count[c.code]), CHAR_ROWS)[c.gram], c.gram_first[:-1])
+    weight = np.append((by_word + by_gram)[c.code], -9.0)
+    inside = np.arange(WINDOW)[:, None]
+    return weight[np.where(inside < length, np.minimum(begin + inside, len(weight) - 1), len(weight) - 1)].max(axis=0).astype(np.float32)
+
+
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
     """Fit a network to labelled texts. Without both labels the network is returned as it began."""
     net = Network(seed)
@@ -185,12 +210,15 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
     for epoch in range(epochs):
         # the window that stands for each text: its highest so far
         if not epoch:
-            logits = rng.random(len(text)).astype(np.float32)
+            logits = first_guess(c, label, begin, length)
         elif epoch in again:
             logits = net.score_windows(c, begin, length)
         order = np.lexsort((logits, text))
-        top = order[np.concatenate([first[1:], [len(text)]]) - 1]
-        spare = rng.integers(first, np.concatenate([first[1:], [len(text)]]))
+        ends = np.concatenate([first[1:], [len(text)]])
+        # Mostly the highest window; at times the second or third, so that more than its strongest word is learned.
+        below = np.where(label > 0, rng.choice(3, len(label), p=[0.5, 0.3, 0.2]), 0)
+        top = order[np.maximum(first, ends - 1 - below)]
+        spare = rng.integers(first, ends)
         pick = np.where((label == 0) & (rng.random(len(label)) < 0.3), spare, top)
         shuffled = rng.permutation(len(label))
         rate = RATE * (1 - epoch / epochs)
@@ -202,7 +230,9 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
             words, codes = np.unique(np.where(live, c.code[np.minimum(b + t, max(0, len(c.code) - 1))] if len(c.code) else 0, -1), return_inverse=True)
             codes = codes.reshape(live.shape)
             own = _rows(c, np.maximum(words, 0))
-            table = net.inputs(own)
+            # Half of the words enter by their characters alone, so that unknown words are read by theirs.
+            whole = rng.random(len(words)) < 0.5
+            table = net.inputs(own, whole)
             table[words < 0] = 0
             logit, kept = net.forward(table, codes, live, keep=True)
             d = (weight[rows] * (_sigmoid(logit) - label[rows]) / len(rows)).astype(np.float32)
@@ -213,7 +243,7 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
                 _adam(net.p[k], v, slot[k], slice(None), rate, step)
             w, inv = np.unique(own.word, return_inverse=True)
             sums = np.zeros((len(w), INPUT), np.float32)
-            np.add.at(sums, inv, dtable)
+            np.add.at(sums, inv, dtable * whole[:, None])
             _adam(net.p["word"], sums, slot["word"], w, rate, step)
             count = np.diff(own.gram_first)
             q, inv = np.unique(own.gram, return_inverse=True)
