@@ -12,10 +12,12 @@ are never paired. Then:
    each pair inside one sub-class is a signature; the prefix is extended by M, so that two similar sets share a rare
    token or, by the pigeonhole principle, two frequent ones of one sub-class. M follows the size band of the set; a set
    is indexed in its own band and the next, and similar sets share one of them.
-4. Verification. First each class against the one class it shares most signatures with among the first of its lists;
-   what is linked is joined to components. Then, in lists that still hold several components, every member outside the
-   list's largest component against the members of other components. This leaves no candidate pair between different
-   components unseen, and a group of near copies costs about its size. Verification counts the whole sets.
+4. Verification, in rounds. In lists that hold several components, each member outside the list's largest component
+   proposes one member of that component, the same one in most lists; each class verifies the proposal that most of its
+   lists share, and what is linked is joined. When a round links little, lists with the same members are taken once, and
+   every member outside its list's largest component meets the members of other components. This leaves no candidate
+   pair between different components unseen, and a group of near copies costs about its size. Verification counts the
+   whole sets.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import partitions, save, small_or_not
+from .common import save, small_or_not
 from .components import connected_components
 
 WORDS = 5
@@ -41,6 +43,8 @@ FREQUENT = 16
 REACH = 0.15
 #: Sets up to this size also index every token by itself.
 SMALL = 16
+#: Tokens that a bucket of step 1 and 2 should hold; rounds end when one links less than this share of the proposals.
+BUCKET_TOKENS, LEAST_LINKED, MOST_ROUNDS = 500_000, 0.02, 6
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -90,22 +94,23 @@ _BLOCK = "bucket int, tokens binary, refs binary, keys binary"
 
 
 def _blocks(sets: list[np.ndarray], keys: list[int], n_buckets: int):
-    """Sets of one block as one row per bucket: sorted tokens, and for each the number of its set among keys."""
+    """Sets of one block as one row per bucket: tokens, and for each the number of its set among the keys."""
     for i in range(0, len(sets), 60_000):
         part, own = sets[i : i + 60_000], np.array(keys[i : i + 60_000], "<i8")
         size = np.array([len(s) for s in part])
         token = np.concatenate(part) if part else np.zeros(0, np.uint64)
         ref = np.repeat(np.arange(len(part)), size).astype("<u2")
-        bucket = ((token & np.uint64(0xFFFF)).astype(np.int64) * n_buckets) >> 16
+        bucket = ((token & np.uint64(0xFFFFFF)).astype(np.int64) * n_buckets) >> 24
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         rows = [(b, order[x:y]) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x]
+        used = [np.unique(ref[o], return_inverse=True) for _, o in rows]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([b for b, _ in rows], pa.int32()),
                 pa.array([token[o].tobytes() for _, o in rows], pa.binary()),
-                pa.array([ref[o].tobytes() for _, o in rows], pa.binary()),
-                pa.array([own.tobytes()] * len(rows), pa.binary()),
+                pa.array([r.astype("<u2").tobytes() for _, r in used], pa.binary()),
+                pa.array([own[u].tobytes() for u, _ in used], pa.binary()),
             ],
             names=["bucket", "tokens", "refs", "keys"],
         )
@@ -128,9 +133,13 @@ def _read_blocks(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, owner, np.repeat(held, held)
 
 
-def shared_tokens(docs: DataFrame, text: str) -> DataFrame:
-    """(k, shared): how many tokens of a class's reach prefix other classes hold in theirs."""
-    n_buckets = partitions(docs.sparkSession)
+def _buckets(tokens: int | None) -> int:
+    return max(1, math.ceil((tokens or 0) / BUCKET_TOKENS))
+
+
+def shared_tokens(docs: DataFrame, text: str, n_tokens: int) -> DataFrame:
+    """(k, shared): how many tokens of a class's reach prefix other classes hold in theirs. n_tokens: about as many there are."""
+    n_buckets = _buckets(n_tokens)
 
     def run(batches):
         for whole in batches:
@@ -166,7 +175,7 @@ def load_sets(docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFram
 
 def frequent_tokens(sets: DataFrame) -> DataFrame:
     """(k, found): for each class its frequent tokens and their counts, as arrays of packed pieces (no more than the set has)."""
-    n_buckets = partitions(sets.sparkSession)
+    n_buckets = _buckets(sets.agg(F.sum("n").alias("t")).first().t)
 
     def run(batches):
         for batch in batches:
@@ -264,23 +273,38 @@ def _alike(x: str, y: str):
     return F.least(x, y) * DEN >= F.greatest(x, y) * NUM
 
 
+def _lists(live: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """live (sig, k, n) with comp, of lists that still hold several components, and the list's largest component, main."""
+    at = live.withColumn("comp", F.col("k"))
+    if comps is not None:
+        at = live.join(small_or_not(comps.select(F.col("node").alias("k"), "root")), "k", "left").select("sig", "k", "n", F.coalesce("root", "k").alias("comp"))
+    w = Window.partitionBy("sig")
+    at = at.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("sig", "comp")))
+    at = at.withColumn("main", F.max(F.struct("_c", "comp")).over(w)["comp"]).withColumn("_least", F.min("comp").over(w)).withColumn("_most", F.max("comp").over(w))
+    return at.where("_least <> _most").drop("_c", "_least", "_most")
+
+
 def similar_classes(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that give the components of all similar pairs; live: postings (sig, k, n, lead, lead_n) of lists with several classes."""
-    stars = live.where("k <> lead").where(_alike("n", "lead_n")).groupBy("k", "lead").agg(F.count(F.lit(1)).alias("c"))
-    best = stars.groupBy("k").agg(F.max(F.struct("c", "lead")).alias("m")).select(F.col("k").alias("a"), F.col("m.lead").alias("b"))
-    first = save(verify(best, sets), "links-1")
-    roots = connected_components(first)
-
-    at = live.select("sig", "k", "n").join(small_or_not(roots.withColumnRenamed("node", "k")), "k", "left")
-    at = save(at.select("sig", "k", "n", F.coalesce("root", "k").alias("comp")), "live-2")
-    per = at.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = per.groupBy("sig").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m")).where("comps > 1").select("sig", F.col("m.comp").alias("main"))
-    rows = at.join(mixed, "sig")
+    """(node, root): components of the similar pairs of classes; live: postings (sig, k, n)."""
+    links, comps = None, None
+    for turn in range(MOST_ROUNDS):
+        mine = F.when(F.col("comp") == F.col("main"), F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n"))
+        met = _lists(live, comps).withColumn("lead", F.min(mine).over(Window.partitionBy("sig"))).where("comp <> main").where(_alike("n", "lead.n"))
+        best = met.groupBy("k", F.col("lead.k").alias("lead")).agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", "lead")).alias("m"))
+        proposed = save(best.select(F.col("k").alias("a"), F.col("m.lead").alias("b")), "proposed")
+        found = save(verify(proposed, sets), "links")
+        links = found if links is None else links.unionByName(found)
+        comps = connected_components(links)
+        if found.count() <= LEAST_LINKED * proposed.count():
+            break
+    lists = save(_lists(live, comps), "mixed-lists")
+    same = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
+    rows = lists.join(same.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
     left = rows.where("comp <> main").select("sig", F.col("k").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "main")
     right = rows.select("sig", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     met = left.join(right, "sig").where("ca <> cb").where(_alike("na", "nb")).where("cb = main or a < b")
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.unionByName(save(verify(pairs, sets), "links-2"))
+    return connected_components(links.unionByName(save(verify(pairs, sets), "links-last")))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,14 +317,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     table = save(set_table(docs, key, text), "sets")
     classes = table.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    shared = shared_tokens(docs, text)
+    in_reach = table.agg(F.sum("n_shingles").alias("t")).first().t or 0
+    shared = shared_tokens(docs, text, int(in_reach * (1 - NUM / DEN + REACH)))
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(REACH)))
     reps = save(classes.join(shared, "k").where(F.col("shared") >= needed).select("k", "rep"), "reps")
     sets = save(load_sets(docs, reps, key, text), "set-tokens")
-    lists = Window.partitionBy("sig")
-    held = postings(sets, frequent_tokens(sets)).withColumn("c", F.count(F.lit(1)).over(lists)).withColumn("l", F.min(F.struct("k", "n")).over(lists))
-    live = save(held.where("c > 1").select("sig", "k", "n", F.col("l.k").alias("lead"), F.col("l.n").alias("lead_n")), "live")
-    roots = connected_components(similar_classes(live, sets))
+    held = postings(sets, frequent_tokens(sets)).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+    live = save(held.where("c > 1").drop("c"), "live")
+    roots = similar_classes(live, sets)
     named = roots.join(classes.select(F.col("k").alias("node"), "rep"), "node")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("k"), "least")
     of = classes.join(small_or_not(save(named, "named")), "k", "left").select("k", F.coalesce("least", "rep").alias("component"))
