@@ -156,7 +156,7 @@ class Network:
             g |= {f"W{d}": dW, f"U{d}": dU, f"c{d}": dc}
         return g, dtable
 
-    def score_windows(self, c: Coded, begin: np.ndarray, length: np.ndarray, most: int = 8192) -> np.ndarray:
+    def score_windows(self, c: Coded, begin: np.ndarray, length: np.ndarray, most: int = 2048) -> np.ndarray:
         """Logits of windows of coded texts, in blocks."""
         out = np.empty(len(begin), np.float32)
         table = np.concatenate([self.inputs(c), np.zeros((1, INPUT), np.float32)])
@@ -171,24 +171,34 @@ class Network:
 
 def first_guess(c: Coded, label: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """For each window the highest log-odds of a word: in how many texts of either label its rows of the two tables occur."""
-    owner = np.repeat(np.arange(len(label)), np.diff(c.first))
-
-    def odds(row: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
-        pairs = np.unique(row.astype(np.int64) * len(label) + text)
-        n = np.stack([np.bincount(pairs // len(label), weights=label[pairs % len(label)] == y, minlength=rows) for y in (0, 1)])
-        total = np.array([(label == 0).sum(), (label == 1).sum()])[:, None]
-        share = (n + 1) / (total + 2)
-        return np.log(share[1] / share[0])
-
     if not len(c.code):
         return np.zeros(len(begin), np.float32)
-    by_word = odds(c.word[c.code], owner, WORD_ROWS)[c.word]
     count = np.diff(c.gram_first)
-    at = np.repeat(c.gram_first[:-1][c.code] - (np.cumsum(count[c.code]) - count[c.code]), count[c.code]) + np.arange(int(count[c.code].sum()))
-    by_gram = np.maximum.reduceat(odds(c.gram[at], np.repeat(owner, count[c.code]), CHAR_ROWS)[c.gram], c.gram_first[:-1])
+    n_word, n_gram = np.zeros((2, WORD_ROWS)), np.zeros((2, CHAR_ROWS))
+    for i in range(0, len(label), 256):  # some texts at a time, as the pairs of text and row are many
+        last = min(i + 256, len(label))
+        code = c.code[c.first[i] : c.first[last]]
+        owner = np.repeat(np.arange(last - i), np.diff(c.first[i : last + 1]))
+        both = np.unique(code * (last - i) + owner)
+        code, owner = both // (last - i), both % (last - i)
+        at = np.repeat(c.gram_first[:-1][code] - (np.cumsum(count[code]) - count[code]), count[code]) + np.arange(int(count[code].sum()))
+        for total, row, text in ((n_word, c.word[code], owner), (n_gram, c.gram[at], np.repeat(owner, count[code]))):
+            pairs = np.unique(row * (last - i) + text)
+            for y in (0, 1):
+                total[y] += np.bincount(pairs // (last - i), weights=label[i:last][pairs % (last - i)] == y, minlength=total.shape[1])
+    texts = np.array([(label == 0).sum(), (label == 1).sum()])[:, None]
+
+    def odds(n: np.ndarray) -> np.ndarray:
+        share = (n + 1) / (texts + 2)
+        return np.log(share[1] / share[0])
+
+    by_word = odds(n_word)[c.word]
+    by_gram = np.maximum.reduceat(odds(n_gram)[c.gram], c.gram_first[:-1])
     weight = np.append((by_word + by_gram)[c.code], -9.0)
-    inside = np.arange(WINDOW)[:, None]
-    return weight[np.where(inside < length, np.minimum(begin + inside, len(weight) - 1), len(weight) - 1)].max(axis=0).astype(np.float32)
+    best = np.full(len(begin), -9.0)
+    for k in range(WINDOW):
+        best = np.maximum(best, weight[np.where(k < length, np.minimum(begin + k, len(weight) - 1), len(weight) - 1)])
+    return best.astype(np.float32)
 
 
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
