@@ -68,7 +68,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     held = docs.select(F.col(key).cast("long").alias("doc_id"), norm.alias("body")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     held = held.select("doc_id", "body", digest(F.col("body")).alias("digest"))
     located = held.join(shared, "digest")
-    reps = located.where("doc_id <=> rep").groupBy("digest").agg(F.min("body").alias("rep_body"))
+    locator = shared.select(F.col("digest").alias("_d"), F.col("rep").alias("_r"))
+    named = held.join(locator, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_r")))
+    reps = named.groupBy("digest").agg(F.min("body").alias("rep_body"))
     # The whole bytes of each hit against those that the state's locator names.
     differing = located.join(reps, "digest").where("body <> rep_body").select("doc_id", "digest", "body")
     differing = save(differing, "dedup-differing")
