@@ -102,4 +102,69 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+
+# --- the same in SQL, where SQL can state it. Trained scores, tokenizers and random orders (op2, op4, op5, op8, op9) and the
+# pipeline are tested against plain versions in tests/llm.
+
+
+def _low(c: str) -> str:
+    return f"translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYWORDS = "|".join(_either(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either("api") + "_?" + _either("key")
+_SQL_RULES = [
+    ("assign", rf"""({_KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]{16,}", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 39),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
+]
+
+
+def _secrets_sql() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT row, {k} AS rank, '{kind}' AS kind, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(regexp_extract_all(t, '{p}', {g})) AS part, "
+        f"unnest(regexp_split_to_array(t, '{p}')[1:len(regexp_extract_all(t, '{p}'))]) AS gap, unnest(range(len(regexp_extract_all(t, '{p}')))) AS nth FROM d"
+        for k, (kind, p, g, _) in enumerate(_SQL_RULES)
+    )
+    least = "CASE rank " + " ".join(f"WHEN {k} THEN {x[3]}" for k, x in enumerate(_SQL_RULES)) + " END"
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+s AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY row, rank ORDER BY nth)::BIGINT AS last FROM f),
+ok AS (SELECT row, rank, last - length(m) AS start, kind || ':' || (last - length(m)) || ':' || last AS span FROM s WHERE length(part) >= {least}),
+a AS (SELECT row, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM ok GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (row)"""
+
+
+_MARK = r"regexp_replace({0}, '([\\#<{1}])', '\\\1', 'g')"
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": _secrets_sql(),
+    "op3_chat_format": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, '### ' || {_MARK.format("role", ":" + chr(10))} || ': ' || {_MARK.format("text", "")} || ' </turn>' || chr(10) AS segment FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, segment)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, segment) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(segment))::BIGINT AS formatted_chars FROM e GROUP BY 1""",
+    "op6_ngram_join": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_low("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT row, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i) WHERE len(w) > 0),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.row AS x, b.row AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.row < b.row GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.row = x JOIN n ny ON ny.row = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT row AS root, row FROM d UNION SELECT r.root, e.y FROM r JOIN e ON r.row = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (row) JOIN (SELECT r.row, min(o.doc_id) AS component_id FROM r JOIN d o ON o.row = r.root GROUP BY 1) c USING (row)""",
+    "op7_exact_dedup": f"SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256({_low('text')}) AS text_sha256 FROM documents WINDOW w AS (PARTITION BY {_low('text')})",
+    "op10_decontaminate": f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_low("text")}, '[0-9a-z\x80-\U0010ffff]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all({_low("text")}, '[0-9a-z\x80-\U0010ffff]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i) WHERE len(w) > 0),
+n AS (SELECT DISTINCT n FROM g),
+h AS (SELECT row, i, n.n, array_to_string(w[i:i + n.n - 1], ' ') AS gram FROM d, n, LATERAL (SELECT unnest(range(1, len(w) - n.n + 2)) AS i)),
+m AS (SELECT row, i, g.n, item FROM h JOIN g ON h.n = g.n AND h.gram = g.gram),
+hit AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS k FROM m) GROUP BY 1),
+it AS (SELECT row, count(DISTINCT item) AS n_items, array_to_string(list_sort(list_distinct(list(item))), ',') AS items FROM m GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (row) LEFT JOIN it USING (row)""",
+}
