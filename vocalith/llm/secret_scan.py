@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_not
+from .common import save, small_or_not
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
     indexed = [r for r in rules if trigram_query(r.pattern)]
     grams = sorted({t for r in indexed for c in trigram_query(r.pattern) for t in c})
     found = candidates(build_index(docs, key, text, grams), indexed)
-    found = small_or_not(found.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")))
+    found = small_or_not(save(found.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")), "secret-candidates"))
     joined = docs.join(found, docs[key].eqNullSafe(F.col("_key")), "left")
     body = F.coalesce(F.col(text), F.lit(""))
     each = []
