@@ -36,8 +36,10 @@ def near_copies(seed, frequent):
 
 
 def test_near_copies(spark, monkeypatch):
-    for seed, frequent in ((1, 16), (2, 3)):
+    for seed, frequent, block in ((1, 16, 512), (2, 3, 7)):
         monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "MOST_ROUNDS", 1 if block == 7 else 2)
         rows = near_copies(seed, frequent)
         check(rows, ngram_join.jaccard_components(frame(spark, rows)).collect())
 
@@ -81,3 +83,23 @@ def test_components(spark):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
         assert got == {x: root(x) for x in up}
+
+
+def test_blocks():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(60)]
+    close = ngram_join._close(sets[:25], sets[25:])
+    for i, a in enumerate(sets[:25]):
+        for j, b in enumerate(sets[25:]):
+            n = len(np.intersect1d(a, b))
+            assert close[i, j] == (100 * n >= 75 * (len(a) + len(b) - n))
+    for share in (0.02, 0.1, 0.9):
+        m = rng.random((30, 20)) < share
+        edges = ngram_join._forest(m)
+        assert all(m[e] for e in edges)
+        label = list(range(50))
+        for x, y in edges:
+            a, b = label[x], label[30 + y]
+            assert a != b  # a forest
+            label = [a if v == b else v for v in label]
+        assert all(label[x] == label[30 + y] for x, y in np.argwhere(m))

@@ -14,10 +14,10 @@ are never paired. Then:
    is indexed in its own band and the next, and similar sets share one of them.
 4. Verification, in rounds. In lists that hold several components, each member outside the list's largest component
    proposes one member of that component, the same one in most lists; each class verifies the proposal that most of its
-   lists share, and what is linked is joined. When a round links little, lists with the same members are taken once, and
-   every member outside its list's largest component meets the members of other components. This leaves no candidate
-   pair between different components unseen, and a group of near copies costs about its size. Verification counts the
-   whole sets.
+   lists share, and what is linked is joined. Classes that lists still hold in several components then form clusters (all
+   that lists connect). A cluster is cut into blocks of about `BLOCK` sets, and every two blocks meet once, where matrix
+   products count the overlap of all their pairs and only the edges of a spanning forest leave. No candidate pair is
+   left unseen; a cluster of m sets ships each of them m / BLOCK times, one block's cluster once.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ REACH = 0.15
 #: Sets up to this size also index every token by itself.
 SMALL = 16
 #: Tokens that a bucket of step 1 and 2 should hold; rounds end when one links less than this share of the proposals.
-BUCKET_TOKENS, LEAST_LINKED, MOST_ROUNDS = 500_000, 0.02, 6
+BUCKET_TOKENS, LEAST_LINKED, MOST_ROUNDS = 500_000, 0.02, 2
+BLOCK, COLUMNS = 512, 4096
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -298,13 +299,65 @@ def similar_classes(live: DataFrame, sets: DataFrame) -> DataFrame:
         if found.count() <= LEAST_LINKED * proposed.count():
             break
     lists = save(_lists(live, comps), "mixed-lists")
-    same = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
-    rows = lists.join(same.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
-    left = rows.where("comp <> main").select("sig", F.col("k").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "main")
-    right = rows.select("sig", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    met = left.join(right, "sig").where("ca <> cb").where(_alike("na", "nb")).where("cb = main or a < b")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return connected_components(links.unionByName(save(verify(pairs, sets), "links-last")))
+    met = lists.select("k", F.min("k").over(Window.partitionBy("sig")).alias("lead")).distinct()
+    clusters = connected_components(met.select(F.col("k").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "k")
+    return connected_components(links.unionByName(save(verify_clusters(clusters, sets), "links-last")))
+
+
+def _forest(close: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) that connect what the true cells of close connect."""
+    edges, rows, columns = [], np.zeros(close.shape[0], bool), np.zeros(close.shape[1], bool)
+    for first in np.flatnonzero(close.any(axis=1)).tolist():
+        todo = [] if rows[first] else [(True, first)]
+        rows[first] = True
+        while todo:
+            is_row, i = todo.pop()
+            seen = columns if is_row else rows
+            new = np.flatnonzero((close[i] if is_row else close[:, i]) & ~seen).tolist()
+            seen[new] = True
+            edges += [(i, x) if is_row else (x, i) for x in new]
+            todo += [(not is_row, x) for x in new]
+    return edges
+
+
+def _close(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Which sets of a and b are similar: overlaps by matrix products over the tokens that both sides hold."""
+    flat = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (a, b)]
+    both = np.intersect1d(flat[0][0], flat[1][0])
+    held = []
+    for token, owner in flat:
+        at = np.minimum(np.searchsorted(both, token), max(0, len(both) - 1))
+        ok = both[at] == token if len(both) else np.zeros(len(token), bool)
+        held.append((at[ok], owner[ok]))
+    shared = np.zeros((len(a), len(b)), np.float64)
+    for c in range(0, len(both), COLUMNS):
+        sides = []
+        for (at, owner), n in zip(held, (len(a), len(b))):
+            m = np.zeros((n, COLUMNS), np.float32)
+            inside = (at >= c) & (at < c + COLUMNS)
+            m[owner[inside], at[inside] - c] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    total = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])
+    return DEN * shared >= NUM * (total - shared)
+
+
+def verify_clusters(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all similar classes of each cluster (k, root)."""
+    size = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = clusters.join(small_or_not(size), "root").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    loaded = sets.select("k", "tokens").join(small_or_not(save(dealt, "clusters")), "k")
+    meet = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "tokens")
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        rows = [(b, k, np.frombuffer(x, "<u8")) for b, k, x in zip(*(t.column(c).to_pylist() for c in ("block", "k", "tokens")))]
+        left, right = ([r for r in rows if r[0] == x] for x in (i, j))
+        edges = _forest(_close([s for *_, s in left], [s for *_, s in right])) if left and right else []
+        return pa.table({"a": pa.array([left[x][1] for x, _ in edges], pa.int64()), "b": pa.array([right[y][1] for _, y in edges], pa.int64())})
+
+    return meet.groupBy("root", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
