@@ -118,6 +118,13 @@ def attach_hypotheses(spark, sf_dir):  # J1: only labelled documents have a hypo
     return a.select("doc_id", align.word_edit_distance(F.col("rw"), T.words(F.col("hyp"))).cast("long").alias("errors"), "failed")
 
 
+@_q(f"WITH {B.PAIRS} SELECT model, doc_id, CASE WHEN l.doc_id IS NULL THEN '__ERROR__:no label' ELSE coalesce(array_to_string(hw, ' '), '') END AS hyp FROM pairs LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def hyp_to_text(spark, sf_dir):  # T17: documents without a label stand for failed runs
+    known = B.table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("known")).distinct()
+    p = B.pairs(spark, sf_dir).join(known, "doc_id", "left")
+    return p.select("model", "doc_id", T.hyp_to_text(F.when(F.col("known") == 1, F.col("hyp")), F.lit("no label")).alias("hyp"))
+
+
 # --- scores
 _WER = "CASE WHEN sum(words) > 0 THEN sum(errors) / sum(words) ELSE 'inf'::DOUBLE END"
 
