@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents. A row whose doc_id repeats is dropped or kept with the others of that id.
+columns of documents. Where different texts share a doc_id, they are dropped or kept together.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.llm import decontaminate, ngram_join, packing, stream_dedup, toxicity
-from vocalith.llm.common import crc_fold, save, small_or_not, table
+from vocalith.llm.common import ascii_lower, crc_fold, save, small_or_not, table
 
 #: No SQL can restate trained scores and a tokenizer; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
@@ -29,8 +29,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal after lower-casing A-Z, the row with the largest doc_id stays."""
-    return _without(docs, save(stream_dedup.exact_dedup(docs), "pipeline-dedup").where("not kept"))
+    """Of texts that are equal after lower-casing A-Z, the row with the largest doc_id stays; of rows that share both, one."""
+    found = save(stream_dedup.exact_dedup(docs), "pipeline-dedup")
+    once = _without(docs, found.where("not kept"))
+    repeated = save(found.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id").distinct(), "pipeline-repeated")
+    if repeated.isEmpty():
+        return once
+    rows = once.join(small_or_not(repeated.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    text = F.coalesce("text", F.lit(""))
+    first = rows.groupBy("doc_id", stream_dedup.sha256_digest(ascii_lower(text)).alias("_digest")).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("_row"))
+    return _without(once, repeated).unionByName(first.select("_row.*").select(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
