@@ -62,3 +62,11 @@ def test_empty(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_repeated_rows(spark, sf):
+    rows = [(1, "Same text"), (1, "Same text"), (2, "same TEXT"), (2, "same text"), (3, "other"), (None, "x"), (None, "x"), (None, None)]
+    docs = frame(spark, rows).drop("shard_")
+    out = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert out.columns == COLUMNS
+    assert sorted(map(str, pairs(out.where("doc_id is not null")))) == ["(2, 'same TEXT')", "(3, 'other')"] and out.where("doc_id is null").count() == 2
