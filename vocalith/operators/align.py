@@ -16,12 +16,14 @@ _POOL, _LETTERS = 0x4E00, 2_000
 
 
 def word_edit_distance(ref: Column, hyp: Column) -> Column:
-    """A1: Levenshtein distance over words (arrays): each distinct word becomes one character of a pool;
-    pairs with more distinct words than the pool has letters belong to align_sdi."""
+    """A1: Levenshtein distance over words (arrays): each distinct word becomes one character of a pool.
+
+    A pair with more distinct words than the pool has letters fails the job; such pairs belong to align_sdi.
+    """
     pool = F.array_distinct(F.concat(ref, hyp))
     letters = F.lit("".join(chr(_POOL + i) for i in range(_LETTERS)))
     code = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(letters, F.array_position(pool, w).cast("int"), F.lit(1))), "")
-    return F.levenshtein(code(ref), code(hyp))
+    return F.when(F.coalesce(F.size(pool), F.lit(0)) <= _LETTERS, F.levenshtein(code(ref), code(hyp))).otherwise(F.raise_error(F.lit(f"over {_LETTERS} distinct words in a pair")).cast("int"))
 
 
 def _cell(r: Column, h: Column, diagonal: Column, above: Column, left: Column) -> Column:
