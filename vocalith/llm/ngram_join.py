@@ -48,6 +48,17 @@ BUCKET_TOKENS, LEAST_LINKED, MOST_ROUNDS = 500_000, 0.02, 2
 BLOCK, COLUMNS = 512, 4096
 
 
+def token_views(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The packed sets of a binary column without copies."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return []
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    return [data[a:b].view("<u8") for a, b in zip(at[:-1], at[1:])]
+
+
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """The sorted token sets of a column of texts."""
     w = bytescan.scan(column, bytescan.space_words())
@@ -180,7 +191,7 @@ def frequent_tokens(sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield from _blocks([np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()], batch.column(0).to_pylist(), n_buckets)
+            yield from _blocks(token_views(batch.column(1)), batch.column(0).to_pylist(), n_buckets)
 
     def find(t: pa.Table) -> pa.Table:
         token, owner, held = _read_blocks(t)
@@ -241,8 +252,10 @@ def postings(sets: DataFrame, frequent: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k, n, raw, found in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = np.frombuffer(raw, "<u8")
+            at = batch.schema.get_field_index
+            rows = zip(batch.column(at("k")).to_pylist(), batch.column(at("n")).to_pylist(), token_views(batch.column(at("tokens"))), batch.column(at("found")))
+            for k, n, tokens, found in rows:
+                found = found.as_py()
                 held = np.zeros(len(tokens), np.int64)
                 for f in found or []:
                     held[np.searchsorted(tokens, np.frombuffer(f["token"], "<u8"))] = np.frombuffer(f["held"], "<i8")
@@ -257,10 +270,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
             ok = []
-            for i in range(len(a)):
-                s, t = np.frombuffer(x[i], "<u8"), np.frombuffer(y[i], "<u8")
+            for i, (s, t) in enumerate(zip(token_views(batch.column(2)), token_views(batch.column(3)))):
                 both = len(s) + len(t) - len(np.union1d(s, t))
                 if DEN * both >= NUM * (len(s) + len(t) - both):
                     ok.append(i)
@@ -352,7 +363,7 @@ def verify_clusters(clusters: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        rows = [(b, k, np.frombuffer(x, "<u8")) for b, k, x in zip(*(t.column(c).to_pylist() for c in ("block", "k", "tokens")))]
+        rows = list(zip(t.column("block").to_pylist(), t.column("k").to_pylist(), token_views(t.column("tokens"))))
         left, right = ([r for r in rows if r[0] == x] for x in (i, j))
         edges = _forest(_close([s for *_, s in left], [s for *_, s in right])) if left and right else []
         return pa.table({"a": pa.array([left[x][1] for x, _ in edges], pa.int64()), "b": pa.array([right[y][1] for _, y in edges], pa.int64())})
