@@ -14,10 +14,11 @@ are never paired. Then:
    is indexed in its own band and the next, and similar sets share one of them.
 4. Verification, in rounds. In lists that hold several components, each member outside the list's largest component
    proposes one member of that component, the same one in most lists; each class verifies the proposal that most of its
-   lists share, and what is linked is joined. Classes that lists still hold in several components then form clusters (all
-   that lists connect). A cluster is cut into blocks of about `BLOCK` sets, and every two blocks meet once, where matrix
-   products count the overlap of all their pairs and only the edges of a spanning forest leave. No candidate pair is
-   left unseen; a cluster of m sets ships each of them m / BLOCK times, one block's cluster once.
+   lists share, and what is linked is joined. Lists that still hold several components are then gathered by their
+   smallest member, so that most lists of a group of near copies become one cluster. A cluster is cut into blocks of
+   about `BLOCK` sets, and every two blocks meet once, where matrix products count the overlap of all their pairs and
+   only the edges of a spanning forest leave. No candidate pair is left unseen; a cluster of m sets ships each of them
+   m / BLOCK times, one block's cluster once.
 """
 
 from __future__ import annotations
@@ -310,8 +311,7 @@ def similar_classes(live: DataFrame, sets: DataFrame) -> DataFrame:
         if found.count() <= LEAST_LINKED * proposed.count():
             break
     lists = save(_lists(live, comps), "mixed-lists")
-    met = lists.select("k", F.min("k").over(Window.partitionBy("sig")).alias("lead")).distinct()
-    clusters = connected_components(met.select(F.col("k").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "k")
+    clusters = save(lists.select("k", F.min("k").over(Window.partitionBy("sig")).alias("root")).distinct(), "list-clusters")
     return connected_components(links.unionByName(save(verify_clusters(clusters, sets), "links-last")))
 
 
