@@ -100,6 +100,29 @@ def test_alignment(spark):
     assert [r.w for r in w] == [float("inf"), 0.5]
 
 
+def test_whole_texts(spark, tmp_path, monkeypatch):
+    """Pairs far beyond forty words and beyond the letter pool, against the plain rule."""
+    rng = random.Random(2)
+    many = " ".join(f"w{i}" for i in range(2_100))
+    cases = [(many, many.replace("w7 ", "").replace("w2000", "zz")), (many, ""), ("", many)]
+    cases += [(" ".join(rng.choices("abcdefgh", k=rng.randint(30, 400))), " ".join(rng.choices("abcdefgh", k=rng.randint(30, 400)))) for _ in range(12)]
+    for r, h in cases[3:]:
+        want = by_rule(r.split(), h.split())
+        for cells in (1 << 26, 1):  # in one run, and in runs that are made again
+            monkeypatch.setattr(align, "_RUN_CELLS", cells)
+            assert align._align(r.split(), h.split()) == "".join({"equal": "E", "sub": "S", "del": "D", "ins": "I"}[x[0]] for x in want)
+        assert align._distance(r.split(), h.split()) == sum(x[0] != "equal" for x in want)
+    df = spark.createDataFrame(cases[:3], "ref string, hyp string")
+    assert [r.d for r in df.select(align.word_edit_distance(T.words(F.col("ref")), T.words(F.col("hyp"))).alias("d")).collect()] == [2, 2_100, 2_100]
+    text = " ".join(rng.choices("abcdefgh", k=90))
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, t, "user", text) for t in (0, 1)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.words for r in catalog.align_sdi(spark, str(tmp_path)).collect()} == {90}
+    assert catalog.align_ops(spark, str(tmp_path)).count() == 90
+    assert {(r.model, r.words) for r in catalog.model_sdi_summary(spark, str(tmp_path)).collect()} == {(m, 90) for m in catalog.B.MODELS}
+
+
 #: Published adult WER, child WER and bias in percent.
 PUBLISHED = [
     (2.98, 26.99, 24.01), (2.56, 24.16, 21.60), (2.94, 14.65, 11.71), (2.62, 14.08, 11.46), (2.66, 14.05, 11.39), (3.14, 26.67, 23.53), (2.71, 81.38, 78.67), (6.64, 67.72, 61.08),

@@ -5,12 +5,16 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 from vocalith.functions.text import words
 
 #: Pairs with more words on either side than this are aligned by the Arrow function.
 LONG_WORDS = 200
+#: So are pairs of more cells than this (words by words); the op strings of the expression grow with each of its cells.
+LONG_CELLS = 1_600
+#: A long pair is aligned in runs of at least so many rows, more while a run has no more cells than this; of each run the start is held.
+_RUN, _RUN_CELLS = 128, 1 << 26
 #: One letter per distinct word of a pair.
 _POOL, _LETTERS = 0x4E00, 2_000
 
@@ -18,12 +22,13 @@ _POOL, _LETTERS = 0x4E00, 2_000
 def word_edit_distance(ref: Column, hyp: Column) -> Column:
     """A1: Levenshtein distance over words (arrays): each distinct word becomes one character of a pool.
 
-    A pair with more distinct words than the pool has letters fails the job; such pairs belong to align_sdi.
+    A pair with more distinct words than the pool has letters goes to the Arrow function.
     """
     pool = F.array_distinct(F.concat(ref, hyp))
     letters = F.lit("".join(chr(_POOL + i) for i in range(_LETTERS)))
     code = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(letters, F.array_position(pool, w).cast("int"), F.lit(1))), "")
-    return F.when(F.coalesce(F.size(pool), F.lit(0)) <= _LETTERS, F.levenshtein(code(ref), code(hyp))).otherwise(F.raise_error(F.lit(f"over {_LETTERS} distinct words in a pair")).cast("int"))
+    is_long = F.coalesce(F.size(pool), F.lit(0)) > _LETTERS
+    return F.when(is_long, _distance_long(F.when(is_long, ref), F.when(is_long, hyp))).otherwise(F.levenshtein(code(ref), code(hyp)))
 
 
 def _cell(r: Column, h: Column, diagonal: Column, above: Column, left: Column) -> Column:
@@ -50,25 +55,59 @@ def op_string(ref: Column, hyp: Column) -> Column:
     return F.aggregate(ref, start, row, lambda last: F.element_at(last, -1)["o"])
 
 
+def _rows(ref: list[str], where: dict[str, int], m: int, start: tuple[int, int]):
+    """One (diagonal equal, deletion) per reference word, as bits over the m hypothesis words, and the state after it."""
+    full = (1 << m) - 1
+    up, down = start  # where a row's costs rise and fall from one hypothesis word to the next
+    for r in ref:
+        same = where.get(r, 0)
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        rise = (down | ~(level | up)) & full
+        shifted = (rise << 1 | 1) & full
+        up, down = (((level & up) << 1) | ~(level | shifted)) & full, shifted & level
+        yield level, rise, (up, down)
+
+
+def _places(hyp: list[str]) -> dict[str, int]:
+    where: dict[str, bytearray] = {}
+    for j, h in enumerate(hyp):
+        where.setdefault(h, bytearray(len(hyp) // 8 + 1))[j >> 3] |= 1 << (j & 7)
+    return {h: int.from_bytes(x, "little") for h, x in where.items()}
+
+
+def _distance(ref: list[str], hyp: list[str]) -> int:
+    """Levenshtein distance of one pair, a row of bits at a time (Myers, Hyyrö)."""
+    if not hyp:
+        return len(ref)
+    state = ((1 << len(hyp)) - 1, 0)
+    for _, _, state in _rows(ref, _places(hyp), len(hyp), state):
+        pass
+    return len(ref) + state[0].bit_count() - state[1].bit_count()
+
+
 def _align(ref: list[str], hyp: list[str]) -> str:
-    """The same for one long pair: costs row by row, one byte per cell for the way back."""
+    """The same for one long pair: rows of bits; those of the last run are at hand, other runs are made again on the way back."""
     n, m = len(ref), len(hyp)
-    before, ways = list(range(m + 1)), []
-    for i, r in enumerate(ref):
-        now, way = [i + 1], bytearray(m)
-        for j, h in enumerate(hyp):
-            if r == h:
-                now.append(before[j])
-                way[j] = 69
-            else:
-                best = min(before[j], before[j + 1], now[j])
-                now.append(best + 1)
-                way[j] = 83 if before[j] == best else 68 if before[j + 1] == best else 73
-        before = now
-        ways.append(way)
-    out = []
+    where, run, state = _places(hyp), max(_RUN, _RUN_CELLS // max(m, 1)), ((1 << m) - 1, 0)
+    held, ways, out = [], [], []
+    for i, (level, rise, after) in enumerate(_rows(ref, where, m, state)):
+        if i % run == 0:
+            held.append(state)
+            ways = []
+        ways.append((level, rise))
+        state = after
+    first = (len(held) - 1) * run
     while n or m:
-        op = "I" if not n else "D" if not m else chr(ways[n - 1][m - 1])
+        if not n or not m:
+            op = "I" if not n else "D"
+        elif ref[n - 1] == hyp[m - 1]:
+            op = "E"
+        else:
+            if n - 1 < first:
+                first = (n - 1) // run * run
+                ways = [x[:2] for x in _rows(ref[first:n], where, len(hyp), held[first // run])]
+            level, rise = ways[n - 1 - first]
+            op = "S" if not level >> m - 1 & 1 else "D" if rise >> m - 1 & 1 else "I"
         out.append(op)
         n, m = n - (op != "I"), m - (op != "D")
     return "".join(reversed(out))
@@ -76,13 +115,18 @@ def _align(ref: list[str], hyp: list[str]) -> str:
 
 @F.arrow_udf(StringType())
 def _op_string_long(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    return pa.array([_align(r, h) for r, h in zip(ref.to_pylist(), hyp.to_pylist())], pa.string())
+    return pa.array((_align(r.as_py(), h.as_py()) for r, h in zip(ref, hyp)), pa.string())
+
+
+@F.arrow_udf(IntegerType())
+def _distance_long(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array((_distance(r.as_py(), h.as_py()) if r.is_valid and h.is_valid else None for r, h in zip(ref, hyp)), pa.int32())
 
 
 def with_alignment(df: DataFrame, ref: str, hyp: str, long_words: int = LONG_WORDS) -> DataFrame:
-    """df with `ops`, the op string of two text columns; null texts are empty. Built-in expressions up to long_words, Arrow beyond."""
+    """df with `ops`, the op string of two text columns; null texts are empty. Built-in expressions up to long_words and LONG_CELLS, Arrow beyond."""
     both = df.withColumns({"_r": words(F.col(ref)), "_h": words(F.col(hyp))})
-    is_long = (F.size("_r") > long_words) | (F.size("_h") > long_words)
+    is_long = (F.size("_r") > long_words) | (F.size("_h") > long_words) | (F.size("_r").cast("long") * F.size("_h") > LONG_CELLS)
     short = both.where(~is_long).withColumn("ops", op_string(F.col("_r"), F.col("_h")))
     rest = both.where(is_long).withColumn("ops", _op_string_long("_r", "_h"))
     return short.unionByName(rest).drop("_r", "_h")

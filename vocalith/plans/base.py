@@ -10,6 +10,8 @@ from vocalith.operators import align, routing
 
 MODELS = {"dense": (7, 11), "moe": (5, 13), "moe_lb": (9, 6)}  # model -> every which word is dropped, replaced
 LAYERS, EXPERTS, TOP_K = 8, 8, 2
+#: The SQL below scores so many first words of a text; queries that it judges do too, all others take whole texts.
+SQL_WORDS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +30,10 @@ def path() -> Column:
     return F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("-audio/"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".wav"))
 
 
-def reference(c: Column) -> Column:
-    """The first 40 words of the basic normal form, which is the utterance that was said."""
-    return F.slice(T.words(T.norm_basic(c)), 1, 40)
+def reference(c: Column, first: int | None = None) -> Column:
+    """The words of the basic normal form, which is the utterance that was said; or only the first so many."""
+    said = T.words(T.norm_basic(c))
+    return said if first is None else F.slice(said, 1, first)
 
 
 def corrupted(ref: Column, drop: int, swap: int) -> Column:
@@ -38,17 +41,17 @@ def corrupted(ref: Column, drop: int, swap: int) -> Column:
     return F.filter(swapped, lambda x, i: (i + 1) % drop != 0)
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model, utterance columns, ref, hyp) with word arrays rw and hw."""
-    u = utterances(spark, sf_dir).withColumn("rw", reference(F.col("text"))).drop("text")
+def pairs(spark: SparkSession, sf_dir: str, first: int | None = SQL_WORDS) -> DataFrame:
+    """(model, utterance columns, ref, hyp) with word arrays rw and hw; first=None takes whole texts."""
+    u = utterances(spark, sf_dir).withColumn("rw", reference(F.col("text"), first)).drop("text")
     models = F.array(*[F.struct(F.lit(m).alias("model"), corrupted(F.col("rw"), *x).alias("hw")) for m, x in MODELS.items()])
     p = u.withColumn("_m", F.explode(models)).select("*", "_m.model", "_m.hw").drop("_m")
     return p.withColumns({"ref": F.array_join("rw", " "), "hyp": F.array_join("hw", " ")})
 
 
-def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edits(spark: SparkSession, sf_dir: str, first: int | None = SQL_WORDS) -> DataFrame:
     """The edit table with errors only (A1)."""
-    p = pairs(spark, sf_dir)
+    p = pairs(spark, sf_dir, first)
     return p.select("model", "doc_id", "language", "speaker", "age_group", "duration", F.size("rw").alias("words"), align.word_edit_distance(F.col("rw"), F.col("hw")).alias("errors"))
 
 

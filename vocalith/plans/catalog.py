@@ -99,14 +99,14 @@ def edit_counts(spark, sf_dir):  # A2, A4, A5, J1: the errors of the full alignm
 
 @_q()
 def align_sdi(spark, sf_dir):  # A2
-    return align.align_sdi(B.pairs(spark, sf_dir).select("model", "doc_id", "ref", "hyp"))
+    return align.align_sdi(B.pairs(spark, sf_dir, None).select("model", "doc_id", "ref", "hyp"))
 
 
 @_q()
 def align_ops(spark, sf_dir):  # A3 on neighbouring turns of a conversation
     c = B.table(spark, sf_dir, "conversations")
-    first = c.select("conv_id", "turn", F.array_join(F.slice(T.words(T.norm_basic(F.col("text"))), 1, 40), " ").alias("ref"))
-    then = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.array_join(F.slice(T.words(T.norm_basic(F.col("text"))), 1, 40), " ").alias("hyp"))
+    first = c.select("conv_id", "turn", F.array_join(B.reference(F.col("text")), " ").alias("ref"))
+    then = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.array_join(B.reference(F.col("text")), " ").alias("hyp"))
     return align.align_ops(first.join(then, ["conv_id", "turn"])).drop("ref", "hyp")
 
 
@@ -152,24 +152,24 @@ def bias_delta(spark, sf_dir):  # G4, J14
 
 @_q()
 def speaker_breakdown(spark, sf_dir):  # G5, G7, O1
-    s = score.sdi_summary(align.align_sdi(B.pairs(spark, sf_dir).select("model", "speaker", "ref", "hyp")), ["model", "speaker"])
+    s = score.sdi_summary(align.align_sdi(B.pairs(spark, sf_dir, None).select("model", "speaker", "ref", "hyp")), ["model", "speaker"])
     return score.error_type_share(s).orderBy("model", F.desc("wer"), "speaker")
 
 
 @_q()
 def model_sdi_summary(spark, sf_dir):  # G6
-    return score.sdi_summary(align.align_sdi(B.pairs(spark, sf_dir).select("model", "age_group", "ref", "hyp")), ["model", "age_group"])
+    return score.sdi_summary(align.align_sdi(B.pairs(spark, sf_dir, None).select("model", "age_group", "ref", "hyp")), ["model", "age_group"])
 
 
 @_q()
 def word_error_counts(spark, sf_dir):  # G8, W10
-    n = score.word_error_counts(align.align_ops(B.pairs(spark, sf_dir).select("model", "ref", "hyp")), ["model"])
+    n = score.word_error_counts(align.align_ops(B.pairs(spark, sf_dir, None).select("model", "ref", "hyp")), ["model"])
     return score.top_k(n, ["model", "op"], [F.desc("n"), F.asc("word")], 20)
 
 
 @_q()
 def substitution_pairs(spark, sf_dir):  # G9, W10
-    n = score.substitution_pairs(align.align_ops(B.pairs(spark, sf_dir).select("model", "ref", "hyp")), ["model"])
+    n = score.substitution_pairs(align.align_ops(B.pairs(spark, sf_dir, None).select("model", "ref", "hyp")), ["model"])
     return score.top_k(n, ["model"], [F.desc("n"), F.asc("ref_word"), F.asc("hyp_word")], 50)
 
 
