@@ -79,6 +79,24 @@ def test_lm_edges(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in suffix_tree.score_texts(frame(spark, only_held)).collect())
 
 
+def test_tree_grows_with_the_corpus(spark, monkeypatch):
+    """A context far below a hundred-thousandth of all symbols is kept where it diverges; joined and broadcast trees score alike."""
+    common = [(bytes([97 + i % 26, 97 + i // 26]), 200_000) for i in range(26 * 4)]
+    words = spark.createDataFrame([*common, (b"qzzq", 30)], "word binary, c long")
+    n_symbols = sum(r.c * (len(r.word) + 1) for r in words.collect())
+    tree = suffix_tree.fit(words, n_symbols)
+    score, kept = tree_by_hand({bytes(r.word): r.c for r in words.collect()}, 0)
+    local = tree.local()
+    assert 30 < 1e-5 * n_symbols and len(local.kept) == len(kept) and any(b"qz" in s for s in kept)
+    tried = [b"", b"qzzq", b"aa", b"zzzz", b"unseen", b"qz"]
+    want = [score(w) for w in tried]
+    joined = {bytes(r.word): r.spelling for r in tree.spelling(spark.createDataFrame([(w,) for w in tried], "word binary")).collect()}
+    assert np.allclose(local.score(tried), want) and np.allclose([joined[w] for w in tried], want)
+    rows = [(100 + i, "the then there " * (i % 7) + f"x{i}") for i in range(60)]
+    monkeypatch.setattr(suffix_tree, "BROADCAST_ROWS", 0)
+    check_scores(rows, suffix_tree.score_texts(frame(spark, rows)).collect())
+
+
 def test_tree_is_a_distribution():
     words = {b"": 9, b"abc": 40, b"abd": 30, b"b\xc3\xa9": 5}
     grams, counts = [], []

@@ -2,12 +2,12 @@
 
 Tokens are words and one end per text; the end is the empty word. A token is spelled in bytes between boundaries, and
 the tree predicts each byte, and the closing boundary, from up to `DEPTH` bytes before it, back to the token's opening
-boundary. A context is a candidate when it makes up at least `LEAST` of all symbols, so that at most DEPTH / LEAST
-contexts exist whatever the corpus; it is kept when its count times the divergence of its next-symbol distribution from
-its parent's reaches `DIVERGENCE`, or when a kept context ends in it. Distributions are smoothed towards the parent
+boundary. Every context seen is a candidate; it is kept when its count times the divergence of its next-symbol
+distribution from its parent's reaches `DIVERGENCE`, or when a kept context ends in it. So the tree grows with the
+corpus; it is counted, tested and smoothed by joins, and stored. Distributions are smoothed towards the parent
 (Witten-Bell), the root towards all bytes alike. A symbol is scored in its longest kept suffix. The product over a
 token's bytes is its spelling probability, towards which the token's own count is smoothed, again by Witten-Bell:
-(c + V * spelling) / (N + V), with N training tokens of V kinds.
+(c + V * spelling) / (N + V), with N training tokens of V kinds. A small stored tree is broadcast, a larger one joined.
 
 The texts become blocks of bounded size: distinct words once, and the texts as codes into them. Only words travel for
 counting; a word's count and log-probability return to the blocks that hold it, where the texts are summed.
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import crc_fold, save
+from .common import BROADCAST_ROWS, crc_fold, save, small_or_not
 
 DEPTH = 5
-LEAST = 1e-5
+#: No share of all symbols is asked of a context.
+LEAST = 0.0
 DIVERGENCE = 20.0
 BLOCK_BYTES = 6 << 20
 
@@ -127,7 +128,7 @@ class Tree:
 
 
 def build_tree(gram: np.ndarray, count: np.ndarray, least: float = LEAST, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of counted grams (at every depth; contexts under the least share already gone)."""
+    """The tree of counted grams (at every depth) in memory, as fit makes it by joins."""
     seen = np.unique(gram & np.uint64(0xFF)).astype(np.int64)
     symbol = np.full(256, len(seen), np.int64)
     symbol[seen] = np.arange(len(seen))
@@ -158,17 +159,103 @@ def build_tree(gram: np.ndarray, count: np.ndarray, least: float = LEAST, diverg
     return Tree(keys[keep], symbol, np.log10(p[keep]).astype(np.float32))
 
 
-def fit(words: DataFrame, n_symbols: int) -> Tree:
+@dataclass
+class Stored:
+    """A stored tree: nodes (gram, ctx, logp, loglam), one per kept context and symbol seen in it, and the root's log10 of any other."""
+
+    nodes: DataFrame
+    unseen: float
+
+    def local(self) -> Lookup:
+        """The same in memory, for a tree that was counted to be small."""
+        rows = self.nodes.toArrow()
+        gram, ctx = (np.asarray(rows.column(c)).astype(np.int64) for c in ("gram", "ctx"))
+        order = np.argsort(gram)
+        kept, first = np.unique(ctx, return_index=True)
+        return Lookup(gram[order], np.asarray(rows.column("logp"))[order], kept, np.asarray(rows.column("loglam"))[first], self.unseen)
+
+    def spelling(self, words: DataFrame) -> DataFrame:
+        """(word, spelling) of distinct words by joins: their grams meet the nodes of all suffixes."""
+
+        def run(batches):
+            for batch in batches:
+                word = batch.column(0)
+                data, at, of = spell(word.to_pylist())
+                code, _ = contexts(data, at, DEPTH)
+                yield pa.RecordBatch.from_arrays([word.take(pa.array(of)), pa.array((code << np.uint64(8) | data[at[0]]).view(np.int64))], names=["word", "deep"])
+
+        symbols = words.select("word").mapInArrow(run, "word binary, deep long")
+        wanted = symbols.select("deep").distinct().select("deep", F.explode(F.sequence(F.lit(0), F.shiftright("deep", 48).cast("int"))).alias("d"))
+        wanted = wanted.withColumn("gram", F.expr(SUFFIX.format("deep"))).withColumn("ctx", F.shiftright("gram", 8))
+        lam = self.nodes.groupBy("ctx").agg(F.first("loglam").alias("loglam"))
+        met = wanted.join(self.nodes.select("gram", "logp"), "gram", "left").join(lam, "ctx", "left")
+        by = met.groupBy("deep").agg(F.max_by("logp", F.when(F.col("logp").isNotNull(), F.col("d"))).alias("logp"), F.max(F.when(F.col("logp").isNotNull(), F.col("d"))).alias("seen"), F.collect_list(F.when(F.col("loglam").isNotNull(), F.struct("d", "loglam"))).alias("lams"))
+        less = F.aggregate("lams", F.lit(0.0), lambda acc, x: acc + F.when(x["d"] > F.coalesce("seen", F.lit(0)), x["loglam"]).otherwise(0.0))
+        return symbols.join(by.select("deep", (F.coalesce("logp", F.lit(self.unseen)) + less).alias("logp")), "deep").groupBy("word").agg(F.sum("logp").alias("spelling"))
+
+
+@dataclass
+class Lookup:
+    """A stored tree in memory: log10 probabilities by gram, log10 shares left to the parent by context, both sorted."""
+
+    grams: np.ndarray
+    logp: np.ndarray
+    kept: np.ndarray
+    loglam: np.ndarray
+    unseen: float
+
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each word with its closing boundary."""
+        if not words:
+            return np.zeros(0)
+        data, at, word = spell(words)
+        total, open_ = np.zeros(len(word)), np.ones(len(word), bool)
+        for depth in range(DEPTH, -1, -1):
+            code, d = contexts(data, at, depth)
+            mine = np.flatnonzero(open_ & (d == depth))
+            ctx = code[mine].view(np.int64)
+            for keys, values, wanted, ends in ((self.grams, self.logp, ctx << 8 | data[at[0][mine]].astype(np.int64), True), (self.kept, self.loglam, ctx, False)):
+                k = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+                ok = (keys[k] == wanted) & open_[mine] if len(keys) else np.zeros(len(mine), bool)
+                total[mine[ok]] += values[k[ok]] if depth or ends else 0
+                if ends:
+                    open_[mine[ok]] = False
+        total[open_] += self.unseen
+        return np.bincount(word, weights=total, minlength=len(words))
+
+
+#: The gram whose context is the last d bytes of another's, and the one without the byte farthest back.
+SUFFIX = "(cast(d as bigint) << 48) | ({0} & ((1L << (8 * (d + 1))) - 1))"
+PARENT = "(((gram >> 48) - 1) << 48) | (gram & ((1L << cast(8 * (gram >> 48) as int)) - 1))"
+
+
+def fit(words: DataFrame, n_symbols: int) -> Stored:
     """The tree of words (word, c) with n_symbols symbols in all."""
     deep = save(gram_counts(words), "grams")
-    depth = F.shiftright("gram", 48)
     # Every context is the sum of those that end in it.
-    levels = F.explode(F.sequence(F.lit(0), depth.cast("int"))).alias("d")
-    every = deep.select("gram", "n", levels).select(F.expr("(cast(d as bigint) << 48) | (gram & ((1L << (8 * (d + 1))) - 1))").alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy(F.shiftright("gram", 8))
-    kept = every.withColumn("t", F.sum("n").over(whole)).where(F.col("t") >= max(1.0, LEAST * n_symbols)).select("gram", "n")
-    rows = kept.toArrow()  # at most DEPTH / LEAST contexts
-    return build_tree(np.asarray(rows.column("gram")).astype(np.int64).view(np.uint64), np.asarray(rows.column("n")).astype(np.int64))
+    levels = F.explode(F.sequence(F.lit(0), F.shiftright("gram", 48).cast("int"))).alias("d")
+    every = deep.select("gram", "n", levels).select(F.expr(SUFFIX.format("gram")).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("ctx")
+    counted = every.withColumn("ctx", F.shiftright("gram", 8)).withColumns({"t": F.sum("n").over(whole), "k": F.count(F.lit(1)).over(whole)})
+    # A divergence is at most log(n_symbols), so contexts below this count cannot pass the test, nor can those that end in them.
+    able = F.col("t") * float(np.log(max(1, n_symbols))) >= DIVERGENCE * (1 - 1e-9)
+    rows = save(counted.where(able | (F.col("ctx") == 0)), "contexts")
+    linked = rows.where("ctx <> 0").withColumn("up", F.expr(PARENT)).join(rows.select(F.col("gram").alias("up"), F.col("n").alias("un"), F.col("t").alias("ut")), "up")
+    strong = linked.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("t") * F.col("ut") / F.col("un"))).alias("gain")).where(F.col("gain") >= DIVERGENCE)
+    suffixes = strong.select("ctx", F.explode(F.sequence(F.lit(1), F.shiftright("ctx", 40).cast("int"))).alias("d"))
+    keep = save(suffixes.select(F.expr("(cast(d as bigint) << 40) | (ctx & ((1L << (8 * d)) - 1))").alias("ctx")).distinct(), "kept")
+    kept = save(rows.where("ctx <> 0").join(small_or_not(keep), "ctx", "left_semi"), "kept-rows")
+
+    root = rows.where("ctx = 0").agg(F.max("t").alias("t"), F.max("k").alias("k")).first()
+    t, k = root.t or 0, max(1, root.k or 0)
+    level = save(rows.where("ctx = 0").select("gram", "ctx", ((F.col("n") + k / 256) / (t + k)).alias("p"), F.lit(1.0).alias("lam")), "tree-0")
+    nodes = level
+    for d in range(1, DEPTH + 1):
+        above = level.select(F.col("gram").alias("up"), F.col("p").alias("q"))
+        mine = kept.where(F.shiftright("ctx", 40) == d).withColumn("up", F.expr(PARENT)).join(above, "up")
+        level = save(mine.select("gram", "ctx", ((F.col("n") + F.col("k") * F.col("q")) / (F.col("t") + F.col("k"))).alias("p"), (F.col("k") / (F.col("t") + F.col("k"))).alias("lam")), f"tree-{d}")
+        nodes = nodes.unionByName(level)
+    return Stored(nodes.select("gram", "ctx", F.log10("p").alias("logp"), F.log10("lam").alias("loglam")), float(np.log10(k / 256 / (t + k))))
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -191,19 +278,29 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     n, v = (sums.n or 0) + ends, sums.v + (ends > 0)
     end = spark.createDataFrame([(b"", ends)], "word binary, c long")
     tree = fit(words.unionByName(end), (sums.s or 0) + ends)
-    shared = spark.sparkContext.broadcast(tree)
+    small = tree.nodes.count() <= BROADCAST_ROWS
+    shared = spark.sparkContext.broadcast(tree.local()) if small else None
     mixed = lambda c, spelling: np.log10((c + max(v, 1) * 10.0**spelling) / (n + max(v, 1)))
-    end_score = float(mixed(ends, tree.score([b""])[0]))
+    entry = counted.select("word", "block", "idx", "c")
+    if small:
+        end_score = float(mixed(ends, shared.value.score([b""])[0]))
+    else:
+        end_score = float(mixed(ends, tree.spelling(end).first().spelling))
+        entry = entry.join(save(tree.spelling(words), "spelling"), "word")
     base = lambda c: np.log10((c + 1) / (n + v + 1))
 
     def spelled(batches):
         for batch in batches:
-            word, where = batch.column(0).dictionary_encode(), batch.schema.get_field_index
-            spelling = shared.value.score(word.dictionary.to_pylist())[np.asarray(word.indices)]
+            where = batch.schema.get_field_index
+            if small:
+                word = batch.column(where("word")).dictionary_encode()
+                spelling = shared.value.score(word.dictionary.to_pylist())[np.asarray(word.indices)]
+            else:
+                spelling = np.asarray(batch.column(where("spelling")))
             logp = np.maximum(mixed(np.asarray(batch.column(where("c"))), spelling), spelling + np.log10(max(v, 1) / (n + max(v, 1))))  # no underflow for very long words
             yield pa.RecordBatch.from_arrays([batch.column(where("block")), batch.column(where("idx")), batch.column(where("c")), pa.array(logp)], names=["block", "idx", "c", "logp"])
 
-    values = counted.select("word", "block", "idx", "c").mapInArrow(spelled, "block long, idx int, c long, logp double")
+    values = entry.mapInArrow(spelled, "block long, idx int, c long, logp double")
 
     def sum_up(block: pa.Table, value: pa.Table) -> pa.Table:
         row = {k: block.column(k)[0].as_py() for k in ("ids", "sizes", "held", "codes")}
