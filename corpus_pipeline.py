@@ -1,11 +1,14 @@
 """The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents. Where different texts share a doc_id, they are dropped or kept together.
+columns of documents. Rows are judged one by one, also where they share a doc_id or have none.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +19,11 @@ from vocalith.llm.common import ascii_lower, crc_fold, save, small_or_not, table
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids (null matches null)."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small_or_not(gone), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """docs without the rows of these keys (null matches null)."""
+    gone = gone.select([F.col(k).alias(f"_gone_{k}") for k in keys]).distinct()
+    same = [docs[k].eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    return docs.join(small_or_not(gone), reduce(and_, same), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +35,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal after lower-casing A-Z, the row with the largest doc_id stays; of rows that share both, one."""
     found = save(stream_dedup.exact_dedup(docs), "pipeline-dedup")
-    once = _without(docs, found.where("not kept"))
-    repeated = save(found.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id").distinct(), "pipeline-repeated")
+    keys = ["doc_id", "_digest"]
+    found = found.withColumnRenamed("digest", "_digest")
+    digested = docs.withColumn("_digest", stream_dedup.sha256_digest(ascii_lower(F.coalesce("text", F.lit("")))))
+    once = _without(digested, found.where("not kept"), keys)
+    repeated = save(found.where("kept").groupBy(keys).count().where("count > 1").select(keys), "pipeline-repeated")
     if repeated.isEmpty():
-        return once
-    rows = once.join(small_or_not(repeated.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    text = F.coalesce("text", F.lit(""))
-    first = rows.groupBy("doc_id", stream_dedup.sha256_digest(ascii_lower(text)).alias("_digest")).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("_row"))
-    return _without(once, repeated).unionByName(first.select("_row.*").select(docs.columns))
+        return once.drop("_digest")
+    twice = small_or_not(repeated.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d")))
+    rows = once.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_semi")
+    first = rows.groupBy(keys).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("_row"))
+    return _without(once, repeated, keys).drop("_digest").unionByName(first.select("_row.*").select(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at Jaccard 0.75 over five-word shingles, the one with the smallest doc_id stays."""
-    return _without(docs, save(ngram_join.jaccard_components(docs), "pipeline-near").where("component_id <> doc_id"))
+    """Of documents linked at Jaccard 0.75 over five-word shingles, the one with the smallest doc_id stays (a null id is the largest)."""
+    key, rows = "doc_id", docs
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        # Ids do not name rows: their places in the order of ids do.
+        key = "_place"
+        order = [F.col("doc_id").asc_nulls_last(), *[F.col(c) for c in docs.columns if c != "doc_id"]]
+        rows = save(docs.orderBy(order).withColumn(key, F.monotonically_increasing_id()), "pipeline-places")
+    found = ngram_join.jaccard_components(rows.withColumn("doc_id", F.col(key)))
+    near = save(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "pipeline-near")
+    return _without(rows, near, [key]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,15 @@ def test_repeated_rows(spark, sf):
     out = corpus_pipeline.drop_copies(spark, docs, sf)
     assert out.columns == COLUMNS
     assert sorted(map(str, pairs(out.where("doc_id is not null")))) == ["(2, 'same TEXT')", "(3, 'other')"] and out.where("doc_id is null").count() == 2
+
+
+def test_rows_without_own_id(spark, sf):
+    """Texts that share an id, or have none, are not lost with a copy of another, and of near copies one row stays."""
+    copies = lambda rows: sorted(map(str, pairs(corpus_pipeline.drop_copies(spark, frame(spark, rows).drop("shard_"), sf).fillna(-1, "doc_id"))))
+    assert copies([(None, "same"), (5, "Same"), (None, "unique")]) == ["(-1, 'unique')", "(5, 'Same')"]
+    assert copies([(5, "a"), (7, "A"), (7, "b"), (9, "B")]) == ["(7, 'A')", "(9, 'B')"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text + " x"), (1, text + " y"), (1, "other words stand here alone"), (None, text + " z"), (None, "and these stand here too")]
+    near = corpus_pipeline.drop_near_copies(spark, frame(spark, rows).drop("shard_"), sf)
+    assert near.columns == COLUMNS
+    assert sorted(r.text for r in near.collect()) == sorted([text + " x", "other words stand here alone", "and these stand here too"])
