@@ -123,6 +123,14 @@ def test_whole_texts(spark, tmp_path, monkeypatch):
     assert {(r.model, r.words) for r in catalog.model_sdi_summary(spark, str(tmp_path)).collect()} == {(m, 90) for m in catalog.B.MODELS}
 
 
+def test_row_bootstrap_draws_all_replicates(spark, sf, monkeypatch):
+    taken = []
+    whole = routing.jsd_bootstrap
+    monkeypatch.setattr(routing, "jsd_bootstrap", lambda df, keys, replicates, **k: taken.append(replicates) or whole(df, keys, replicates, **k))
+    catalog.jsd_bootstrap_rows(spark, sf)
+    assert taken == [1_000]
+
+
 #: Published adult WER, child WER and bias in percent.
 PUBLISHED = [
     (2.98, 26.99, 24.01), (2.56, 24.16, 21.60), (2.94, 14.65, 11.71), (2.62, 14.08, 11.46), (2.66, 14.05, 11.39), (3.14, 26.67, 23.53), (2.71, 81.38, 78.67), (6.64, 67.72, 61.08),

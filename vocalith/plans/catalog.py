@@ -458,6 +458,8 @@ def child_preferred_sets(spark, sf_dir):  # U4
 
 
 _JB = 100
+#: The reference's number for rows; no SQL restates that query.
+_JB_ROWS = 1_000
 _JSDBOOT = f"""{_DELTA}, ids AS (SELECT DISTINCT model, language, age_group, utterance_id FROM routing), ix AS (SELECT *, row_number() OVER (PARTITION BY model, language, age_group ORDER BY utterance_id) - 1 AS ix, count(*) OVER (PARTITION BY model, language, age_group) AS n FROM ids),
 dr AS (SELECT model, language, age_group, replicate, ('0x' || substr(md5('777:' || model || ':' || language || ':' || age_group || ':' || replicate || ':' || slot), 1, 8))::BIGINT % n AS ix FROM (SELECT model, language, age_group, max(n) AS n FROM ix GROUP BY ALL), (SELECT unnest(range({_JB})) AS replicate), LATERAL (SELECT unnest(range(n)) AS slot)),
 mu AS (SELECT model, language, age_group, replicate, ix, count(*) AS m FROM dr GROUP BY ALL), bs AS (SELECT l.model, l.language, l.age_group, l.layer_idx, replicate, expert, sum(p * duration_sec * m) AS s FROM mu JOIN ix USING (model, language, age_group, ix) JOIN long l USING (model, language, age_group, utterance_id) GROUP BY ALL),
@@ -477,7 +479,7 @@ def jsd_bootstrap(spark, sf_dir):  # R5, R7
 @_q()
 def jsd_bootstrap_rows(spark, sf_dir):  # R6, W2
     matched = routing.duration_match(B.routing_table(spark, sf_dir), ["model"])
-    return routing.ci_table(routing.jsd_bootstrap(matched, ["model"], _JB, unit="row"), ["model", "layer_idx"]).select("model", "layer_idx", r6("ci_low"), r6("ci_high"))
+    return routing.ci_table(routing.jsd_bootstrap(matched, ["model"], _JB_ROWS, unit="row"), ["model", "layer_idx"]).select("model", "layer_idx", r6("ci_low"), r6("ci_high"))
 
 
 @_q(f"{_JSDBOOT}, pk AS (SELECT model, language, arg_max(layer_idx, jsd) AS peak_layer, max(jsd) AS peak_value FROM curve GROUP BY 1, 2), pe AS (SELECT d.model, d.language, arg_max(expert, delta) AS child_expert, max(delta) AS child_delta, arg_min(expert, delta) AS adult_expert, min(delta) AS adult_delta FROM delta d JOIN pk ON d.model = pk.model AND d.language = pk.language AND d.layer_idx = peak_layer GROUP BY 1, 2) SELECT pk.model, pk.language, peak_layer, round(peak_value, 6) AS peak_value, child_expert, round(child_delta, 6) AS child_delta, adult_expert, round(adult_delta, 6) AS adult_delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, (SELECT count(*) FROM ci x WHERE x.model = pk.model AND x.language = pk.language AND x.ci_low > 0) AS layers_above_zero FROM pk JOIN pe USING (model, language) JOIN ci ON ci.model = pk.model AND ci.language = pk.language AND ci.layer_idx = peak_layer")
