@@ -131,6 +131,81 @@ def test_row_bootstrap_draws_all_replicates(spark, sf, monkeypatch):
     assert taken == [1_000]
 
 
+def test_short_pairs_together():
+    """Pairs around the bounds of the kernel for short pairs, against the plain rule."""
+    rng = random.Random(7)
+    sides = [(0, 0), (0, 5), (5, 0), (1, 64), (64, 1), (64, 64), (65, 65), (256, 64), (257, 64), (40, 40), (3, 63), (256, 3)]
+    pairs = [(rng.choices("abcde", k=n), rng.choices("abcde", k=m)) for n, m in sides for _ in range(3)]
+    import pyarrow as pa
+
+    kind = pa.list_(pa.string())
+    p = align._Pairs(pa.array([r for r, _ in pairs] + [None], kind), pa.array([h for _, h in pairs] + [["q"]], kind))
+    short = {"equal": "E", "sub": "S", "del": "D", "ins": "I"}
+    want = ["".join(short[x[0]] for x in by_rule(r, h)) for r, h in pairs] + ["I"]
+    assert [o.decode() for o in p.ops()] == want
+    assert p.distances().tolist() == [sum(x != "E" for x in w) for w in want]
+
+
+def test_very_long_pair(spark):
+    """Twenty thousand words on either side."""
+    said = [f"w{i % 3_000}" for i in range(20_000)]
+    heard = [w for i, w in enumerate(said) if i % 1_000 != 7]
+    df = spark.createDataFrame([(" ".join(said), " ".join(heard))], "ref string, hyp string")
+    r = align.align_sdi(df).select("words", "substitutions", "deletions", "insertions").first()
+    assert tuple(r) == (20_000, 0, 20, 0)
+
+
+def test_places(spark, monkeypatch):
+    """Places and quantiles over ranges against sorting, with ties, nulls and groups of a single row."""
+    from vocalith.operators import ranks
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([1.0, 2.0, 7.5, rng.random() * 9])) for _ in range(500)] + [("c", 1.0)]
+    for edges in (256, 3):
+        monkeypatch.setattr(ranks, "VALUE_RANGES", edges)
+        got = ranks.numbered_by_value(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()
+        for g in {g for g, _ in rows}:
+            mine = sorted((r._i, r.v) for r in got if r.g == g)
+            assert [i for i, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for k, v in rows if k == g) and all(r._n == len(mine) for r in got if r.g == g)
+        values = sorted(v for _, v in rows)
+        for r in ranks.quantiles(spark.createDataFrame([*rows, ("a", None)], "g string, v double"), "v", [0.0, 0.1, 1 / 3, 0.5, 0.97, 1.0]).collect():
+            at = r.share * (len(values) - 1)
+            lo, hi = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            assert abs(r.quantile - (lo + (hi - lo) * (at - int(at)))) < 1e-9
+        assert ranks.quantiles(spark.createDataFrame([(3.0,)], "v double"), "v", [0.5]).first().quantile == 3.0
+        assert ranks.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]).count() == 0
+    names = [("g", f"s{i}") for i in range(300)]
+    placed = ranks.numbered_by_hash(spark.createDataFrame(names, "g string, s string"), ["g"], F.col("s")).collect()
+    assert sorted(r.ix for r in placed) == list(range(300)) and {r.n for r in placed} == {300}
+
+
+def test_draws_in_runs(spark, monkeypatch):
+    groups = spark.createDataFrame([("g", 10), ("h", 1)], "g string, n long")
+    once = sorted(map(tuple, stats.draws(groups, ["g"], 5, 3).collect()))
+    monkeypatch.setattr(stats, "SLOTS", 3)
+    assert sorted(map(tuple, stats.draws(groups, ["g"], 5, 3).collect())) == once and sum(x[-1] for x in once) == 55
+
+
+def test_row_bootstrap_draws_from_all_rows(spark):
+    """A replicate draws from all rows of a side, so that a layer of few rows is missing from some replicates."""
+    rows = [("m", s, f"{s}{u}", layer, 1.0, [0.5, 0.5]) for s in ("adult", "child") for u in range(6) for layer in ((0, 1) if u == 0 else (0,))]
+    df = spark.createDataFrame(rows, "model string, age_group string, utterance_id string, layer_idx int, duration_sec double, probs array<double>")
+    n = {r.layer_idx: r["count"] for r in routing.jsd_bootstrap(df, ["model"], 60, unit="row").where("jsd is not null").groupBy("layer_idx").count().collect()}
+    assert n[0] == 60 and 0 < n[1] < 60
+
+
+def test_hypotheses_in_several_maps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "MAP_ROWS", 7)
+    rows = [("m_1", "set", f"/a/{i}.wav", 'x "y"\n' if i % 3 else "") for i in range(40)] + [("m2", "other", "b", None)]
+    io.write_hypotheses(spark.createDataFrame(rows, "model string, test_set string, audio_filepath string, hyp string"), str(tmp_path / "h"))
+    assert sorted(map(tuple, io.read_hypotheses(spark, str(tmp_path / "h")).collect())) == sorted((*r[:3], r[3] or "") for r in rows)
+
+
+def test_confusion_matrix_keeps_unknown_predictions(spark):
+    c = spark.createDataFrame([("a", "a", 3), ("a", "zz", 2), ("a", "qq", 1), ("x", "a", 9)], "word string, pred string, n long")
+    assert sorted(map(tuple, score.confusion_matrix(c, ["a", "b"]).collect())) == [("a", "a", 3), ("a", "b", 0), ("a", "qq", 1), ("a", "zz", 2), ("b", "a", 0), ("b", "b", 0)]
+
+
 #: Published adult WER, child WER and bias in percent.
 PUBLISHED = [
     (2.98, 26.99, 24.01), (2.56, 24.16, 21.60), (2.94, 14.65, 11.71), (2.62, 14.08, 11.46), (2.66, 14.05, 11.39), (3.14, 26.67, 23.53), (2.71, 81.38, 78.67), (6.64, 67.72, 61.08),
@@ -154,8 +229,11 @@ def test_model_alignment_fails_loudly(spark):
     df = lambda rows: spark.createDataFrame(rows, "model string, k int, words int, errors int")
     assert score.align_models(df(good), "a", "b", ["k"]).first().errors_b == 2
     for bad in ([*good, ("a", 2, 1, 1)], [good[0], ("b", 1, 4, 0)], [*good, good[0]]):
-        with pytest.raises(ValueError):
-            score.align_models(df(bad), "a", "b", ["k"])
+        with pytest.raises(Exception, match="do not meet once"):
+            score.align_models(df(bad), "a", "b", ["k"]).collect()
+    m, h = spark.createDataFrame([(1, "a b")], "k int, ref string"), spark.createDataFrame([(1, "a"), (1, "b")], "k int, hyp string")
+    with pytest.raises(Exception, match="several hypotheses"):
+        align.attach_hypotheses(m, h, ["k"]).collect()
 
 
 def test_fdr(spark):
@@ -183,6 +261,7 @@ def test_verdicts(spark):
     rows = [("negative", True, -2.0, -1.0, "lower"), ("negative", True, 1.0, 2.0, "higher"), ("either", True, -2.0, -1.0, "on_lower"), ("either", True, 1.0, 2.0, "on_higher"), ("negative", False, -2.0, -1.0, "none"), ("either", True, -1.0, 1.0, "none")]
     df = spark.createDataFrame(rows, "direction string, significant boolean, ci_low double, ci_high double, want string")
     assert all(r.decision == stats.VERDICTS[r.want] for r in stats.decide(df).collect())
+    assert all(r.decision == stats.PAIRED_VERDICTS[r.want] for r in stats.decide(df, stats.PAIRED_VERDICTS).collect())
     gaps = spark.createDataFrame([(True, -3.0, -1.0, -2.0), (True, 1.0, 3.0, 2.0), (False, -1.0, 1.0, -0.5)], "significant boolean, ci_low double, ci_high double, gap_delta double")
     assert [("reduces" in r.decision, "increases" in r.decision, "smaller" in r.decision) for r in stats.decide_gap(gaps).collect()] == [(True, False, False), (False, True, False), (False, False, True)]
 
@@ -258,9 +337,19 @@ def test_sources(spark, tmp_path):
 
 
 def test_sdi_queries_agree_with_distances(spark, sf):
-    sdi = {(r.model, r.doc_id): r.errors for r in catalog.QUERIES["align_sdi"](spark, sf).collect()}
-    plain = {(r.model, r.doc_id): r.errors for r in catalog.QUERIES["edit_counts"](spark, sf).collect()}
+    key = lambda r: (r.model, r.doc_id, r.seg)
+    sdi = {key(r): r.substitutions + r.deletions + r.insertions for r in catalog.QUERIES["utterance_sdi"](spark, sf).collect()}
+    plain = {key(r): r.errors for r in catalog.QUERIES["edit_counts"](spark, sf).collect()}
     assert sdi == plain
+    # Whole recordings: no word is left out, and their distances are those that a plain edit distance of words gives.
+    whole = {(r.model, r.doc_id): r for r in catalog.QUERIES["align_sdi"](spark, sf).collect()}
+    n_words = {}
+    for r in catalog.QUERIES["edit_counts"](spark, sf).collect():
+        n_words[r.model, r.doc_id] = n_words.get((r.model, r.doc_id), 0) + r.words
+    assert {k: r.words for k, r in whole.items()} == n_words
+    for k, r in sorted(whole.items())[:60]:
+        if r.words <= 400:
+            assert r.errors == sum(x[0] != "equal" for x in by_rule(r.ref.split(), r.hyp.split()))
     shares = catalog.QUERIES["speaker_breakdown"](spark, sf).collect()
     assert all(abs(r.substitutions_share + r.deletions_share + r.insertions_share - 1) < 1e-9 or r.wer == 0 for r in shares)
     words = catalog.QUERIES["word_error_counts"](spark, sf).collect()

@@ -92,10 +92,13 @@ def _nfkc(s: pd.Series) -> pd.Series:
 def norm_german(c: Column, compose: bool = True) -> Column:
     """Lower case, NFKC, ss for ß, ae/oe/ue for umlauts, letters a-z, digits and single spaces only.
 
-    compose=False leaves NFKC out, for text known to be composed, and keeps the expression in the JVM.
+    Texts of ASCII and German letters, which NFKC leaves as they are, stay in the JVM; Python is given the others only.
+    compose=False leaves NFKC out, for text known to be composed.
     """
     t = F.lower(_given(c))
-    t = _nfkc(t) if compose else t
+    if compose:
+        plain = t.rlike(r"\A[\x00-\x7fßäöü]*\z")
+        t = F.when(plain, t).otherwise(_nfkc(F.when(~plain, t)))
     for a, b in (("ß", "ss"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return _squeeze(F.regexp_replace(t, r"(?U)[^a-z0-9\s]", " "))

@@ -1,61 +1,32 @@
-"""Word alignment: A1 edit distance, A2 S/D/I counts, A3 op lists, A4 edit tables, A5 utterance WER."""
+"""Word alignment: A1 edit distance, A2 S/D/I counts, A3 op lists, A4 edit tables, A5 utterance WER.
+
+Word arrays travel to Python in Arrow batches, where words become numbers. One rule makes every alignment: a row of the
+edit matrix is two bits per hypothesis word. Short pairs are aligned many at a time, a 64-bit word for each pair's row;
+longer pairs one at a time, with rows as long integers, of which only the start of each run is held.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from vocalith.functions.text import words
 
-#: Pairs with more words on either side than this are aligned by the Arrow function.
-LONG_WORDS = 200
-#: So are pairs of more cells than this (words by words); the op strings of the expression grow with each of its cells.
-LONG_CELLS = 1_600
+#: Pairs up to so many reference and hypothesis words (a row has 64 bits) are aligned together, so many at a time.
+SHORT_REF, SHORT_HYP, TOGETHER = 256, 64, 4096
 #: A long pair is aligned in runs of at least so many rows, more while a run has no more cells than this; of each run the start is held.
 _RUN, _RUN_CELLS = 128, 1 << 26
-#: One letter per distinct word of a pair.
-_POOL, _LETTERS = 0x4E00, 2_000
-
-
-def word_edit_distance(ref: Column, hyp: Column) -> Column:
-    """A1: Levenshtein distance over words (arrays): each distinct word becomes one character of a pool.
-
-    A pair with more distinct words than the pool has letters goes to the Arrow function.
-    """
-    pool = F.array_distinct(F.concat(ref, hyp))
-    letters = F.lit("".join(chr(_POOL + i) for i in range(_LETTERS)))
-    code = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(letters, F.array_position(pool, w).cast("int"), F.lit(1))), "")
-    is_long = F.coalesce(F.size(pool), F.lit(0)) > _LETTERS
-    return F.when(is_long, _distance_long(F.when(is_long, ref), F.when(is_long, hyp))).otherwise(F.levenshtein(code(ref), code(hyp)))
-
-
-def _cell(r: Column, h: Column, diagonal: Column, above: Column, left: Column) -> Column:
-    """One cell (cost, ops): equal words go diagonally; else substitution, deletion, insertion, in this order of preference."""
-    best = F.least(diagonal["c"], above["c"], left["c"]) + 1
-    step = lambda cell, op, cost: F.struct(cost.alias("c"), F.concat(cell["o"], F.lit(op)).alias("o"))
-    return (
-        F.when(r == h, step(diagonal, "E", diagonal["c"]))
-        .when(diagonal["c"] + 1 == best, step(diagonal, "S", best))
-        .when(above["c"] + 1 == best, step(above, "D", best))
-        .otherwise(step(left, "I", best))
-    )
-
-
-def op_string(ref: Column, hyp: Column) -> Column:
-    """The alignment of two word arrays as a string over E, S, D, I, in reading order."""
-    start = F.transform(F.sequence(F.lit(0), F.size(hyp)), lambda j: F.struct(j.alias("c"), F.repeat(F.lit("I"), j).alias("o")))
-
-    def row(before: Column, r: Column) -> Column:
-        first = F.array(F.struct((before[0]["c"] + 1).alias("c"), F.concat(before[0]["o"], F.lit("D")).alias("o")))
-        cells = F.transform(hyp, lambda h, j: F.struct(h.alias("h"), before[j].alias("d"), before[j + 1].alias("a")))
-        return F.aggregate(cells, first, lambda acc, x: F.concat(acc, F.array(_cell(r, x["h"], x["d"], x["a"], F.element_at(acc, -1)))))
 
-    return F.aggregate(ref, start, row, lambda last: F.element_at(last, -1)["o"])
+_NAMES = {"E": "equal", "S": "sub", "D": "del", "I": "ins"}
 
 
-def _rows(ref: list[str], where: dict[str, int], m: int, start: tuple[int, int]):
+def _rows(ref: Sequence, where: dict, m: int, start: tuple[int, int]):
     """One (diagonal equal, deletion) per reference word, as bits over the m hypothesis words, and the state after it."""
     full = (1 << m) - 1
     up, down = start  # where a row's costs rise and fall from one hypothesis word to the next
@@ -68,14 +39,14 @@ def _rows(ref: list[str], where: dict[str, int], m: int, start: tuple[int, int])
         yield level, rise, (up, down)
 
 
-def _places(hyp: list[str]) -> dict[str, int]:
-    where: dict[str, bytearray] = {}
+def _places(hyp: Sequence) -> dict:
+    where: dict = {}
     for j, h in enumerate(hyp):
         where.setdefault(h, bytearray(len(hyp) // 8 + 1))[j >> 3] |= 1 << (j & 7)
     return {h: int.from_bytes(x, "little") for h, x in where.items()}
 
 
-def _distance(ref: list[str], hyp: list[str]) -> int:
+def _distance(ref: Sequence, hyp: Sequence) -> int:
     """Levenshtein distance of one pair, a row of bits at a time (Myers, Hyyrö)."""
     if not hyp:
         return len(ref)
@@ -85,8 +56,8 @@ def _distance(ref: list[str], hyp: list[str]) -> int:
     return len(ref) + state[0].bit_count() - state[1].bit_count()
 
 
-def _align(ref: list[str], hyp: list[str]) -> str:
-    """The same for one long pair: rows of bits; those of the last run are at hand, other runs are made again on the way back."""
+def _align(ref: Sequence, hyp: Sequence) -> str:
+    """The ops E, S, D, I of one pair in reading order; the last run's rows are at hand, other runs are made again on the way back."""
     n, m = len(ref), len(hyp)
     where, run, state = _places(hyp), max(_RUN, _RUN_CELLS // max(m, 1)), ((1 << m) - 1, 0)
     held, ways, out = [], [], []
@@ -113,52 +84,149 @@ def _align(ref: list[str], hyp: list[str]) -> str:
     return "".join(reversed(out))
 
 
-@F.arrow_udf(StringType())
-def _op_string_long(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    return pa.array((_align(r.as_py(), h.as_py()) for r, h in zip(ref, hyp)), pa.string())
+def _short_rows(codes: np.ndarray, at: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray):
+    """The reference and hypothesis codes of short pairs, one row each, and every row of bits: level and rise [word, pair], and the last state."""
+    take = lambda begin, size, pad: np.where((k := np.arange(max(1, int(size.max())))) < size[:, None], codes[np.minimum(begin[:, None] + k, max(0, len(codes) - 1))], pad)
+    r, h = take(at, n, -1), take(other, m, -2)
+    one = np.uint64(1)
+    same = np.zeros(r.shape[::-1], np.uint64)
+    for j in range(h.shape[1]):
+        same |= (r == h[:, j : j + 1]).T.astype(np.uint64) << np.uint64(j)
+    up, down = np.full(len(n), ~np.uint64(0)), np.zeros(len(n), np.uint64)
+    levels, rises, ends = np.empty_like(same), np.empty_like(same), (up.copy(), down.copy())
+    for i in range(same.shape[0]):  # bits beyond a pair's hypothesis never reach those below
+        s = same[i]
+        level = (((s & up) + up) ^ up) | s | down
+        rise = down | ~(level | up)
+        shifted = rise << one | one
+        up, down = ((level & up) << one) | ~(level | shifted), shifted & level
+        levels[i], rises[i] = level, rise
+        for end, now in zip(ends, (up, down)):
+            np.copyto(end, now, where=i < n)
+    return r, h, levels, rises, ends
+
+
+def _short_ops(codes: np.ndarray, at: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ops of many short pairs, flat, and how many each has."""
+    r, h, levels, rises, _ = _short_rows(codes, at, n, other, m)
+    pair, i, j, out = np.arange(len(n)), n.copy(), m.copy(), []
+    one, (E, S, D, I) = np.uint64(1), (np.uint8(ord(x)) for x in "ESDI")
+    while (live := (i > 0) | (j > 0)).any():
+        a, b = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        bit = b.astype(np.uint64)
+        both = (i > 0) & (j > 0)
+        down = (i > 0) & ((j == 0) | (rises[a, pair] >> bit & one == one))
+        op = np.where(both & (levels[a, pair] >> bit & one == 0), S, np.where(down, D, I))
+        op = np.where(both & (r[pair, a] == h[pair, b]), E, op)
+        op[~live] = 0
+        out.append(op)
+        i -= live & (op != I)
+        j -= live & (op != D)
+    ops = np.stack(out[::-1], axis=1) if out else np.zeros((len(n), 0), np.uint8)
+    return ops[ops > 0], (ops > 0).sum(axis=1)
+
+
+class _Pairs:
+    """A batch of pairs of word lists, null lists as empty ones: words as numbers, where each list begins, how long it is."""
+
+    def __init__(self, ref: pa.ListArray, hyp: pa.ListArray):
+        size = [np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64) for x in (ref, hyp)]
+        both = pa.concat_arrays([x.flatten().cast(pa.string()) for x in (ref, hyp)]).dictionary_encode()
+        self.words, self.codes = both.dictionary, np.asarray(both.indices).astype(np.int64)
+        self.n, self.m = size
+        self.at, self.other = np.cumsum(size[0]) - size[0], size[0].sum() + np.cumsum(size[1]) - size[1]
+
+    def groups(self):
+        """Rows of short pairs, of like length, some at a time; then those of long pairs."""
+        short = (self.n <= SHORT_REF) & (self.m <= SHORT_HYP)
+        rows = np.flatnonzero(short)
+        rows = rows[np.argsort(self.n[rows] + self.m[rows], kind="stable")]
+        return [rows[i : i + TOGETHER] for i in range(0, len(rows), TOGETHER)], np.flatnonzero(~short).tolist()
+
+    def _lists(self, k: int) -> tuple[list[int], list[int]]:
+        return tuple(self.codes[b : b + s].tolist() for b, s in ((self.at[k], self.n[k]), (self.other[k], self.m[k])))
+
+    def ops(self) -> list[bytes]:
+        out, (short, long) = [b""] * len(self.n), self.groups()
+        for rows in short:
+            flat, size = _short_ops(self.codes, self.at[rows], self.n[rows], self.other[rows], self.m[rows])
+            blob, end = flat.tobytes(), np.cumsum(size)
+            for k, a, b in zip(rows.tolist(), (end - size).tolist(), end.tolist()):
+                out[k] = blob[a:b]
+        for k in long:
+            out[k] = _align(*self._lists(k)).encode()
+        return out
+
+    def distances(self) -> np.ndarray:
+        out, (short, long) = np.zeros(len(self.n), np.int32), self.groups()
+        for rows in short:
+            n, m = self.n[rows], self.m[rows]
+            *_, (up, down) = _short_rows(self.codes, self.at[rows], n, self.other[rows], m)
+            mine = np.where(m < 64, (np.uint64(1) << np.minimum(m, 63).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+            out[rows] = n + np.bitwise_count(up & mine).astype(np.int64) - np.bitwise_count(down & mine)
+        for k in long:
+            out[k] = _distance(*self._lists(k))
+        return out
 
 
 @F.arrow_udf(IntegerType())
-def _distance_long(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    return pa.array((_distance(r.as_py(), h.as_py()) if r.is_valid and h.is_valid else None for r, h in zip(ref, hyp)), pa.int32())
+def _word_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array(_Pairs(ref, hyp).distances(), mask=~np.asarray(pc.and_(ref.is_valid(), hyp.is_valid())))
 
 
-def with_alignment(df: DataFrame, ref: str, hyp: str, long_words: int = LONG_WORDS) -> DataFrame:
-    """df with `ops`, the op string of two text columns; null texts are empty. Built-in expressions up to long_words and LONG_CELLS, Arrow beyond."""
-    both = df.withColumns({"_r": words(F.col(ref)), "_h": words(F.col(hyp))})
-    is_long = (F.size("_r") > long_words) | (F.size("_h") > long_words) | (F.size("_r").cast("long") * F.size("_h") > LONG_CELLS)
-    short = both.where(~is_long).withColumn("ops", op_string(F.col("_r"), F.col("_h")))
-    rest = both.where(is_long).withColumn("ops", _op_string_long("_r", "_h"))
-    return short.unionByName(rest).drop("_r", "_h")
+@F.arrow_udf(StructType([StructField(c, IntegerType()) for c in ("substitutions", "deletions", "insertions")]))
+def _counts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    ops = _Pairs(ref, hyp).ops()
+    return pa.StructArray.from_arrays([pa.array([o.count(x) for o in ops], pa.int32()) for x in (b"S", b"D", b"I")], names=["substitutions", "deletions", "insertions"])
 
 
-def align_sdi(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """A2: df with words, substitutions, deletions, insertions, errors."""
-    count = lambda op: F.length(F.regexp_replace("ops", f"[^{op}]", ""))
-    out = with_alignment(df, ref, hyp).withColumns({"substitutions": count("S"), "deletions": count("D"), "insertions": count("I"), "words": F.size(words(F.col(ref)))})
-    return out.withColumn("errors", F.col("substitutions") + F.col("deletions") + F.col("insertions")).drop("ops")
+@F.arrow_udf(ArrayType(StructType([StructField(c, StringType()) for c in ("op", "ref_word", "hyp_word")])))
+def _op_list(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    p = _Pairs(ref, hyp)
+    ops = p.ops()
+    op = np.frombuffer(b"".join(ops), np.uint8)
+    size = np.fromiter(map(len, ops), np.int64, len(ops))
+    # Ops that take a word take the next of their side; all sides lie one after the other.
+    sides = [(op != ord("I"), 0), (op != ord("D"), int(p.n.sum()))]
+    word = [p.words.take(pa.array(p.codes[np.where(on, np.cumsum(on) - 1 + base, 0)] if len(p.codes) else np.zeros(0, np.int64), mask=~on)) for on, base in sides]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.StructArray.from_arrays([_named(op), *word], names=["op", "ref_word", "hyp_word"]))
 
 
-def align_ops(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """A3: one row per op with pos, op, ref_word, hyp_word; the missing side is null."""
-    a = with_alignment(df, ref, hyp).withColumns({"_r": words(F.col(ref)), "_h": words(F.col(hyp))})
-    kinds = F.filter(F.split("ops", ""), lambda x: x != "")
-    names = F.create_map(*[F.lit(x) for x in ("E", "equal", "S", "sub", "D", "del", "I", "ins")])
+def _named(op: np.ndarray) -> pa.Array:
+    place = np.zeros(256, np.int64)
+    place[[ord(x) for x in _NAMES]] = np.arange(len(_NAMES))
+    return pa.array(list(_NAMES.values())).take(pa.array(place[op]))
+
+
+def word_edit_distance(ref: Column, hyp: Column) -> Column:
+    """A1: Levenshtein distance over words (arrays); null where a side is."""
+    return _word_distance(ref, hyp)
 
-    def step(acc: Column, op: Column) -> Column:
-        i, j = acc["i"], acc["j"]
-        item = F.struct(names[op].alias("op"), F.when(op != "I", F.get("_r", i)).alias("ref_word"), F.when(op != "D", F.get("_h", j)).alias("hyp_word"))
-        return F.struct((i + F.when(op != "I", 1).otherwise(0)).alias("i"), (j + F.when(op != "D", 1).otherwise(0)).alias("j"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.array().cast("array<struct<op:string,ref_word:string,hyp_word:string>>").alias("out"))
-    listed = a.withColumn("_list", F.aggregate(kinds, zero, step, lambda acc: acc["out"])).drop("_r", "_h", "ops")
-    keep = [c for c in df.columns]
-    return listed.select(*keep, F.posexplode("_list").alias("pos", "_op")).select(*keep, "pos", "_op.op", "_op.ref_word", "_op.hyp_word")
+def align_sdi(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """A2: df with words, substitutions, deletions, insertions, errors. Texts are white-space tokens; null texts are empty."""
+    r = words(F.col(ref))
+    out = df.withColumn("_sdi", _counts(r, words(F.col(hyp))))
+    out = out.withColumns({c: F.col(f"_sdi.{c}") for c in ("substitutions", "deletions", "insertions")} | {"words": F.size(r)}).drop("_sdi")
+    return out.withColumn("errors", F.col("substitutions") + F.col("deletions") + F.col("insertions"))
+
+
+def align_ops(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """A3: one row per op with pos, op, ref_word, hyp_word; the missing side is null. Of equal costs the last op is S, else D, else I."""
+    listed = df.withColumn("_list", _op_list(words(F.col(ref)), words(F.col(hyp))))
+    return listed.select(*df.columns, F.posexplode("_list").alias("pos", "_op")).select(*df.columns, "pos", "_op.op", "_op.ref_word", "_op.hyp_word")
 
 
 def attach_hypotheses(manifest: DataFrame, hypotheses: DataFrame, keys: list[str]) -> DataFrame:
-    """Every manifest row with its hypothesis, '' where there is none; `failed` tells the two apart."""
-    return manifest.join(hypotheses, keys, "left").withColumn("failed", F.col("hyp").isNull()).withColumn("hyp", F.coalesce("hyp", F.lit("")))
+    """Every manifest row with its hypothesis, '' where there is none; `failed` tells the two apart.
+
+    Several hypotheses under one key would multiply rows, so they fail the job instead.
+    """
+    n = F.count(F.lit(1))
+    repeated = F.concat(F.lit("several hypotheses for one key: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    one = hypotheses.groupBy(*keys).agg(F.first("hyp").alias("hyp"), n.alias("_n"))
+    one = one.select(*keys, F.when(F.col("_n") > 1, F.raise_error(repeated).cast("string")).otherwise(F.col("hyp")).alias("hyp"))
+    return manifest.join(one, keys, "left").withColumn("failed", F.col("hyp").isNull()).withColumn("hyp", F.coalesce("hyp", F.lit("")))
 
 
 def edit_counts(manifest: DataFrame, hypotheses: DataFrame, keys: list[str], ref: str = "ref") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vocalith.functions.text import basename, path_candidates, words
 from vocalith.operators.align import word_edit_distance
+from vocalith.operators.ranks import quantiles
 
 
 def drop_empty_reference(manifest: DataFrame, text: str = "text") -> DataFrame:
@@ -44,7 +45,7 @@ def select_languages(df: DataFrame, wanted: list[str], paths: DataFrame | None =
     out = df.where(F.col("language").isin(wanted))
     if paths is None:
         return out
-    own = F.broadcast(paths.select("language", F.col("path").alias("_path")))
+    own = paths.select("language", F.col("path").alias("_path"))
     return out.join(own, "language", "left").withColumn("path", F.coalesce("_path", "path")).drop("_path")
 
 
@@ -126,7 +127,7 @@ def mixture_weights(sources: DataFrame) -> DataFrame:
 def mixture_sample(rows: DataFrame, shares: DataFrame, size: int, key: str, seed: int = 0) -> DataFrame:
     """About `size` rows in which sources have their shares: each row stands floor(x) times and once more with probability x - floor(x), x = size * share / rows of its source."""
     n = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).join(shares.select("source", "share"), "source").select("source", (F.lit(size) * F.col("share") / F.col("_n")).alias("_x"))
-    out = rows.join(F.broadcast(n), "source")
+    out = rows.join(n, "source")
     copies = F.floor("_x") + F.when(hash_unit(F.col(key), seed) < F.col("_x") - F.floor("_x"), 1).otherwise(0)
     return out.withColumn("_c", copies.cast("int")).where("_c > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_c")))).drop("_x", "_c")
 
@@ -155,8 +156,7 @@ def duration_buckets(manifest: DataFrame, edges: list[float], batch_sizes: list[
 
 def bucket_quantiles(manifest: DataFrame, bins: int = 30, duration: str = "duration") -> DataFrame:
     """The edges that part the durations into bins of equal counts."""
-    q = F.percentile(duration, F.array(*[F.lit(i / bins) for i in range(1, bins)]))
-    return manifest.agg(q.alias("q")).select(F.posexplode("q").alias("edge", "seconds"))
+    return quantiles(manifest, duration, [i / bins for i in range(1, bins)]).select(F.col("i").alias("edge"), F.col("quantile").alias("seconds"))
 
 
 def corpus_stats(df: DataFrame, text: str = "text", unit: str = "word", lower: bool = True) -> DataFrame:

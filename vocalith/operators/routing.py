@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalith.operators.ranks import hash_order, hash_range, numbered_by_hash, numbered_by_value
 from vocalith.operators.stats import draws, percentile_ci
 
 
@@ -99,6 +100,14 @@ def language_pairs(dist: DataFrame, keys: list[str], language: str = "language")
     return both.groupBy(*keys, "lang_a", "lang_b").agg(F.sum(jsd_term(F.col("p"), F.col("q"))).alias("jsd"))
 
 
+def named_pairs(dist: DataFrame, keys: list[str], side: str, pairs: DataFrame) -> DataFrame:
+    """JSD per key of every listed pair; pairs: a few rows (pair_a, pair_b), two values of the column side."""
+    a = dist.select(*keys, "expert", F.col(side).alias("pair_a"), "p").join(pairs.select("pair_a", "pair_b"), "pair_a")
+    b = dist.select(*keys, "expert", F.col(side).alias("pair_b"), F.col("p").alias("q"))
+    both = a.join(b, [*keys, "expert", "pair_b"])
+    return both.groupBy(*keys, "pair_a", "pair_b").agg(F.sum(jsd_term(F.col("p"), F.col("q"))).alias("jsd"))
+
+
 def pair_mean_peak(pairs: DataFrame) -> DataFrame:
     """Mean and largest JSD of each language pair, without NaN and null."""
     ok = pairs.where(F.col("jsd").isNotNull() & ~F.isnan("jsd"))
@@ -147,7 +156,7 @@ def key_layers(peaks: DataFrame, n: int = 4) -> DataFrame:
 
 def cross_tab(delta: DataFrame, layers: DataFrame, languages: list[str]) -> DataFrame:
     """M8: experts by languages at the key layers."""
-    return delta.join(F.broadcast(layers), "layer_idx", "left_semi").groupBy("layer_idx", "expert").pivot("language", languages).agg(F.first("delta"))
+    return delta.join(layers, "layer_idx", "left_semi").groupBy("layer_idx", "expert").pivot("language", languages).agg(F.first("delta"))
 
 
 def child_preferred_sets(delta: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,23 +169,25 @@ def layers_above_zero(ci: DataFrame, keys: list[str]) -> DataFrame:
     return ci.groupBy(*keys).agg(F.count_if(F.col("ci_low") > 0).alias("layers_above_zero"))
 
 
-def jsd_bootstrap(routing: DataFrame, keys: list[str], replicates: int = 500, seed: int = 777, unit: str = "utterance", side: str = "age_group", a: str = "adult", b: str = "child") -> DataFrame:
+def jsd_bootstrap(routing: DataFrame, keys: list[str], replicates: int = 500, seed: int = 777, unit: str = "utterance", side: str = "age_group", a: str = "adult", b: str = "child", experts: int | None = None) -> DataFrame:
     """(keys, layer_idx, replicate, jsd) with units drawn with replacement inside each side.
 
-    unit="utterance" draws utterances with all their layers; unit="row" draws (utterance, layer) rows. Vectors are
-    weighted by duration once; a replicate is a table of multiplicities joined to them.
+    unit="utterance" draws utterances with all their layers; unit="row" draws (utterance, layer) rows from all rows of a
+    side, whatever their layer, so that a layer's number of rows varies. Vectors are weighted by duration once; a
+    replicate is a table of multiplicities joined to them, and the sums of all experts are columns of one aggregate.
+    experts is counted where it is not given.
     """
     rows = routing.where(F.col(side).isin(a, b) & F.col("duration_sec").isNotNull() & ~F.isnan("duration_sec"))
-    group = [*keys, side] if unit == "utterance" else [*keys, side, "layer_idx"]
-    w = Window.partitionBy(*group)
-    ids = rows.select(*group, "utterance_id").distinct()
-    ids = ids.withColumn("ix", F.row_number().over(w.orderBy("utterance_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    experts = experts or rows.agg(F.max(F.size("probs")).alias("e")).first().e or 0
+    group, own = [*keys, side], ["utterance_id"] if unit == "utterance" else ["utterance_id", "layer_idx"]
+    ids = numbered_by_hash(rows.select(*group, *own).distinct(), group, F.concat_ws("/", *own))
     d = draws(ids.groupBy(*group).agg(F.first("n").alias("n")), group, replicates, seed)
-    vectors = rows.select(*keys, side, "layer_idx", "utterance_id", "duration_sec", "probs").join(ids.drop("n"), [*group, "utterance_id"])
-    many = vectors.join(d, [*group, "ix"]).select(*keys, side, "layer_idx", "replicate", F.col("m"), "duration_sec", F.posexplode("probs").alias("expert", "_p"))
-    sums = many.groupBy(*keys, side, "layer_idx", "replicate", "expert").agg(F.sum(F.col("_p") * F.col("duration_sec") * F.col("m")).alias("s"))
-    dist = sums.withColumn("p", F.col("s") / F.sum("s").over(Window.partitionBy(*keys, side, "layer_idx", "replicate")))
-    return jsd_between(dist, [*keys, "layer_idx", "replicate"], side, a, b)
+    weighted = [(F.get("probs", e) * F.col("duration_sec")).alias(f"_{e}") for e in range(experts)]
+    vectors = rows.select(*group, "utterance_id", "layer_idx", *weighted).join(ids.drop("n"), [*group, *own])
+    many = vectors.join(d, [*group, "ix"]).groupBy(*group, "layer_idx", "replicate").agg(*[F.sum(F.col(f"_{e}") * F.col("m")).alias(f"_{e}") for e in range(experts)])
+    total = sum((F.coalesce(f"_{e}", F.lit(0.0)) for e in range(experts)), F.lit(0.0))
+    each = F.posexplode(F.array(*[F.col(f"_{e}") / F.when(total > 0, total) for e in range(experts)]).cast("array<double>")).alias("expert", "p")
+    return jsd_between(many.select(*group, "layer_idx", "replicate", each), [*keys, "layer_idx", "replicate"], side, a, b)
 
 
 def ci_table(replicates: DataFrame, keys: list[str]) -> DataFrame:
@@ -204,19 +215,13 @@ def _cumulative(utterances: DataFrame, keys: list[str], order: Column, duration:
     Two levels, so that a group may be larger than a task: hash ranges of the order are summed, the few range totals are
     accumulated per group, and rows accumulate inside their range only.
     """
-    ranges = 1024
-    o = utterances.withColumn("_o", order).withColumn("_r", F.pmod(F.shiftright("_o", 54), F.lit(ranges)))
+    o = utterances.withColumn("_o", order).withColumn("_r", hash_range(F.col("_o")))
     totals = o.groupBy(*keys, "_r").agg(F.sum(duration).alias("_t"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_t")
     inside = F.coalesce(F.sum(duration).over(Window.partitionBy(*keys, "_r").orderBy("_o", "utterance_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return o.join(before, [*keys, "_r"]).withColumn("_cum", F.col("_before") + inside)
 
 
-def hash_order(seed: int, unit: str = "utterance_id") -> Column:
-    """A random order that Spark and any other engine agree on: 52 bits of an md5, in the upper bits of a long."""
-    return F.shiftleft(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(unit).cast("string")).cast("binary")), 1, 13), 16, 10).cast("bigint"), 11)
-
-
 def duration_cap(routing: DataFrame, keys: list[str], seconds: float = 4 * 3600.0, seed: int = 1) -> DataFrame:
     """Whole utterances in random order per group until their duration reaches the cap; the crossing one stays, with all its layers."""
     utt = routing.where("layer_idx = 0").where(F.col("duration_sec").isNotNull() & ~F.isnan("duration_sec")).groupBy(*keys, "utterance_id").agg(F.min("duration_sec").alias("d"))
@@ -235,31 +240,38 @@ def duration_match(routing: DataFrame, keys: list[str], side: str = "age_group",
 
 def drop_incomplete(routing: DataFrame, keys: list[str], layers: int) -> DataFrame:
     """Only utterances with exactly so many layers."""
-    return routing.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_n") == layers).drop("_n")
+    whole = routing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == layers)
+    return routing.join(whole, keys, "left_semi")
 
 
 def group_coverage(routing: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct utterances and hours per group, from layer 0, and the datasets seen."""
-    utt = routing.where("layer_idx = 0").groupBy(*keys, "utterance_id").agg(F.max("duration_sec").alias("d"), F.max("dataset_source").alias("s"))
-    return utt.groupBy(*keys).agg(F.count(F.lit(1)).alias("utterances"), (F.sum("d") / 3600).alias("hours"), F.array_sort(F.collect_set("s")).alias("datasets"))
+    """Per group distinct utterances and summed hours from layer 0, and the layers, groups and datasets seen anywhere."""
+    first = F.col("layer_idx") == 0
+    return routing.groupBy(*keys).agg(
+        F.countDistinct(F.when(first, F.col("utterance_id"))).alias("utterances"), (F.coalesce(F.sum(F.when(first, F.col("duration_sec"))), F.lit(0.0)) / 3600).alias("hours"),
+        F.array_sort(F.collect_set("layer_idx")).alias("layers"), F.array_sort(F.collect_set("age_group")).alias("groups"), F.array_sort(F.collect_set("dataset_source")).alias("datasets"),
+    )
 
 
 def prob_sanity(routing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, mean of the sums, least and largest probability, rows whose sum is off one by over 0.001."""
-    s = _total(F.col("probs"))
-    return routing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean_sum"), F.min(F.array_min("probs")).alias("min_p"), F.max(F.array_max("probs")).alias("max_p"), F.count_if((s < 0.999) | (s > 1.001)).alias("bad"))
+    """Rows, mean, spread, least, quartiles and largest of the sums (to nine digits, so that few differ), least and largest probability, rows whose sum is off one by over 0.001."""
+    rows = routing.withColumn("_s", F.round(_total(F.col("probs")), 9))
+    s = F.col("_s")
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean_sum"), F.stddev(s).alias("std_sum"), F.min(s).alias("min_sum"), *[F.percentile(s, q / 4).alias(f"q{q}_sum") for q in (1, 2, 3)], F.max(s).alias("max_sum"),
+        F.min(F.array_min("probs")).alias("min_p"), F.max(F.array_max("probs")).alias("max_p"), F.count_if((s < 0.999) | (s > 1.001)).alias("bad"),
+    )
 
 
 def linspace_subsample(frames: DataFrame, keys: list[str], order: str, most: int = 20_000) -> DataFrame:
-    """At most `most` rows per key, evenly spaced from the first to the last."""
-    w = Window.partitionBy(*keys)
-    ranked = frames.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    """At most `most` rows per key, evenly spaced from the first to the last in the order of a number."""
+    ranked = numbered_by_value(frames, keys, order)
     if most == 1:
         return ranked.where("_i = 0").drop("_i", "_n")
     # k*(n-1)/(most-1) has its floor at i for some k exactly when the next multiple reaches i
     k = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
     hit = F.floor(k * (F.col("_n") - 1) / (most - 1)) == F.col("_i")
-    return ranked.where((F.col("_n") <= most) | hit).drop("_i", "_n")
+    return ranked.where((F.col("_n") <= most) | hit).drop("_i", "_n").select(frames.columns)
 
 
 def cosine_matrix(vectors: DataFrame, keys: list[str], frame: str = "frame_idx") -> DataFrame:

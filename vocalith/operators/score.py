@@ -40,7 +40,7 @@ def absolute_bias(edits: DataFrame, keys: list[str]) -> DataFrame:
 
 def bias_delta(bias: DataFrame, models: DataFrame) -> DataFrame:
     """Bias of each fine-tuned model minus that of the pretrained model of its architecture (models: model, arch, stage)."""
-    named = bias.join(F.broadcast(models), "model")
+    named = bias.join(models, "model")
     base = named.where("stage = 'pretrained'").select("arch", F.col("bias").alias("pretrained_bias"))
     return named.where("stage <> 'pretrained'").join(base, "arch", "left").select("model", "arch", "bias", "pretrained_bias", (F.col("bias") - F.col("pretrained_bias")).alias("bias_delta"))
 
@@ -131,9 +131,11 @@ def accuracy_pivot(accuracy: DataFrame, models: list[str]) -> DataFrame:
 
 
 def confusion_matrix(confusion: DataFrame, canonical: list[str]) -> DataFrame:
-    """Rows are the canonical words, columns too; predictions outside the list are counted as 'other'."""
-    known = confusion.where(F.col("word").isin(canonical)).withColumn("pred", F.when(F.col("pred").isin(canonical), F.col("pred")).otherwise("other"))
-    return known.groupBy("word").pivot("pred", [*canonical, "other"]).agg(F.sum("n")).na.fill(0)
+    """G14, long: (word, pred, n) for every two canonical words, 0 where they never met, and for every other prediction of a canonical word. Other words go."""
+    seen = confusion.where(F.col("word").isin(canonical)).groupBy("word", "pred").agg(F.sum("n").alias("n"))
+    every = lambda name: F.explode(F.array(*map(F.lit, canonical))).alias(name)
+    cells = confusion.sparkSession.range(1).select(every("word")).select("word", every("pred"), F.lit(0).cast("long").alias("n"))
+    return seen.unionByName(cells).groupBy("word", "pred").agg(F.sum("n").alias("n"))
 
 
 def value_counts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,9 +144,11 @@ def value_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def set_profile(manifest: DataFrame, key: str) -> DataFrame:
-    """Utterances, non-blank texts, words and speakers of each set, and the level at which it can be resampled."""
+    """Utterances, non-blank texts, those that the normal form empties, words and speakers of each set, and the level at which it can be resampled."""
+    blank = F.length(F.trim("text")) == 0
     out = manifest.groupBy(key).agg(
-        F.count(F.lit(1)).alias("utterances"), F.count_if(F.length(F.trim("text")) > 0).alias("non_blank"), F.sum("words").alias("words"), F.countDistinct("speaker").alias("speakers")
+        F.count(F.lit(1)).alias("utterances"), F.count_if(~blank).alias("non_blank"), F.count_if(~blank & (F.col("words") == 0)).alias("empty_after_norm"),
+        F.sum("words").alias("words"), F.countDistinct("speaker").alias("speakers"),
     )
     level = F.when(F.col("speakers") == F.col("utterances"), "utterance-level").when(F.col("speakers") < 10, "speaker-level (few speakers)").otherwise("speaker-level")
     return out.withColumn("level", level)
@@ -156,13 +160,14 @@ def length_scatter(edits: DataFrame) -> DataFrame:
 
 
 def align_models(edits: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """The rows of two models side by side. Raises when a key is missing on one side, twice, or its words differ."""
-    side = lambda m, x: edits.where(F.col("model") == m).select(*keys, F.col("words").alias(f"words_{x}"), F.col("errors").alias(f"errors_{x}"))
-    both = side(a, "a").join(side(b, "b"), keys, "full_outer")
-    bad = both.agg(F.count_if(F.col("words_a").isNull() | F.col("words_b").isNull()), F.count_if(F.col("words_a") != F.col("words_b")), F.count(F.lit(1)) - F.countDistinct(*keys)).first()
-    if any(bad):
-        raise ValueError(f"models {a} and {b}: {bad[0]} rows without a partner, {bad[1]} with other word counts, {bad[2]} repeated keys")
-    return both
+    """The rows of two models side by side, in one pass. The job fails when a key is missing on one side, twice, or its words differ."""
+    of = lambda m, c, x: F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{x}")
+    n = lambda m, x: F.count_if(F.col("model") == m).alias(f"_{x}")
+    both = edits.where(F.col("model").isin(a, b)).groupBy(*keys).agg(n(a, "a"), n(b, "b"), *[of(m, c, x) for m, x in ((a, "a"), (b, "b")) for c in ("words", "errors")])
+    good = (F.col("_a") == 1) & (F.col("_b") == 1) & (F.col("words_a") == F.col("words_b"))
+    said = F.concat(F.lit(f"models {a} and {b} do not meet once, with equal words, at "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    checked = F.when(good, F.col("words_a")).otherwise(F.raise_error(said).cast("long"))
+    return both.select(*keys, checked.alias("words_a"), "errors_a", "words_b", "errors_b")
 
 
 def comparison_product(pairs: DataFrame, sets: DataFrame, available: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalith.operators.ranks import numbered_by_hash
+
 
 def speaker_units(edits: DataFrame, keys: list[str], a: str, b: str, unit: str = "speaker") -> DataFrame:
     """(keys, unit, errors_a, errors_b, words) in one scan; words are those of model a's rows."""
@@ -12,25 +14,26 @@ def speaker_units(edits: DataFrame, keys: list[str], a: str, b: str, unit: str =
     return edits.where(F.col("model").isin(a, b)).groupBy(*keys, unit).agg(of(a, "errors").alias("errors_a"), of(b, "errors").alias("errors_b"), of(a, "words").alias("words"))
 
 
+#: Draws of one row at a time.
+SLOTS = 1 << 16
+
+
 def numbered_units(units: DataFrame, keys: list[str], unit: str = "speaker") -> DataFrame:
-    """Units with their place `ix` by name and the number `n` of their group."""
-    w = Window.partitionBy(*keys)
-    return units.withColumn("ix", F.row_number().over(w.orderBy(unit)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    """Units with their place `ix` in the hash order of their names and the number `n` of their group."""
+    return numbered_by_hash(units, keys, F.col(unit))
 
 
 def draws(groups: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
     """(keys, replicate, ix, m): how often unit ix is drawn in a replicate of n draws. groups: keys and n."""
-    rows = groups.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    rows = rows.select(*keys, "n", "replicate", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("slot"))
+    spark = groups.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a number of its own keeps few, small rows from being joined into one task
+    rows = groups.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition(tasks, *keys, "replicate")
+    rows = rows.select(*keys, "n", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS))).alias("_c"))
+    rows = rows.select(*keys, "n", "replicate", F.explode(F.sequence(F.col("_c") * SLOTS, F.least(F.col("n"), (F.col("_c") + 1) * SLOTS) - 1)).alias("slot"))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k) for k in keys], F.col("replicate").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
     return rows.select(*keys, "replicate", (h % F.col("n")).alias("ix")).groupBy(*keys, "replicate", "ix").agg(F.count(F.lit(1)).alias("m"))
 
 
-def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Bring few groups with many replicates each to all tasks."""
-    return df.repartition(*keys, "replicate")
-
-
 def paired_bootstrap(units: DataFrame, keys: list[str], replicates: int = 10_000, seed: int = 12345, unit: str = "speaker") -> DataFrame:
     """R2: (keys, replicate, diff): WER of a minus WER of b, in points, when units are drawn with replacement."""
     u = numbered_units(units, keys, unit)
@@ -79,7 +82,7 @@ def fdr_over_family(tests: DataFrame, family: list[str], order: list[str], q: fl
     return out.withColumn("p_adj", adj).withColumn("significant", F.col("p_adj") <= q).drop("_p", "_rank", "_n", "_k")
 
 
-#: Verdicts.
+#: Verdicts of single tests, of paired tests over several languages, and of gap tests.
 VERDICTS = {
     "none": "Fail to reject H0: no detectable WER difference.",
     "lower": "Reject H0: Model A has significantly lower WER.",
@@ -87,31 +90,39 @@ VERDICTS = {
     "on_lower": "Reject H0: LB-on has significantly lower WER than LB-off.",
     "on_higher": "Reject H0: LB-on has significantly higher WER than LB-off.",
 }
+PAIRED_VERDICTS = {
+    "none": "No detectable difference.",
+    "lower": "Significant: MoE has lower WER.",
+    "higher": "Significant (opposite): MoE has higher WER.",
+    "on_lower": "Significant: LB-on lower.",
+    "on_higher": "Significant: LB-on higher.",
+}
+GAP_VERDICTS = {
+    "reduces": "Significant: MoE reduces the adult-child gap.",
+    "increases": "Significant (opposite): MoE increases the adult-child gap.",
+    "none": "No detectable gap difference.",
+    "lean": "No detectable gap difference (numerically %s for MoE).",
+}
 
 
-def decide(tests: DataFrame) -> DataFrame:
-    """The verdict from significance, interval and expected direction."""
+def decide(tests: DataFrame, verdicts: dict[str, str] = VERDICTS) -> DataFrame:
+    """The verdict from significance, interval and expected direction; PAIRED_VERDICTS words it for several languages."""
     sig, d = F.col("significant"), F.col("direction")
     below, above = F.col("ci_high") < 0, F.col("ci_low") > 0
     verdict = (
-        F.when(sig & (d == "negative") & below, VERDICTS["lower"])
-        .when(sig & (d == "negative") & above, VERDICTS["higher"])
-        .when(sig & (d == "either") & below, VERDICTS["on_lower"])
-        .when(sig & (d == "either") & above, VERDICTS["on_higher"])
-        .otherwise(VERDICTS["none"])
+        F.when(sig & (d == "negative") & below, verdicts["lower"])
+        .when(sig & (d == "negative") & above, verdicts["higher"])
+        .when(sig & (d == "either") & below, verdicts["on_lower"])
+        .when(sig & (d == "either") & above, verdicts["on_higher"])
+        .otherwise(verdicts["none"])
     )
     return tests.withColumn("decision", verdict)
 
 
 def decide_gap(tests: DataFrame) -> DataFrame:
     """R9 for gap tests: does the sparse model change the adult-child gap?"""
-    lean = F.concat(F.lit("No detectable gap difference (numerically "), F.when(F.col("gap_delta") < 0, "smaller").otherwise("larger"), F.lit(" for MoE)."))
-    out = (
-        F.when(~F.col("significant"), lean)
-        .when(F.col("ci_high") < 0, "Significant: MoE reduces the adult-child gap.")
-        .when(F.col("ci_low") > 0, "Significant (opposite): MoE increases the adult-child gap.")
-        .otherwise("No detectable gap difference.")
-    )
+    lean = F.format_string(GAP_VERDICTS["lean"], F.when(F.col("gap_delta") < 0, "smaller").otherwise("larger"))
+    out = F.when(~F.col("significant"), lean).when(F.col("ci_high") < 0, GAP_VERDICTS["reduces"]).when(F.col("ci_low") > 0, GAP_VERDICTS["increases"]).otherwise(GAP_VERDICTS["none"])
     return tests.withColumn("decision", out)
 
 
@@ -124,7 +135,16 @@ def sentence(tests: DataFrame) -> DataFrame:
     return tests.withColumn("summary", text)
 
 
+def paired_sentence(tests: DataFrame) -> DataFrame:
+    """One sentence per language, age and pair of models; estimates are rounded half to even."""
+    text = F.format_string(
+        "[%s %s] %s %.2f%% vs %s %.2f%%. Diff = %+.3f pp (95%% CI [%.3f, %.3f], BH-adj p = %.4f). %s",
+        "language", "age_group", "model_a", F.bround("wer_a", 2), "model_b", F.bround("wer_b", 2), F.bround("diff", 3), F.bround("ci_low", 3), F.bround("ci_high", 3), F.bround("p_adj", 4), "decision",
+    )
+    return tests.withColumn("summary", text)
+
+
 def forest_table(tests: DataFrame, labels: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Rows of a forest plot: label, group and its place in an explicit order, estimate, interval, significance."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(group))
-    return tests.join(F.broadcast(labels), "test_id").select("test_id", "label", group, place.alias("position"), "diff", "ci_low", "ci_high", "significant")
+    return tests.join(labels, "test_id").select("test_id", "label", group, place.alias("position"), "diff", "ci_low", "ci_high", "significant")

@@ -10,8 +10,8 @@ from vocalith.operators import align, routing
 
 MODELS = {"dense": (7, 11), "moe": (5, 13), "moe_lb": (9, 6)}  # model -> every which word is dropped, replaced
 LAYERS, EXPERTS, TOP_K = 8, 8, 2
-#: The SQL below scores so many first words of a text; queries that it judges do too, all others take whole texts.
-SQL_WORDS = 40
+#: A recording is cut into utterances of so many words, the last one shorter; every word is in one of them.
+UTTERANCE_WORDS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,15 @@ def path() -> Column:
     return F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("-audio/"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".wav"))
 
 
-def reference(c: Column, first: int | None = None) -> Column:
-    """The words of the basic normal form, which is the utterance that was said; or only the first so many."""
-    said = T.words(T.norm_basic(c))
-    return said if first is None else F.slice(said, 1, first)
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files than there are cores dealt over the cores; a table of many files stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def reference(c: Column) -> Column:
+    """The words of the basic normal form, which is what was said."""
+    return T.words(T.norm_basic(c))
 
 
 def corrupted(ref: Column, drop: int, swap: int) -> Column:
@@ -41,18 +46,22 @@ def corrupted(ref: Column, drop: int, swap: int) -> Column:
     return F.filter(swapped, lambda x, i: (i + 1) % drop != 0)
 
 
-def pairs(spark: SparkSession, sf_dir: str, first: int | None = SQL_WORDS) -> DataFrame:
-    """(model, utterance columns, ref, hyp) with word arrays rw and hw; first=None takes whole texts."""
-    u = utterances(spark, sf_dir).withColumn("rw", reference(F.col("text"), first)).drop("text")
+def pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(model, utterance columns, seg, ref, hyp) with word arrays rw and hw; whole: one pair per recording, not per utterance."""
+    u = spread(utterances(spark, sf_dir)).withColumn("rw", reference(F.col("text"))).drop("text", "duration")
+    if not whole:
+        cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("rw") - 1) / UTTERANCE_WORDS).cast("int")))
+        u = u.select("*", F.posexplode(F.transform(cuts, lambda i: F.slice("rw", i * UTTERANCE_WORDS + 1, F.lit(UTTERANCE_WORDS)))).alias("seg", "_part")).withColumn("rw", F.col("_part")).drop("_part")
+        u = u.withColumn("audio_filepath", F.concat(F.substring_index("audio_filepath", ".wav", 1), F.lit("_"), F.col("seg").cast("string"), F.lit(".wav")))
     models = F.array(*[F.struct(F.lit(m).alias("model"), corrupted(F.col("rw"), *x).alias("hw")) for m, x in MODELS.items()])
     p = u.withColumn("_m", F.explode(models)).select("*", "_m.model", "_m.hw").drop("_m")
     return p.withColumns({"ref": F.array_join("rw", " "), "hyp": F.array_join("hw", " ")})
 
 
-def edits(spark: SparkSession, sf_dir: str, first: int | None = SQL_WORDS) -> DataFrame:
-    """The edit table with errors only (A1)."""
-    p = pairs(spark, sf_dir, first)
-    return p.select("model", "doc_id", "language", "speaker", "age_group", "duration", F.size("rw").alias("words"), align.word_edit_distance(F.col("rw"), F.col("hw")).alias("errors"))
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edit table of all utterances with errors only (A1)."""
+    p = pairs(spark, sf_dir)
+    return p.select("model", "doc_id", "seg", "language", "speaker", "age_group", F.size("rw").alias("words"), align.word_edit_distance(F.col("rw"), F.col("hw")).alias("errors"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +98,22 @@ def basic_sql(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({c}),'<[^>]+>',' ','g'),'\+[^+]*\+',' ','g'),'[^a-z0-9''\s]',' ','g'),'\s+',' ','g'))"
 
 
+def number_sql(n: str) -> str:
+    """0 to 9999 in words, larger numbers in digits."""
+    ones, tens = (f"{[w for w in ws]}" for ws in (T.ONES, T.TENS))
+    small = lambda x: f"(CASE WHEN {x} < 20 THEN {ones}[{x} + 1] ELSE {tens}[{x} // 10 - 1] || CASE WHEN {x} % 10 = 0 THEN '' ELSE ' ' || {ones}[{x} % 10 + 1] END END)"
+    over = lambda x, base, name, rest: f"({ones}[{x} // {base} + 1] || ' {name}' || CASE WHEN {x} % {base} = 0 THEN '' ELSE ' ' || {rest(f'({x} % {base})')} END)"
+    mid = lambda x: f"(CASE WHEN {x} < 100 THEN {small(x)} ELSE {over(x, 100, 'hundred', small)} END)"
+    return f"(CASE WHEN {n} < 1000 THEN {mid(n)} WHEN {n} < 10000 THEN {over(n, 1000, 'thousand', mid)} ELSE {n}::VARCHAR END)"
+
+
+def basic_num_sql(c: str) -> str:
+    marked = rf"regexp_replace(regexp_replace(lower({c}),'<[^>]+>',' ','g'),'\+[^+]*\+',' ','g')"
+    runs = rf"regexp_extract_all({marked}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+')"
+    said = f"CASE WHEN regexp_full_match(x, '[0-9]+') THEN CASE WHEN length(ltrim(x, '0')) <= 4 THEN {number_sql('x::INT')} WHEN length(x) > 0 THEN ltrim(x, '0') END ELSE x END"
+    return rf"trim(regexp_replace(regexp_replace(array_to_string(list_transform({runs}, lambda x: {said}), ''),'[^a-z0-9''\s]',' ','g'),'\s+',' ','g'))"
+
+
 def words_sql(c: str) -> str:
     return f"list_filter(string_split({c},' '), lambda x: x <> '')"
 
@@ -97,12 +122,24 @@ UTT = """utt AS (SELECT d.doc_id, d.text, d.lang AS language, d.source AS speake
  d.n_chars / 15.0 AS duration, '/data/' || d.source || '/' || d.doc_id || '-audio/' || d.lang || '_' || d.doc_id || '.wav' AS audio_filepath
  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id))"""
 _M = ", ".join(f"('{m}', {a}, {b})" for m, (a, b) in MODELS.items())
-PAIRS = f"""{UTT}, ref0 AS (SELECT * EXCLUDE (text), {words_sql(basic_sql("text"))}[1:40] AS rw FROM utt),
+PAIRS = f"""{UTT}, said AS (SELECT * EXCLUDE (text, duration), {words_sql(basic_sql("text"))} AS w FROM utt),
+ref0 AS (SELECT * EXCLUDE (w, audio_filepath), replace(audio_filepath, '.wav', '_' || seg || '.wav') AS audio_filepath, w[seg * {UTTERANCE_WORDS} + 1:seg * {UTTERANCE_WORDS} + {UTTERANCE_WORDS}] AS rw
+ FROM (SELECT *, unnest(range(greatest(1, (len(w) + {UTTERANCE_WORDS - 1}) // {UTTERANCE_WORDS})))::INT AS seg FROM said)),
 m(model, dropped, swapped) AS (VALUES {_M}),
 pairs AS (SELECT r.*, model, list_transform(list_filter(list_zip(list_transform(rw, lambda x, i: CASE WHEN i % swapped = 0 THEN 'zz' ELSE x END), range(1, len(rw) + 1)), lambda x: x[2] % dropped <> 0), lambda x: x[1]) AS hw FROM ref0 r, m)"""
 EDITS = f"""{PAIRS}, coded AS (SELECT *, list_distinct(list_concat(rw, hw)) AS pool FROM pairs),
-edits AS (SELECT model, doc_id, language, speaker, age_group, duration, len(rw) AS words,
+edits AS (SELECT model, doc_id, seg, language, speaker, age_group, len(rw) AS words,
  levenshtein(coalesce(array_to_string(list_transform(rw, lambda x: chr(33 + list_position(pool, x)::INT)), ''), ''), coalesce(array_to_string(list_transform(hw, lambda x: chr(33 + list_position(pool, x)::INT)), ''), '')) AS errors FROM coded)"""
+_CELL = "STRUCT(c INT, o VARCHAR)"
+_STEP = """CASE WHEN x.k - i > len(hw) THEN NULL WHEN i = 0 THEN {'c': x.k::INT, 'o': repeat('I', x.k)} WHEN i = x.k THEN {'c': x.k::INT, 'o': repeat('D', x.k)}
+ WHEN rw[i] = hw[x.k - i] THEN {'c': a.p2[i].c, 'o': a.p2[i].o || 'E'} WHEN a.p2[i].c <= least(a.p1[i].c, a.p1[i + 1].c) THEN {'c': a.p2[i].c + 1, 'o': a.p2[i].o || 'S'}
+ WHEN a.p1[i].c <= a.p1[i + 1].c THEN {'c': a.p1[i].c + 1, 'o': a.p1[i].o || 'D'} ELSE {'c': a.p1[i + 1].c + 1, 'o': a.p1[i + 1].o || 'I'} END"""
+#: The edit matrix diagonal by diagonal: a cell is its cost and its ops; k counts the diagonals, p1 and p2 are the last two.
+ALIGNED = (f"""aligned AS MATERIALIZED (SELECT *, list_reduce(list_prepend({{'k': 0::BIGINT, 'p2': []::{_CELL}[], 'p1': [{{'c': 0, 'o': ''}}]::{_CELL}[]}}, list_transform(range(1, len(rw) + len(hw) + 1), lambda k: {{'k': k, 'p2': []::{_CELL}[], 'p1': []::{_CELL}[]}})),
+ lambda a, x: {{'k': x.k, 'p2': a.p1, 'p1': list_transform(range(0, least(len(rw), x.k) + 1), lambda i: {_STEP})}}).p1[len(rw) + 1].o AS ops FROM {{pairs}}),
+sdi AS (SELECT *, len(rw) AS words, length(replace(ops, 'S', 'SS')) - length(ops) AS substitutions, length(replace(ops, 'D', 'DD')) - length(ops) AS deletions, length(replace(ops, 'I', 'II')) - length(ops) AS insertions FROM aligned),
+ops AS (SELECT * EXCLUDE (kind), CASE kind WHEN 'E' THEN 'equal' WHEN 'S' THEN 'sub' WHEN 'D' THEN 'del' ELSE 'ins' END AS op, CASE WHEN kind <> 'I' THEN rw[pos + 1 - (length(replace(ops[1:pos + 1], 'I', 'II')) - pos - 1)] END AS ref_word,
+ CASE WHEN kind <> 'D' THEN hw[pos + 1 - (length(replace(ops[1:pos + 1], 'D', 'DD')) - pos - 1)] END AS hyp_word FROM (SELECT *, unnest(range(length(ops)))::INT AS pos, unnest(string_split(ops, '')) AS kind FROM aligned WHERE ops <> ''))""").replace("{", "{{").replace("}", "}}").replace("{{pairs}}", "{pairs}")
 ROUTING = """logits AS (SELECT vec_id, label, l.layer_idx, list_transform(embedding[(l.layer_idx * 8 + 1):(l.layer_idx * 8 + 8)], lambda x: x::DOUBLE) AS logits FROM embeddings, (SELECT unnest(range(8))::INT AS layer_idx) l),
 soft AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM logits),
 routing AS (SELECT 'multi' AS model, vec_id AS utterance_id, CASE WHEN label % 3 = 0 THEN 'child' ELSE 'adult' END AS age_group, ['en','de','nl','pl'][label % 4 + 1] AS language,

@@ -49,14 +49,35 @@ def _text_query(name: str, fn, sql: str | None) -> None:
 
 
 # --- text (T1-T9)
-_text_query("norm_raw", lambda c: F.regexp_replace(T.norm_raw(c), r"\s+", " "), r"regexp_replace(regexp_replace(regexp_replace(text,'^\s+',''),'\s+$',''),'\s+',' ','g')")
+@_q(r"SELECT doc_id, md5(t) AS norm_md5, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> ''))::BIGINT AS n_words FROM (SELECT doc_id, regexp_replace(regexp_replace(text,'^\s+',''),'\s+$','') AS t FROM documents)")
+def norm_raw(spark, sf_dir):  # T1, T8
+    t = T.norm_raw(F.col("text"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("norm_md5"), T.n_words(t).cast("long").alias("n_words"))
+
+
 _text_query("norm_basic", T.norm_basic, B.basic_sql("text"))
-_text_query("norm_basic_num", T.norm_basic_num, None)
+_text_query("norm_basic_num", T.norm_basic_num, B.basic_num_sql("text"))
 _text_query("norm_light", T.norm_light, r"trim(regexp_replace(lower(text),'\s+',' ','g'))")
 _text_query("norm_german", T.norm_german, r"trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower(text),'ß','ss'),'ä','ae'),'ö','oe'),'ü','ue'),'[^a-z0-9\s]',' ','g'),'\s+',' ','g'))")
 _text_query("norm_polish", T.norm_polish, r"trim(regexp_replace(replace(regexp_replace(regexp_replace(lower(text),'<[^>]+>',' ','g'),'[^\p{L}\p{M}\p{N}_''\s-]',' ','g'),'-',' '),'\s+',' ','g'))")
 
 
+@_q(f"SELECT o_orderkey, {B.number_sql('(o_orderkey % 12000)')} AS said FROM orders")
+def int_to_english_words(spark, sf_dir):  # T4
+    return B.table(spark, sf_dir, "orders").select("o_orderkey", T.int_to_english_words(F.col("o_orderkey") % 12000).alias("said"))
+
+
+_MODES = {"raw": r"regexp_replace(regexp_replace(text,'^\s+',''),'\s+$','')", "light": r"trim(regexp_replace(lower(text),'\s+',' ','g'))", "lower": "lower(text)"}
+
+
+@_q(" UNION ALL ".join(f"SELECT conv_id, turn, '{m}' AS mode, md5({q}) AS text_md5 FROM conversations" for m, q in _MODES.items()))
+def normalize_transcripts(spark, sf_dir):  # named modes and a function of the caller's
+    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    modes = [("raw", "raw"), ("light", "light"), ("lower", F.lower)]
+    each = [T.normalize_transcripts(c, ["text"], mode).withColumn("mode", F.lit(name)) for name, mode in modes]
+    return io.union_groups(each).select("conv_id", "turn", "mode", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @_q(f"SELECT page_id, md5(t) AS norm_md5, coalesce({B.words_sql('t')}[1], '') AS first_word FROM (SELECT page_id, {B.basic_sql('html')} AS t FROM pages)")
 def first_word(spark, sf_dir):  # T2, T8, T9 on marked-up text
     t = T.norm_basic(F.col("html"))
@@ -90,19 +111,24 @@ def corpus_wer_by_group(spark, sf_dir):  # T2, A1, G1
     return score.corpus_wer(B.edits(spark, sf_dir), ["language", "model"])
 
 
-@_q(f"WITH {B.EDITS} SELECT model, doc_id, words, errors, CASE WHEN words > 0 THEN errors / words ELSE 'inf'::DOUBLE END AS wer FROM edits")
+@_q(f"WITH {B.EDITS} SELECT model, doc_id, seg, words, errors, CASE WHEN words > 0 THEN errors / words ELSE 'inf'::DOUBLE END AS wer FROM edits")
 def edit_counts(spark, sf_dir):  # A2, A4, A5, J1: the errors of the full alignment
-    p = B.pairs(spark, sf_dir)
-    e = align.edit_counts(p.select("model", "doc_id", "ref"), p.select("model", "doc_id", "hyp"), ["model", "doc_id"])
-    return e.select("model", "doc_id", F.col("words").cast("long").alias("words"), F.col("errors").cast("long").alias("errors"), align.utterance_wer(F.col("errors"), F.col("words")).alias("wer"))
+    p, keys = B.pairs(spark, sf_dir), ["model", "doc_id", "seg"]
+    e = align.edit_counts(p.select(*keys, "ref"), p.select(*keys, "hyp"), keys)
+    return e.select(*keys, F.col("words").cast("long").alias("words"), F.col("errors").cast("long").alias("errors"), align.utterance_wer(F.col("errors"), F.col("words")).alias("wer"))
 
 
 @_q()
-def align_sdi(spark, sf_dir):  # A2
-    return align.align_sdi(B.pairs(spark, sf_dir, None).select("model", "doc_id", "ref", "hyp"))
+def align_sdi(spark, sf_dir):  # A2 on whole recordings, whatever their length; no SQL aligns the longest of them
+    return align.align_sdi(B.pairs(spark, sf_dir, whole=True).select("model", "doc_id", "ref", "hyp"))
 
 
-@_q()
+@_q(f"WITH {B.PAIRS}, {B.ALIGNED.format(pairs='pairs')} SELECT model, doc_id, seg, words, substitutions, deletions, insertions FROM sdi")
+def utterance_sdi(spark, sf_dir):  # A2
+    return align.align_sdi(B.pairs(spark, sf_dir)).select("model", "doc_id", "seg", *[F.col(c).cast("long").alias(c) for c in ("words", "substitutions", "deletions", "insertions")])
+
+
+@_q(f"WITH said AS (SELECT conv_id, turn, {B.words_sql(B.basic_sql('text'))} AS w FROM conversations), turns AS (SELECT a.conv_id, a.turn, a.w AS rw, b.w AS hw FROM said a JOIN said b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), {B.ALIGNED.format(pairs='turns')} SELECT conv_id, turn, pos, op, ref_word, hyp_word FROM ops")
 def align_ops(spark, sf_dir):  # A3 on neighbouring turns of a conversation
     c = B.table(spark, sf_dir, "conversations")
     first = c.select("conv_id", "turn", F.array_join(B.reference(F.col("text")), " ").alias("ref"))
@@ -110,19 +136,19 @@ def align_ops(spark, sf_dir):  # A3 on neighbouring turns of a conversation
     return align.align_ops(first.join(then, ["conv_id", "turn"])).drop("ref", "hyp")
 
 
-@_q(f"WITH {B.EDITS} SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN words ELSE errors END AS errors, l.doc_id IS NULL AS failed FROM edits LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE model = 'dense'")
-def attach_hypotheses(spark, sf_dir):  # J1: only labelled documents have a hypothesis
+@_q(f"WITH {B.EDITS} SELECT doc_id, seg, CASE WHEN l.doc_id IS NULL THEN words ELSE errors END AS errors, l.doc_id IS NULL AS failed FROM edits LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE model = 'dense'")
+def attach_hypotheses(spark, sf_dir):  # J1: only labelled documents have hypotheses
     p = B.pairs(spark, sf_dir).where("model = 'dense'")
-    hyp = p.select("doc_id", "hyp").join(B.table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    a = align.attach_hypotheses(p.drop("hyp"), hyp, ["doc_id"])
-    return a.select("doc_id", align.word_edit_distance(F.col("rw"), T.words(F.col("hyp"))).cast("long").alias("errors"), "failed")
+    hyp = p.select("doc_id", "seg", "hyp").join(B.table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    a = align.attach_hypotheses(p.drop("hyp"), hyp, ["doc_id", "seg"])
+    return a.select("doc_id", "seg", align.word_edit_distance(F.col("rw"), T.words(F.col("hyp"))).cast("long").alias("errors"), "failed")
 
 
-@_q(f"WITH {B.PAIRS} SELECT model, doc_id, CASE WHEN l.doc_id IS NULL THEN '__ERROR__:no label' ELSE coalesce(array_to_string(hw, ' '), '') END AS hyp FROM pairs LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+@_q(f"WITH {B.PAIRS} SELECT model, doc_id, seg, CASE WHEN l.doc_id IS NULL THEN '__ERROR__:no label' ELSE coalesce(array_to_string(hw, ' '), '') END AS hyp FROM pairs LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def hyp_to_text(spark, sf_dir):  # T17: documents without a label stand for failed runs
     known = B.table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("known")).distinct()
     p = B.pairs(spark, sf_dir).join(known, "doc_id", "left")
-    return p.select("model", "doc_id", T.hyp_to_text(F.when(F.col("known") == 1, F.col("hyp")), F.lit("no label")).alias("hyp"))
+    return p.select("model", "doc_id", "seg", T.hyp_to_text(F.when(F.col("known") == 1, F.col("hyp")), F.lit("no label")).alias("hyp"))
 
 
 # --- scores
@@ -150,36 +176,41 @@ def bias_delta(spark, sf_dir):  # G4, J14
     return out.select("model", "arch", r6("bias"), r6("pretrained_bias"), r6("bias_delta"))
 
 
-@_q()
+_SDI = f"WITH {B.PAIRS}, {B.ALIGNED.format(pairs='pairs')}"
+_SUMS = "sum(substitutions)::BIGINT AS substitutions, sum(deletions)::BIGINT AS deletions, sum(insertions)::BIGINT AS insertions, sum(words)::BIGINT AS words, count(*) AS utterances"
+_SDI_WER = "CASE WHEN words > 0 THEN (substitutions + deletions + insertions) / words ELSE 'inf'::DOUBLE END AS wer"
+
+
+@_q(f"{_SDI}, s AS (SELECT model, speaker, {_SUMS} FROM sdi GROUP BY 1, 2), t AS (SELECT *, greatest(1, substitutions + deletions + insertions) AS e FROM s) SELECT * EXCLUDE (e), {_SDI_WER}, round(substitutions / e, 9) AS substitutions_share, round(deletions / e, 9) AS deletions_share, round(insertions / e, 9) AS insertions_share FROM t")
 def speaker_breakdown(spark, sf_dir):  # G5, G7, O1
-    s = score.sdi_summary(align.align_sdi(B.pairs(spark, sf_dir, None).select("model", "speaker", "ref", "hyp")), ["model", "speaker"])
-    return score.error_type_share(s).orderBy("model", F.desc("wer"), "speaker")
+    s = score.error_type_share(score.sdi_summary(align.align_sdi(B.pairs(spark, sf_dir).select("model", "speaker", "ref", "hyp")), ["model", "speaker"]))
+    return s.withColumns({c: F.round(c, 9) for c in s.columns if c.endswith("_share")}).orderBy("model", F.desc("wer"), "speaker")
 
 
-@_q()
+@_q(f"{_SDI}, s AS (SELECT model, age_group, {_SUMS} FROM sdi GROUP BY 1, 2) SELECT *, {_SDI_WER} FROM s")
 def model_sdi_summary(spark, sf_dir):  # G6
-    return score.sdi_summary(align.align_sdi(B.pairs(spark, sf_dir, None).select("model", "age_group", "ref", "hyp")), ["model", "age_group"])
+    return score.sdi_summary(align.align_sdi(B.pairs(spark, sf_dir).select("model", "age_group", "ref", "hyp")), ["model", "age_group"])
 
 
-@_q()
+@_q(f"{_SDI}, n AS (SELECT model, op, CASE WHEN op = 'ins' THEN hyp_word ELSE ref_word END AS word, count(*) AS n FROM ops WHERE op <> 'equal' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, op ORDER BY n DESC, word)::INT AS rank FROM n) WHERE rank <= 20")
 def word_error_counts(spark, sf_dir):  # G8, W10
-    n = score.word_error_counts(align.align_ops(B.pairs(spark, sf_dir, None).select("model", "ref", "hyp")), ["model"])
+    n = score.word_error_counts(align.align_ops(B.pairs(spark, sf_dir).select("model", "ref", "hyp")), ["model"])
     return score.top_k(n, ["model", "op"], [F.desc("n"), F.asc("word")], 20)
 
 
-@_q()
+@_q(f"{_SDI}, n AS (SELECT model, ref_word, hyp_word, count(*) AS n FROM ops WHERE op = 'sub' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY n DESC, ref_word, hyp_word)::INT AS rank FROM n) WHERE rank <= 50")
 def substitution_pairs(spark, sf_dir):  # G9, W10
-    n = score.substitution_pairs(align.align_ops(B.pairs(spark, sf_dir, None).select("model", "ref", "hyp")), ["model"])
+    n = score.substitution_pairs(align.align_ops(B.pairs(spark, sf_dir).select("model", "ref", "hyp")), ["model"])
     return score.top_k(n, ["model"], [F.desc("n"), F.asc("ref_word"), F.asc("hyp_word")], 50)
 
 
 _W = "CASE WHEN words > 0 THEN errors / words ELSE 'inf'::DOUBLE END"
 
 
-@_q(f"WITH {B.EDITS}, h AS (SELECT doc_id, max({_W}) FILTER (model = 'dense') AS dense, max({_W}) FILTER (model = 'moe') AS moe, max({_W}) FILTER (model = 'moe_lb') AS moe_lb FROM edits WHERE words > 0 GROUP BY 1), b AS (SELECT *, CASE WHEN dense < least(moe, moe_lb) THEN 'dense_wins' WHEN least(moe, moe_lb) < dense THEN 'moe_wins' ELSE 'tie_dense_moe' END AS bucket FROM h) SELECT bucket, count(*) AS n, round(avg(dense), 6) AS mean_dense, round(avg(moe), 6) AS mean_moe, round(avg(moe_lb), 6) AS mean_moe_lb FROM b GROUP BY 1")
+@_q(f"WITH {B.EDITS}, h AS (SELECT doc_id, seg, max({_W}) FILTER (model = 'dense') AS dense, max({_W}) FILTER (model = 'moe') AS moe, max({_W}) FILTER (model = 'moe_lb') AS moe_lb FROM edits WHERE words > 0 GROUP BY 1, 2), b AS (SELECT *, CASE WHEN dense < least(moe, moe_lb) THEN 'dense_wins' WHEN least(moe, moe_lb) < dense THEN 'moe_wins' ELSE 'tie_dense_moe' END AS bucket FROM h) SELECT bucket, count(*) AS n, round(avg(dense), 6) AS mean_dense, round(avg(moe), 6) AS mean_moe, round(avg(moe_lb), 6) AS mean_moe_lb FROM b GROUP BY 1")
 def win_bucket(spark, sf_dir):  # J3, G10
     models = list(B.MODELS)
-    h = score.head_to_head(B.edits(spark, sf_dir).where("words > 0"), models, "doc_id")
+    h = score.head_to_head(B.edits(spark, sf_dir).where("words > 0").withColumn("utterance", F.struct("doc_id", "seg")), models, "utterance")
     out = score.win_counts(score.win_bucket(h, "dense", ["moe", "moe_lb"]), models)
     return out.select("bucket", "n", *[r6(f"mean_{m}") for m in models])
 
@@ -218,7 +249,7 @@ def accuracy_pivot(spark, sf_dir):  # G13
 _LIST = ["the", "ing", "and", "tha", "ere"]
 
 
-@_q(f"WITH {_FIRST} SELECT word, {', '.join(f'''count(*) FILTER (pred = '{w}') AS {w}''' for w in _LIST)}, count(*) FILTER (pred NOT IN ({', '.join(repr(w) for w in _LIST)})) AS other FROM can WHERE word IN ({', '.join(repr(w) for w in _LIST)}) GROUP BY 1")
+@_q(f"WITH {_FIRST}, l(word) AS (VALUES {', '.join(f"('{w}')" for w in _LIST)}), c AS (SELECT word, pred, count(*) AS n FROM can WHERE word IN (SELECT word FROM l) GROUP BY 1, 2 UNION ALL SELECT a.word, b.word, 0 FROM l a, l b) SELECT word, pred, sum(n)::BIGINT AS n FROM c GROUP BY 1, 2")
 def confusion_matrix(spark, sf_dir):  # G14
     c = score.word_confusion(_first_two(spark, sf_dir), B.dictionary(spark, sf_dir), [])
     return score.confusion_matrix(c, _LIST)
@@ -229,7 +260,7 @@ def value_counts(spark, sf_dir):  # G22
     return score.value_counts(B.utterances(spark, sf_dir), ["age_group", "language"])
 
 
-@_q(f"WITH {B.UTT}, w AS (SELECT *, len({B.words_sql(B.basic_sql('text'))}) AS words FROM utt) SELECT language, count(*) AS utterances, count(*) FILTER (length(trim(text)) > 0) AS non_blank, sum(words)::BIGINT AS words, count(DISTINCT speaker) AS speakers, CASE WHEN count(DISTINCT speaker) = count(*) THEN 'utterance-level' WHEN count(DISTINCT speaker) < 10 THEN 'speaker-level (few speakers)' ELSE 'speaker-level' END AS level FROM w GROUP BY 1")
+@_q(f"WITH {B.UTT}, w AS (SELECT *, len({B.words_sql(B.basic_sql('text'))}) AS words FROM utt) SELECT language, count(*) AS utterances, count(*) FILTER (length(trim(text)) > 0) AS non_blank, count(*) FILTER (length(trim(text)) > 0 AND words = 0) AS empty_after_norm, sum(words)::BIGINT AS words, count(DISTINCT speaker) AS speakers, CASE WHEN count(DISTINCT speaker) = count(*) THEN 'utterance-level' WHEN count(DISTINCT speaker) < 10 THEN 'speaker-level (few speakers)' ELSE 'speaker-level' END AS level FROM w GROUP BY 1")
 def set_profile(spark, sf_dir):  # G26
     return score.set_profile(B.utterances(spark, sf_dir).withColumn("words", T.n_words(T.norm_basic(F.col("text")))), "language")
 
@@ -239,9 +270,9 @@ def length_scatter(spark, sf_dir):  # G27
     return score.length_scatter(B.edits(spark, sf_dir))
 
 
-@_q(f"WITH {B.EDITS} SELECT doc_id, max(words) AS words_a, max(errors) FILTER (model = 'dense') AS errors_a, max(words) AS words_b, max(errors) FILTER (model = 'moe') AS errors_b FROM edits WHERE model IN ('dense', 'moe') GROUP BY 1")
+@_q(f"WITH {B.EDITS} SELECT doc_id, seg, max(words) AS words_a, max(errors) FILTER (model = 'dense') AS errors_a, max(words) AS words_b, max(errors) FILTER (model = 'moe') AS errors_b FROM edits WHERE model IN ('dense', 'moe') GROUP BY 1, 2")
 def align_models(spark, sf_dir):  # J2
-    return score.align_models(B.edits(spark, sf_dir), "dense", "moe", ["doc_id"])
+    return score.align_models(B.edits(spark, sf_dir), "dense", "moe", ["doc_id", "seg"])
 
 
 @_q("WITH l(model_a, model_b) AS (VALUES ('moe', 'dense'), ('moe_lb', 'moe'), ('moe', 'absent')), s AS (SELECT DISTINCT lang AS test_set FROM documents) SELECT model_a, model_b, test_set FROM l, s WHERE model_b <> 'absent'")
@@ -252,7 +283,7 @@ def comparison_product(spark, sf_dir):  # J5
 
 # --- inference
 _PAIRS = [("moe", "dense"), ("moe_lb", "moe")]
-REPLICATES = 2_000
+REPLICATES = 10_000
 
 
 def _units(spark, sf_dir, a="moe", b="dense", where="true"):
@@ -260,7 +291,7 @@ def _units(spark, sf_dir, a="moe", b="dense", where="true"):
 
 
 def _units_sql(name: str, a: str = "moe", b: str = "dense", where: str = "true") -> str:
-    return f"{name} AS (SELECT language, speaker, sum(errors) FILTER (model = '{a}') AS ea, sum(errors) FILTER (model = '{b}') AS eb, sum(words) FILTER (model = '{a}') AS w, row_number() OVER (PARTITION BY language ORDER BY speaker) - 1 AS ix, count(*) OVER (PARTITION BY language) AS n FROM edits WHERE model IN ('{a}', '{b}') AND {where} GROUP BY 1, 2)"
+    return f"{name} AS (SELECT language, speaker, sum(errors) FILTER (model = '{a}') AS ea, sum(errors) FILTER (model = '{b}') AS eb, sum(words) FILTER (model = '{a}') AS w, row_number() OVER (PARTITION BY language ORDER BY ('0x' || substr(md5('0:' || speaker), 1, 13))::BIGINT, speaker) - 1 AS ix, count(*) OVER (PARTITION BY language) AS n FROM edits WHERE model IN ('{a}', '{b}') AND {where} GROUP BY 1, 2)"
 
 
 def _boot_sql(name: str, units: str, seed: int) -> str:
@@ -329,12 +360,31 @@ def decide(spark, sf_dir):  # R9
     return _decided(spark, sf_dir).select("language", r6("p_adj"), "significant", "decision")
 
 
-@_q()
+def _even(x: str, digits: int) -> str:
+    """SQL that rounds half to even and writes so many digits."""
+    return f"round_even({x}, {digits})"
+
+
+_SENTENCE = f"'[' || language || '] moe achieved ' || printf('%.2f', {_even('wer_a', 2)}) || '% WER and dense achieved ' || printf('%.2f', {_even('wer_b', 2)}) || '% WER. The difference was ' || printf('%+.3f', {_even('wer_a - wer_b', 3)}) || ' pp (95% CI [' || printf('%.3f', {_even('ci_low', 3)}) || ', ' || printf('%.3f', {_even('ci_high', 3)}) || '], BH-adjusted p = ' || printf('%.4f', {_even('p_adj', 4)}) || '). '"
+_PAIRED = f"'[' || language || ' all] moe ' || printf('%.2f', {_even('wer_a', 2)}) || '% vs dense ' || printf('%.2f', {_even('wer_b', 2)}) || '%. Diff = ' || printf('%+.3f', {_even('wer_a - wer_b', 3)}) || ' pp (95% CI [' || printf('%.3f', {_even('ci_low', 3)}) || ', ' || printf('%.3f', {_even('ci_high', 3)}) || '], BH-adj p = ' || printf('%.4f', {_even('p_adj', 4)}) || '). '"
+
+
+def _verdict_sql(v: dict[str, str]) -> str:
+    return f"CASE WHEN p_adj <= 0.05 AND ci_high < 0 THEN '{v['lower']}' WHEN p_adj <= 0.05 AND ci_low > 0 THEN '{v['higher']}' ELSE '{v['none']}' END"
+
+
+@_q(f"{_DECIDED} SELECT language AS test_id, {_SENTENCE} || {_verdict_sql(stats.VERDICTS)} AS summary FROM f")
 def decision_sentences(spark, sf_dir):  # R9
     t = _decided(spark, sf_dir).withColumns({"test_id": F.col("language"), "model_a": F.lit("moe"), "model_b": F.lit("dense")})
     return stats.sentence(t).select("test_id", "summary")
 
 
+@_q(f"{_DECIDED} SELECT language, {_PAIRED} || {_verdict_sql(stats.PAIRED_VERDICTS)} AS summary FROM f")
+def paired_sentences(spark, sf_dir):  # R9: the verdicts of paired tests over several languages
+    t = stats.decide(_decided(spark, sf_dir), stats.PAIRED_VERDICTS).withColumns({"age_group": F.lit("all"), "model_a": F.lit("moe"), "model_b": F.lit("dense")})
+    return stats.paired_sentence(t).select("language", "summary")
+
+
 @_q(f"{_GAP}, k AS (SELECT *, row_number() OVER (ORDER BY p, language) AS rn, count(*) OVER () AS n FROM t), f AS (SELECT *, least(1, min(p * n / rn) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)) <= 0.05 AS sig FROM k) SELECT 'moe' AS pair, round(avg(gap_delta), 6) AS mean_gap, round(min(gap_delta), 6) AS min_gap, round(max(gap_delta), 6) AS max_gap, count(DISTINCT language) AS languages, count(*) FILTER (sig AND ci_high < 0) AS reductions, count(*) FILTER (sig AND ci_low > 0) AS increases FROM f")
 def gap_summary(spark, sf_dir):  # R9, G24
     t = stats.fdr_over_family(_gap(spark, sf_dir).withColumn("pair", F.lit("moe")), ["pair"], ["language"])
@@ -413,10 +463,13 @@ def language_pairs(spark, sf_dir):  # J6, G25
     return routing.pair_mean_peak(routing.language_pairs(adult, ["layer_idx"])).select("lang_a", "lang_b", r6("mean_jsd"), r6("peak_jsd"))
 
 
-@_q(f"WITH {B.ROUTING}, s AS (SELECT layer_idx, dataset_source, expert, sum(p * duration_sec) AS s FROM long GROUP BY ALL), dist AS (SELECT * EXCLUDE (s), s / sum(s) OVER (PARTITION BY layer_idx, dataset_source) AS p FROM s) SELECT a.layer_idx, round(sum({_TERM.format('a.p', 'b.p')}), 6) AS jsd FROM dist a JOIN dist b USING (layer_idx, expert) WHERE a.dataset_source = 'set1' AND b.dataset_source = 'set2' GROUP BY 1")
+_DOMAINS = [("set1", "set2"), ("set1", "set3"), ("set2", "set3")]
+
+
+@_q(f"WITH {B.ROUTING}, s AS (SELECT layer_idx, dataset_source, expert, sum(p * duration_sec) AS s FROM long GROUP BY ALL), dist AS (SELECT * EXCLUDE (s), s / sum(s) OVER (PARTITION BY layer_idx, dataset_source) AS p FROM s), l(pair_a, pair_b) AS (VALUES {', '.join(map(str, _DOMAINS))}) SELECT a.layer_idx, pair_a, pair_b, round(sum({_TERM.format('a.p', 'b.p')}), 6) AS jsd FROM l JOIN dist a ON a.dataset_source = pair_a JOIN dist b ON b.dataset_source = pair_b AND a.layer_idx = b.layer_idx AND a.expert = b.expert GROUP BY ALL")
 def domain_pairs(spark, sf_dir):  # J8
     d = routing.weighted_distribution(B.routing_table(spark, sf_dir), ["layer_idx", "dataset_source"])
-    return routing.jsd_between(d, ["layer_idx"], "dataset_source", "set1", "set2").select("layer_idx", r6("jsd"))
+    return routing.named_pairs(d, ["layer_idx"], "dataset_source", spark.createDataFrame(_DOMAINS, "pair_a string, pair_b string")).select("layer_idx", "pair_a", "pair_b", r6("jsd"))
 
 
 @_q(f"{_DELTA} SELECT model, language, layer_idx, expert, round(delta, 6) AS delta FROM delta")
@@ -457,18 +510,29 @@ def child_preferred_sets(spark, sf_dir):  # U4
     return routing.child_preferred_sets(_delta(spark, sf_dir), ["layer_idx", "language"]).select("layer_idx", "language", F.array_join(F.transform("experts", lambda x: x.cast("string")), ",").alias("experts"))
 
 
-_JB = 100
-#: The reference's number for rows; no SQL restates that query.
-_JB_ROWS = 1_000
-_JSDBOOT = f"""{_DELTA}, ids AS (SELECT DISTINCT model, language, age_group, utterance_id FROM routing), ix AS (SELECT *, row_number() OVER (PARTITION BY model, language, age_group ORDER BY utterance_id) - 1 AS ix, count(*) OVER (PARTITION BY model, language, age_group) AS n FROM ids),
-dr AS (SELECT model, language, age_group, replicate, ('0x' || substr(md5('777:' || model || ':' || language || ':' || age_group || ':' || replicate || ':' || slot), 1, 8))::BIGINT % n AS ix FROM (SELECT model, language, age_group, max(n) AS n FROM ix GROUP BY ALL), (SELECT unnest(range({_JB})) AS replicate), LATERAL (SELECT unnest(range(n)) AS slot)),
-mu AS (SELECT model, language, age_group, replicate, ix, count(*) AS m FROM dr GROUP BY ALL), bs AS (SELECT l.model, l.language, l.age_group, l.layer_idx, replicate, expert, sum(p * duration_sec * m) AS s FROM mu JOIN ix USING (model, language, age_group, ix) JOIN long l USING (model, language, age_group, utterance_id) GROUP BY ALL),
-bd AS (SELECT *, s / sum(s) OVER (PARTITION BY model, language, age_group, layer_idx, replicate) AS q FROM bs), bj AS (SELECT a.model, a.language, a.layer_idx, a.replicate, sum({_TERM.format('a.q', 'c.q')}) AS jsd FROM bd a JOIN bd c USING (model, language, layer_idx, replicate, expert) WHERE a.age_group = 'adult' AND c.age_group = 'child' GROUP BY ALL),
-ci AS (SELECT model, language, layer_idx, quantile_cont(jsd, 0.025) AS ci_low, quantile_cont(jsd, 0.975) AS ci_high FROM bj GROUP BY ALL)"""
+#: The replicates of the utterance and of the row bootstrap.
+_JB, _JB_ROWS = 500, 1_000
+
+
+def _jsd_boot_sql(keys: str, unit: str, rows: str, replicates: int) -> str:
+    """Replicates of the divergence: rows is a table of expert weights, unit the columns that are drawn together."""
+    group = f"{keys}, age_group"
+    name = " || '/' || ".join(unit.split(", "))
+    seeds = " || ':' || ".join(group.split(", "))
+    return f"""ids AS (SELECT DISTINCT {group}, {unit} FROM {rows}), ix AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY ('0x' || substr(md5('0:' || {name}), 1, 13))::BIGINT, {name}) - 1 AS ix, count(*) OVER (PARTITION BY {group}) AS n FROM ids),
+dr AS (SELECT {group}, replicate, ('0x' || substr(md5('777:' || {seeds} || ':' || replicate || ':' || slot), 1, 8))::BIGINT % n AS ix FROM (SELECT {group}, max(n) AS n FROM ix GROUP BY ALL), (SELECT unnest(range({replicates})) AS replicate), LATERAL (SELECT unnest(range(n)) AS slot)),
+mu AS (SELECT {group}, replicate, ix, count(*) AS m FROM dr GROUP BY ALL), bs AS (SELECT {', '.join(f'l.{k}' for k in group.split(', '))}, l.layer_idx, replicate, expert, sum(p * duration_sec * m) AS s FROM mu JOIN ix USING ({group}, ix) JOIN {rows} l USING ({group}, {unit}) GROUP BY ALL),
+bd AS (SELECT *, s / sum(s) OVER (PARTITION BY {group}, layer_idx, replicate) AS q FROM bs), bj AS (SELECT {', '.join(f'a.{k}' for k in keys.split(', '))}, a.layer_idx, a.replicate, sum({_TERM.format('a.q', 'c.q')}) AS jsd FROM bd a JOIN bd c USING ({keys}, layer_idx, replicate, expert) WHERE a.age_group = 'adult' AND c.age_group = 'child' GROUP BY ALL),
+ci AS (SELECT {keys}, layer_idx, quantile_cont(jsd, 0.025) AS ci_low, quantile_cont(jsd, 0.975) AS ci_high FROM bj GROUP BY ALL)"""
+
+
+_JSDBOOT = f"{_DELTA}, {_jsd_boot_sql('model, language', 'utterance_id', 'long', _JB)}"
+_MATCHED = f"WITH {B.ROUTING}, r AS (SELECT *, ('0x' || substr(md5('1:' || utterance_id || '/' || layer_idx), 1, 13))::BIGINT AS o FROM routing), t AS (SELECT min(s) AS target FROM (SELECT sum(duration_sec) AS s FROM routing GROUP BY age_group)), c AS (SELECT *, coalesce(sum(duration_sec) OVER (PARTITION BY age_group ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)"
 
 
 def _ci(spark, sf_dir):
-    return routing.ci_table(routing.jsd_bootstrap(B.routing_table(spark, sf_dir), ["model", "language"], _JB).where("jsd is not null"), ["model", "language", "layer_idx"])
+    boot = routing.jsd_bootstrap(B.routing_table(spark, sf_dir), ["model", "language"], _JB, experts=B.EXPERTS)
+    return routing.ci_table(boot.where("jsd is not null"), ["model", "language", "layer_idx"])
 
 
 @_q(f"{_JSDBOOT} SELECT model, language, layer_idx, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
@@ -476,10 +540,11 @@ def jsd_bootstrap(spark, sf_dir):  # R5, R7
     return _ci(spark, sf_dir).select("model", "language", "layer_idx", r6("ci_low"), r6("ci_high"))
 
 
-@_q()
+@_q(f"{_MATCHED}, pool AS (SELECT model, age_group, utterance_id, layer_idx, duration_sec, unnest(range(8))::INT AS expert, unnest(probs) AS p FROM c, t WHERE before < target), {_jsd_boot_sql('model', 'utterance_id, layer_idx', 'pool', _JB_ROWS)} SELECT model, layer_idx, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
 def jsd_bootstrap_rows(spark, sf_dir):  # R6, W2
     matched = routing.duration_match(B.routing_table(spark, sf_dir), ["model"])
-    return routing.ci_table(routing.jsd_bootstrap(matched, ["model"], _JB_ROWS, unit="row"), ["model", "layer_idx"]).select("model", "layer_idx", r6("ci_low"), r6("ci_high"))
+    boot = routing.jsd_bootstrap(matched, ["model"], _JB_ROWS, unit="row", experts=B.EXPERTS)
+    return routing.ci_table(boot.where("jsd is not null"), ["model", "layer_idx"]).select("model", "layer_idx", r6("ci_low"), r6("ci_high"))
 
 
 @_q(f"{_JSDBOOT}, pk AS (SELECT model, language, arg_max(layer_idx, jsd) AS peak_layer, max(jsd) AS peak_value FROM curve GROUP BY 1, 2), pe AS (SELECT d.model, d.language, arg_max(expert, delta) AS child_expert, max(delta) AS child_delta, arg_min(expert, delta) AS adult_expert, min(delta) AS adult_delta FROM delta d JOIN pk ON d.model = pk.model AND d.language = pk.language AND d.layer_idx = peak_layer GROUP BY 1, 2) SELECT pk.model, pk.language, peak_layer, round(peak_value, 6) AS peak_value, child_expert, round(child_delta, 6) AS child_delta, adult_expert, round(adult_delta, 6) AS adult_delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, (SELECT count(*) FROM ci x WHERE x.model = pk.model AND x.language = pk.language AND x.ci_low > 0) AS layers_above_zero FROM pk JOIN pe USING (model, language) JOIN ci ON ci.model = pk.model AND ci.language = pk.language AND ci.layer_idx = peak_layer")
@@ -514,14 +579,15 @@ def duration_match(spark, sf_dir):  # W2
     return routing.duration_match(B.routing_table(spark, sf_dir), ["model"]).groupBy("age_group").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_sec").alias("total"))
 
 
-@_q(f"WITH {B.ROUTING} SELECT language, age_group, count(*) AS utterances, round(sum(duration_sec) / 3600, 6) AS hours, array_to_string(list_sort(list_distinct(list(dataset_source))), ',') AS datasets FROM routing WHERE layer_idx = 0 GROUP BY 1, 2")
+@_q(f"WITH {B.ROUTING} SELECT language, age_group, count(*) AS utterances, round(sum(duration_sec) / 3600, 6) AS hours, any_value(layers) AS layers, any_value(groups) AS groups, array_to_string(list_sort(list_distinct(list(dataset_source))), ',') AS datasets FROM routing JOIN (SELECT language, age_group, count(DISTINCT layer_idx) AS layers, min(age_group) AS groups FROM routing GROUP BY 1, 2) USING (language, age_group) WHERE layer_idx = 0 GROUP BY 1, 2")
 def group_coverage(spark, sf_dir):  # G21
-    return routing.group_coverage(B.routing_table(spark, sf_dir), ["language", "age_group"]).select("language", "age_group", "utterances", r6("hours"), F.array_join("datasets", ",").alias("datasets"))
+    return routing.group_coverage(B.routing_table(spark, sf_dir), ["language", "age_group"]).select("language", "age_group", "utterances", r6("hours"), F.size("layers").cast("long").alias("layers"), F.array_join("groups", ",").alias("groups"), F.array_join("datasets", ",").alias("datasets"))
 
 
-@_q(f"WITH {B.ROUTING} SELECT model, count(*) AS n, round(avg(list_sum(probs)), 6) AS mean_sum, round(min(list_min(probs)), 6) AS min_p, round(max(list_max(probs)), 6) AS max_p, count(*) FILTER (list_sum(probs) NOT BETWEEN 0.999 AND 1.001) AS bad FROM routing GROUP BY 1")
+@_q(f"WITH {B.ROUTING}, s AS (SELECT *, round(list_sum(probs), 9) AS s FROM routing) SELECT model, count(*) AS n, round(avg(s), 6) AS mean_sum, round(stddev(s), 6) AS std_sum, round(min(s), 6) AS min_sum, {', '.join(f'round(quantile_cont(s, {q / 4}), 6) AS q{q}_sum' for q in (1, 2, 3))}, round(max(s), 6) AS max_sum, round(min(list_min(probs)), 6) AS min_p, round(max(list_max(probs)), 6) AS max_p, count(*) FILTER (s NOT BETWEEN 0.999 AND 1.001) AS bad FROM s GROUP BY 1")
 def prob_sanity(spark, sf_dir):  # G23
-    return routing.prob_sanity(B.routing_table(spark, sf_dir), ["model"]).select("model", "n", r6("mean_sum"), r6("min_p"), r6("max_p"), "bad")
+    out = routing.prob_sanity(B.routing_table(spark, sf_dir), ["model"])
+    return out.select("model", "n", *[r6(c) for c in ("mean_sum", "std_sum", "min_sum", "q1_sum", "q2_sum", "q3_sum", "max_sum", "min_p", "max_p")], "bad")
 
 
 @_q("SELECT conv_id, turn, role FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n = 4")
@@ -552,6 +618,12 @@ def clean_manifest(spark, sf_dir):  # P1, P6, P8, C1, C2
     return kept.select("audio_filepath", "duration", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@_q(f"WITH {B.UTT} SELECT doc_id FROM utt WHERE trim(text) <> '' AND duration >= 0.5 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0")
+def filter_utterances(spark, sf_dir):  # C2: every seventh recording is clipped, every eleventh no speech
+    u = B.utterances(spark, sf_dir).withColumns({"clipped": F.col("doc_id") % 7 == 0, "non_speech": F.when(F.col("doc_id") % 11 == 0, True)})
+    return corpus.filter_utterances(u, 0.5, ("clipped", "non_speech")).select("doc_id")
+
+
 @_q("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, 'x' AS source FROM events GROUP BY 1")
 def tag_and_duration(spark, sf_dir):  # P2, P3
     e = corpus.tag_constants(B.table(spark, sf_dir, "events").withColumn("duration", F.col("value").cast("string")), source="x")
@@ -577,9 +649,9 @@ def skip_missing_entries(spark, sf_dir):  # P9
     return corpus.skip_missing_entries(B.table(spark, sf_dir, "documents"), B.table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
-@_q(f"WITH {B.EDITS} SELECT doc_id FROM edits WHERE model = 'moe_lb' AND errors <= 0.25 * words")
+@_q(f"WITH {B.EDITS} SELECT doc_id, seg FROM edits WHERE model = 'moe_lb' AND errors <= 0.25 * words")
 def oracle_wer_filter(spark, sf_dir):  # C3
-    return corpus.oracle_wer_filter(B.pairs(spark, sf_dir).where("model = 'moe_lb'"), "ref", "hyp", 0.25).select("doc_id")
+    return corpus.oracle_wer_filter(B.pairs(spark, sf_dir).where("model = 'moe_lb'"), "ref", "hyp", 0.25).select("doc_id", "seg")
 
 
 @_q("WITH d AS (SELECT source AS speaker, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) SELECT speaker, (before // 20000)::BIGINT AS pack, count(*) AS clips, sum(n_chars)::DOUBLE AS duration, md5(string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id)) AS ids_md5 FROM d GROUP BY 1, 2")
@@ -690,19 +762,19 @@ def read_multi_manifest(spark, sf_dir):  # S3, U1, P2
 
 
 @_q(f"WITH {B.PAIRS} SELECT model, language AS test_set, audio_filepath, md5(coalesce(array_to_string(hw, ' '), '')) AS hyp_md5 FROM pairs")
-def read_hypotheses(spark, sf_dir):  # K3
+def read_hypotheses(spark, sf_dir):  # S4, K3
     path = scratch(spark, "hyps")
-    p = B.pairs(spark, sf_dir).select("model", F.col("language").alias("test_set"), "audio_filepath", "hyp")
-    io.write_table(p, path, ["model", "test_set"])
-    return spark.read.parquet(path).select("model", "test_set", "audio_filepath", F.md5(F.col("hyp").cast("binary")).alias("hyp_md5"))
+    io.write_hypotheses(B.pairs(spark, sf_dir).select("model", F.col("language").alias("test_set"), "audio_filepath", "hyp"), path)
+    return io.read_hypotheses(spark, path).select("model", "test_set", "audio_filepath", F.md5(F.col("hyp").cast("binary")).alias("hyp_md5"))
 
 
-@_q(f"WITH {B.EDITS} SELECT model, count(*) AS n, sum(errors)::BIGINT AS errors FROM edits GROUP BY 1")
-def read_edits(spark, sf_dir):  # S5, K2
+@_q(f"{_SDI} SELECT model, count(*) AS n, sum(substitutions)::BIGINT AS substitutions, sum(deletions)::BIGINT AS deletions, sum(insertions)::BIGINT AS insertions, sum(substitutions + deletions + insertions)::BIGINT AS errors FROM sdi GROUP BY 1")
+def read_edits(spark, sf_dir):  # S5, K2: stored once, a second write leaves it
     path = scratch(spark, "edits")
-    e = B.edits(spark, sf_dir).withColumns({"audio_filepath": F.col("doc_id").cast("string"), "substitutions": F.col("errors"), "deletions": F.lit(0), "insertions": F.lit(0)})
-    io.write_table(e, path, ["model"])
-    return io.read_edits(spark, path).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"))
+    e = align.align_sdi(B.pairs(spark, sf_dir)).drop("rw", "hw")
+    io.write_table(e, path, ["model"], keep=True)
+    io.write_table(e.where("false"), path, ["model"], keep=True)
+    return io.read_edits(spark, path).groupBy("model").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("substitutions", "deletions", "insertions", "errors")])
 
 
 @_q(f"WITH {B.ROUTING} SELECT utterance_id::VARCHAR AS utterance_id, layer_idx, round(probs[1], 6) AS p0, round(probs[8], 6) AS p7 FROM routing")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: The columns of manifests, edit tables and routing tables.
 MANIFEST = "audio_filepath string, duration double, duration_sec double, text string, speaker string, speaker_id string, spk_id string, client_id string, speaker_id_original string"
 EDIT_COLUMNS = {"audio_filepath", "speaker", "words", "substitutions", "deletions", "insertions", "errors"}
 ROUTING_COLUMNS = {"utterance_id", "age_group", "layer_idx", "duration_sec"}
@@ -46,9 +47,9 @@ def read_multi_manifest(spark: SparkSession, tagged: list[tuple[str, dict[str, s
 
 
 def read_hypotheses(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files hyp__MODEL__SET.json, each one JSON map of path to text, as rows (model, test_set, audio_filepath, hyp)."""
-    raw = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_name").alias("f"))
-    name = lambda k: F.regexp_extract("f", r"^hyp__(.+)__(.+)\.json$", k)
+    """hyp__MODEL__SET.json, each one JSON map of path to text or a folder of such maps, as rows (model, test_set, audio_filepath, hyp)."""
+    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("f"))
+    name = lambda k: F.regexp_extract("f", r"hyp__([^/]+)__([^/]+)\.json(?:/[^/]*)?$", k)
     return raw.select(name(1).alias("model"), name(2).alias("test_set"), F.explode(F.from_json("value", "map<string,string>")).alias("audio_filepath", "hyp"))
 
 
@@ -88,6 +89,19 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.option("header", True).csv(path) if kind == "csv" else w.parquet(path)
 
 
+#: Hypotheses of one JSON map; a set of more of them is written as several.
+MAP_ROWS = 20_000
+
+
+def write_hypotheses(hyps: DataFrame, path: str) -> None:
+    """K3: (model, test_set, audio_filepath, hyp) as folders hyp__MODEL__SET.json of JSON maps, none of them larger than about MAP_ROWS."""
+    sizes = hyps.groupBy("model", "test_set").agg(F.ceil(F.count(F.lit(1)) / MAP_ROWS).alias("_n"))
+    dealt = hyps.join(sizes, ["model", "test_set"]).withColumn("_part", F.pmod(F.xxhash64("audio_filepath"), F.col("_n")))
+    maps = dealt.groupBy("model", "test_set", "_part").agg(F.map_from_entries(F.collect_list(F.struct("audio_filepath", F.coalesce("hyp", F.lit(""))))).alias("m"))
+    named = maps.select(F.concat(F.lit("hyp__"), "model", F.lit("__"), "test_set", F.lit(".json")).alias("file"), F.to_json("m").alias("value"))
+    named.write.partitionBy("file").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+
+
 def error_rows(models: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:
     """K5: every model of the registry; those without results carry null metrics and their error."""
     return models.join(results, "model", "left").join(errors.select("model", "error"), "model", "left")
