@@ -1,40 +1,57 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-Tokens are words and one end per text; the end is the empty word. A token is spelled in bytes between boundaries, and
-the tree predicts each byte, and the closing boundary, from up to `DEPTH` bytes before it, back to the token's opening
-boundary. Every context seen is a candidate; it is kept when its count times the divergence of its next-symbol
-distribution from its parent's reaches `DIVERGENCE`, or when a kept context ends in it. So the tree grows with the
-corpus; it is counted, tested and smoothed by joins, and stored. Distributions are smoothed towards the parent
-(Witten-Bell), the root towards all bytes alike. A symbol is scored in its longest kept suffix. The product over a
-token's bytes is its spelling probability, towards which the token's own count is smoothed, again by Witten-Bell:
-(c + V * spelling) / (N + V), with N training tokens of V kinds. A small stored tree is broadcast, a larger one joined.
-
-The texts become blocks of bounded size: distinct words once, and the texts as codes into them. Only words travel for
-counting; a word's count and log-probability return to the blocks that hold it, where the texts are summed.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+Symbols are the words and one end per text; a start stands before each text. The contexts are the runs of one to `depth`
+symbols before a symbol. A context is kept when it occurs `least` times or more in training and its next symbols diverge
+from those of its parent, the context without the farthest word: sum of c(sx) log [c(sx)/c(s) : c(s'x)/c(s')] of
+`divergence` or more. So the tree grows with the corpus. A symbol is scored in its longest kept suffix,
+(c(sx) + K(s) P(x)) / (c(s) + K(s)), where P is the score in the next shorter kept suffix and K the number of kinds that
+follow s (Witten-Bell). At the root a known symbol has c/(N+V); all unknown words are one symbol with V/(N+V).
+
+Counts are gathered and given back by exchanges of sums. The texts become blocks of bounded size, stored in buckets and
+never shuffled. A block asks for each of its distinct runs once, with its own count; the runs are dealt by hash, summed,
+and the sums return to the block, which alone knows its texts. A run of k symbols is asked for only where the run before
+its last symbol may be a context. What the tests need are sums over occurrences too: the gain is that of
+log c(sx)/c(s) - log c(s'x)/c(s'), and K(s) that of 1/c(sx). A hot word or run is one entry per block, in every exchange.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import BROADCAST_ROWS, crc_fold, save, small_or_not
+from .common import crc_fold, fresh_path, partitions, save
 
-DEPTH = 5
-#: No share of all symbols is asked of a context.
-LEAST = 0.0
-DIVERGENCE = 20.0
-BLOCK_BYTES = 6 << 20
+
+
+@dataclass(frozen=True)
+class Shape:
+    """The longest context, the least count of a context, and the divergence that keeps it, in nats."""
+
+    depth: int = 2
+    least: int = 2
+    divergence: float = 4.0
+
+
+BLOCK_BYTES = 16 << 20
+#: Tokens whose runs a task of an exchange should sum.
+BUCKET_TOKENS = 2_000_000
+#: Sums travel as integers, so that they follow no order: gains and kinds in these parts of one.
+_GAIN, _KIND = 1 << 8, 1 << 20
+_START, _END = np.uint64(0x5A17), np.uint64(0xE4D)
+_STATE = "block long, learned long, ids array<bigint>, sizes binary, held binary, codes binary, hashes binary"
+_ASK = "kind int, bucket int, block long, keys binary, sums binary"
+_TOLD = "kind int, bucket int, block long, sums binary, kinds long"
 
 
 def make_blocks(docs: DataFrame, key: str, text: str, folds: int, held_out: int) -> DataFrame:
-    """One row per block: its texts as ids, lengths and word codes; its distinct words and their counts in training texts."""
+    """One row per block: ids, lengths in words and folds of its texts, the code of each word, and the hash of each code."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -42,284 +59,218 @@ def make_blocks(docs: DataFrame, key: str, text: str, folds: int, held_out: int)
             for batch in bytescan.slices(whole, "text", BLOCK_BYTES):
                 at = batch.schema.get_field_index
                 w = bytescan.scan(batch.column(at("text")), bytescan.space_words())
-                _, where, code = np.unique(w.hash, return_index=True, return_inverse=True)
-                blob = w.data.tobytes()
-                words = [blob[a:b] for a, b in zip(w.start[where].tolist(), w.end[where].tolist())]
-                learn = np.asarray(batch.column(at("fold"))) != held_out
+                hashes, code = np.unique(w.hash, return_inverse=True)
+                held = np.asarray(batch.column(at("fold"))) == held_out
                 size = np.diff(w.first)
-                n = np.bincount(code, weights=np.repeat(learn, size), minlength=len(words)).astype(np.int64)
-                row = [number, batch.column(at("doc_id")).to_pylist(), size.astype("<i8").tobytes(), (~learn).astype(np.int8).tobytes(), code.astype("<u4").tobytes(), words, n.tolist()]
+                row = [number, int((size + 1)[~held].sum()), batch.column(at("doc_id")).to_pylist(), size.astype("<i8").tobytes(), held.astype(np.int8).tobytes(), code.astype("<u4").tobytes(), hashes.astype("<u8").tobytes()]
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-    schema = "block long, ids array<bigint>, sizes binary, held binary, codes binary, words array<binary>, n array<bigint>"
-    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    names = [x.split()[0] for x in _STATE.split(", ")]
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(crc_fold(F.col(key), folds), F.lit(0)).cast("int").alias("fold"))
-    return plain.mapInArrow(run, schema)
-
-
-def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols of the words between boundaries (0): for each symbol to predict its place in the bytes, how many bytes of its token stand before it, and its word."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    data = np.frombuffer(b"\0" + b"\0\0".join(words) + b"\0", np.uint8).astype(np.uint64)
-    begin = np.cumsum(size + 2) - (size + 2)
-    word = np.repeat(np.arange(len(words)), size + 1)
-    before = np.arange(len(word)) - np.repeat(np.cumsum(size + 1) - (size + 1), size + 1) + 1
-    return data, np.stack([begin[word] + before, before]), word
-
-
-def contexts(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The last bytes before each symbol, at most depth, as (depth << 40 | bytes), and the depth taken."""
-    place, before = at
-    d = np.minimum(before, depth)
-    code = np.zeros(len(place), np.uint64)
-    for k in range(1, depth + 1):
-        has = d >= k
-        code[has] |= data[place[has] - k] << np.uint64(8 * (k - 1))
-    return code | (d.astype(np.uint64) << np.uint64(40)), d
-
-
-def gram_counts(words: DataFrame) -> DataFrame:
-    """(gram, n): deepest context and next symbol, counted over words (word, c) weighted by c."""
+    return plain.mapInArrow(run, _STATE)
+
+
+def in_buckets(df: DataFrame, n_buckets: int, name: str) -> DataFrame:
+    """df written as a table in buckets of its blocks, so that groupings by block move none of its rows."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n_buckets, "block").sortBy("block").option("path", fresh_path(spark, name)).option("compression", "zstd").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+class Runs:
+    """The runs of symbols in the texts of one block. A text is its start, its words and its end, each one place."""
+
+    def __init__(self, block: pa.Table, shape: Shape):
+        self.shape = shape
+        row = {c: block.column(c)[0].as_py() for c in block.schema.names}
+        self.ids, size = row["ids"], np.frombuffer(row["sizes"], "<i8")
+        held = np.frombuffer(row["held"], np.int8) > 0
+        self.size, self.held = size, held
+        first = np.cumsum(size + 2) - (size + 2)
+        n = int((size + 2).sum())
+        symbol = np.empty(n, np.uint64)
+        inner = np.ones(n, bool)
+        inner[first] = inner[first + size + 1] = False
+        symbol[inner] = np.frombuffer(row["hashes"], "<u8")[np.frombuffer(row["codes"], "<u4")]
+        symbol[first], symbol[first + size + 1] = _START, _END
+        self.symbol, self.text = symbol, np.repeat(np.arange(len(size)), size + 2)
+        self.nth = (np.arange(n) - np.repeat(first, size + 2)).astype(np.int32)
+        self.learn = ~held[self.text]
+        self.runs: dict[int, np.ndarray] = {}
+        self.count: dict[int, np.ndarray] = {}
+
+    def run(self, k: int) -> np.ndarray:
+        """The hash of the k symbols that end at each place; of no meaning where nth is less than k - 1."""
+        if k not in self.runs:
+            if k == 1:
+                self.runs[k] = bytescan.mix(self.symbol ^ np.uint64(0x9E3779B97F4A7C15))
+            else:
+                before = np.roll(self.run(k - 1), 1)
+                self.runs[k] = bytescan.mix(before * np.uint64(0xD1342543DE82EF95) + self.symbol)
+        return self.runs[k]
+
+    def before(self, k: int) -> np.ndarray:
+        """The count of the k symbols before each place, the context; 0 where there are fewer."""
+        out = np.roll(self.count[k], 1)
+        out[self.nth < k] = 0
+        return out
+
+    def asked(self, k: int) -> np.ndarray:
+        """Places whose runs of k symbols are counted: all up to two symbols, then those after a possible context."""
+        ok = self.nth >= k - 1
+        return np.flatnonzero(ok if k <= 2 else ok & (self.before(k - 1) >= self.shape.least))
+
+    def ask(self, k: int):
+        """(keys, sums) of the distinct runs of k symbols, in the order of their keys, and which of them each asked place has."""
+        at = self.asked(k)
+        keys, which = np.unique(self.run(k)[at], return_inverse=True)
+        return keys, np.bincount(which, weights=self.learn[at], minlength=len(keys)).astype(np.int64)[:, None], at, which
+
+    def told(self, k: int, sums: np.ndarray) -> None:
+        _, _, at, which = self.ask(k)
+        self.count[k] = np.zeros(len(self.symbol), np.int64)
+        self.count[k][at] = sums[which]
+
+    def after(self, k: int) -> np.ndarray:
+        """Places whose context of k symbols may be kept."""
+        return np.flatnonzero((self.nth >= k) & (self.before(k) >= self.shape.least))
+
+    def ask_contexts(self, k: int, total: int):
+        """(keys, sums of gain and kinds) of the distinct contexts of k symbols."""
+        at = self.after(k)
+        keys, which = np.unique(self.run(k)[at - 1], return_inverse=True)
+        own, here = self.before(k)[at], self.count[k + 1][at]
+        above = self.before(k - 1)[at] if k > 1 else np.int64(max(total, 1))
+        learn = self.learn[at]
+        some = lambda x: np.maximum(x, 1)  # noqa: E731  counts of training places are never 0
+        gain = np.where(learn, np.log(some(here) / some(own)) - np.log(some(self.count[k][at]) / some(above)), 0)
+        kind = np.where(learn, 1 / some(here), 0)
+        sums = [np.rint(np.bincount(which, weights=x, minlength=len(keys)) * part).astype(np.int64) for x, part in ((gain, _GAIN), (kind, _KIND))]
+        return keys, np.stack(sums, axis=1), at, which
+
+    def log10(self, total: int, kinds: int, kept: dict[int, np.ndarray]) -> np.ndarray:
+        """log10 probability at each place but the starts; kept has, for contexts of k symbols, K of those asked for, 0 where not kept."""
+        c, v = self.count[1], max(kinds, 1)
+        p = np.where(c > 0, c, v) / (total + v)
+        for k in range(1, self.shape.depth + 1):
+            at = self.after(k)
+            _, which = np.unique(self.run(k)[at - 1], return_inverse=True)
+            K = kept[k][which]
+            at, K = at[K > 0], K[K > 0]
+            p[at] = (self.count[k + 1][at] + K * p[at]) / (self.before(k)[at] + K)
+        return np.log10(p)
+
+
+def _packed(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, n_buckets: int) -> pa.Table:
+    """Keys in their order and their sums, column by column, as one row per bucket."""
+    bucket = ((keys >> np.uint64(32)).astype(np.int64) * n_buckets) >> 32
+    cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
+    rows = [(b, x, y) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x]
+    columns = {
+        "kind": pa.array([kind] * len(rows), pa.int32()),
+        "bucket": pa.array([b for b, *_ in rows], pa.int32()),
+        "block": pa.array([block] * len(rows), pa.int64()),
+        "keys": pa.array([keys[x:y].astype("<u8").tobytes() for _, x, y in rows], pa.binary()),
+        "sums": pa.array([sums[x:y].T.astype("<i8").tobytes() for _, x, y in rows], pa.binary()),
+    }
+    return pa.table(columns)
+
+
+def summed(asked: DataFrame, divergence: float | None = None) -> DataFrame:
+    """The exchange: what blocks ask for, summed by key and told in the order of the question.
+
+    Counts are told as they are; where a divergence is given, of contexts, the number of kinds where the gain is enough, else 0. kinds: how many
+    distinct keys of a bucket have a count, or are kept, in one row of each bucket.
+    """
 
-    def run(batches):
-        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["gram", "n"])
-
-        for batch in batches:
-            data, at, word = spell(batch.column(0).to_pylist())
-            code, _ = contexts(data, at, DEPTH)
-            gram = code << np.uint64(8) | data[at[0]]
-            weight = np.asarray(batch.column(1))[word]
-            both, back = np.unique(np.concatenate([keys, gram]), return_inverse=True)
-            sums = np.bincount(back, weights=np.concatenate([sums, weight]), minlength=len(both)).astype(np.int64)
-            keys = both
-            if len(keys) > 1_000_000:
-                yield rows()
-                keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield rows()
-
-    return words.where("c > 0").select("word", "c").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Tree:
-    """Kept contexts, sorted by depth and bytes; log10 probabilities by context and symbol class."""
-
-    keys: np.ndarray
-    symbol: np.ndarray  # byte -> column; unseen bytes share the last
-    table: np.ndarray
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its closing boundary."""
-        if not words:
-            return np.zeros(0)
-        data, at, word = spell(words)
-        state = np.zeros(len(word), np.int64)  # the root
-        for depth in range(1, DEPTH + 1):
-            code, d = contexts(data, at, depth)
-            k = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
-            ok = (self.keys[k] == code) & (d == depth)
-            state[ok] = k[ok]
-        return np.bincount(word, weights=self.table[state, self.symbol[data[at[0]].astype(np.int64)]], minlength=len(words))
-
-
-def build_tree(gram: np.ndarray, count: np.ndarray, least: float = LEAST, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of counted grams (at every depth) in memory, as fit makes it by joins."""
-    seen = np.unique(gram & np.uint64(0xFF)).astype(np.int64)
-    symbol = np.full(256, len(seen), np.int64)
-    symbol[seen] = np.arange(len(seen))
-    keys, ctx = np.unique(np.concatenate([np.zeros(1, np.uint64), gram >> np.uint64(8)]), return_inverse=True)
-    ctx = ctx[1:]
-    n = np.zeros((len(keys), len(seen) + 1))
-    n[ctx, symbol[(gram & np.uint64(0xFF)).astype(np.int64)]] = count
-    depth = (keys >> np.uint64(40)).astype(np.int64)
-    body = keys & np.uint64((1 << 40) - 1)
-    up = np.zeros(len(keys), np.int64)  # the parent lacks the byte farthest back
-    for d in range(1, DEPTH + 1):
-        mine = np.flatnonzero(depth == d)
-        above = (body[mine] & np.uint64((1 << 8 * (d - 1)) - 1)) | np.uint64(d - 1) << np.uint64(40)
-        up[mine] = np.searchsorted(keys, above)
-    total = n.sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        own, parent = n / total, (n / total)[up]
-        gain = np.where(n > 0, n * np.log(own / parent), 0).sum(axis=1)
-    keep = (gain >= divergence) | (depth == 0)
-    for d in range(DEPTH, 1, -1):
-        keep[up[np.flatnonzero(keep & (depth == d))]] = True
-    kinds = (n > 0).sum(axis=1, keepdims=True)
-    p = np.empty_like(n)
-    p[0] = (n[0] + max(1, kinds[0, 0]) / 256) / (total[0] + max(1, kinds[0, 0]))
-    for d in range(1, DEPTH + 1):
-        mine = np.flatnonzero((depth == d) & keep)
-        p[mine] = (n[mine] + kinds[mine] * p[up[mine]]) / (total[mine] + kinds[mine])
-    return Tree(keys[keep], symbol, np.log10(p[keep]).astype(np.float32))
-
-
-@dataclass
-class Stored:
-    """A stored tree: nodes (gram, ctx, logp, loglam), one per kept context and symbol seen in it, and the root's log10 of any other."""
-
-    nodes: DataFrame
-    unseen: float
-
-    def local(self) -> Lookup:
-        """The same in memory, for a tree that was counted to be small."""
-        rows = self.nodes.toArrow()
-        gram, ctx = (np.asarray(rows.column(c)).astype(np.int64) for c in ("gram", "ctx"))
-        order = np.argsort(gram)
-        kept, first = np.unique(ctx, return_index=True)
-        return Lookup(gram[order], np.asarray(rows.column("logp"))[order], kept, np.asarray(rows.column("loglam"))[first], self.unseen)
-
-    def spelling(self, words: DataFrame) -> DataFrame:
-        """(word, spelling) of distinct words by joins: their grams meet the nodes of all suffixes."""
-
-        def run(batches):
-            for batch in batches:
-                word = batch.column(0)
-                data, at, of = spell(word.to_pylist())
-                code, _ = contexts(data, at, DEPTH)
-                yield pa.RecordBatch.from_arrays([word.take(pa.array(of)), pa.array((code << np.uint64(8) | data[at[0]]).view(np.int64))], names=["word", "deep"])
-
-        symbols = words.select("word").mapInArrow(run, "word binary, deep long")
-        wanted = symbols.select("deep").distinct().select("deep", F.explode(F.sequence(F.lit(0), F.shiftright("deep", 48).cast("int"))).alias("d"))
-        wanted = wanted.withColumn("gram", F.expr(SUFFIX.format("deep"))).withColumn("ctx", F.shiftright("gram", 8))
-        lam = self.nodes.groupBy("ctx").agg(F.first("loglam").alias("loglam"))
-        met = wanted.join(self.nodes.select("gram", "logp"), "gram", "left").join(lam, "ctx", "left")
-        by = met.groupBy("deep").agg(F.max_by("logp", F.when(F.col("logp").isNotNull(), F.col("d"))).alias("logp"), F.max(F.when(F.col("logp").isNotNull(), F.col("d"))).alias("seen"), F.collect_list(F.when(F.col("loglam").isNotNull(), F.struct("d", "loglam"))).alias("lams"))
-        less = F.aggregate("lams", F.lit(0.0), lambda acc, x: acc + F.when(x["d"] > F.coalesce("seen", F.lit(0)), x["loglam"]).otherwise(0.0))
-        return symbols.join(by.select("deep", (F.coalesce("logp", F.lit(self.unseen)) + less).alias("logp")), "deep").groupBy("word").agg(F.sum("logp").alias("spelling"))
-
-
-@dataclass
-class Lookup:
-    """A stored tree in memory: log10 probabilities by gram, log10 shares left to the parent by context, both sorted."""
-
-    grams: np.ndarray
-    logp: np.ndarray
-    kept: np.ndarray
-    loglam: np.ndarray
-    unseen: float
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its closing boundary."""
-        if not words:
-            return np.zeros(0)
-        data, at, word = spell(words)
-        total, open_ = np.zeros(len(word)), np.ones(len(word), bool)
-        for depth in range(DEPTH, -1, -1):
-            code, d = contexts(data, at, depth)
-            mine = np.flatnonzero(open_ & (d == depth))
-            ctx = code[mine].view(np.int64)
-            for keys, values, wanted, ends in ((self.grams, self.logp, ctx << 8 | data[at[0][mine]].astype(np.int64), True), (self.kept, self.loglam, ctx, False)):
-                k = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-                ok = (keys[k] == wanted) & open_[mine] if len(keys) else np.zeros(len(mine), bool)
-                total[mine[ok]] += values[k[ok]] if depth or ends else 0
-                if ends:
-                    open_[mine[ok]] = False
-        total[open_] += self.unseen
-        return np.bincount(word, weights=total, minlength=len(words))
-
-
-#: The gram whose context is the last d bytes of another's, and the one without the byte farthest back.
-SUFFIX = "(cast(d as bigint) << 48) | ({0} & ((1L << (8 * (d + 1))) - 1))"
-PARENT = "(((gram >> 48) - 1) << 48) | (gram & ((1L << cast(8 * (gram >> 48) as int)) - 1))"
-
-
-def fit(words: DataFrame, n_symbols: int) -> Stored:
-    """The tree of words (word, c) with n_symbols symbols in all."""
-    deep = save(gram_counts(words), "grams")
-    # Every context is the sum of those that end in it.
-    levels = F.explode(F.sequence(F.lit(0), F.shiftright("gram", 48).cast("int"))).alias("d")
-    every = deep.select("gram", "n", levels).select(F.expr(SUFFIX.format("gram")).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy("ctx")
-    counted = every.withColumn("ctx", F.shiftright("gram", 8)).withColumns({"t": F.sum("n").over(whole), "k": F.count(F.lit(1)).over(whole)})
-    # A divergence is at most log(n_symbols), so contexts below this count cannot pass the test, nor can those that end in them.
-    able = F.col("t") * float(np.log(max(1, n_symbols))) >= DIVERGENCE * (1 - 1e-9)
-    rows = save(counted.where(able | (F.col("ctx") == 0)), "contexts")
-    linked = rows.where("ctx <> 0").withColumn("up", F.expr(PARENT)).join(rows.select(F.col("gram").alias("up"), F.col("n").alias("un"), F.col("t").alias("ut")), "up")
-    strong = linked.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("t") * F.col("ut") / F.col("un"))).alias("gain")).where(F.col("gain") >= DIVERGENCE)
-    suffixes = strong.select("ctx", F.explode(F.sequence(F.lit(1), F.shiftright("ctx", 40).cast("int"))).alias("d"))
-    keep = save(suffixes.select(F.expr("(cast(d as bigint) << 40) | (ctx & ((1L << (8 * d)) - 1))").alias("ctx")).distinct(), "kept")
-    kept = save(rows.where("ctx <> 0").join(small_or_not(keep), "ctx", "left_semi"), "kept-rows")
-
-    root = rows.where("ctx = 0").agg(F.max("t").alias("t"), F.max("k").alias("k")).first()
-    t, k = root.t or 0, max(1, root.k or 0)
-    level = save(rows.where("ctx = 0").select("gram", "ctx", ((F.col("n") + k / 256) / (t + k)).alias("p"), F.lit(1.0).alias("lam")), "tree-0")
-    nodes = level
-    for d in range(1, DEPTH + 1):
-        above = level.select(F.col("gram").alias("up"), F.col("p").alias("q"))
-        mine = kept.where(F.shiftright("ctx", 40) == d).withColumn("up", F.expr(PARENT)).join(above, "up")
-        level = save(mine.select("gram", "ctx", ((F.col("n") + F.col("k") * F.col("q")) / (F.col("t") + F.col("k"))).alias("p"), (F.col("k") / (F.col("t") + F.col("k"))).alias("lam")), f"tree-{d}")
-        nodes = nodes.unionByName(level)
-    return Stored(nodes.select("gram", "ctx", F.log10("p").alias("logp"), F.log10("lam").alias("loglam")), float(np.log10(k / 256 / (t + k))))
-
-
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k.as_py(), "<u8") for k in t.column("keys")]
+        sums = [np.frombuffer(s.as_py(), "<i8").reshape(-1, len(k)) for s, k in zip(t.column("sums"), keys)]
+        uniq, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros((len(sums[0]), len(uniq)), np.int64)
+        for row, values in zip(total, np.concatenate(sums, axis=1)):
+            np.add.at(row, which, values)
+        told = total[0]
+        if divergence is not None:
+            told = np.where(total[0] >= divergence * _GAIN, np.maximum(1, np.rint(total[1] / _KIND)), 0).astype(np.int64)
+        back = np.split(told[which], np.cumsum([len(k) for k in keys])[:-1])
+        n = np.zeros(len(back), np.int64)
+        n[0] = (told > 0).sum()
+        return pa.table({**{c: t.column(c) for c in ("kind", "bucket", "block")}, "sums": pa.array([b.tobytes() for b in back], pa.binary()), "kinds": pa.array(n)})
+
+    return asked.groupBy("kind", "bucket").applyInArrow(run, _TOLD)
+
+
+def _known(block: pa.Table, told: pa.Table, most: int, shape: Shape) -> tuple[Runs, dict[int, np.ndarray]]:
+    """The block with the counts of its runs of up to most symbols, and whatever else it was told, by kind."""
+    runs, of = Runs(block, shape), {}
+    told = told.select(["kind", "bucket", "sums"]).sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    for kind, raw in zip(told.column("kind").to_pylist(), told.column("sums").to_pylist()):
+        of.setdefault(kind, []).append(np.frombuffer(raw, "<i8"))
+    of = {k: np.concatenate(v) for k, v in of.items()}
+    for k in range(1, most + 1):
+        runs.told(k, of.get(k, np.zeros(0, np.int64)))
+    return runs, of
+
+
+#: Kinds of questions: runs by their length, contexts by this and their length.
+_CONTEXT = 100
+
+
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, shape: Shape = Shape()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     The model learns from rows whose crc32(id as text) modulo folds is not held_out; a null id counts as remainder 0. A
     null or empty text is its end token alone. Repeated rows count and are scored each; without training rows counts
-    are zero and the tree is its root; an empty table gives an empty table. Extra columns are ignored. base_score is
-    the unigram score with one added to each count.
+    are zero and all symbols are the unknown one; an empty table gives an empty table. Extra columns are ignored.
+    base_score is the unigram score with one added to each count.
     """
-    spark = docs.sparkSession
-    blocks = save(make_blocks(docs, key, text, folds, held_out), "lm-blocks")
-    ends = docs.select(F.coalesce(crc_fold(F.col(key), folds), F.lit(0)).alias("f")).where(F.col("f") != held_out).count()
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("idx", "w")).select("block", "idx", F.col("w.words").alias("word"), F.col("w.n").alias("n"))
-    by = Window.partitionBy("word")  # a word has one row per block at most
-    counted = entries.withColumn("c", F.sum("n").over(by)).withColumn("nth", F.row_number().over(by.orderBy("block")))
-    counted = save(counted.select("word", "block", "idx", "c", "nth"), "lm-words")
-    words = counted.where("nth = 1").select("word", "c")
-    sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.col("c") * (F.length("word") + 1)).alias("s")).first()
-    n, v = (sums.n or 0) + ends, sums.v + (ends > 0)
-    end = spark.createDataFrame([(b"", ends)], "word binary, c long")
-    tree = fit(words.unionByName(end), (sums.s or 0) + ends)
-    small = tree.nodes.count() <= BROADCAST_ROWS
-    shared = spark.sparkContext.broadcast(tree.local()) if small else None
-    mixed = lambda c, spelling: np.log10((c + max(v, 1) * 10.0**spelling) / (n + max(v, 1)))
-    entry = counted.select("word", "block", "idx", "c")
-    if small:
-        end_score = float(mixed(ends, shared.value.score([b""])[0]))
-    else:
-        end_score = float(mixed(ends, tree.spelling(end).first().spelling))
-        entry = entry.join(save(tree.spelling(words), "spelling"), "word")
-    base = lambda c: np.log10((c + 1) / (n + v + 1))
-
-    def spelled(batches):
-        for batch in batches:
-            where = batch.schema.get_field_index
-            if small:
-                word = batch.column(where("word")).dictionary_encode()
-                spelling = shared.value.score(word.dictionary.to_pylist())[np.asarray(word.indices)]
-            else:
-                spelling = np.asarray(batch.column(where("spelling")))
-            logp = np.maximum(mixed(np.asarray(batch.column(where("c"))), spelling), spelling + np.log10(max(v, 1) / (n + max(v, 1))))  # no underflow for very long words
-            yield pa.RecordBatch.from_arrays([batch.column(where("block")), batch.column(where("idx")), batch.column(where("c")), pa.array(logp)], names=["block", "idx", "c", "logp"])
-
-    values = entry.mapInArrow(spelled, "block long, idx int, c long, logp double")
-
-    def sum_up(block: pa.Table, value: pa.Table) -> pa.Table:
-        row = {k: block.column(k)[0].as_py() for k in ("ids", "sizes", "held", "codes")}
-        size, code = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["codes"], "<u4")
-        c, logp = np.zeros(value.num_rows, np.int64), np.zeros(value.num_rows)
-        idx = np.asarray(value.column("idx"))
-        c[idx], logp[idx] = np.asarray(value.column("c")), np.asarray(value.column("logp"))
-        doc = np.repeat(np.arange(len(size)), size)
-        total = lambda x: np.bincount(doc, weights=x[code], minlength=len(size))
+    total_bytes = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 16).alias("b")).first().b or 0
+    n_buckets = max(1, -(-total_bytes // (6 * BUCKET_TOKENS)))
+    blocks = in_buckets(make_blocks(docs, key, text, folds, held_out), max(partitions(docs.sparkSession), total_bytes // (4 * BLOCK_BYTES)), "lm_blocks")
+    n = blocks.agg(F.sum("learned").alias("n")).first().n or 0
+
+    def ask(block: pa.Table) -> pa.Table:
+        runs = Runs(block, shape)
+        return pa.concat_tables([_packed(k, block.column("block")[0].as_py(), *runs.ask(k)[:2], n_buckets) for k in (1, 2)])
+
+    def ask_more(k: int):
+        def run(block: pa.Table, told: pa.Table) -> pa.Table:
+            runs, _ = _known(block, told, k - 1, shape)
+            return _packed(k, block.column("block")[0].as_py(), *runs.ask(k)[:2], n_buckets)
+
+        return run
+
+    def ask_contexts(block: pa.Table, told: pa.Table) -> pa.Table:
+        runs, _ = _known(block, told, shape.depth + 1, shape)
+        return pa.concat_tables([_packed(_CONTEXT + k, block.column("block")[0].as_py(), *runs.ask_contexts(k, n)[:2], n_buckets) for k in range(1, shape.depth + 1)])
+
+    by_block = blocks.groupBy("block")
+    told = save(summed(by_block.applyInArrow(ask, _ASK)), "lm-counts")
+    v = (told.where("kind = 1").agg(F.sum("kinds").alias("v")).first().v or 0) - (n > 0)  # the start is no kind
+    for k in range(3, shape.depth + 2):
+        told = told.unionByName(save(summed(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_more(k), _ASK)), f"lm-counts-{k}"))
+    kept = save(summed(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_contexts, _ASK), shape.divergence), "lm-contexts")
+
+    def score(block: pa.Table, told: pa.Table) -> pa.Table:
+        runs, of = _known(block, told, shape.depth + 1, shape)
+        c, size = runs.count[1], runs.size
+        counted = runs.nth > 0  # a start is no token
+        total = lambda x: np.bincount(runs.text[counted], weights=x[counted], minlength=len(size))
+        nothing = np.zeros(0, np.int64)
+        logp = runs.log10(n, v, {k: of.get(_CONTEXT + k, nothing) for k in range(1, shape.depth + 1)})
         columns = {
-            "doc_id": pa.array(row["ids"], pa.int64()),
-            "held_out": pa.array(np.frombuffer(row["held"], np.int8) > 0),
+            "doc_id": pa.array(runs.ids, pa.int64()),
+            "held_out": pa.array(runs.held),
             "n_tokens": pa.array(size + 1),
-            "n_known": pa.array(total(c > 0).astype(np.int64) + (ends > 0)),
+            "n_known": pa.array(total(c > 0).astype(np.int64)),
             "train_tokens": pa.array(np.full(len(size), n)),
-            "base_score": pa.array(total(base(c)) + base(ends)),
-            "score": pa.array(total(logp) + end_score),
+            "base_score": pa.array(total(np.log10((c + 1) / (n + v + 1)))),
+            "score": pa.array(total(logp)),
         }
         return pa.table(columns)
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.select("block", "ids", "sizes", "held", "codes").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(sum_up, out)
+    return by_block.cogroup(told.unionByName(kept).groupBy("block")).applyInArrow(score, out)
