@@ -94,6 +94,15 @@ def test_contexts_of_words(spark, monkeypatch):
     assert sizes == sorted(sizes)
 
 
+def test_packing_of_sums():
+    counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    assert suffix_tree.read_counts(suffix_tree.pack_counts(counts), len(counts)).tolist() == counts.tolist()
+    x = np.array([0.0, 1.0, -3.75, 1 / 3, 1e6 + 0.3, -1e-7])
+    back = suffix_tree.read_numbers(suffix_tree.pack_numbers(x), len(x))
+    assert np.allclose(back, x, rtol=2**-16, atol=0) and back[:3].tolist() == x[:3].tolist()
+    assert len(suffix_tree.read_counts(b"", 0)) == 0 == len(suffix_tree.read_numbers(b"", 0))
+
+
 def test_tree_is_a_distribution():
     """What may follow a context, the unknown symbol included, has probability one in all."""
     texts = [["a", "b", "c"], ["a", "b", "d"], ["a", "b", "c"], ["x", "b", "d"]] * 3

@@ -39,15 +39,15 @@ class Shape:
     divergence: float = 4.0
 
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Tokens whose runs a task of an exchange should sum.
 BUCKET_TOKENS = 2_000_000
-#: Sums travel as integers, so that they follow no order: gains and kinds in these parts of one.
-_GAIN, _KIND = 1 << 8, 1 << 20
+#: Gains and kinds are summed in these parts of one, as integers, so that the sums follow no order.
+_PART = 1 << 24
 _START, _END = np.uint64(0x5A17), np.uint64(0xE4D)
 _STATE = "block long, learned long, ids array<bigint>, sizes binary, held binary, codes binary, hashes binary"
 _ASK = "kind int, bucket int, block long, keys binary, sums binary"
-_TOLD = "kind int, bucket int, block long, sums binary, kinds long"
+_TOLD = "kind int, bucket int, block long, sums binary, n int, kinds long"
 
 
 def make_blocks(docs: DataFrame, key: str, text: str, folds: int, held_out: int) -> DataFrame:
@@ -95,7 +95,7 @@ class Runs:
         inner[first] = inner[first + size + 1] = False
         symbol[inner] = np.frombuffer(row["hashes"], "<u8")[np.frombuffer(row["codes"], "<u4")]
         symbol[first], symbol[first + size + 1] = _START, _END
-        self.symbol, self.text = symbol, np.repeat(np.arange(len(size)), size + 2)
+        self.symbol, self.text = symbol, np.repeat(np.arange(len(size), dtype=np.int32), size + 2)
         self.nth = (np.arange(n) - np.repeat(first, size + 2)).astype(np.int32)
         self.learn = ~held[self.text]
         self.runs: dict[int, np.ndarray] = {}
@@ -126,7 +126,7 @@ class Runs:
         """(keys, sums) of the distinct runs of k symbols, in the order of their keys, and which of them each asked place has."""
         at = self.asked(k)
         keys, which = np.unique(self.run(k)[at], return_inverse=True)
-        return keys, np.bincount(which, weights=self.learn[at], minlength=len(keys)).astype(np.int64)[:, None], at, which
+        return keys, np.bincount(which, weights=self.learn[at], minlength=len(keys)).astype(np.int64), at, which
 
     def told(self, k: int, sums: np.ndarray) -> None:
         _, _, at, which = self.ask(k)
@@ -147,8 +147,7 @@ class Runs:
         some = lambda x: np.maximum(x, 1)  # noqa: E731  counts of training places are never 0
         gain = np.where(learn, np.log(some(here) / some(own)) - np.log(some(self.count[k][at]) / some(above)), 0)
         kind = np.where(learn, 1 / some(here), 0)
-        sums = [np.rint(np.bincount(which, weights=x, minlength=len(keys)) * part).astype(np.int64) for x, part in ((gain, _GAIN), (kind, _KIND))]
-        return keys, np.stack(sums, axis=1), at, which
+        return keys, np.stack([np.bincount(which, weights=x, minlength=len(keys)) for x in (gain, kind)]), at, which
 
     def log10(self, total: int, kinds: int, kept: dict[int, np.ndarray]) -> np.ndarray:
         """log10 probability at each place but the starts; kept has, for contexts of k symbols, K of those asked for, 0 where not kept."""
@@ -163,17 +162,41 @@ class Runs:
         return np.log10(p)
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts as bytes, most of which are small; those of 255 or more follow at the end."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
+
+
+def read_counts(raw: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    x[x == 255] = np.frombuffer(raw, "<i8", offset=n)
+    return x
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers to 16 binary digits, byte by byte of all of them, which packs well."""
+    whole = x.astype("<f4").view("<u4").astype(np.uint64)
+    return ((whole + np.uint64(0x80)) >> np.uint64(8)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def read_numbers(raw: bytes, n: int) -> np.ndarray:
+    planes = np.zeros((n, 4), np.uint8)
+    planes[:, 1:] = np.frombuffer(raw, np.uint8).reshape(3, n).T
+    return planes.reshape(-1).view("<f4").astype(np.float64)
+
+
 def _packed(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, n_buckets: int) -> pa.Table:
-    """Keys in their order and their sums, column by column, as one row per bucket."""
+    """Keys in their order and what is to be summed, counts or rows of numbers, as one row per bucket."""
     bucket = ((keys >> np.uint64(32)).astype(np.int64) * n_buckets) >> 32
     cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
     rows = [(b, x, y) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x]
+    pack = (lambda x, y: pack_counts(sums[x:y])) if sums.ndim == 1 else (lambda x, y: b"".join(pack_numbers(v[x:y]) for v in sums))
     columns = {
         "kind": pa.array([kind] * len(rows), pa.int32()),
         "bucket": pa.array([b for b, *_ in rows], pa.int32()),
         "block": pa.array([block] * len(rows), pa.int64()),
         "keys": pa.array([keys[x:y].astype("<u8").tobytes() for _, x, y in rows], pa.binary()),
-        "sums": pa.array([sums[x:y].T.astype("<i8").tobytes() for _, x, y in rows], pa.binary()),
+        "sums": pa.array([pack(x, y) for _, x, y in rows], pa.binary()),
     }
     return pa.table(columns)
 
@@ -187,18 +210,23 @@ def summed(asked: DataFrame, divergence: float | None = None) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k.as_py(), "<u8") for k in t.column("keys")]
-        sums = [np.frombuffer(s.as_py(), "<i8").reshape(-1, len(k)) for s, k in zip(t.column("sums"), keys)]
         uniq, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros((len(sums[0]), len(uniq)), np.int64)
-        for row, values in zip(total, np.concatenate(sums, axis=1)):
-            np.add.at(row, which, values)
-        told = total[0]
-        if divergence is not None:
-            told = np.where(total[0] >= divergence * _GAIN, np.maximum(1, np.rint(total[1] / _KIND)), 0).astype(np.int64)
+        rows = [(raw.as_py(), len(k)) for raw, k in zip(t.column("sums"), keys)]
+
+        def total(values: list[np.ndarray]) -> np.ndarray:
+            out = np.zeros(len(uniq), np.int64)
+            np.add.at(out, which, np.concatenate(values))
+            return out
+
+        if divergence is None:
+            told = total([read_counts(raw, n) for raw, n in rows])
+        else:
+            part = lambda i: total([np.rint(read_numbers(raw[3 * n * i : 3 * n * (i + 1)], n) * _PART).astype(np.int64) for raw, n in rows])
+            told = np.where(part(0) >= divergence * _PART, np.maximum(1, np.rint(part(1) / _PART)), 0).astype(np.int64)
         back = np.split(told[which], np.cumsum([len(k) for k in keys])[:-1])
         n = np.zeros(len(back), np.int64)
         n[0] = (told > 0).sum()
-        return pa.table({**{c: t.column(c) for c in ("kind", "bucket", "block")}, "sums": pa.array([b.tobytes() for b in back], pa.binary()), "kinds": pa.array(n)})
+        return pa.table({**{c: t.column(c) for c in ("kind", "bucket", "block")}, "sums": pa.array([pack_counts(b) for b in back], pa.binary()), "n": pa.array([len(b) for b in back], pa.int32()), "kinds": pa.array(n)})
 
     return asked.groupBy("kind", "bucket").applyInArrow(run, _TOLD)
 
@@ -206,9 +234,9 @@ def summed(asked: DataFrame, divergence: float | None = None) -> DataFrame:
 def _known(block: pa.Table, told: pa.Table, most: int, shape: Shape) -> tuple[Runs, dict[int, np.ndarray]]:
     """The block with the counts of its runs of up to most symbols, and whatever else it was told, by kind."""
     runs, of = Runs(block, shape), {}
-    told = told.select(["kind", "bucket", "sums"]).sort_by([("kind", "ascending"), ("bucket", "ascending")])
-    for kind, raw in zip(told.column("kind").to_pylist(), told.column("sums").to_pylist()):
-        of.setdefault(kind, []).append(np.frombuffer(raw, "<i8"))
+    told = told.select(["kind", "bucket", "sums", "n"]).sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    for kind, raw, n in zip(told.column("kind").to_pylist(), told.column("sums").to_pylist(), told.column("n").to_pylist()):
+        of.setdefault(kind, []).append(read_counts(raw, n))
     of = {k: np.concatenate(v) for k, v in of.items()}
     for k in range(1, most + 1):
         runs.told(k, of.get(k, np.zeros(0, np.int64)))
