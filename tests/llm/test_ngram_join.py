@@ -36,14 +36,35 @@ def near_copies(seed, frequent):
 
 
 def test_near_copies(spark, monkeypatch):
+    whole = ngram_join.verify_clusters
     for seed, frequent, block in ((1, 16, 512), (2, 3, 7)):
         monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "verify_clusters", lambda c, s, block=block: whole(c, s, block, 900))
         monkeypatch.setattr(ngram_join, "MOST_ROUNDS", 1 if block == 7 else 2)
         rows = near_copies(seed, frequent)
         check(rows, ngram_join.jaccard_components(frame(spark, rows)).collect())
 
 
+def test_hot_passage(spark):
+    """A passage that most documents share, in texts of very different lengths, and a large group of near copies."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(900)]
+    passage, base = rng.choices(vocab, k=60), rng.choices(vocab, k=120)
+    rows = [rng.choices(vocab, k=rng.choice([0, 2, 5, 10, 40, 300])) + passage for _ in range(250)]
+    for i in range(200):
+        w = list(base)
+        w[i % 120] = f"z{i}"
+        rows.append(w + [f"end{i % 7}"] * (i % 30))
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    check(rows, ngram_join.jaccard_components(frame(spark, rows)).collect())
+
+
+def test_shared_names(spark):
+    """Sets that few bits of a hash do not tell apart are classes of their own."""
+    rows = near_copies(3, 16)
+    check(rows, ngram_join.jaccard_components(frame(spark, rows), bits=5).collect())
+
+
 def test_edges(spark):
     rows = [r for r in EDGE if r[0] is not None] + [(30, "a b c d e f"), (31, "A b c d\te f"), (32, "a b"), (33, "b a"), (34, "a  B")]
     check(rows, ngram_join.jaccard_components(frame(spark, rows)).collect())

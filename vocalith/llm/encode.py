@@ -14,7 +14,9 @@ import pyarrow as pa
 
 from . import bytescan
 
-STORE = 1_500_000
+STORE = 750_000
+#: Chunks encoded at a time.
+TOGETHER = 8_192
 
 
 def _chunks() -> np.ndarray:
@@ -41,9 +43,12 @@ class ChunkEncoder:
         self.ids_flat = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.batch(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
+        sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for i in range(0, len(texts), TOGETHER):  # an encoding takes far more room than its ids
+            found = [e.ids for e in self.batch(texts[i : i + TOGETHER], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flats.append(np.fromiter((i for x in found for i in x), np.uint32, int(sizes[-1].sum())))
+        size, flat = np.concatenate(sizes), np.concatenate(flats)
         at = len(self.ids_flat) + np.cumsum(size) - size
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")

@@ -12,13 +12,16 @@ are never paired. Then:
    each pair inside one sub-class is a signature; the prefix is extended by M, so that two similar sets share a rare
    token or, by the pigeonhole principle, two frequent ones of one sub-class. M follows the size band of the set; a set
    is indexed in its own band and the next, and similar sets share one of them.
-4. Verification, in rounds. In lists that hold several components, each member outside the list's largest component
-   proposes one member of that component, the same one in most lists; each class verifies the proposal that most of its
+4. Verification, in rounds. In lists that hold several components, the member with the least hash leads, the same one in
+   most lists, and each member outside its component proposes it; each class verifies the proposal that most of its
    lists share, and what is linked is joined. Lists that still hold several components are then gathered by their
-   smallest member, so that most lists of a group of near copies become one cluster. A cluster is cut into blocks of
-   about `BLOCK` sets, and every two blocks meet once, where matrix products count the overlap of all their pairs and
-   only the edges of a spanning forest leave. No candidate pair is left unseen; a cluster of m sets ships each of them
-   m / BLOCK times, one block's cluster once.
+   smallest member, so that most lists of a group of near copies become one cluster. A cluster falls into bands of set
+   sizes, so narrow that similar sets are in one band or in two neighbours, and a band into blocks of at most `BLOCK`
+   sets and about `BLOCK_TOKENS` tokens. Two blocks of one band or of neighbours meet once, where matrix products count
+   the overlap of all their pairs and only the edges of a spanning forest leave. No candidate pair is left unseen.
+
+A class is named by 64 bits of its set's hash; classes that 128 bits tell apart but 64 do not get new names. Lists are
+counted by aggregates and joined back, so that a hot signature is no task of its own.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import save, small_or_not
+from .common import release, save, small_or_not
 from .components import connected_components
 
 WORDS = 5
@@ -46,7 +49,11 @@ REACH = 0.15
 SMALL = 16
 #: Tokens that a bucket of step 1 and 2 should hold; rounds end when one links less than this share of the proposals.
 BUCKET_TOKENS, LEAST_LINKED, MOST_ROUNDS = 500_000, 0.02, 2
-BLOCK, COLUMNS = 512, 4096
+#: Bytes of text whose prefixes are dealt to the buckets at a time.
+PREFIX_BYTES = 8 << 20
+BLOCK, BLOCK_TOKENS, COLUMNS = 512, 250_000, 4096
+#: A band of sizes is wider than the least similarity allows two sets to differ.
+BAND = math.log(DEN / (NUM - 1))
 
 
 def token_views(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
@@ -76,9 +83,11 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def class_key(tokens: np.ndarray) -> int:
-    """64 bits that stand for a set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_key(tokens: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two numbers that stand for a set: a name of so many bits, and 64 bits more."""
+    raw = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    name, more = (int.from_bytes(x, "little", signed=True) for x in (raw[:8], raw[8:]))
+    return (name if bits == 64 else name & ((1 << bits) - 1)), more
 
 
 def least_overlap(n: int) -> int:
@@ -89,18 +98,27 @@ def _reach(n: int) -> int:
     return max(1, math.ceil(REACH * n))
 
 
-def set_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, k): k is the class key, null for an empty set."""
+def set_table(docs: DataFrame, key: str, text: str, bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, k, k2): the numbers of class_key, null for an empty set."""
 
     def run(batches):
         for whole in batches:
             for batch in bytescan.slices(whole, text):
                 at = batch.schema.get_field_index
                 sets = shingle_sets(batch.column(at(text)))
-                ids = batch.column(at(key)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "k"])
+                names = [class_key(s, bits) if len(s) else (None, None) for s in sets]
+                columns = [batch.column(at(key)).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k for k, _ in names], [k for _, k in names]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k", "k2"])
+            release()
+
+    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, k long, k2 long")
+
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, k long")
+def renamed(table: DataFrame) -> DataFrame:
+    """The table with one k for each pair (k, k2), and `several` where others had the same k."""
+    shared = table.where("k is not null").groupBy("k").agg(F.min("k2").alias("_own"), F.max("k2").alias("_other")).where("_own <> _other").select("k", "_own")
+    named = table.join(small_or_not(save(shared, "shared-names")), "k", "left").withColumn("several", F.col("_own").isNotNull())
+    return named.withColumn("k", F.when(F.col("k2") != F.col("_own"), F.xxhash64("k2", "k")).otherwise(F.col("k"))).drop("_own")
 
 
 _BLOCK = "bucket int, tokens binary, refs binary, keys binary"
@@ -150,18 +168,19 @@ def _buckets(tokens: int | None) -> int:
     return max(1, math.ceil((tokens or 0) / BUCKET_TOKENS))
 
 
-def shared_tokens(docs: DataFrame, text: str, n_tokens: int) -> DataFrame:
+def shared_tokens(docs: DataFrame, text: str, n_tokens: int, bits: int = 64) -> DataFrame:
     """(k, shared): how many tokens of a class's reach prefix other classes hold in theirs. n_tokens: about as many there are."""
     n_buckets = _buckets(n_tokens)
 
     def run(batches):
         for whole in batches:
-            seen: dict[int, np.ndarray] = {}
-            for batch in bytescan.slices(whole, text):
+            for batch in bytescan.slices(whole, text, PREFIX_BYTES):
+                seen: dict[int, np.ndarray] = {}
                 for s in shingle_sets(batch.column(0)):
                     if len(s):
-                        seen.setdefault(class_key(s), s[: len(s) - least_overlap(len(s)) + _reach(len(s))])
-            yield from _blocks(list(seen.values()), list(seen), n_buckets)
+                        seen.setdefault(class_key(s, bits)[0], s[: len(s) - least_overlap(len(s)) + _reach(len(s))].copy())
+                yield from _blocks(list(seen.values()), list(seen), n_buckets)
+            release()
 
     def count(t: pa.Table) -> pa.Table:
         _, owner, held = _read_blocks(t)
@@ -173,17 +192,18 @@ def shared_tokens(docs: DataFrame, text: str, n_tokens: int) -> DataFrame:
 
 
 def load_sets(docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, n, tokens) of the classes in reps (rep, k), from the texts of their representatives."""
+    """(k, n, tokens) of the classes in reps (rep, k, k2), from the texts of their representatives."""
 
     def run(batches):
         for whole in batches:
             for batch in bytescan.slices(whole, "_text"):
                 at = batch.schema.get_field_index
-                rows = [(k, s) for k, s in zip(batch.column(at("k")).to_pylist(), shingle_sets(batch.column(at("_text")))) if len(s) and class_key(s) == k]
+                rows = [(k, s) for k, k2, s in zip(batch.column(at("k")).to_pylist(), batch.column(at("k2")).to_pylist(), shingle_sets(batch.column(at("_text")))) if len(s) and class_key(s)[1] == k2]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["k", "n", "tokens"])
+            release()
 
     joined = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(small_or_not(reps), F.col("_id").eqNullSafe(F.col("rep")))
-    return joined.select("_text", "k").mapInArrow(run, "k long, n long, tokens binary")
+    return joined.select("_text", "k", "k2").mapInArrow(run, "k long, n long, tokens binary")
 
 
 def frequent_tokens(sets: DataFrame) -> DataFrame:
@@ -286,23 +306,25 @@ def _alike(x: str, y: str):
     return F.least(x, y) * DEN >= F.greatest(x, y) * NUM
 
 
-def _lists(live: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """live (sig, k, n) with comp, of lists that still hold several components, and the list's largest component, main."""
-    at = live.withColumn("comp", F.col("k"))
-    if comps is not None:
-        at = live.join(small_or_not(comps.select(F.col("node").alias("k"), "root")), "k", "left").select("sig", "k", "n", F.coalesce("root", "k").alias("comp"))
-    w = Window.partitionBy("sig")
-    at = at.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("sig", "comp")))
-    at = at.withColumn("main", F.max(F.struct("_c", "comp")).over(w)["comp"]).withColumn("_least", F.min("comp").over(w)).withColumn("_most", F.max("comp").over(w))
-    return at.where("_least <> _most").drop("_c", "_least", "_most")
+def _placed(live: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """live (sig, k, n) with comp."""
+    if comps is None:
+        return live.withColumn("comp", F.col("k"))
+    return live.join(small_or_not(comps.select(F.col("node").alias("k"), "root")), "k", "left").select("sig", "k", "n", F.coalesce("root", "k").alias("comp"))
+
+
+def _mixed(placed: DataFrame, what) -> DataFrame:
+    """One row for each list that holds several components, with an aggregate of it."""
+    return placed.groupBy("sig").agg(what, F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least <> _most").drop("_least", "_most")
 
 
 def similar_classes(live: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root): components of the similar pairs of classes; live: postings (sig, k, n)."""
     links, comps = None, None
     for turn in range(MOST_ROUNDS):
-        mine = F.when(F.col("comp") == F.col("main"), F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n"))
-        met = _lists(live, comps).withColumn("lead", F.min(mine).over(Window.partitionBy("sig"))).where("comp <> main").where(_alike("n", "lead.n"))
+        placed = _placed(live, comps)
+        leads = _mixed(placed, F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "comp")).alias("lead"))
+        met = placed.join(leads, "sig").where("comp <> lead.comp").where(_alike("n", "lead.n"))
         best = met.groupBy("k", F.col("lead.k").alias("lead")).agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", "lead")).alias("m"))
         proposed = save(best.select(F.col("k").alias("a"), F.col("m.lead").alias("b")), "proposed")
         found = save(verify(proposed, sets), "links")
@@ -310,8 +332,8 @@ def similar_classes(live: DataFrame, sets: DataFrame) -> DataFrame:
         comps = connected_components(links)
         if found.count() <= LEAST_LINKED * proposed.count():
             break
-    lists = save(_lists(live, comps), "mixed-lists")
-    clusters = save(lists.select("k", F.min("k").over(Window.partitionBy("sig")).alias("root")).distinct(), "list-clusters")
+    placed = _placed(live, comps)
+    clusters = save(placed.join(_mixed(placed, F.min("k").alias("root")), "sig").select("k", "n", "root").distinct(), "list-clusters")
     return connected_components(links.unionByName(save(verify_clusters(clusters, sets), "links-last")))
 
 
@@ -353,41 +375,61 @@ def _close(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return DEN * shared >= NUM * (total - shared)
 
 
-def verify_clusters(clusters: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all similar classes of each cluster (k, root)."""
-    size = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = clusters.join(small_or_not(size), "root").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    loaded = sets.select("k", "tokens").join(small_or_not(save(dealt, "clusters")), "k")
-    meet = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "tokens")
+def verify_clusters(clusters: DataFrame, sets: DataFrame, most_sets: int = BLOCK, most_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Edges (a, b) that connect all similar classes of each cluster (k, n, root)."""
+    banded = clusters.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / BAND).cast("int"))
+    size = save(banded.groupBy("root", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / most_sets, F.sum("n") / most_tokens)).cast("int").alias("blocks")), "bands")
+    next_to = lambda step, name: size.select("root", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    known = size.join(next_to(1, "up"), ["root", "band"], "left").join(next_to(-1, "down"), ["root", "band"], "left")
+    dealt = banded.join(small_or_not(save(known, "bands-known")), ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+
+    def meet(n: str, band, up: int, i, j, right):
+        """Where a set meets the blocks 0 to n - 1 of its own band (up = 0) or of a neighbour."""
+        each = lambda x: F.struct(band.alias("band"), F.lit(up).alias("up"), i(x).alias("i"), j(x).alias("j"), right.alias("right"))
+        return F.transform(F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), each)
+
+    own, band, no = F.col("block"), F.col("band"), F.lit(False)
+    meets = F.concat(
+        meet("blocks", band, 0, lambda x: F.least(own, x), lambda x: F.greatest(own, x), no),
+        meet("up", band, 1, lambda x: own, lambda x: x, no),
+        meet("down", band - 1, 1, lambda x: x, lambda x: own, F.lit(True)),
+    )
+    placed = save(dealt.select("k", "root", "block", meets.alias("meets")), "clusters")
+    each = sets.select("k", "tokens").join(placed, "k").select("root", "block", "k", "tokens", F.explode("meets").alias("_m"))
+    each = each.select("root", "block", "k", "tokens", "_m.band", "_m.up", "_m.i", "_m.j", "_m.right")
 
     def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        rows = list(zip(t.column("block").to_pylist(), t.column("k").to_pylist(), token_views(t.column("tokens"))))
-        left, right = ([r for r in rows if r[0] == x] for x in (i, j))
-        edges = _forest(_close([s for *_, s in left], [s for *_, s in right])) if left and right else []
-        return pa.table({"a": pa.array([left[x][1] for x, _ in edges], pa.int64()), "b": pa.array([right[y][1] for _, y in edges], pa.int64())})
+        up, i, j = (t.column(c)[0].as_py() for c in ("up", "i", "j"))
+        rows = list(zip(t.column("block").to_pylist(), t.column("right").to_pylist(), t.column("k").to_pylist(), token_views(t.column("tokens"))))
+        left = [r[2:] for r in rows if (not r[1] if up else r[0] == i)]
+        right = [r[2:] for r in rows if (r[1] if up else r[0] == j)]
+        edges = _forest(_close([s for _, s in left], [s for _, s in right])) if left and right else []
+        release()
+        return pa.table({"a": pa.array([left[x][0] for x, _ in edges], pa.int64()), "b": pa.array([right[y][0] for _, y in edges], pa.int64())})
 
-    return meet.groupBy("root", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
+    return each.groupBy("root", "band", "up", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row of docs.
 
     Words are lower-cased in A-Z; fewer than five words are one shingle; null and empty texts have no shingle, class or
     link, and are their own component. Documents link at Jaccard 0.75 or more; component_id is the smallest doc_id
     reachable. Repeated rows are alike; a null id is returned with its component, but never names one unless all its
-    members are null; an empty table gives an empty table. Extra columns are ignored. Sets are compared by 64-bit hashes.
+    members are null; an empty table gives an empty table. Extra columns are ignored. Sets are compared by the 64-bit
+    hashes of their shingles. bits: how many name a class at first.
     """
-    table = save(set_table(docs, key, text), "sets")
-    classes = table.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    in_reach = table.agg(F.sum("n_shingles").alias("t")).first().t or 0
-    shared = shared_tokens(docs, text, int(in_reach * (1 - NUM / DEN + REACH)))
+    table = renamed(save(set_table(docs, key, text, bits), "sets"))
+    classes = table.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("k2").alias("k2"), F.first("several").alias("several"))
+    n_tokens = table.agg(F.sum("n_shingles").alias("t")).first().t or 0
+    shared = shared_tokens(docs, text, int(n_tokens * (1 - NUM / DEN + REACH)), bits)
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(REACH)))
-    reps = save(classes.join(shared, "k").where(F.col("shared") >= needed).select("k", "rep"), "reps")
+    # What classes of one name share was not counted apart, so all of them stay.
+    in_reach = F.col("several") | (F.col("shared") >= needed)
+    reps = save(classes.join(shared, "k", "left").where(in_reach).select("k", "k2", "rep"), "reps")
     sets = save(load_sets(docs, reps, key, text), "set-tokens")
-    held = postings(sets, frequent_tokens(sets)).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig")))
-    live = save(held.where("c > 1").drop("c"), "live")
+    held = save(postings(sets, frequent_tokens(sets)), "postings")
+    live = save(held.join(held.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sig", "left_semi"), "live")
     roots = similar_classes(live, sets)
     named = roots.join(classes.select(F.col("k").alias("node"), "rep"), "node")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("k"), "least")
