@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.llm import decontaminate, ngram_join, packing, stream_dedup, toxicity
-from vocalith.llm.common import ascii_lower, crc_fold, save, small_or_not, table
+from vocalith.llm.common import ascii_lower, crc_fold, free, save, small_or_not, table
 
 #: No SQL can restate trained scores and a tokenizer; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
@@ -21,31 +21,35 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """docs without the rows of these keys (null matches null)."""
-    gone = gone.select([F.col(k).alias(f"_gone_{k}") for k in keys]).distinct()
-    same = [docs[k].eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    as_ = {k: free(docs, f"_gone_{k}") for k in keys}
+    gone = gone.select([F.col(k).alias(as_[k]) for k in keys]).distinct()
+    same = [docs[k].eqNullSafe(F.col(as_[k])) for k in keys]
     return docs.join(small_or_not(gone), reduce(and_, same), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labelled training fold of the documents at hand; documents that score 0.5 or more go."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=lambda c: crc_fold(F.col(c), 5) != 0)
-    return toxicity.score(docs, net).where("_score < 0.5").drop("_score")
+    name = free(docs, "_score")
+    return toxicity.score(docs, net, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal after lower-casing A-Z, the row with the largest doc_id stays; of rows that share both, one."""
     found = save(stream_dedup.exact_dedup(docs), "pipeline-dedup")
-    keys = ["doc_id", "_digest"]
-    found = found.withColumnRenamed("digest", "_digest")
-    digested = docs.withColumn("_digest", stream_dedup.sha256_digest(ascii_lower(F.coalesce("text", F.lit("")))))
+    own = free(docs, "_digest")
+    keys = ["doc_id", own]
+    found = found.withColumnRenamed("digest", own)
+    digested = docs.withColumn(own, stream_dedup.sha256_digest(ascii_lower(F.coalesce("text", F.lit("")))))
     once = _without(digested, found.where("not kept"), keys)
     repeated = save(found.where("kept").groupBy(keys).count().where("count > 1").select(keys), "pipeline-repeated")
     if repeated.isEmpty():
-        return once.drop("_digest")
-    twice = small_or_not(repeated.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d")))
-    rows = once.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_semi")
-    first = rows.groupBy(keys).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("_row"))
-    return _without(once, repeated, keys).drop("_digest").unionByName(first.select("_row.*").select(docs.columns))
+        return once.drop(own)
+    i, d = free(once, "_id"), free(once, "_d")
+    twice = small_or_not(repeated.select(F.col("doc_id").alias(i), F.col(own).alias(d)))
+    rows = once.join(twice, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(d)), "left_semi")
+    first = rows.groupBy(keys).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias(i))
+    return _without(once, repeated, keys).drop(own).unionByName(first.select(f"{i}.*").select(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,17 +57,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key, rows = "doc_id", docs
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         # Ids do not name rows: their places in the order of ids do.
-        key = "_place"
+        key = free(docs, "_place")
         order = [F.col("doc_id").asc_nulls_last(), *[F.col(c) for c in docs.columns if c != "doc_id"]]
         rows = save(docs.orderBy(order).withColumn(key, F.monotonically_increasing_id()), "pipeline-places")
-    found = ngram_join.jaccard_components(rows.withColumn("doc_id", F.col(key)))
+    found = ngram_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"))
     near = save(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "pipeline-near")
     return _without(rows, near, [key]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word window of a benchmark item go."""
-    return decontaminate.remove_documents(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
+    names = tuple(free(docs, n) for n in decontaminate.NAMES)
+    return decontaminate.remove_documents(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), names=names), names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
