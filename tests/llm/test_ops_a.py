@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vocalith.llm import chat_format, decontaminate, external_shuffle, packing, queries, secret_scan, stream_dedup, token_counts
+import corpus_pipeline
+from vocalith.llm import chat_format, decontaminate, external_shuffle, packing, queries, secret_scan, stream_dedup, token_counts, toxicity
 from vocalith.llm.encode import tokenizer_path
 
 from . import brute
@@ -267,8 +268,8 @@ def test_decontaminate_edges(spark):
     items = [(i, text(rng.choice([1, 3, 11, 14]))) for i in range(12)] + [(50, None), (51, "..."), (None, "zz zz"), (0, "q"), (0, "q")]
     rows = EDGE[:5] + [(100 + i, text(rng.randint(0, 60))) for i in range(60)] + [(900, "ZZ  zz")]
     bench = spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, _hit string")
-    for block in (1 << 20, 300):
-        found = decontaminate.find_contamination(frame(spark, rows), bench, block_bytes=block)
+    for most in (1 << 20, 0):  # broadcast, joined
+        found = decontaminate.find_contamination(frame(spark, rows), bench, broadcast_bytes=most)
         got = sorted((str(r.doc_id), r.text or "", r._n_words, sum(s["end"] - s["start"] for s in r._hits), sorted(r._items)) for r in found.collect())
         want = []
         for d, t in rows:
@@ -284,5 +285,41 @@ def test_decontaminate_edges(spark):
     assert decontaminate.find_contamination(frame(spark, rows), bench.limit(0)).where("size(_hits) > 0").count() == 0
 
 
+def test_window_set_is_small():
+    """What is broadcast stays below its bound in bytes, also for the shortest words."""
+    import pickle
+
+    for word, n in (("a", 200_000), ("word", 100_000)):
+        text = " ".join([word] * n)
+        assert len(pickle.dumps(decontaminate.WindowSet([("x", text)], 10))) <= decontaminate.PER_BYTE * len(text)
+
+
+def test_clashing_names(spark, sf):
+    """Columns with the names that operators use inside are kept, those with the names of results replaced."""
+    inner = ["_key", "_kinds", "_low", "key", "trigram", "_bucket", "_record", "_pos", "_r", "_id", "_text", "_digest", "_d", "_gone_doc_id", "_place", "_own", "k", "_row", "body", "digest"]
+    own = ["secrets", "shard", "slot", "_score", "_n_words", "_hits", "_items"]
+    rows = [(1, "token=" + "z" * 20, "x", "y", 3), (2, "some words here", "x", "y", 3), (3, "Some words here", "x", "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in inner + own:
+        docs = docs.withColumn(c, F.lit(f"mine {c}"))
+    kept = lambda df, names: all(r[c] == f"mine {c}" for r in df.collect() for c in names)
+    out = secret_scan.scan_secrets(docs)
+    assert kept(out, [c for c in inner + own if c != "secrets"]) and sorted(len(r.secrets) for r in out.collect()) == [0, 0, 1]
+    out = external_shuffle.external_shuffle(docs, 2)
+    assert kept(out, [c for c in inner + own if c not in ("shard", "slot")]) and sorted(r.shard for r in out.collect()) in ([0, 0, 1], [0, 1, 1])
+    net = toxicity.Network()
+    out = toxicity.score(docs, net)
+    assert out.columns.count("_score") == 1 and kept(out, [c for c in inner + own if c != "_score"]) and all(0 <= r._score <= 1 for r in out.collect())
+    bench = spark.createDataFrame([(1, "some words here")], "item_id long, text string")
+    for most in (1 << 20, 0):
+        out = decontaminate.find_contamination(docs, bench, broadcast_bytes=most)
+        assert kept(out, [c for c in inner + own if c not in decontaminate.NAMES]) and sorted(len(r._hits) for r in out.collect()) == [0, 1, 1]
+    assert stream_dedup.exact_dedup(docs).where("kept").count() == 2
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and kept(out, inner + own) and out.count() in (2, 3)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 3
+
+
 def test_sha_of_nothing():
     assert brute.sha("") == hashlib.sha256(b"").hexdigest()

@@ -23,10 +23,10 @@ def external_shuffle(docs: DataFrame, n_shards: int, text: str = "text", key: st
     Law `rows`: shard sizes differ by one row at most. Null texts and keys are records like any other; repeated rows
     stay apart, as a row's position goes into its hash, so that no key makes a bucket larger than its share. With fewer
     rows than shards, some shards stay empty; an empty table gives an empty table. A bucket is as large as bucket_bytes
-    plus chance, or one record, if that is larger. docs must not have `shard` or `slot`, and must number its rows alike
+    plus chance, or one record, if that is larger. Columns `shard` and `slot` of docs are replaced. docs must number its rows alike
     each time it is read, as a scan does; write other plans to a table first.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("shard", "slot")
     names = docs.columns
     total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 64).alias("b"), F.count(F.lit(1)).alias("n")).first()
     rows, n_buckets = total.n, max(1, math.ceil((total.b or 0) / bucket_bytes))

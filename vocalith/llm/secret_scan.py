@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small_or_not
+from .common import free, save, small_or_not
 
 
 @dataclass(frozen=True)
@@ -151,22 +151,24 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
     """All columns of docs and `secrets`, array<struct<start, rank, end>> sorted by start, then the order of the rules.
 
     A null or empty text has no secrets; a null key is matched like any value; rows that share a key are verified one by
-    one, each on its own text; an empty table gives an empty table. Extra columns stay; docs must not have `secrets`.
+    one, each on its own text; an empty table gives an empty table. Extra columns stay; a column `secrets` is replaced.
     """
     rules = rules or BASE_RULES + MORE_RULES
     indexed = [r for r in rules if trigram_query(r.pattern)]
     grams = sorted({t for r in indexed for c in trigram_query(r.pattern) for t in c})
     found = candidates(build_index(docs, key, text, grams), indexed)
-    found = small_or_not(save(found.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")), "secret-candidates"))
-    joined = docs.join(found, docs[key].eqNullSafe(F.col("_key")), "left")
+    docs = docs.drop("secrets")
+    k, kinds = free(docs, "_key"), free(docs, "_kinds")
+    found = small_or_not(save(found.select(F.col("key").alias(k), F.col("kinds").alias(kinds)), "secret-candidates"))
+    joined = docs.join(found, docs[key].eqNullSafe(F.col(k)), "left")
     body = F.coalesce(F.col(text), F.lit(""))
     each = []
     for rank, rule in enumerate(rules):
         spans = _spans(body, rule, rank)
         if rule in indexed:
-            spans = F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>"))
+            spans = F.when(F.array_contains(kinds, rule.kind), spans).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>"))
         each.append(spans)
-    return joined.withColumn("secrets", F.sort_array(F.concat(*each))).drop("_key", "_kinds")
+    return joined.withColumn("secrets", F.sort_array(F.concat(*each))).drop(k, kinds)
 
 
 def span_text(spans: Column, rules: list[Rule]) -> Column:

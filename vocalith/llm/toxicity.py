@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import bytescan
+from .common import release
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, INPUT = 8, 12
@@ -298,16 +299,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     return train(sample.column("_text").combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.asarray(sample.column("_label"), np.float32))
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """All columns of docs with `_score`. Null and empty texts get the score of an empty window; an empty table stays empty.
+def score(docs: DataFrame, net: Network, text: str = "text", name: str = "_score") -> DataFrame:
+    """All columns of docs with the score, under a name. Null and empty texts get the score of an empty window; an empty table stays empty.
 
-    docs must not have `_score`. Nothing is shuffled; memory follows the batch, however long the texts are.
+    A column of docs that has the name is replaced. Nothing is shuffled; memory follows the batch, however long the texts are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # two tables of fixed size
+    docs = docs.drop(name) if name != text else docs
 
     def run(batches):
         for whole in batches:
             for batch in bytescan.slices(whole, text, 1 << 20):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text_scores(shared.value, batch.column(batch.schema.get_field_index(text))), pa.float64())], names=[*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text_scores(shared.value, batch.column(batch.schema.get_field_index(text))), pa.float64())], names=[*batch.schema.names, name])
+        release()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
