@@ -92,6 +92,11 @@ def test_sharding_query(spark, sf):
     got = {r.doc_id: r for r in queries.op2_sharding(spark, sf).collect()}
     for d, t in docs(spark, sf):
         assert (got[d].size, got[d].text_crc32, got[d].law) == (len(t.encode()) + 8, brute.crc(t.encode()), "rows")
+    by = {}
+    for r in got.values():
+        by.setdefault(r.shard, []).append(r.slot)
+    sizes = [len(x) for x in by.values()]
+    assert sorted(by) == list(range(24)) and max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
 # --- chat
@@ -240,12 +245,27 @@ def test_dedup_checks_bytes(spark, sf):
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in got) == want
 
 
-def test_dedup_state_spans_batches(spark, tmp_path):
-    path = str(tmp_path / "d")
-    for k in range(3):
-        spark.createDataFrame([(k * 10 + i, f"d{i % 2}") for i in range(4)], "doc_id long, digest string").coalesce(1).write.mode("append").parquet(path)
-    got = stream_dedup.run_state(spark.read.parquet(path), path, files_per_batch=1)
-    assert sorted(map(tuple, got.collect())) == [("d0", 22, 6), ("d1", 23, 6)]
+def test_dedup_state_outlives_a_run(spark, tmp_path):
+    """Files one by one; then more files on the state of the first run, which reads the new ones only; then nothing new."""
+    path, state = str(tmp_path / "docs"), "file://" + str(tmp_path / "state")
+    rows = [(10 * k + i, ["Same", "same", f"own {k} {i}", None][i]) for k in range(5) for i in range(4)]
+
+    def add(some):
+        for i in range(0, len(some), 4):
+            spark.createDataFrame(some[i : i + 4], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+
+    add(rows[:12])
+    check_dedup(rows[:12], stream_dedup.dedup_files(spark, path, state=state, files_per_batch=1).collect())
+    epochs = lambda: sorted(x.name for x in (tmp_path / "state" / "checkpoint" / "commits").iterdir() if not x.name.startswith("."))
+    assert len(epochs()) == 3
+    add(rows[12:])
+    check_dedup(rows, stream_dedup.dedup_files(spark, path, state=state, files_per_batch=1).collect())
+    assert len(epochs()) == 5
+    check_dedup(rows, stream_dedup.dedup_files(spark, path, state=state).collect())
+    assert len(epochs()) == 5
+    kept = spark.read.parquet(str(tmp_path / "state" / "groups")).where("group_size = 10").select("keep.*").first()
+    there = spark.read.parquet(kept.file).withColumn("at", F.col("_metadata.row_index")).where(F.col("at") == kept.row).first()
+    assert (there.doc_id, there.text) == (41, "same")  # the locator leads to the row that stays
 
 
 # --- decontamination

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with these settings, for jobs that run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Few rows at a time to Python, where rows are texts or sets: what a worker and the executor hold follows the batch.
+FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast when it has at most limit rows; larger ones keep Spark's shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

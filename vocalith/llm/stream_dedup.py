@@ -1,91 +1,92 @@
 """Exact deduplication with stateful streaming.
 
-The digests of the normalised texts form a narrow, replayable table. A stream reads it and keeps, for each digest and
-without expiry, the group's size and the stable identifier that is also the content locator (the largest id) in
-RocksDB state on disk. Partial sums before the shuffle make a hot digest one row per task. Every hit is then checked on
-full bytes against the text that the locator names; rows whose bytes differ are grouped by the bytes themselves.
+The table's files are a stream. Keyed state on disk (RocksDB), without expiry, holds for each digest of a normalised
+text the group's size, the stable identifier (the largest id) and the locator of its content (file and row). Partial
+sums before the shuffle make a hot digest one row per task. State, checkpoint and groups live in one folder: a run that
+is given the folder of an earlier one reads only files that are new, and goes on where that one stopped.
+
+Hits are checked on full bytes. The rows of a digest that occurs more than once are read once more, by their locators,
+and grouped by digest and bytes; equal bytes fall together in each task before any are shuffled, so a hot text is
+shipped once per task. Where a digest stands for several texts, the bytes tell them apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh_path, save, small_or_not
+from .common import ascii_lower, fresh_path, save, settings, small_or_not
 
 #: The state lives in RocksDB; without fallocate a store with few keys takes few bytes, however many partitions there are.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+_GROUPS = "digest string, keep struct<doc_id:bigint,file:string,row:bigint>, group_size bigint"
 
 
 def sha256_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def run_state(digests: DataFrame, path: str, files_per_batch: int = 512) -> DataFrame:
-    """Stream the files below path (schema of digests) through keyed state: (digest, keep_id, group_size) of every digest."""
-    spark = digests.sparkSession
-    out = fresh_path(spark, "dedup-groups")
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-    for k, v in _STATE.items():
-        spark.conf.set(k, v)
-    try:
-        stream = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-        groups = stream.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        # A batch that runs again overwrites its own folder.
-        sink = groups.writeStream.outputMode("update").foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"))
-        query = sink.option("checkpointLocation", fresh_path(spark, "dedup-state")).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = "digest string, keep_id bigint, group_size bigint"
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{out}/epoch=-1")
-    updates = spark.read.schema(schema).parquet(out)
-    return updates.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, body, file, row) of a scan of files: the normalised text and where it is."""
+    body = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    return df.select(F.col(key).cast("long").alias("doc_id"), body.alias("body"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256_digest) -> DataFrame:
-    """(doc_id, digest, keep_id, group_size, kept) for every row of docs.
+def run_state(scan: DataFrame, path: str, state: str, key: str, text: str, digest=sha256_digest, files_per_batch: int = 512) -> DataFrame:
+    """Stream the files below path that the state has not seen through it: (digest, keep, group_size) of every digest so far.
 
-    Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest id stays; of
-    rows that share this id and text, each counts as kept (they are the same document twice); a null id never wins over
-    another, and a group of null ids only is kept whole. An empty table gives an empty table. Extra columns are ignored.
+    keep is the identifier and locator of the row that stays. state: a folder that all executors share.
     """
-    spark = docs.sparkSession
-    norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), digest(norm).alias("digest"))
-    path = fresh_path(spark, "dedup-digests")
-    narrow.write.parquet(path)
-    digests = spark.read.schema(narrow.schema).parquet(path)
-    groups = save(run_state(digests, path), "dedup-state-table")
-
-    shared = groups.where("group_size > 1").select("digest", F.col("keep_id").alias("rep"), F.col("group_size").alias("n"))
-    hits = digests.join(shared, "digest")  # narrow; a hot digest is a skewed join, which adaptive execution splits
-    ids = small_or_not(hits.select(F.col("doc_id").alias("_id")).distinct())
-    held = docs.select(F.col(key).cast("long").alias("doc_id"), norm.alias("body")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    held = held.select("doc_id", "body", digest(F.col("body")).alias("digest"))
-    located = held.join(shared, "digest")
-    locator = shared.select(F.col("digest").alias("_d"), F.col("rep").alias("_r"))
-    named = held.join(locator, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_r")))
-    reps = named.groupBy("digest").agg(F.min("body").alias("rep_body"))
-    # The whole bytes of each hit against those that the state's locator names.
-    differing = located.join(reps, "digest").where("body <> rep_body").select("doc_id", "digest", "body")
-    differing = save(differing, "dedup-differing")
-    verified = digests.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size")
-    if not differing.isEmpty():
-        verified = _split(docs, key, norm, digest, groups, differing)
+    spark, out = scan.sparkSession, f"{state}/groups"
+    with settings(spark, _STATE):
+        stream = spark.readStream.schema(scan.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+        rows = _plain(stream, key, text).select("doc_id", "file", "row", digest(F.col("body")).alias("digest"))
+        groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        # A batch that runs again overwrites its own folder.
+        sink = groups.writeStream.outputMode("update").foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"))
+        sink.option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], _GROUPS).write.mode("overwrite").parquet(f"{out}/epoch=-1")
+    updates = spark.read.schema(_GROUPS).parquet(out)
+    return updates.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
+
+
+def dedup_files(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", digest=sha256_digest, state: str | None = None, files_per_batch: int = 512) -> DataFrame:
+    """exact_dedup of all rows of the Parquet files at path; state: the folder of an earlier run over them, to go on with."""
+    scan = spark.read.parquet(path)
+    groups = save(run_state(scan, path, state or fresh_path(spark, "dedup-state"), key, text, digest, files_per_batch), "dedup-groups")
+    rows = save(_plain(scan, key, text).select("doc_id", "file", "row", digest(F.col("body")).alias("digest")), "dedup-digests")
+    # Of rows that a hit may be, the whole bytes.
+    shared = groups.where("group_size > 1").select("digest")
+    hits = rows.join(small_or_not(shared), "digest", "left_semi").select("file", "row")  # a hot digest is a skewed join, which adaptive execution splits
+    held = _plain(scan, key, text).join(small_or_not(hits), ["file", "row"], "left_semi").withColumn("digest", digest(F.col("body")))
+    texts = held.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
+    broken = save(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-broken")
+    if broken.isEmpty():
+        verified = rows.join(groups, "digest").select("doc_id", "digest", F.col("keep.doc_id").alias("keep_id"), "group_size")
+    else:
+        verified = _split(_plain(scan, key, text).withColumn("digest", digest(F.col("body"))), groups, broken)
     return verified.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
-def _split(docs: DataFrame, key: str, norm: Column, digest, groups: DataFrame, differing: DataFrame) -> DataFrame:
+def _split(rows: DataFrame, groups: DataFrame, broken: DataFrame) -> DataFrame:
     """The same table when a digest stands for several texts: the rows of these digests are grouped by digest and bytes."""
-    broken = differing.select("digest").distinct()
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), norm.alias("body")).withColumn("digest", digest(F.col("body")))
-    inside = rows.join(broken, "digest", "left_semi")
+    inside = rows.join(broken, "digest", "left_semi").select("doc_id", "digest", "body")
     exact = inside.groupBy("digest", "body").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     inside = inside.join(exact, ["digest", "body"]).select("doc_id", "digest", "keep_id", "group_size")
-    outside = rows.select("doc_id", "digest").join(broken, "digest", "left_anti").join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size")
+    outside = rows.select("doc_id", "digest").join(broken, "digest", "left_anti").join(groups, "digest").select("doc_id", "digest", F.col("keep.doc_id").alias("keep_id"), "group_size")
     return inside.unionByName(outside)
+
+
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256_digest) -> DataFrame:
+    """(doc_id, digest, keep_id, group_size, kept) for every row of docs, whose two columns are written as files first.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest id stays; of
+    rows that share this id and text, each counts as kept (they are the same document twice); a null id never wins over
+    another, and a group of null ids only is kept whole. An empty table gives an empty table. Extra columns are ignored.
+    """
+    path = fresh_path(docs.sparkSession, "dedup-docs")
+    docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).write.option("compression", "zstd").parquet(path)
+    return dedup_files(docs.sparkSession, path, digest=digest)
