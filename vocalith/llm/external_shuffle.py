@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import partitions, small_or_not
 
 BUCKET_BYTES = 8 << 20
+#: Buckets that a task of the second pass takes at most, on average, and buckets whose counts are added up together.
+TASK_BUCKETS, RUN = 8, 4096
 
 
 def external_shuffle(docs: DataFrame, n_shards: int, text: str = "text", key: str = "doc_id", seed: int = 20240, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -37,9 +39,14 @@ def external_shuffle(docs: DataFrame, n_shards: int, text: str = "text", key: st
         F.struct(F.xxhash64(F.lit(seed + 1), F.col(key), at).alias("h"), at.alias("at"), F.struct(*names).alias("row")).alias("_record"),
     )
     counts = drawn.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    gathered = drawn.repartition(max(partitions(spark), min(n_buckets, 4096)), "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list("_record")).alias("_records"))
+    # Two levels: the counts of a run of buckets, then of the buckets inside it.
+    counts = counts.withColumn("_run", F.expr(f"_bucket div {RUN}"))
+    before = lambda by, order: by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy("_run").agg(F.sum("_n").alias("_m"))  # a row for RUN buckets
+    runs = runs.select("_run", F.coalesce(F.sum("_m").over(before(Window.partitionBy(), "_run")), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_n").over(before(Window.partitionBy("_run"), "_bucket")), F.lit(0))
+    offsets = counts.withColumn("_in", inside).join(runs, "_run").select("_bucket", (F.col("_start") + F.col("_in")).alias("_offset"))
+    gathered = drawn.repartition(max(partitions(spark), -(-n_buckets // TASK_BUCKETS)), "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list("_record")).alias("_records"))
     # Sorted so that each partition's random numbers meet the same buckets in the same order.
     mixed = gathered.sortWithinPartitions("_bucket").select("_bucket", F.posexplode(F.shuffle("_records", seed)).alias("_at", "_r"))
     placed = mixed.join(small_or_not(offsets), "_bucket").withColumn("_pos", F.col("_offset") + F.col("_at"))
