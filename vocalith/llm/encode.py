@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from . import bytescan
 
-STORE = 750_000
+STORE = 400_000
 #: Chunks encoded at a time.
 TOGETHER = 8_192
 

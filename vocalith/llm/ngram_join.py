@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import release, save, small_or_not
+from .common import FEW_ROWS, release, save, settings, small_or_not
 from .components import connected_components
 
 WORDS = 5
@@ -49,8 +49,10 @@ REACH = 0.15
 SMALL = 16
 #: Tokens that a bucket of step 1 and 2 should hold; rounds end when one links less than this share of the proposals.
 BUCKET_TOKENS, LEAST_LINKED, MOST_ROUNDS = 500_000, 0.02, 2
+#: Bytes of text whose sets are made at a time.
+SLICE_BYTES = 1 << 20
 #: Bytes of text whose prefixes are dealt to the buckets at a time.
-PREFIX_BYTES = 8 << 20
+PREFIX_BYTES = 4 << 20
 BLOCK, BLOCK_TOKENS, COLUMNS = 512, 250_000, 4096
 #: A band of sizes is wider than the least similarity allows two sets to differ.
 BAND = math.log(DEN / (NUM - 1))
@@ -103,7 +105,7 @@ def set_table(docs: DataFrame, key: str, text: str, bits: int = 64) -> DataFrame
 
     def run(batches):
         for whole in batches:
-            for batch in bytescan.slices(whole, text):
+            for batch in bytescan.slices(whole, text, SLICE_BYTES):
                 at = batch.schema.get_field_index
                 sets = shingle_sets(batch.column(at(text)))
                 names = [class_key(s, bits) if len(s) else (None, None) for s in sets]
@@ -196,7 +198,7 @@ def load_sets(docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFram
 
     def run(batches):
         for whole in batches:
-            for batch in bytescan.slices(whole, "_text"):
+            for batch in bytescan.slices(whole, "_text", SLICE_BYTES):
                 at = batch.schema.get_field_index
                 rows = [(k, s) for k, k2, s in zip(batch.column(at("k")).to_pylist(), batch.column(at("k2")).to_pylist(), shingle_sets(batch.column(at("_text")))) if len(s) and class_key(s)[1] == k2]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["k", "n", "tokens"])
@@ -419,18 +421,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members are null; an empty table gives an empty table. Extra columns are ignored. Sets are compared by the 64-bit
     hashes of their shingles. bits: how many name a class at first.
     """
-    table = renamed(save(set_table(docs, key, text, bits), "sets"))
-    classes = table.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("k2").alias("k2"), F.first("several").alias("several"))
-    n_tokens = table.agg(F.sum("n_shingles").alias("t")).first().t or 0
-    shared = shared_tokens(docs, text, int(n_tokens * (1 - NUM / DEN + REACH)), bits)
-    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(REACH)))
-    # What classes of one name share was not counted apart, so all of them stay.
-    in_reach = F.col("several") | (F.col("shared") >= needed)
-    reps = save(classes.join(shared, "k", "left").where(in_reach).select("k", "k2", "rep"), "reps")
-    sets = save(load_sets(docs, reps, key, text), "set-tokens")
-    held = save(postings(sets, frequent_tokens(sets)), "postings")
-    live = save(held.join(held.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sig", "left_semi"), "live")
-    roots = similar_classes(live, sets)
+    with settings(docs.sparkSession, FEW_ROWS):
+        table = renamed(save(set_table(docs, key, text, bits), "sets"))
+        classes = table.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("k2").alias("k2"), F.first("several").alias("several"))
+        n_tokens = table.agg(F.sum("n_shingles").alias("t")).first().t or 0
+        shared = shared_tokens(docs, text, int(n_tokens * (1 - NUM / DEN + REACH)), bits)
+        needed = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(REACH)))
+        # What classes of one name share was not counted apart, so all of them stay.
+        in_reach = F.col("several") | (F.col("shared") >= needed)
+        reps = save(classes.join(shared, "k", "left").where(in_reach).select("k", "k2", "rep"), "reps")
+        sets = save(load_sets(docs, reps, key, text), "set-tokens")
+        held = save(postings(sets, frequent_tokens(sets)), "postings")
+        live = save(held.join(held.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sig", "left_semi"), "live")
+        roots = similar_classes(live, sets)
     named = roots.join(classes.select(F.col("k").alias("node"), "rep"), "node")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("k"), "least")
     of = classes.join(small_or_not(save(named, "named")), "k", "left").select("k", F.coalesce("least", "rep").alias("component"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import save, small_or_not
+from .common import FEW_ROWS, release, save, settings, small_or_not
 from .encode import encoder, tokenizer_path
 
 END = 0
@@ -87,7 +87,7 @@ def tokenize(docs: DataFrame, key: str, text: str, capacity: int, tokenizer: str
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for whole in batches:
-            for batch in bytescan.slices(whole, text):
+            for batch in bytescan.slices(whole, text, 1 << 20):
                 flat, first = enc.ids(batch.column(batch.schema.get_field_index(text)))
                 n_docs, size = len(first) - 1, np.diff(first)
                 ids = np.full(len(flat) + n_docs, END, "<u4")
@@ -112,6 +112,7 @@ def tokenize(docs: DataFrame, key: str, text: str, capacity: int, tokenizer: str
                 if with_ids:
                     columns.append(pa.array([raw[4 * i : 4 * (i + k)].tobytes() for i, k in zip(a.tolist(), n.tolist())], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
@@ -126,7 +127,8 @@ def pack(docs: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str =
     ignored. ids are little-endian unsigned 32-bit.
     """
     spark = docs.sparkSession
-    pieces = save(tokenize(docs, key, text, capacity, tokenizer or tokenizer_path(), with_ids), "pieces")
+    with settings(spark, FEW_ROWS):
+        pieces = save(tokenize(docs, key, text, capacity, tokenizer or tokenizer_path(), with_ids), "pieces")
     counts = save(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

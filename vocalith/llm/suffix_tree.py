@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import crc_fold, fresh_path, partitions, save
+from .common import FEW_ROWS, crc_fold, fresh_path, partitions, release, save, settings
 
 
 
@@ -257,7 +257,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     """
     total_bytes = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 16).alias("b")).first().b or 0
     n_buckets = max(1, -(-total_bytes // (6 * BUCKET_TOKENS)))
-    blocks = in_buckets(make_blocks(docs, key, text, folds, held_out), max(partitions(docs.sparkSession), total_bytes // (4 * BLOCK_BYTES)), "lm_blocks")
+    with settings(docs.sparkSession, FEW_ROWS):
+        blocks = in_buckets(make_blocks(docs, key, text, folds, held_out), max(partitions(docs.sparkSession), total_bytes // (4 * BLOCK_BYTES)), "lm_blocks")
     n = blocks.agg(F.sum("learned").alias("n")).first().n or 0
 
     def ask(block: pa.Table) -> pa.Table:
