@@ -97,6 +97,9 @@ def test_contexts_of_words(spark, monkeypatch):
 def test_packing_of_sums():
     counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
     assert suffix_tree.read_counts(suffix_tree.pack_counts(counts), len(counts)).tolist() == counts.tolist()
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
+    for some in (keys, keys[:1], np.array([0, 2**64 - 1], np.uint64)):
+        assert suffix_tree.read_keys(suffix_tree.pack_keys(some)).tolist() == some.tolist()
     x = np.array([0.0, 1.0, -3.75, 1 / 3, 1e6 + 0.3, -1e-7])
     back = suffix_tree.read_numbers(suffix_tree.pack_numbers(x), len(x))
     assert np.allclose(back, x, rtol=2**-16, atol=0) and back[:3].tolist() == x[:3].tolist()

@@ -162,6 +162,16 @@ class Runs:
         return np.log10(p)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Keys in their order as the steps between them, byte by byte of all of them; the upper bytes of steps are few."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def read_keys(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(planes).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def pack_counts(x: np.ndarray) -> bytes:
     """Counts as bytes, most of which are small; those of 255 or more follow at the end."""
     return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
@@ -195,7 +205,7 @@ def _packed(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, n_buckets
         "kind": pa.array([kind] * len(rows), pa.int32()),
         "bucket": pa.array([b for b, *_ in rows], pa.int32()),
         "block": pa.array([block] * len(rows), pa.int64()),
-        "keys": pa.array([keys[x:y].astype("<u8").tobytes() for _, x, y in rows], pa.binary()),
+        "keys": pa.array([pack_keys(keys[x:y]) for _, x, y in rows], pa.binary()),
         "sums": pa.array([pack(x, y) for _, x, y in rows], pa.binary()),
     }
     return pa.table(columns)
@@ -209,7 +219,7 @@ def summed(asked: DataFrame, divergence: float | None = None) -> DataFrame:
     """
 
     def run(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_py(), "<u8") for k in t.column("keys")]
+        keys = [read_keys(k.as_py()) for k in t.column("keys")]
         uniq, which = np.unique(np.concatenate(keys), return_inverse=True)
         rows = [(raw.as_py(), len(k)) for raw, k in zip(t.column("sums"), keys)]
 
