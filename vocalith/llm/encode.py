@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from . import bytescan
 
-STORE = 1_000_000
+STORE = 1_500_000
 #: Chunks encoded at a time.
 TOGETHER = 8_192
 
