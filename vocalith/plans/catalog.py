@@ -30,8 +30,12 @@ def _q(sql: str | None = None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir, or in a folder of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    """A fresh path in spark.checkpoint.dir; in local mode, where that is unset, in a folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
