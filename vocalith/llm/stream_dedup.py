@@ -38,11 +38,12 @@ def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
 def run_state(scan: DataFrame, path: str, state: str, key: str, text: str, digest=sha256_digest, files_per_batch: int = 512) -> DataFrame:
     """Stream the files below path that the state has not seen through it: (digest, keep, group_size) of every digest so far.
 
-    keep is the identifier and locator of the row that stays. state: a folder that all executors share.
+    keep is the identifier and locator of the row that stays. path: a file or a folder. state: a folder that all executors share.
     """
     spark, out = scan.sparkSession, f"{state}/groups"
+    files = f"{path[:-1]}[{path[-1]}]"  # a stream takes a plain path for a folder, a pattern for folder or file
     with settings(spark, _STATE):
-        stream = spark.readStream.schema(scan.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+        stream = spark.readStream.schema(scan.schema).option("maxFilesPerTrigger", files_per_batch).parquet(files)
         rows = _plain(stream, key, text).select("doc_id", "file", "row", digest(F.col("body")).alias("digest"))
         groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         # A batch that runs again overwrites its own folder.
@@ -55,6 +56,7 @@ def run_state(scan: DataFrame, path: str, state: str, key: str, text: str, diges
 
 def dedup_files(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", digest=sha256_digest, state: str | None = None, files_per_batch: int = 512) -> DataFrame:
     """exact_dedup of all rows of the Parquet files at path; state: the folder of an earlier run over them, to go on with."""
+    path = path.rstrip("/")
     scan = spark.read.parquet(path)
     groups = save(run_state(scan, path, state or fresh_path(spark, "dedup-state"), key, text, digest, files_per_batch), "dedup-groups")
     rows = save(_plain(scan, key, text).select("doc_id", "file", "row", digest(F.col("body")).alias("digest")), "dedup-digests")
