@@ -9,9 +9,10 @@ follow s (Witten-Bell). At the root a known symbol has c/(N+V); all unknown word
 
 Counts are gathered and given back by exchanges of sums. The texts become blocks of bounded size, stored in buckets and
 never shuffled. A block asks for each of its distinct runs once, with its own count; the runs are dealt by hash, summed,
-and the sums return to the block, which alone knows its texts. A run of k symbols is asked for only where the run before
-its last symbol may be a context. What the tests need are sums over occurrences too: the gain is that of
-log c(sx)/c(s) - log c(s'x)/c(s'), and K(s) that of 1/c(sx). A hot word or run is one entry per block, in every exchange.
+and the sums return to the block, which alone knows its texts: once, into buckets beside it. A run of k symbols is asked
+for only where the run before its last symbol may be a context. What the tests need are sums over occurrences too: the
+gain is that of log c(sx)/c(s) - log c(s'x)/c(s'), and K(s) that of 1/c(sx). A hot word or run is one entry per block, in
+every exchange.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import FEW_ROWS, crc_fold, fresh_path, partitions, release, save, settings
+from .common import FEW_ROWS, crc_fold, fresh_path, partitions, settings
 
 
 
@@ -72,11 +73,17 @@ def make_blocks(docs: DataFrame, key: str, text: str, folds: int, held_out: int)
     return plain.mapInArrow(run, _STATE)
 
 
-def in_buckets(df: DataFrame, n_buckets: int, name: str) -> DataFrame:
-    """df written as a table in buckets of its blocks, so that groupings by block move none of its rows."""
-    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(n_buckets, "block").sortBy("block").option("path", fresh_path(spark, name)).option("compression", "zstd").format("parquet").saveAsTable(table)
-    return spark.table(table)
+class Buckets:
+    """A table in buckets of its blocks, written part by part: groupings by block move none of its rows."""
+
+    def __init__(self, spark: SparkSession, n_buckets: int, name: str):
+        self.spark, self.n, self.path, self.table = spark, n_buckets, fresh_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The whole table, with the rows of df, which may come from the parts before."""
+        out = df.write.mode("append").bucketBy(self.n, "block").sortBy("block").option("path", self.path).option("compression", "zstd")
+        out.format("parquet").saveAsTable(self.table)
+        return self.spark.table(self.table)
 
 
 class Runs:
@@ -267,8 +274,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     """
     total_bytes = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 16).alias("b")).first().b or 0
     n_buckets = max(1, -(-total_bytes // (6 * BUCKET_TOKENS)))
-    with settings(docs.sparkSession, FEW_ROWS):
-        blocks = in_buckets(make_blocks(docs, key, text, folds, held_out), max(partitions(docs.sparkSession), total_bytes // (4 * BLOCK_BYTES)), "lm_blocks")
+    spark, n_tasks = docs.sparkSession, max(partitions(docs.sparkSession), total_bytes // (4 * BLOCK_BYTES))
+    with settings(spark, FEW_ROWS):
+        blocks = Buckets(spark, n_tasks, "lm_blocks").add(make_blocks(docs, key, text, folds, held_out))
     n = blocks.agg(F.sum("learned").alias("n")).first().n or 0
 
     def ask(block: pa.Table) -> pa.Table:
@@ -286,12 +294,17 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
         runs, _ = _known(block, told, shape.depth + 1, shape)
         return pa.concat_tables([_packed(_CONTEXT + k, block.column("block")[0].as_py(), *runs.ask_contexts(k, n)[:2], n_buckets) for k in range(1, shape.depth + 1)])
 
+    sums = Buckets(spark, n_tasks, "lm_sums")
+
+    def add(asked: DataFrame, divergence: float | None = None) -> DataFrame:
+        return sums.add(summed(asked, divergence).repartition(n_tasks, "block"))  # one file a bucket
+
     by_block = blocks.groupBy("block")
-    told = save(summed(by_block.applyInArrow(ask, _ASK)), "lm-counts")
+    told = add(by_block.applyInArrow(ask, _ASK))
     v = (told.where("kind = 1").agg(F.sum("kinds").alias("v")).first().v or 0) - (n > 0)  # the start is no kind
     for k in range(3, shape.depth + 2):
-        told = told.unionByName(save(summed(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_more(k), _ASK)), f"lm-counts-{k}"))
-    kept = save(summed(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_contexts, _ASK), shape.divergence), "lm-contexts")
+        told = add(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_more(k), _ASK))
+    told = add(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_contexts, _ASK), shape.divergence)
 
     def score(block: pa.Table, told: pa.Table) -> pa.Table:
         runs, of = _known(block, told, shape.depth + 1, shape)
@@ -312,4 +325,4 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
         return pa.table(columns)
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_block.cogroup(told.unionByName(kept).groupBy("block")).applyInArrow(score, out)
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(score, out)
