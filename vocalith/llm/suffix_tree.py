@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import FEW_ROWS, crc_fold, fresh_path, partitions, settings
+from .common import FEW_ROWS, crc_fold, drop_shuffles, fresh_path, partitions, settings
 
 
 
@@ -301,10 +301,13 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
 
     by_block = blocks.groupBy("block")
     told = add(by_block.applyInArrow(ask, _ASK))
+    drop_shuffles(spark)  # the sums are in their table
     v = (told.where("kind = 1").agg(F.sum("kinds").alias("v")).first().v or 0) - (n > 0)  # the start is no kind
     for k in range(3, shape.depth + 2):
         told = add(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_more(k), _ASK))
+        drop_shuffles(spark)
     told = add(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_contexts, _ASK), shape.divergence)
+    drop_shuffles(spark)
 
     def score(block: pa.Table, told: pa.Table) -> pa.Table:
         runs, of = _known(block, told, shape.depth + 1, shape)
