@@ -93,11 +93,16 @@ def win_counts(table: DataFrame, models: list[str]) -> DataFrame:
     return table.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"mean_{m}") for m in models])
 
 
+def _first_words(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """(keys, _r, _h, n): how often two first words meet, counted before any join, so that a hot word is few rows there."""
+    firsts = pairs.select(*keys, first_word(F.col(ref)).alias("_r"), first_word(F.col(hyp)).alias("_h"))
+    return firsts.groupBy(*keys, "_r", "_h").agg(F.count(F.lit(1)).alias("n"))
+
+
 def word_confusion(pairs: DataFrame, dictionary: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """First words on canonical forms: (keys, word, pred, n, total)."""
-    firsts = pairs.select(*keys, first_word(F.col(ref)).alias("_r"), first_word(F.col(hyp)).alias("_h"))
-    both = canonical_word(canonical_word(firsts, "_r", dictionary, "word"), "_h", dictionary, "pred")
-    counts = both.groupBy(*keys, "word", "pred").agg(F.count(F.lit(1)).alias("n"))
+    both = canonical_word(canonical_word(_first_words(pairs, keys, ref, hyp), "_r", dictionary, "word"), "_h", dictionary, "pred")
+    counts = both.groupBy(*keys, "word", "pred").agg(F.sum("n").alias("n"))
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "word")))
 
 
@@ -114,10 +119,9 @@ def word_accuracy(pairs: DataFrame, dictionary: DataFrame, keys: list[str], stri
     A prediction is correct when its canonical form is the word's; with strict, words without a dictionary entry are
     never correct.
     """
-    firsts = pairs.select(*keys, first_word(F.col("ref")).alias("_r"), first_word(F.col("hyp")).alias("_h"))
-    both = canonical_word(canonical_word(firsts, "_r", dictionary, "word"), "_h", dictionary, "_p")
+    both = canonical_word(canonical_word(_first_words(pairs, keys), "_r", dictionary, "word"), "_h", dictionary, "_p")
     known = dictionary.select(F.col("canonical").alias("word")).distinct().withColumn("_known", F.lit(True))
-    counts = both.groupBy(*keys, "word", "_h", "_p").agg(F.count(F.lit(1)).alias("n")).join(known, "word", "left")
+    counts = both.groupBy(*keys, "word", "_h", "_p").agg(F.sum("n").alias("n")).join(known, "word", "left")
     ok = (F.col("_p") == F.col("word")) & (F.col("_known").isNotNull() if strict else F.lit(True))
     ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "word").orderBy(F.desc("n"), "_h")))
     best = F.array_sort(F.collect_list(F.when(F.col("_rank") <= top, F.struct("_rank", F.concat_ws(":", "_h", F.col("n").cast("string")).alias("s")))))

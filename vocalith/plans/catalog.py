@@ -219,43 +219,45 @@ def win_bucket(spark, sf_dir):  # J3, G10
     return out.select("bucket", "n", *[r6(f"mean_{m}") for m in models])
 
 
-_FIRST = f"""{B.DICT}, f AS (SELECT lang AS model, coalesce(w[1], '') AS r, coalesce(w[2], '') AS h FROM (SELECT lang, {B.words_sql(B.basic_sql("text"))} AS w FROM documents)),
+_NEXT = f"""{B.DICT}, f AS (SELECT lang AS model, coalesce(w[i], '') AS r, coalesce(w[i + 1], '') AS h FROM (SELECT *, unnest(range(1, greatest(len(w), 1) + 1)) AS i FROM (SELECT lang, {B.words_sql(B.basic_sql("text"))} AS w FROM documents))),
 can AS (SELECT f.*, coalesce(a.canonical, r) AS word, coalesce(b.canonical, h) AS pred FROM f LEFT JOIN dict a ON r = a.token LEFT JOIN dict b ON h = b.token)"""
 
 
-def _first_two(spark, sf_dir):
-    """First words as references and second words as what was understood; languages stand for models."""
-    w = T.words(T.norm_basic(F.col("text")))
-    return B.table(spark, sf_dir, "documents").select(F.col("lang").alias("model"), F.coalesce(F.get(w, 0), F.lit("")).alias("ref"), F.coalesce(F.get(w, 1), F.lit("")).alias("hyp"))
+def _neighbours(spark, sf_dir):
+    """Every word of every text as a reference and the next one, '' after the last, as what was understood; languages stand for models."""
+    w = B.table(spark, sf_dir, "documents").select(F.col("lang").alias("model"), T.words(T.norm_basic(F.col("text"))).alias("w"))
+    pair = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.struct(a.alias("ref"), b.alias("hyp")))
+    blank = lambda c: F.coalesce(f"pair.{c}", F.lit("")).alias(c)
+    return w.select("model", F.explode_outer(pair).alias("pair")).select("model", blank("ref"), blank("hyp"))
 
 
-@_q(f"WITH {_FIRST}, n AS (SELECT model, word, h, pred, count(*) AS n FROM can GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY model, word ORDER BY n DESC, h) AS rank FROM n) SELECT model, word, sum(n)::BIGINT AS total, sum(CASE WHEN pred = word THEN n ELSE 0 END)::BIGINT AS correct, string_agg(h || ':' || n, ';' ORDER BY rank) FILTER (rank <= 3) AS top_preds, sum(CASE WHEN pred = word THEN n ELSE 0 END) / sum(n) AS accuracy FROM k GROUP BY 1, 2")
+@_q(f"WITH {_NEXT}, n AS (SELECT model, word, h, pred, count(*) AS n FROM can GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY model, word ORDER BY n DESC, h) AS rank FROM n) SELECT model, word, sum(n)::BIGINT AS total, sum(CASE WHEN pred = word THEN n ELSE 0 END)::BIGINT AS correct, string_agg(h || ':' || n, ';' ORDER BY rank) FILTER (rank <= 3) AS top_preds, sum(CASE WHEN pred = word THEN n ELSE 0 END) / sum(n) AS accuracy FROM k GROUP BY 1, 2")
 def word_accuracy(spark, sf_dir):  # G11
-    return score.word_accuracy(_first_two(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"])
+    return score.word_accuracy(_neighbours(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"])
 
 
-@_q(f"WITH {_FIRST} SELECT model, word, pred, count(*) AS n, sum(count(*)) OVER (PARTITION BY model, word)::BIGINT AS total FROM can GROUP BY 1, 2, 3")
+@_q(f"WITH {_NEXT} SELECT model, word, pred, count(*) AS n, sum(count(*)) OVER (PARTITION BY model, word)::BIGINT AS total FROM can GROUP BY 1, 2, 3")
 def confusion_table(spark, sf_dir):  # G12
-    return score.word_confusion(_first_two(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"])
+    return score.word_confusion(_neighbours(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"])
 
 
-@_q(f"WITH {_FIRST}, e AS (SELECT model, word, count(*) AS total, count(*) FILTER (pred <> word) AS errors FROM can GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY errors DESC, word) AS rank FROM e) WHERE rank <= 15")
+@_q(f"WITH {_NEXT}, e AS (SELECT model, word, count(*) AS total, count(*) FILTER (pred <> word) AS errors FROM can GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY errors DESC, word) AS rank FROM e) WHERE rank <= 15")
 def most_mistaken(spark, sf_dir):  # G12, W10
-    return score.most_mistaken(score.word_confusion(_first_two(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"]), ["model"])
+    return score.most_mistaken(score.word_confusion(_neighbours(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"]), ["model"])
 
 
-@_q(f"WITH {_FIRST}, a AS (SELECT model, word, count(*) FILTER (pred = word) / count(*) AS acc FROM can GROUP BY 1, 2) SELECT word, {', '.join(f'''coalesce(max(acc) FILTER (model = '{m}'), 0.0) AS {m}''' for m in ('en', 'de', 'fr', 'es'))} FROM a GROUP BY 1")
+@_q(f"WITH {_NEXT}, a AS (SELECT model, word, count(*) FILTER (pred = word) / count(*) AS acc FROM can GROUP BY 1, 2) SELECT word, {', '.join(f'''coalesce(max(acc) FILTER (model = '{m}'), 0.0) AS {m}''' for m in ('en', 'de', 'fr', 'es'))} FROM a GROUP BY 1")
 def accuracy_pivot(spark, sf_dir):  # G13
-    a = score.word_accuracy(_first_two(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"])
+    a = score.word_accuracy(_neighbours(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"])
     return score.accuracy_pivot(a, ["en", "de", "fr", "es"])
 
 
 _LIST = ["the", "ing", "and", "tha", "ere"]
 
 
-@_q(f"WITH {_FIRST}, l(word) AS (VALUES {', '.join(f"('{w}')" for w in _LIST)}), c AS (SELECT word, pred, count(*) AS n FROM can WHERE word IN (SELECT word FROM l) GROUP BY 1, 2 UNION ALL SELECT a.word, b.word, 0 FROM l a, l b) SELECT word, pred, sum(n)::BIGINT AS n FROM c GROUP BY 1, 2")
+@_q(f"WITH {_NEXT}, l(word) AS (VALUES {', '.join(f"('{w}')" for w in _LIST)}), c AS (SELECT word, pred, count(*) AS n FROM can WHERE word IN (SELECT word FROM l) GROUP BY 1, 2 UNION ALL SELECT a.word, b.word, 0 FROM l a, l b) SELECT word, pred, sum(n)::BIGINT AS n FROM c GROUP BY 1, 2")
 def confusion_matrix(spark, sf_dir):  # G14
-    c = score.word_confusion(_first_two(spark, sf_dir), B.dictionary(spark, sf_dir), [])
+    c = score.word_confusion(_neighbours(spark, sf_dir), B.dictionary(spark, sf_dir), [])
     return score.confusion_matrix(c, _LIST)
 
 
