@@ -436,5 +436,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         roots = similar_classes(live, sets)
     named = roots.join(classes.select(F.col("k").alias("node"), "rep"), "node")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("k"), "least")
-    of = classes.join(small_or_not(save(named, "named")), "k", "left").select("k", F.coalesce("least", "rep").alias("component"))
-    return table.join(of, "k", "left").select("doc_id", "n_shingles", F.col("k").alias("class_id"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    # Stored, so that a join beyond the bound meets plain tables and Spark may split the rows of a class with many copies.
+    of = save(classes.join(small_or_not(save(named, "named")), "k", "left").select("k", F.coalesce("least", "rep").alias("component")), "class-components")
+    return table.join(small_or_not(of), "k", "left").select("doc_id", "n_shingles", F.col("k").alias("class_id"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
