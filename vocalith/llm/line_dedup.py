@@ -258,14 +258,14 @@ def _by_join(docs: DataFrame, key: str, text: str, least: int, table: DataFrame,
 
     A row is named by its id and the digest of its text, so what is gathered for it is never more than its own lines.
     """
-    own, lost = free(docs, "_text_digest"), free(docs, "_lost")
+    own, lost, i, d = (free(docs, c) for c in ("_text_digest", "_lost", "_of_id", "_of_text"))
     named = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     rows = docs.select(F.col(key).cast("long").alias("_id"), named.alias("_d"), text)
 
     asked = _digested(_suspects(rows, text, least, sent), {"_id": "long", "_d": "string"})
     gone = asked.join(table, "_digest").where(~F.col("_id").eqNullSafe(F.col("_keep")))
-    per = gone.groupBy("_id", "_d").agg(F.collect_set(F.substring("_digest", 1, 16)).alias(lost))
+    per = gone.groupBy(F.col("_id").alias(i), F.col("_d").alias(d)).agg(F.collect_set(F.substring("_digest", 1, 16)).alias(lost))
     marked = docs.withColumn(own, named)
-    on = marked[key].cast("long").eqNullSafe(per["_id"]) & (marked[own] == per["_d"])
+    on = marked[key].cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(d))
     joined = marked.join(per, on, "left").select(*docs.columns, lost)
     return joined.mapInArrow(_cutter(text, key, lost, names, None, least), schema)
