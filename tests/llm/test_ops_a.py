@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -268,6 +270,44 @@ def test_dedup_state_outlives_a_run(spark, tmp_path):
     assert (there.doc_id, there.text) == (41, "same")  # the locator leads to the row that stays
 
 
+def test_dedup_reads_files_of_any_age(spark, tmp_path):
+    """A file that is older than what the state has seen, in a folder whose name looks like a pattern, with a column `_metadata`."""
+    path, state = tmp_path / "docs [a]*{b}", "file://" + str(tmp_path / "state")
+
+    def add(rows, days):
+        before = set(path.glob("*.parquet")) if path.exists() else set()
+        spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, _metadata string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/new")
+        path.mkdir(exist_ok=True)
+        for f in (tmp_path / "new").glob("part-*.parquet"):
+            if path / f.name not in before:
+                f.rename(path / f.name)
+                os.utime(path / f.name, (time.time() - 86_400 * days,) * 2)
+
+    first, older = [(1, "x"), (2, "X"), (3, "y")], [(4, "x"), (5, "new")]
+    add(first, 0)
+    check_dedup(first, stream_dedup.dedup_files(spark, str(path), state=state).collect())
+    add(older, 30)
+    check_dedup(first + older, stream_dedup.dedup_files(spark, str(path), state=state).collect())
+    check_dedup(first + older, stream_dedup.dedup_files(spark, str(path)).collect())
+    one = next(path.glob("*.parquet"))
+    assert len(stream_dedup.dedup_files(spark, str(one)).collect()) in (2, 3)
+    one.rename(tmp_path / "gone.parquet")
+    with pytest.raises(ValueError, match="changed or removed"):
+        stream_dedup.dedup_files(spark, str(path), state=state)
+
+
+def test_rows_with_maps(spark, sf):
+    """Columns that Spark can neither order nor group are carried along."""
+    rows = [(1, "Same text", {"a": 1}), (1, "Same text", {"b": 2}), (2, "same TEXT", None), (2, "same text", {}), (None, "x", {"c": 3}), (3, "w " * 9, {"d": 4})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>")
+    out = external_shuffle.external_shuffle(docs, 3)
+    assert out.columns == ["doc_id", "text", "tags", "shard", "slot"]
+    assert sorted(map(str, ((r.doc_id, r.text, r.tags) for r in out.collect()))) == sorted(map(str, rows))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        left = stage(spark, docs, sf)
+        assert left.dtypes == docs.dtypes and 3 <= left.count() <= len(rows)
+
+
 # --- decontamination
 
 

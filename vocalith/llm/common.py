@@ -75,6 +75,11 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def orderable(df: DataFrame, name: str) -> Column:
+    """A column, or its JSON where its type holds a map, which Spark can neither order nor group."""
+    return F.to_json(F.struct(df[name])) if "map<" in df.schema[name].dataType.simpleString() else df[name]
+
+
 def release() -> None:
     """Give memory that a Python worker holds but does not use back to the system."""
     pa.default_memory_pool().release_unused()

@@ -36,7 +36,8 @@ def external_shuffle(docs: DataFrame, n_shards: int, text: str = "text", key: st
     # Two draws: the bucket, and the order in which a bucket is gathered, so that its shuffle always begins alike.
     drawn = docs.select(
         F.pmod(F.xxhash64(F.lit(seed), F.col(key), at), F.lit(n_buckets)).cast("int").alias("_bucket"),
-        F.struct(F.xxhash64(F.lit(seed + 1), F.col(key), at).alias("h"), at.alias("at"), F.struct(*names).alias("row")).alias("_record"),
+        F.struct(F.xxhash64(F.lit(seed + 1), F.col(key), at).alias("h"), at.alias("at")).alias("_order"),
+        F.struct(*names).alias("_row"),
     )
     counts = drawn.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # Two levels: the counts of a run of buckets, then of the buckets inside it.
@@ -46,13 +47,18 @@ def external_shuffle(docs: DataFrame, n_shards: int, text: str = "text", key: st
     runs = runs.select("_run", F.coalesce(F.sum("_m").over(before(Window.partitionBy(), "_run")), F.lit(0)).alias("_start"))
     inside = F.coalesce(F.sum("_n").over(before(Window.partitionBy("_run"), "_bucket")), F.lit(0))
     offsets = counts.withColumn("_in", inside).join(runs, "_run").select("_bucket", (F.col("_start") + F.col("_in")).alias("_offset"))
-    gathered = drawn.repartition(max(partitions(spark), -(-n_buckets // TASK_BUCKETS)), "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list("_record")).alias("_records"))
+    gathered = drawn.repartition(max(partitions(spark), -(-n_buckets // TASK_BUCKETS)), "_bucket").groupBy("_bucket").agg(F.collect_list(F.struct("_order", "_row")).alias("_records"))
+    if "map<" in docs.schema.simpleString():  # rows that have no order: only the draws are compared
+        by_draw = lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0)
+        gathered = gathered.select("_bucket", F.array_sort("_records", by_draw).alias("_records"))
+    else:
+        gathered = gathered.select("_bucket", F.sort_array("_records").alias("_records"))
     # Sorted so that each partition's random numbers meet the same buckets in the same order.
     mixed = gathered.sortWithinPartitions("_bucket").select("_bucket", F.posexplode(F.shuffle("_records", seed)).alias("_at", "_r"))
     placed = mixed.join(small_or_not(offsets), "_bucket").withColumn("_pos", F.col("_offset") + F.col("_at"))
     placed = placed.withColumn("shard", F.expr(f"cast(((_pos + 1) * {n_shards} - 1) div {max(rows, 1)} as int)"))
     first = F.expr(f"(cast(shard as bigint) * {rows}) div {n_shards}")
-    return placed.withColumn("slot", F.col("_pos") - first).select("_r.row.*", "shard", "slot")
+    return placed.withColumn("slot", F.col("_pos") - first).select("_r._row.*", "shard", "slot")
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
