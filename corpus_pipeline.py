@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.llm import decontaminate, ngram_join, packing, stream_dedup, toxicity
-from vocalith.llm.common import ascii_lower, crc_fold, free, save, small_or_not, table
+from vocalith.llm.common import ascii_lower, crc_fold, free, orderable, save, small_or_not, table
 
 #: No SQL can restate trained scores and a tokenizer; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
@@ -48,7 +48,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     i, d = free(once, "_id"), free(once, "_d")
     twice = small_or_not(repeated.select(F.col("doc_id").alias(i), F.col(own).alias(d)))
     rows = once.join(twice, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(d)), "left_semi")
-    first = rows.groupBy(keys).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias(i))
+    first = rows.groupBy(keys).agg(F.min_by(F.struct(*docs.columns), F.struct(*[orderable(rows, c) for c in ("text", *[c for c in docs.columns if c != "text"])])).alias(i))
     return _without(once, repeated, keys).drop(own).unionByName(first.select(f"{i}.*").select(docs.columns))
 
 
@@ -58,7 +58,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         # Ids do not name rows: their places in the order of ids do.
         key = free(docs, "_place")
-        order = [F.col("doc_id").asc_nulls_last(), *[F.col(c) for c in docs.columns if c != "doc_id"]]
+        order = [F.col("doc_id").asc_nulls_last(), *[orderable(docs, c) for c in docs.columns if c != "doc_id"]]
         rows = save(docs.orderBy(order).withColumn(key, F.monotonically_increasing_id()), "pipeline-places")
     found = ngram_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"))
     near = save(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "pipeline-near")
