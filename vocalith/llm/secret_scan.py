@@ -133,18 +133,43 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     length = F.transform(found, F.length) if rule.group == 0 else F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length)
     gaps = F.split(text, rule.pattern, -1)
-    # Each match begins where the gaps and matches before it end.
     steps = F.zip_with(F.slice(gaps, 1, F.size(found)), F.zip_with(found, length, lambda m, n: F.struct(F.length(m).alias("m"), n.alias("n"))), lambda g, x: F.struct(F.length(g).alias("g"), x.m.alias("m"), x.n.alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    walked = F.filter(_walk(steps, rank), lambda s: s["n"] >= rule.least)
+    spans = F.transform(walked, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), spans).otherwise(none)
 
-    def step(acc, x):
-        begin = acc.at + x.g
-        end = begin + x.m
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x.n >= rule.least, F.concat(acc.out, F.array(span))).otherwise(acc.out).alias("out"))
 
-    walked = F.aggregate(steps, start, step, lambda acc: acc.out)
-    return F.when(F.rlike(text, F.lit(rule.pattern)), walked).otherwise(start.out)
+def _walk(steps: Column, rank: int) -> Column:
+    """Where the matches of (gap, match length, group length) begin and end: each where the gaps and matches before it end.
+
+    A list that grows in an aggregate is copied at every step, so the matches are walked in runs of about the square root
+    of their number: first the lengths of the runs, then each run from where it begins.
+    """
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(steps))).cast("int"))
+
+    def of_runs(packed: Column) -> Column:
+        n = packed["size"]
+        cuts = F.sequence(F.lit(0), F.floor((F.size(packed["steps"]) - 1) / n).cast("int"))
+        runs = F.transform(cuts, lambda i: F.slice(packed["steps"], i * n + 1, n))
+        begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["g"] + x["m"])
+        starts = F.aggregate(runs, begun, lambda acc, run: F.struct((acc["at"] + total(run)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+        def walk(run: Column, start: Column) -> Column:
+            at = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,n:int>>").alias("out"))
+
+            def step(acc, x):
+                begin = acc["at"] + x["g"]
+                span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["m"]).alias("end"), x["n"].alias("n"))
+                return F.struct((begin + x["m"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+            return F.aggregate(run, at, step, lambda acc: acc["out"])
+
+        return F.flatten(F.zip_with(runs, starts, walk))
+
+    # One element, so that the runs and their size are made once.
+    return F.flatten(F.transform(F.array(F.struct(steps.alias("steps"), size.alias("size"))), of_runs))
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
