@@ -179,13 +179,6 @@ def test_places(spark, monkeypatch):
     assert sorted(r.ix for r in placed) == list(range(300)) and {r.n for r in placed} == {300}
 
 
-def test_draws_in_runs(spark, monkeypatch):
-    groups = spark.createDataFrame([("g", 10), ("h", 1)], "g string, n long")
-    once = sorted(map(tuple, stats.draws(groups, ["g"], 5, 3).collect()))
-    monkeypatch.setattr(stats, "SLOTS", 3)
-    assert sorted(map(tuple, stats.draws(groups, ["g"], 5, 3).collect())) == once and sum(x[-1] for x in once) == 55
-
-
 def test_row_bootstrap_draws_from_all_rows(spark):
     """A replicate draws from all rows of a side, so that a layer of few rows is missing from some replicates."""
     rows = [("m", s, f"{s}{u}", layer, 1.0, [0.5, 0.5]) for s in ("adult", "child") for u in range(6) for layer in ((0, 1) if u == 0 else (0,))]
@@ -239,7 +232,7 @@ def test_model_alignment_fails_loudly(spark):
 def test_fdr(spark):
     def adjusted(ps):
         df = spark.createDataFrame([("f", i, p) for i, p in enumerate(ps)], "f string, i int, p double")
-        return [(round(r.p_adj, 6), r.significant) for r in stats.fdr_over_family(df, ["f"], ["i"]).orderBy("i").collect()]
+        return [(round(r.p_adj, 6), r.significant) for r in stats.fdr_over_family(df, ["f"]).orderBy("i").collect()]
 
     assert adjusted([0.01, 0.02, 0.03, 0.04]) == [(0.04, True)] * 4
     assert adjusted([0.04, 0.001, 0.5]) == [(0.06, False), (0.003, True), (0.5, False)]
@@ -248,8 +241,6 @@ def test_fdr(spark):
 
 def test_bootstrap(spark):
     u = spark.createDataFrame([("g", f"s{i}", i % 3, (i * 7) % 5, 10) for i in range(12)], "g string, speaker string, errors_a long, errors_b long, words long")
-    d = stats.draws(stats.numbered_units(u, ["g"]).groupBy("g").agg(F.first("n").alias("n")), ["g"], 50, 3)
-    assert all(r.m == 12 for r in d.groupBy("replicate").agg(F.sum("m").alias("m")).collect())
     a = [tuple(r) for r in stats.paired_bootstrap(u, ["g"], 50, 3).orderBy("replicate").collect()]
     assert a == [tuple(r) for r in stats.paired_bootstrap(u.repartition(7), ["g"], 50, 3).orderBy("replicate").collect()] and len(a) == 50
     same = u.withColumn("errors_b", F.col("errors_a"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vocalith.functions.text import basename, path_candidates, words
 from vocalith.operators.align import word_edit_distance
-from vocalith.operators.ranks import quantiles
+from vocalith.operators.ranks import quantiles, running_total
 
 
 def drop_empty_reference(manifest: DataFrame, text: str = "text") -> DataFrame:
@@ -80,9 +80,13 @@ def oracle_wer_filter(manifest: DataFrame, ref: str, oracle: str, most: float =
 
 
 def pack_short_clips(manifest: DataFrame, seconds: float, speaker: str = "speaker", order: str = "audio_filepath") -> DataFrame:
-    """C4: clips of a speaker, in order, in groups of about so many seconds: (speaker, pack, clips, duration, text)."""
-    before = Window.partitionBy(speaker).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    grouped = manifest.withColumn("pack", F.floor(F.coalesce(F.sum("duration").over(before), F.lit(0.0)) / seconds).cast("long"))
+    """C4: clips of a speaker, in order, in groups of about so many seconds: (speaker, pack, clips, duration, text).
+
+    The seconds before a clip are a running total over ranges, so a speaker's clips may lie in many tasks, and what is
+    gathered is one pack. Clips of equal order stand by their text. A clip without a positive duration holds no sound and goes.
+    """
+    placed = running_total(manifest.where("duration > 0"), [speaker], [order, "text"], "duration", "_sec")
+    grouped = placed.withColumn("pack", F.floor(F.col("_sec") / seconds).cast("long"))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), " ")
     return grouped.groupBy(speaker, "pack").agg(F.count(F.lit(1)).alias("clips"), F.sum("duration").alias("duration"), texts.alias("text"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Ranges of a value order; its edges are estimates, which shift the sizes of ranges but no place.
 VALUE_RANGES = 256
@@ -20,25 +21,74 @@ def hash_range(order: Column) -> Column:
     return F.shiftright(order, 54)
 
 
-def _beside(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def beside(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """df with the columns that small has for its keys; null keys meet."""
     named = small.select([F.col(k).alias(f"_key_{k}") for k in keys] + [c for c in small.columns if c not in keys])
     same = F.lit(True)
     for k in keys:
         same = same & df[k].eqNullSafe(F.col(f"_key_{k}"))
-    return df.join(named, same).drop(*[f"_key_{k}" for k in keys])
+    return df.join(named, same, how).drop(*[f"_key_{k}" for k in keys])
 
 
 def _before(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def value_ranges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with `_r`, one of VALUE_RANGES ranges of a number inside its group; equal values share one."""
+    marks = [i / VALUE_RANGES for i in range(1, VALUE_RANGES)]
+    edges = df.groupBy(*keys).agg(F.percentile_approx(value, marks, 10_000).alias("_e"))
+    return beside(df, edges, keys).withColumn("_r", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+
+
+def over_ranges(per: DataFrame, keys: list[str], value: str, name: str, total: str | None = None, later: bool = False) -> DataFrame:
+    """(keys, _r, name[, total]): the sum of the values of the ranges before each and of all, or with later the least of those after it (null for the last).
+
+    per has one row per range, so a group is one array of at most VALUE_RANGES + 1 entries.
+    """
+    held = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_r", F.col(value).alias("x")))).alias("_a"))
+    zero = F.lit(0).cast(per.schema[value].dataType)
+    added = lambda some: F.aggregate(some, zero, lambda s, e: s + e["x"])
+    if later:
+        other = lambda i: F.array_min(F.transform(F.slice("_a", i + 2, F.size("_a")), lambda e: e["x"]))
+    else:
+        other = lambda i: added(F.slice("_a", F.lit(1), i))
+    each = F.transform("_a", lambda e, i: F.struct(e["_r"].alias("_r"), other(i).alias("y")))
+    sums = [added(F.col("_a")).alias(total)] if total else []
+    return held.select(*keys, *sums, F.explode(each).alias("_x")).select(*keys, F.col("_x._r").alias("_r"), F.col("_x.y").alias(name), *([total] if total else []))
+
+
+def order_number(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """df with `_v`, a number that never falls where the order rises: the value, or six bytes of a text behind what all texts of its group begin with."""
+    if not isinstance(df.schema[order].dataType, StringType):
+        return df.withColumn("_v", F.col(order).cast("double"))
+    ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    alike = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("_lo"), F.length("_hi")))), lambda i: F.substring("_lo", F.lit(1), i) == F.substring("_hi", F.lit(1), i))
+    both = beside(df, ends.select(*keys, F.size(alike).alias("_n")), keys)
+    six = F.substring(F.encode(F.substring(F.col(order), F.col("_n") + 1, F.lit(6)), "UTF-8"), 1, 6)
+    return both.withColumn("_v", F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")).drop("_n")
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str = "_before") -> DataFrame:
+    """df with the total of an amount over the rows of its group that stand before it; order: columns, the first of which parts the group into ranges.
+
+    A segmented scan with carry: sums of ranges, what is carried into each, then the rows inside a range. Amounts add up as
+    doubles; null counts as 0.
+    """
+    own = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
+    rows = value_ranges(order_number(df, keys, order[0]), keys, "_v").withColumn("_w", own).drop("_v")
+    carried = over_ranges(rows.groupBy(*keys, "_r").agg(F.sum("_w").alias("_s")), keys, "_s", "_carry")
+    inside = F.coalesce(F.sum("_w").over(Window.partitionBy(*keys, "_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = beside(rows.withColumn("_i", inside), carried, [*keys, "_r"])
+    return placed.withColumn(name, F.col("_carry") + F.col("_i")).drop("_r", "_w", "_i", "_carry")
+
+
 def _numbered(df: DataFrame, keys: list[str], order: list[Column], place: str, size: str) -> DataFrame:
     """df, which has its range in _r, with the place of each row (from 0) and the size of its group; _r goes."""
     per = df.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_c"))  # a few rows per group
     per = per.withColumns({"_b": F.coalesce(F.sum("_c").over(_before(keys)), F.lit(0)), size: F.sum("_c").over(Window.partitionBy(*keys))}).drop("_c")
     inside = F.row_number().over(Window.partitionBy(*keys, "_r").orderBy(*order)) - 1
-    return _beside(df.withColumn("_p", inside), per, [*keys, "_r"]).withColumn(place, F.col("_b") + F.col("_p")).drop("_r", "_b", "_p")
+    return beside(df.withColumn("_p", inside), per, [*keys, "_r"]).withColumn(place, F.col("_b") + F.col("_p")).drop("_r", "_b", "_p")
 
 
 def numbered_by_hash(df: DataFrame, keys: list[str], unit: Column, place: str = "ix", size: str = "n", seed: int = 0) -> DataFrame:
@@ -49,10 +99,7 @@ def numbered_by_hash(df: DataFrame, keys: list[str], unit: Column, place: str =
 
 def numbered_by_value(df: DataFrame, keys: list[str], value: str, place: str = "_i", size: str = "_n") -> DataFrame:
     """df with the place of each row in the order of a number and the size of its group."""
-    marks = [i / VALUE_RANGES for i in range(1, VALUE_RANGES)]
-    edges = df.groupBy(*keys).agg(F.percentile_approx(value, marks, 10_000).alias("_e"))
-    ranged = _beside(df, edges, keys)
-    return _numbered(ranged.withColumn("_r", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e"), keys, [F.col(value)], place, size)
+    return _numbered(value_ranges(df, keys, value), keys, [F.col(value)], place, size)
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:

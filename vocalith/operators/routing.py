@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocalith.operators.ranks import hash_order, hash_range, numbered_by_hash, numbered_by_value
-from vocalith.operators.stats import draws, percentile_ci
+from vocalith.operators.ranks import hash_order, hash_range, numbered_by_value
+from vocalith.operators.resample import resampled_sums
+from vocalith.operators.stats import percentile_ci
 
 
 def softmax(logits: Column) -> Column:
@@ -69,8 +70,11 @@ def top1_load(frames: DataFrame, keys: list[str], topk: str = "topk") -> DataFra
 
 
 def weighted_distribution(routing: DataFrame, keys: list[str], weight: str = "duration_sec") -> DataFrame:
-    """Duration-weighted mean distribution per key, long: (keys, expert, p). Null and NaN weights are left out; a zero total gives zeros."""
-    w = F.col(weight).cast("double")
+    """Duration-weighted mean distribution per key, long: (keys, expert, p).
+
+    Null and NaN weights are left out; a zero total gives zeros; without the column all rows weigh alike.
+    """
+    w = (F.col(weight) if weight in routing.columns else F.lit(1)).cast("double")
     rows = routing.where(w.isNotNull() & ~F.isnan(w)).select(*keys, w.alias("_w"), F.posexplode("probs").alias("expert", "_p"))
     sums = rows.groupBy(*keys, "expert").agg(F.sum(F.col("_p") * F.col("_w")).alias("s"))
     total = F.sum("s").over(Window.partitionBy(*keys))
@@ -173,27 +177,26 @@ def jsd_bootstrap(routing: DataFrame, keys: list[str], replicates: int = 500, se
     """(keys, layer_idx, replicate, jsd) with units drawn with replacement inside each side.
 
     unit="utterance" draws utterances with all their layers; unit="row" draws (utterance, layer) rows from all rows of a
-    side, whatever their layer, so that a layer's number of rows varies. Vectors are weighted by duration once; a
-    replicate is a table of multiplicities joined to them, and the sums of all experts are columns of one aggregate.
-    experts is counted where it is not given.
+    side, whatever their layer, so that a layer's number of rows varies. Vectors are weighted by duration once. experts is
+    counted where it is not given. A replicate that misses a side at a layer has a null.
     """
     rows = routing.where(F.col(side).isin(a, b) & F.col("duration_sec").isNotNull() & ~F.isnan("duration_sec"))
     experts = experts or rows.agg(F.max(F.size("probs")).alias("e")).first().e or 0
     group, own = [*keys, side], ["utterance_id"] if unit == "utterance" else ["utterance_id", "layer_idx"]
-    ids = numbered_by_hash(rows.select(*group, *own).distinct(), group, F.concat_ws("/", *own))
-    d = draws(ids.groupBy(*group).agg(F.first("n").alias("n")), group, replicates, seed)
-    weighted = [(F.get("probs", e) * F.col("duration_sec")).alias(f"_{e}") for e in range(experts)]
-    vectors = rows.select(*group, "utterance_id", "layer_idx", *weighted).join(ids.drop("n"), [*group, *own])
-    many = vectors.join(d, [*group, "ix"]).groupBy(*group, "layer_idx", "replicate").agg(*[F.sum(F.col(f"_{e}") * F.col("m")).alias(f"_{e}") for e in range(experts)])
-    total = sum((F.coalesce(f"_{e}", F.lit(0.0)) for e in range(experts)), F.lit(0.0))
-    each = F.posexplode(F.array(*[F.col(f"_{e}") / F.when(total > 0, total) for e in range(experts)]).cast("array<double>")).alias("expert", "p")
-    return jsd_between(many.select(*group, "layer_idx", "replicate", each), [*keys, "layer_idx", "replicate"], side, a, b)
-
-
-def ci_table(replicates: DataFrame, keys: list[str]) -> DataFrame:
-    """R7."""
+    weighted = [F.get("probs", e) * F.col("duration_sec") for e in range(experts)]
+    sums = resampled_sums(rows, group, own, weighted, replicates, seed, cell="layer_idx")
+    total = F.aggregate("sums", F.lit(0.0), lambda x, y: x + y)
+    mine = lambda v: F.max(F.when((F.col(side) == v) & (total > 0), F.transform("sums", lambda x: x / total)))
+    both = sums.groupBy(*keys, "layer_idx", "replicate").agg(mine(a).alias("p"), mine(b).alias("q"))
+    terms = F.zip_with("p", "q", jsd_term)
+    return both.select(*keys, "layer_idx", "replicate", F.aggregate(terms, F.lit(0.0), lambda x, y: x + y).alias("jsd"))
+
+
+def ci_table(replicates: DataFrame, keys: list[str], points: DataFrame | None = None) -> DataFrame:
+    """Limits of every key; a key of points (a curve) that has no replicate has null limits."""
     lo, hi = percentile_ci(F.col("jsd"))
-    return replicates.groupBy(*keys).agg(lo.alias("ci_low"), hi.alias("ci_high"))
+    found = replicates.groupBy(*keys).agg(lo.alias("ci_low"), hi.alias("ci_high"))
+    return found if points is None else points.select(*keys).distinct().join(found, keys, "left")
 
 
 def routing_summary(curve: DataFrame, delta: DataFrame, ci: DataFrame, keys: list[str]) -> DataFrame:

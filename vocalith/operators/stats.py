@@ -1,11 +1,13 @@
-"""Resampling and inference (R1-R10, W3, M11). Draws are md5 hashes of (seed, replicate, slot), so they follow neither partitions nor order."""
+"""Resampling and inference (R1-R10, W3, M11). Draws are hashes of (seed, keys, replicate, slot), so they follow neither partitions nor order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocalith.operators.ranks import numbered_by_hash
+from vocalith.operators.ranks import beside, over_ranges, value_ranges
+from vocalith.operators.resample import resampled_sums
+from vocalith.sources.scratch import stored
 
 
 def speaker_units(edits: DataFrame, keys: list[str], a: str, b: str, unit: str = "speaker") -> DataFrame:
@@ -14,32 +16,11 @@ def speaker_units(edits: DataFrame, keys: list[str], a: str, b: str, unit: str =
     return edits.where(F.col("model").isin(a, b)).groupBy(*keys, unit).agg(of(a, "errors").alias("errors_a"), of(b, "errors").alias("errors_b"), of(a, "words").alias("words"))
 
 
-#: Draws of one row at a time.
-SLOTS = 1 << 16
-
-
-def numbered_units(units: DataFrame, keys: list[str], unit: str = "speaker") -> DataFrame:
-    """Units with their place `ix` in the hash order of their names and the number `n` of their group."""
-    return numbered_by_hash(units, keys, F.col(unit))
-
-
-def draws(groups: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
-    """(keys, replicate, ix, m): how often unit ix is drawn in a replicate of n draws. groups: keys and n."""
-    spark = groups.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a number of its own keeps few, small rows from being joined into one task
-    rows = groups.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition(tasks, *keys, "replicate")
-    rows = rows.select(*keys, "n", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS))).alias("_c"))
-    rows = rows.select(*keys, "n", "replicate", F.explode(F.sequence(F.col("_c") * SLOTS, F.least(F.col("n"), (F.col("_c") + 1) * SLOTS) - 1)).alias("slot"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k) for k in keys], F.col("replicate").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return rows.select(*keys, "replicate", (h % F.col("n")).alias("ix")).groupBy(*keys, "replicate", "ix").agg(F.count(F.lit(1)).alias("m"))
-
-
 def paired_bootstrap(units: DataFrame, keys: list[str], replicates: int = 10_000, seed: int = 12345, unit: str = "speaker") -> DataFrame:
-    """R2: (keys, replicate, diff): WER of a minus WER of b, in points, when units are drawn with replacement."""
-    u = numbered_units(units, keys, unit)
-    d = draws(u.groupBy(*keys).agg(F.first("n").alias("n")), keys, replicates, seed)
-    s = d.join(u.drop("n"), [*keys, "ix"]).groupBy(*keys, "replicate").agg(*[F.sum(F.col("m") * F.col(c)).alias(c) for c in ("errors_a", "errors_b", "words")])
-    return s.select(*keys, "replicate", (100.0 * (F.col("errors_a") - F.col("errors_b")) / F.when(F.col("words") > 0, F.col("words"))).alias("diff"))
+    """(keys, replicate, diff): WER of a minus WER of b, in points, when units are drawn with replacement."""
+    s = resampled_sums(units, keys, [unit], [F.col(c) for c in ("errors_a", "errors_b", "words")], replicates, seed)
+    a, b, words = (F.get("sums", i) for i in range(3))
+    return s.select(*keys, "replicate", (100.0 * (a - b) / F.when(words > 0, words)).alias("diff"))
 
 
 def two_sided(diff: Column) -> Column:
@@ -71,15 +52,25 @@ def gap_bootstrap(adult: DataFrame, child: DataFrame, keys: list[str], replicate
     return point(child, "c").join(point(adult, "a"), keys).join(boot, keys).select(*keys, (F.col("c") - F.col("a")).alias("gap_delta"), "ci_low", "ci_high", "p")
 
 
-def fdr_over_family(tests: DataFrame, family: list[str], order: list[str], q: float = 0.05, rounded: bool = False) -> DataFrame:
-    """Benjamini-Hochberg inside each family: tests with p_adj and significant; rounded takes p at four digits."""
+def fdr_over_family(tests: DataFrame, family: list[str], q: float = 0.05, rounded: bool = False) -> DataFrame:
+    """Benjamini-Hochberg inside each family: tests with p_adj and significant; rounded takes p at four digits.
+
+    Tests of one p share their result, so the distinct values of a family are what is ranked: counted in ranges of values,
+    then inside a range, and the least of all larger values likewise. A p that is null or NaN is no test: it counts for
+    nothing, and its results are null.
+    """
     p = F.bround("p", 4) if rounded else F.col("p")
-    w = Window.partitionBy(*family)
-    out = tests.withColumn("_p", p).withColumn("_rank", F.row_number().over(w.orderBy("_p", *order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    out = out.withColumn("_k", F.col("_p") * F.col("_n") / F.col("_rank"))
-    least = F.min("_k").over(w.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    adj = F.greatest(F.lit(0.0), F.least(F.lit(1.0), least))
-    return out.withColumn("p_adj", adj).withColumn("significant", F.col("p_adj") <= q).drop("_p", "_rank", "_n", "_k")
+    named = stored(tests.withColumn("_p", F.when(~F.isnan(p), p)), "tests")
+    values = named.where("_p is not null").groupBy(*family, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = stored(value_ranges(values, family, "_p"), "ranges")
+    per = ranged.groupBy(*family, "_r").agg(F.sum("_c").alias("_m"))
+    inside = Window.partitionBy(*family, "_r")
+    ranked = beside(ranged.withColumn("_i", F.sum("_c").over(inside.orderBy("_p"))), over_ranges(per, family, "_m", "_b", "_n"), [*family, "_r"])
+    scaled = stored(ranked.withColumn("_k", F.col("_p") * F.col("_n") / (F.col("_b") + F.col("_i"))), "scaled")
+    later = over_ranges(scaled.groupBy(*family, "_r").agg(F.min("_k").alias("_k")), family, "_k", "_a", later=True)
+    least = beside(scaled.withColumn("_l", F.min("_k").over(inside.orderBy(F.desc("_p")))), later, [*family, "_r"])
+    adjusted = least.select(*family, "_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_l", "_a")).alias("p_adj"))
+    return beside(named, adjusted, [*family, "_p"], how="left").withColumn("significant", F.col("p_adj") <= q).drop("_p")
 
 
 #: Verdicts of single tests, of paired tests over several languages, and of gap tests.
@@ -129,6 +120,7 @@ def decide_gap(tests: DataFrame) -> DataFrame:
 def sentence(tests: DataFrame) -> DataFrame:
     """One sentence per test; estimates are rounded half to even."""
     text = F.format_string(
+        # Fixed value: the sentence.
         "[%s] %s achieved %.2f%% WER and %s achieved %.2f%% WER. The difference was %+.3f pp (95%% CI [%.3f, %.3f], BH-adjusted p = %.4f). %s",
         "test_id", "model_a", F.bround("wer_a", 2), "model_b", F.bround("wer_b", 2), F.bround("diff", 3), F.bround("ci_low", 3), F.bround("ci_high", 3), F.bround("p_adj", 4), "decision",
     )
@@ -138,6 +130,7 @@ def sentence(tests: DataFrame) -> DataFrame:
 def paired_sentence(tests: DataFrame) -> DataFrame:
     """One sentence per language, age and pair of models; estimates are rounded half to even."""
     text = F.format_string(
+        # Fixed value: the sentence.
         "[%s %s] %s %.2f%% vs %s %.2f%%. Diff = %+.3f pp (95%% CI [%.3f, %.3f], BH-adj p = %.4f). %s",
         "language", "age_group", "model_a", F.bround("wer_a", 2), "model_b", F.bround("wer_b", 2), F.bround("diff", 3), F.bround("ci_low", 3), F.bround("ci_high", 3), F.bround("p_adj", 4), "decision",
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.functions import text as T
-from vocalith.operators import align, routing
+from vocalith.operators import align, resample, routing
 
 MODELS = {"dense": (7, 11), "moe": (5, 13), "moe_lb": (9, 6)}  # model -> every which word is dropped, replaced
 LAYERS, EXPERTS, TOP_K = 8, 8, 2
@@ -145,6 +145,16 @@ soft AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) A
 routing AS (SELECT 'multi' AS model, vec_id AS utterance_id, CASE WHEN label % 3 = 0 THEN 'child' ELSE 'adult' END AS age_group, ['en','de','nl','pl'][label % 4 + 1] AS language,
  'set' || label AS dataset_source, layer_idx, (vec_id % 30 + 1)::DOUBLE AS duration_sec, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM soft),
 long AS (SELECT * EXCLUDE (probs), unnest(range(8))::INT AS expert, unnest(probs) AS p FROM routing)"""
+
+
+def picks_sql(name: str, seed: str, groups: str, replicates: int, keys: str) -> str:
+    """Draws (keys, replicate, ix) of n from n per group and replicate; groups is a table of keys and n, seed an expression over it and the replicate."""
+    mixed = lambda a, z: f"xor({a}, {a} >> 16) AS {z}1, ({z}1 * {resample.MIX_1}) % 4294967296 AS {z}2, xor({z}2, {z}2 >> 13) AS {z}3, ({z}3 * {resample.MIX_2}) % 4294967296 AS {z}4, xor({z}4, {z}4 >> 16) AS {z}5"
+    return f"""{name}_h AS (SELECT {keys}, n, replicate, md5({seed}) AS h FROM {groups}, (SELECT unnest(range({replicates})) AS replicate)),
+{name}_s AS (SELECT {keys}, n, replicate, ('0x' || substr(h, 1, 8))::UBIGINT AS a, ('0x' || substr(h, 9, 8))::UBIGINT AS b, unnest(range(n))::UBIGINT AS slot FROM {name}_h),
+{name}_d AS (SELECT {keys}, replicate, (a + slot * {resample.STEP}) % 4294967296 AS x, {mixed("x", "y")}, xor(y5, b) AS z, {mixed("z", "w")}, (w5 % n)::BIGINT AS ix FROM {name}_s)"""
+
+
 MIXTURE = """mixture AS (SELECT n_name AS source, r_name AS language, sum(round(o_totalprice, 0)::BIGINT)::DOUBLE AS hours, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey::DOUBLE END AS weight
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name, n_nationkey)"""
 DICT = f"""dict AS (SELECT DISTINCT token, substr(token, 1, 3) AS canonical FROM (SELECT unnest({words_sql(basic_sql("text"))}) AS token FROM benchmark))"""

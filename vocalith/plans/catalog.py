@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +11,10 @@ from vocalith.functions import text as T
 from vocalith.operators import align, corpus, routing, score, stats
 from vocalith.plans import base as B
 from vocalith.sources import io
+from vocalith.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_own: dict[str, str] = {}
 
 
 def _q(sql: str | None = None):
@@ -29,16 +27,6 @@ def _q(sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir; in local mode, where that is unset, in a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def r6(c: str, alias: str | None = None):
     return F.round(c, 6).alias(alias or c)
 
@@ -301,7 +289,8 @@ def _units_sql(name: str, a: str = "moe", b: str = "dense", where: str = "true")
 
 
 def _boot_sql(name: str, units: str, seed: int) -> str:
-    return f"""{name}_d AS (SELECT language, replicate, ('0x' || substr(md5('{seed}:' || language || ':' || replicate || ':' || slot), 1, 8))::BIGINT % n AS ix FROM (SELECT language, max(n) AS n FROM {units} GROUP BY 1), (SELECT unnest(range({REPLICATES})) AS replicate), LATERAL (SELECT unnest(range(n)) AS slot)),
+    draws = B.picks_sql(name, f"'{seed}:' || language || ':' || replicate", f"(SELECT language, max(n) AS n FROM {units} GROUP BY 1)", REPLICATES, "language")
+    return f"""{draws},
 {name} AS (SELECT language, replicate, 100.0 * (sum(ea) - sum(eb)) / nullif(sum(w), 0) AS diff FROM {name}_d JOIN {units} USING (language, ix) GROUP BY 1, 2)"""
 
 
@@ -350,12 +339,17 @@ def _event_tests(spark, sf_dir):
 
 @_q(f"WITH {_EVENT_P} SELECT user_id, event_type, round(p, 6) AS p, round(p_adj, 6) AS p_adj, p_adj <= 0.3 AS significant FROM a")
 def fdr_over_family(spark, sf_dir):  # W3, R8: event types are families, users tests
-    return stats.fdr_over_family(_event_tests(spark, sf_dir), ["event_type"], ["user_id"], q=0.3).select("user_id", "event_type", r6("p"), r6("p_adj"), "significant")
+    return stats.fdr_over_family(_event_tests(spark, sf_dir), ["event_type"], q=0.3).select("user_id", "event_type", r6("p"), r6("p_adj"), "significant")
+
+
+@_q(f"WITH {_EVENT_P.replace('GROUP BY 1, 2), k AS', 'GROUP BY 1, 2), r AS (SELECT * REPLACE (round_even(p, 4) AS p) FROM events_p), k AS').replace('AS n FROM events_p)', 'AS n FROM r)')} SELECT user_id, event_type, round(p_adj, 6) AS p_adj, p_adj <= 0.3 AS significant FROM a")
+def fdr_rounded(spark, sf_dir):  # R8 on p-values of four digits
+    return stats.fdr_over_family(_event_tests(spark, sf_dir), ["event_type"], q=0.3, rounded=True).select("user_id", "event_type", r6("p_adj"), "significant")
 
 
 def _decided(spark, sf_dir):
     t = stats.compare_models(_units(spark, sf_dir), ["language"], REPLICATES).withColumn("direction", F.lit("negative")).withColumn("family", F.lit("paired"))
-    return stats.decide(stats.fdr_over_family(t, ["family"], ["language"]))
+    return stats.decide(stats.fdr_over_family(t, ["family"]))
 
 
 _DECIDED = f"{_COMPARE}, k AS (SELECT *, row_number() OVER (ORDER BY p, language) AS rn, count(*) OVER () AS n FROM o JOIN c USING (language)), f AS (SELECT *, greatest(0, least(1, min(p * n / rn) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING))) AS p_adj FROM k)"
@@ -393,7 +387,7 @@ def paired_sentences(spark, sf_dir):  # R9: the verdicts of paired tests over se
 
 @_q(f"{_GAP}, k AS (SELECT *, row_number() OVER (ORDER BY p, language) AS rn, count(*) OVER () AS n FROM t), f AS (SELECT *, least(1, min(p * n / rn) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)) <= 0.05 AS sig FROM k) SELECT 'moe' AS pair, round(avg(gap_delta), 6) AS mean_gap, round(min(gap_delta), 6) AS min_gap, round(max(gap_delta), 6) AS max_gap, count(DISTINCT language) AS languages, count(*) FILTER (sig AND ci_high < 0) AS reductions, count(*) FILTER (sig AND ci_low > 0) AS increases FROM f")
 def gap_summary(spark, sf_dir):  # R9, G24
-    t = stats.fdr_over_family(_gap(spark, sf_dir).withColumn("pair", F.lit("moe")), ["pair"], ["language"])
+    t = stats.fdr_over_family(_gap(spark, sf_dir).withColumn("pair", F.lit("moe")), ["pair"])
     return score.gap_summary(stats.decide_gap(t), ["pair"]).select("pair", r6("mean_gap"), r6("min_gap"), r6("max_gap"), "languages", "reductions", "increases")
 
 
@@ -526,10 +520,10 @@ def _jsd_boot_sql(keys: str, unit: str, rows: str, replicates: int) -> str:
     name = " || '/' || ".join(unit.split(", "))
     seeds = " || ':' || ".join(group.split(", "))
     return f"""ids AS (SELECT DISTINCT {group}, {unit} FROM {rows}), ix AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY ('0x' || substr(md5('0:' || {name}), 1, 13))::BIGINT, {name}) - 1 AS ix, count(*) OVER (PARTITION BY {group}) AS n FROM ids),
-dr AS (SELECT {group}, replicate, ('0x' || substr(md5('777:' || {seeds} || ':' || replicate || ':' || slot), 1, 8))::BIGINT % n AS ix FROM (SELECT {group}, max(n) AS n FROM ix GROUP BY ALL), (SELECT unnest(range({replicates})) AS replicate), LATERAL (SELECT unnest(range(n)) AS slot)),
-mu AS (SELECT {group}, replicate, ix, count(*) AS m FROM dr GROUP BY ALL), bs AS (SELECT {', '.join(f'l.{k}' for k in group.split(', '))}, l.layer_idx, replicate, expert, sum(p * duration_sec * m) AS s FROM mu JOIN ix USING ({group}, ix) JOIN {rows} l USING ({group}, {unit}) GROUP BY ALL),
+{B.picks_sql("dr", f"'777:' || {seeds} || ':' || replicate", f"(SELECT {group}, max(n) AS n FROM ix GROUP BY ALL)", replicates, group)},
+mu AS (SELECT {group}, replicate, ix, count(*) AS m FROM dr_d GROUP BY ALL), bs AS (SELECT {', '.join(f'l.{k}' for k in group.split(', '))}, l.layer_idx, replicate, expert, sum(p * duration_sec * m) AS s FROM mu JOIN ix USING ({group}, ix) JOIN {rows} l USING ({group}, {unit}) GROUP BY ALL),
 bd AS (SELECT *, s / sum(s) OVER (PARTITION BY {group}, layer_idx, replicate) AS q FROM bs), bj AS (SELECT {', '.join(f'a.{k}' for k in keys.split(', '))}, a.layer_idx, a.replicate, sum({_TERM.format('a.q', 'c.q')}) AS jsd FROM bd a JOIN bd c USING ({keys}, layer_idx, replicate, expert) WHERE a.age_group = 'adult' AND c.age_group = 'child' GROUP BY ALL),
-ci AS (SELECT {keys}, layer_idx, quantile_cont(jsd, 0.025) AS ci_low, quantile_cont(jsd, 0.975) AS ci_high FROM bj GROUP BY ALL)"""
+ci AS (SELECT {keys}, layer_idx, ci_low, ci_high FROM (SELECT DISTINCT {keys}, layer_idx FROM {rows}) LEFT JOIN (SELECT {keys}, layer_idx, quantile_cont(jsd, 0.025) AS ci_low, quantile_cont(jsd, 0.975) AS ci_high FROM bj GROUP BY ALL) USING ({keys}, layer_idx))"""
 
 
 _JSDBOOT = f"{_DELTA}, {_jsd_boot_sql('model, language', 'utterance_id', 'long', _JB)}"
@@ -537,8 +531,9 @@ _MATCHED = f"WITH {B.ROUTING}, r AS (SELECT *, ('0x' || substr(md5('1:' || utter
 
 
 def _ci(spark, sf_dir):
-    boot = routing.jsd_bootstrap(B.routing_table(spark, sf_dir), ["model", "language"], _JB, experts=B.EXPERTS)
-    return routing.ci_table(boot.where("jsd is not null"), ["model", "language", "layer_idx"])
+    table = B.routing_table(spark, sf_dir)
+    boot = routing.jsd_bootstrap(table, ["model", "language"], _JB, experts=B.EXPERTS)
+    return routing.ci_table(boot.where("jsd is not null"), ["model", "language", "layer_idx"], table)
 
 
 @_q(f"{_JSDBOOT} SELECT model, language, layer_idx, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
@@ -550,7 +545,7 @@ def jsd_bootstrap(spark, sf_dir):  # R5, R7
 def jsd_bootstrap_rows(spark, sf_dir):  # R6, W2
     matched = routing.duration_match(B.routing_table(spark, sf_dir), ["model"])
     boot = routing.jsd_bootstrap(matched, ["model"], _JB_ROWS, unit="row", experts=B.EXPERTS)
-    return routing.ci_table(boot.where("jsd is not null"), ["model", "layer_idx"]).select("model", "layer_idx", r6("ci_low"), r6("ci_high"))
+    return routing.ci_table(boot.where("jsd is not null"), ["model", "layer_idx"], matched).select("model", "layer_idx", r6("ci_low"), r6("ci_high"))
 
 
 @_q(f"{_JSDBOOT}, pk AS (SELECT model, language, arg_max(layer_idx, jsd) AS peak_layer, max(jsd) AS peak_value FROM curve GROUP BY 1, 2), pe AS (SELECT d.model, d.language, arg_max(expert, delta) AS child_expert, max(delta) AS child_delta, arg_min(expert, delta) AS adult_expert, min(delta) AS adult_delta FROM delta d JOIN pk ON d.model = pk.model AND d.language = pk.language AND d.layer_idx = peak_layer GROUP BY 1, 2) SELECT pk.model, pk.language, peak_layer, round(peak_value, 6) AS peak_value, child_expert, round(child_delta, 6) AS child_delta, adult_expert, round(adult_delta, 6) AS adult_delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, (SELECT count(*) FROM ci x WHERE x.model = pk.model AND x.language = pk.language AND x.ci_low > 0) AS layers_above_zero FROM pk JOIN pe USING (model, language) JOIN ci ON ci.model = pk.model AND ci.language = pk.language AND ci.layer_idx = peak_layer")
