@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalith.functions.text import canonical_word, first_word
+from vocalith.operators.ranks import beside
 
 INF = float("inf")
 
@@ -93,40 +94,72 @@ def win_counts(table: DataFrame, models: list[str]) -> DataFrame:
     return table.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"mean_{m}") for m in models])
 
 
-def _first_words(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """(keys, _r, _h, n): how often two first words meet, counted before any join, so that a hot word is few rows there."""
-    firsts = pairs.select(*keys, first_word(F.col(ref)).alias("_r"), first_word(F.col(hyp)).alias("_h"))
-    return firsts.groupBy(*keys, "_r", "_h").agg(F.count(F.lit(1)).alias("n"))
+def first_word_pairs(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """(keys, ref, hyp, n): how often two first words meet."""
+    firsts = pairs.select(*keys, first_word(F.col(ref)).alias("ref"), first_word(F.col(hyp)).alias("hyp"))
+    return firsts.groupBy(*keys, "ref", "hyp").agg(F.count(F.lit(1)).alias("n"))
 
 
-def word_confusion(pairs: DataFrame, dictionary: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """First words on canonical forms: (keys, word, pred, n, total)."""
-    both = canonical_word(canonical_word(_first_words(pairs, keys, ref, hyp), "_r", dictionary, "word"), "_h", dictionary, "pred")
-    counts = both.groupBy(*keys, "word", "pred").agg(F.sum("n").alias("n"))
-    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "word")))
+def next_word_pairs(texts: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
+    """(keys, ref, hyp, n): how often a word of an array is followed by another, '' behind the last; an empty array is '' followed by ''."""
+    w = F.when(F.size(words) > 0, F.col(words)).otherwise(F.array(F.lit("")))
+    both = F.arrays_zip(w.alias("ref"), F.slice(w, 2, F.size(w)).alias("hyp"))
+    pair = texts.select(*keys, F.inline(both))
+    return pair.groupBy(*keys, "ref", F.coalesce("hyp", F.lit("")).alias("hyp")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def most_mistaken(confusion: DataFrame, keys: list[str], k: int = 15) -> DataFrame:
-    """Per key the k words with most errors, and what they were taken for most."""
+#: Parts into which the predictions of a word are dealt, so that a hot word is no task of its own.
+PARTS = 64
+
+
+def best_predictions(counts: DataFrame, keys: list[str], pred: str, n: str, k: int, name: str) -> DataFrame:
+    """(keys, name): the k predictions with the largest n, the first in order on ties, as 'pred:n;...'.
+
+    Each part of a word's predictions keeps its k best, and the k best of all are among them.
+    """
+    best = lambda some: F.slice(F.sort_array(some), 1, k)
+    each = counts.select(*keys, F.pmod(F.xxhash64(pred), F.lit(PARTS)).alias("_part"), F.struct((-F.col(n)).alias("n"), F.col(pred).alias("p")).alias("_s"))
+    parts = each.groupBy(*keys, "_part").agg(best(F.collect_list("_s")).alias("_s"))
+    merged = parts.groupBy(*keys).agg(best(F.flatten(F.collect_list("_s"))).alias("_s"))  # at most PARTS * k entries
+    return merged.select(*keys, F.array_join(F.transform("_s", lambda x: F.concat_ws(":", x["p"], (-x["n"]).cast("string"))), ";").alias(name))
+
+
+def word_confusion(counts: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
+    """Counted pairs (ref, hyp, n) of words on canonical forms: (keys, word, pred, n, total)."""
+    both = canonical_word(canonical_word(counts, "ref", dictionary, "word"), "hyp", dictionary, "pred")
+    n = both.groupBy(*keys, "word", "pred").agg(F.sum("n").alias("n"))
+    return beside(n, n.groupBy(*keys, "word").agg(F.sum("n").alias("total")), [*keys, "word"])
+
+
+def most_mistaken(confusion: DataFrame, keys: list[str], k: int = 15, top: int = 3) -> DataFrame:
+    """Per key the k words with most errors, and as mistaken_for 'pred:count;...' the wrong words they were taken for most."""
     wrong = F.when(F.col("pred") != F.col("word"), F.col("n")).otherwise(0)
     rows = confusion.groupBy(*keys, "word").agg(F.max("total").alias("total"), F.sum(wrong).alias("errors"))
-    return top_k(rows, keys, [F.desc("errors"), F.asc("word")], k)
+    worst = top_k(rows, keys, [F.desc("errors"), F.asc("word")], k)
+    taken = beside(confusion.where("pred <> word"), worst.select(*keys, "word").withColumn("_worst", F.lit(True)), [*keys, "word"])
+    best = best_predictions(taken, [*keys, "word"], "pred", "n", top, "mistaken_for")
+    return beside(worst, best, [*keys, "word"], how="left").withColumn("mistaken_for", F.coalesce("mistaken_for", F.lit("")))
 
 
-def word_accuracy(pairs: DataFrame, dictionary: DataFrame, keys: list[str], strict: bool = False, top: int = 3) -> DataFrame:
-    """Per key and canonical word: total, correct, accuracy, and the top predictions as 'word:count;...'.
+def word_accuracy(counts: DataFrame, dictionary: DataFrame, keys: list[str], strict: bool = False, top: int = 3) -> DataFrame:
+    """Counted pairs (ref, hyp, n): per key and canonical word total, correct, accuracy, and the top predictions as 'word:count;...'.
 
     A prediction is correct when its canonical form is the word's; with strict, words without a dictionary entry are
     never correct.
     """
-    both = canonical_word(canonical_word(_first_words(pairs, keys), "_r", dictionary, "word"), "_h", dictionary, "_p")
-    known = dictionary.select(F.col("canonical").alias("word")).distinct().withColumn("_known", F.lit(True))
-    counts = both.groupBy(*keys, "word", "_h", "_p").agg(F.sum("n").alias("n")).join(known, "word", "left")
-    ok = (F.col("_p") == F.col("word")) & (F.col("_known").isNotNull() if strict else F.lit(True))
-    ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "word").orderBy(F.desc("n"), "_h")))
-    best = F.array_sort(F.collect_list(F.when(F.col("_rank") <= top, F.struct("_rank", F.concat_ws(":", "_h", F.col("n").cast("string")).alias("s")))))
-    out = ranked.groupBy(*keys, "word").agg(F.sum("n").alias("total"), F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("correct"), F.array_join(F.transform(best, lambda x: x["s"]), ";").alias("top_preds"))
-    return out.withColumn("accuracy", F.col("correct") / F.col("total"))
+    both = canonical_word(canonical_word(counts, "ref", dictionary, "word"), "hyp", dictionary, "_p")
+    ok = F.col("_p") == F.col("word")
+    if strict:
+        known = dictionary.select(F.col("canonical").alias("word")).distinct().withColumn("_known", F.lit(True))
+        both, ok = both.join(known, "word", "left"), ok & F.col("_known").isNotNull()
+    # One row per prediction of a word, then its part's best and sums, then those of the word.
+    n = both.groupBy(*keys, "word", "hyp").agg(F.sum("n").alias("n"), F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("ok"))
+    best = lambda some: F.slice(F.sort_array(some), 1, top)
+    part = F.pmod(F.xxhash64("hyp"), F.lit(PARTS)).alias("_part")
+    parts = n.groupBy(*keys, "word", part).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), best(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("hyp").alias("p")))).alias("_s"))
+    out = parts.groupBy(*keys, "word").agg(F.sum("n").alias("total"), F.sum("ok").alias("correct"), best(F.flatten(F.collect_list("_s"))).alias("_s"))  # at most PARTS * top entries
+    text = F.array_join(F.transform("_s", lambda x: F.concat_ws(":", x["p"], (-x["n"]).cast("string"))), ";")
+    return out.select(*keys, "word", "total", "correct", text.alias("top_preds"), (F.col("correct") / F.col("total")).alias("accuracy"))
 
 
 def accuracy_pivot(accuracy: DataFrame, models: list[str]) -> DataFrame:

@@ -213,10 +213,8 @@ can AS (SELECT f.*, coalesce(a.canonical, r) AS word, coalesce(b.canonical, h) A
 
 def _neighbours(spark, sf_dir):
     """Every word of every text as a reference and the next one, '' after the last, as what was understood; languages stand for models."""
-    w = B.table(spark, sf_dir, "documents").select(F.col("lang").alias("model"), T.words(T.norm_basic(F.col("text"))).alias("w"))
-    pair = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.struct(a.alias("ref"), b.alias("hyp")))
-    blank = lambda c: F.coalesce(f"pair.{c}", F.lit("")).alias(c)
-    return w.select("model", F.explode_outer(pair).alias("pair")).select("model", blank("ref"), blank("hyp"))
+    w = B.spread(B.table(spark, sf_dir, "documents").select(F.col("lang").alias("model"), "text"))
+    return score.next_word_pairs(w.select("model", T.words(T.norm_basic(F.col("text"))).alias("words")), ["model"])
 
 
 @_q(f"WITH {_NEXT}, n AS (SELECT model, word, h, pred, count(*) AS n FROM can GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY model, word ORDER BY n DESC, h) AS rank FROM n) SELECT model, word, sum(n)::BIGINT AS total, sum(CASE WHEN pred = word THEN n ELSE 0 END)::BIGINT AS correct, string_agg(h || ':' || n, ';' ORDER BY rank) FILTER (rank <= 3) AS top_preds, sum(CASE WHEN pred = word THEN n ELSE 0 END) / sum(n) AS accuracy FROM k GROUP BY 1, 2")
@@ -224,12 +222,24 @@ def word_accuracy(spark, sf_dir):  # G11
     return score.word_accuracy(_neighbours(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"])
 
 
+@_q(f"WITH {_NEXT}, x AS (SELECT *, pred = word AND word IN (SELECT canonical FROM dict) AS ok FROM can), n AS (SELECT model, word, h, count(*) AS n, count(*) FILTER (ok) AS ok FROM x GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY model, word ORDER BY n DESC, h) AS rank FROM n) SELECT model, word, sum(n)::BIGINT AS total, sum(ok)::BIGINT AS correct, string_agg(h || ':' || n, ';' ORDER BY rank) FILTER (rank <= 3) AS top_preds, sum(ok) / sum(n) AS accuracy FROM k GROUP BY 1, 2")
+def word_accuracy_strict(spark, sf_dir):  # G11, words of the dictionary only can be right
+    return score.word_accuracy(_neighbours(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"], strict=True)
+
+
+@_q(f"WITH {B.DICT}, f AS (SELECT conv_id, coalesce({B.words_sql(B.basic_sql('text'))}[1], '') AS w, turn FROM conversations), p AS (SELECT a.w AS r, b.w AS h FROM f a JOIN f b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), can AS (SELECT h, coalesce(a.canonical, r) AS word, coalesce(b.canonical, h) AS pred FROM p LEFT JOIN dict a ON r = a.token LEFT JOIN dict b ON h = b.token), n AS (SELECT word, h, pred, count(*) AS n FROM can GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, h) AS rank FROM n) SELECT word, sum(n)::BIGINT AS total, sum(CASE WHEN pred = word THEN n ELSE 0 END)::BIGINT AS correct, string_agg(h || ':' || n, ';' ORDER BY rank) FILTER (rank <= 3) AS top_preds, sum(CASE WHEN pred = word THEN n ELSE 0 END) / sum(n) AS accuracy FROM k GROUP BY 1")
+def first_word_accuracy(spark, sf_dir):  # T9, G11: the first words of neighbouring turns
+    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.norm_basic(F.col("text")).alias("ref"))
+    p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp")), ["conv_id", "turn"])
+    return score.word_accuracy(score.first_word_pairs(p, []), B.dictionary(spark, sf_dir), [])
+
+
 @_q(f"WITH {_NEXT} SELECT model, word, pred, count(*) AS n, sum(count(*)) OVER (PARTITION BY model, word)::BIGINT AS total FROM can GROUP BY 1, 2, 3")
 def confusion_table(spark, sf_dir):  # G12
     return score.word_confusion(_neighbours(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"])
 
 
-@_q(f"WITH {_NEXT}, e AS (SELECT model, word, count(*) AS total, count(*) FILTER (pred <> word) AS errors FROM can GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY errors DESC, word) AS rank FROM e) WHERE rank <= 15")
+@_q(f"WITH {_NEXT}, e AS (SELECT model, word, count(*) AS total, count(*) FILTER (pred <> word) AS errors FROM can GROUP BY 1, 2) , w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY errors DESC, word) AS rank FROM e) WHERE rank <= 15), p AS (SELECT model, word, pred, count(*) AS n FROM can WHERE pred <> word GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY model, word ORDER BY n DESC, pred) AS place FROM p) SELECT model, word, total, errors, rank, coalesce(mistaken_for, '') AS mistaken_for FROM w LEFT JOIN (SELECT model, word, string_agg(pred || ':' || n, ';' ORDER BY place) AS mistaken_for FROM k WHERE place <= 3 GROUP BY 1, 2) USING (model, word)")
 def most_mistaken(spark, sf_dir):  # G12, W10
     return score.most_mistaken(score.word_confusion(_neighbours(spark, sf_dir), B.dictionary(spark, sf_dir), ["model"]), ["model"])
 
@@ -749,7 +759,7 @@ def read_manifest(spark, sf_dir):  # S1, K2
 @_q(f"WITH {B.UTT} SELECT audio_filepath, duration FROM utt ORDER BY doc_id LIMIT 100")
 def read_manifest_head(spark, sf_dir):  # S2: the limit is the operator
     path = scratch(spark, "manifest-head")
-    B.utterances(spark, sf_dir).orderBy("doc_id").select("audio_filepath", "duration").coalesce(1).write.json(path)
+    B.utterances(spark, sf_dir).orderBy("doc_id").select("audio_filepath", "duration").write.json(path)
     return io.read_manifest_head(spark, path, 100).select("audio_filepath", "duration")
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vocalith.sources.maps import read_maps
+
 #: The columns of manifests, edit tables and routing tables.
 MANIFEST = "audio_filepath string, duration double, duration_sec double, text string, speaker string, speaker_id string, spk_id string, client_id string, speaker_id_original string"
 EDIT_COLUMNS = {"audio_filepath", "speaker", "words", "substitutions", "deletions", "insertions", "errors"}
@@ -27,13 +30,35 @@ def read_manifest(spark: SparkSession, paths: str | list[str], schema: str = MAN
     return spark.read.schema(schema).option("mode", "FAILFAST").json(paths).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+#: Lines of a head that are taken file by file; longer heads are cut by counting blocks.
+HEAD_LINES = 10_000
+
+
 def read_manifest_head(spark: SparkSession, path: str, n: int | None, schema: str = MANIFEST) -> DataFrame:
-    """The first n non-blank lines in file order; None, 0 or less: all."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    lines = lines.where(F.trim("value") != "")
-    if n and n > 0:
-        lines = lines.orderBy("f", "b", "i").limit(n)
-    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("m")).select("m.*")
+    """The first n non-blank lines in file order (files by name); None, 0 or less: all.
+
+    A short head is read file by file, each from its start on, until there are enough lines, and nothing behind them is
+    read. A long one counts the lines of blocks, keeps whole blocks and cuts the one in which the n-th line lies.
+    """
+    parsed = lambda lines: lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("m")).select("m.*")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if not n or n <= 0:
+        return parsed(lines.select("value"))
+    if n <= HEAD_LINES:
+        taken: list[str] = []
+        for file in sorted(lines.inputFiles()):
+            # A limit that is collected reads partitions one after the other; of one file they lie in order.
+            taken += [r.value for r in spark.read.text(unquote(file)).where(F.trim("value") != "").select("value").limit(n - len(taken)).collect()]
+            if len(taken) >= n:
+                break
+        return parsed(spark.createDataFrame([(v,) for v in taken], "value string"))
+    own = lines.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    per = own.groupBy("f", "b").agg(F.count(F.lit(1)).alias("c"))  # a row per block
+    before = per.withColumn("p", F.coalesce(F.sum("c").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("p") < n)
+    inside = own.join(before, ["f", "b"])
+    whole = inside.where(F.col("p") + F.col("c") <= n).select("value")
+    cut = inside.where(F.col("p") + F.col("c") > n)
+    return parsed(whole.unionByName(cut.withColumn("k", F.row_number().over(Window.partitionBy("f", "b").orderBy("i"))).where(F.col("k") <= F.lit(n) - F.col("p")).select("value")))
 
 
 def read_multi_manifest(spark: SparkSession, tagged: list[tuple[str, dict[str, str]]], schema: str = MANIFEST) -> DataFrame:
@@ -47,10 +72,10 @@ def read_multi_manifest(spark: SparkSession, tagged: list[tuple[str, dict[str, s
 
 
 def read_hypotheses(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """hyp__MODEL__SET.json, each one JSON map of path to text or a folder of such maps, as rows (model, test_set, audio_filepath, hyp)."""
-    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("f"))
-    name = lambda k: F.regexp_extract("f", r"hyp__([^/]+)__([^/]+)\.json(?:/[^/]*)?$", k)
-    return raw.select(name(1).alias("model"), name(2).alias("test_set"), F.explode(F.from_json("value", "map<string,string>")).alias("audio_filepath", "hyp"))
+    """hyp__MODEL__SET.json, each one JSON map of path to text, of any size, or a folder of such maps, as rows (model, test_set, audio_filepath, hyp)."""
+    maps = read_maps(spark, paths)
+    name = lambda k: F.regexp_extract("file", r"hyp__([^/]+)__([^/]+)\.json(?:/[^/]*)?$", k)
+    return maps.select(name(1).alias("model"), name(2).alias("test_set"), F.col("key").alias("audio_filepath"), F.col("value").alias("hyp"))
 
 
 def read_edits(spark: SparkSession, path: str) -> DataFrame:
