@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import bytescan
-from .common import release, save, small_or_not
+from .common import release, save
 
 #: A window takes 28 bytes and its words' bytes; a byte of text is at most one window in two, and as much again while the set is made.
 PER_BYTE, BROADCAST_BYTES = 32, 256 << 20
@@ -181,14 +181,15 @@ def _find_by_join(docs: DataFrame, items: DataFrame, text: str, size: int, names
                 columns = [pa.array([doc] * len(spans), pa.int64()), pa.array([a for a, *_ in spans], pa.int64()), pa.array([b for _, b, _ in spans], pa.int64()), pa.array([x for *_, x in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "end", "words"])
 
-    candidates = packed.select("id", "body").join(small_or_not(own), "id")
+    # Rows of windows and spans are as wide as their documents, so Spark decides by the bytes that these tables have.
+    candidates = packed.select("id", "body").join(own, "id")
     verified = save(candidates.mapInArrow(verify, "id long, start long, end long, words binary"), "verified-windows")
     spans = verified.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     merged = F.aggregate("s", F.array().cast("array<struct<start:bigint,end:bigint>>"), _merge)
     of = verified.select("id", "words").distinct().join(known.select("words", "item").distinct(), "words").groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hits = spans.select("id", merged.alias("hits")).join(of, "id")
     words = packed.select("id", "row", _n_words("body").alias("n"))
-    out = words.join(small_or_not(save(hits, "contamination")), "id", "left")
+    out = words.join(save(hits, "contamination"), "id", "left")
     empty = lambda kind: F.array().cast(kind)
     return out.select("row.*", F.col("n").alias(names[0]), F.coalesce("hits", empty("array<struct<start:bigint,end:bigint>>")).alias(names[1]), F.coalesce("items", empty("array<string>")).alias(names[2]))
 

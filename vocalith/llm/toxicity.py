@@ -25,7 +25,8 @@ from .common import release
 WINDOW, STRIDE = 32, 16
 HIDDEN, INPUT = 8, 12
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 14
-TRAIN_ROWS = 4_000
+#: The bound of the sample: rows, and bytes of a row's text; longer texts are scored like any other, not learned from.
+TRAIN_ROWS, TRAIN_TEXT_BYTES = 4_000, 128 << 10
 EPOCHS, BATCH, RATE = 8, 64, 0.02
 #: A small sample is passed more often, until so many steps are made.
 LEAST_STEPS = 480
@@ -290,10 +291,13 @@ def text_scores(net: Network, column: pa.Array) -> np.ndarray:
     return _sigmoid(best.astype(np.float64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_ROWS) -> Network:
-    """Train on at most `most` labelled rows of docs for which learn(key) holds, those with the smallest hashed ids."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_ROWS, longest: int = TRAIN_TEXT_BYTES) -> Network:
+    """Train on at most `most` labelled rows of docs for which learn(key) holds, those with the smallest hashed ids.
+
+    Only texts of up to `longest` bytes are learned from, whole, so the sample is of at most most * longest bytes.
+    """
     marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_label"))
-    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(learn("_id"))
+    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(learn("_id")).where(F.octet_length("_text") <= longest)
     chosen = marked.where(learn("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     sample = rows.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(most).toArrow()
     return train(sample.column("_text").combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.asarray(sample.column("_label"), np.float32))
