@@ -3,8 +3,10 @@
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vocalith.llm import bytescan, toxicity
 
@@ -69,7 +71,7 @@ def test_scores_are_those_of_all_windows(trained):
     rng = random.Random(6)
     vocabulary = ["a", "Bad", "word", "naïve", "x\0y", "😀", "longer-than-most", "ok."]
     texts = [None, "", "  ", "one", " ".join(rng.choices(vocabulary, k=31))] + [" ".join(rng.choices(vocabulary, k=n)) for n in (16, 17, 32, 33, 48, 49, 150)]
-    net = toxicity.train(pa.array(["bad word here"] * 30 + ["all is well"] * 30), __import__("numpy").array([1, 0] * 30)) if trained else toxicity.Network(3)
+    net = toxicity.train(pa.array(["bad word here"] * 30 + ["all is well"] * 30), np.array([1, 0] * 30)) if trained else toxicity.Network(3)
     got = toxicity.text_scores(net, pa.array(texts, pa.string()))
     for t, s in zip(texts, got):
         assert abs(s - plain_score(net, t)) < 1e-4, t
@@ -79,11 +81,8 @@ def test_long_texts_are_not_learned_from(spark):
     rows = [(i, "foul " * 5 if i % 2 else "fair " * 5) for i in range(40)] + [(100, "fair " * 40_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 if i % 2 or i == 100 else 0) for i, _ in rows], "doc_id long, toxic int")
-    seen = []
-    whole = toxicity.train
-    try:
-        toxicity.train = lambda texts, marks: seen.append(texts.to_pylist()) or whole(texts, marks)
-        toxicity.fit(docs, labels, lambda c: toxicity.F.lit(True))
-    finally:
-        toxicity.train = whole
-    assert sorted(seen[0]) == sorted(t for i, t in rows if i < 100)
+    net = toxicity.fit(docs, labels, lambda c: F.lit(True))
+    order = [r.doc_id for r in docs.where("doc_id < 100").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    want = toxicity.train(pa.array([rows[i][1] for i in order]), np.array([i % 2 for i in order], np.float32))
+    assert all((net.p[k] == v).all() for k, v in want.p.items())
+    assert (toxicity.fit(docs.limit(0), labels, lambda c: F.lit(True)).p["word"] == toxicity.Network().p["word"]).all()

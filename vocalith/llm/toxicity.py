@@ -11,6 +11,7 @@ every window. Scoring computes the input side once per distinct word of a batch.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -299,8 +300,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_label"))
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(learn("_id")).where(F.octet_length("_text") <= longest)
     chosen = marked.where(learn("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    sample = rows.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(most).toArrow()
-    return train(sample.column("_text").combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.asarray(sample.column("_label"), np.float32))
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("_text")]
+    sample = rows.join(F.broadcast(chosen), "_id").orderBy(*order).limit(most).coalesce(1).sortWithinPartitions(*order)
+
+    def run(batches):
+        held = list(batches)
+        text, label = (pa.chunked_array([b.column(b.schema.get_field_index(c)) for b in held]) for c in ("_text", "_label")) if held else (None, None)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(text.combine_chunks(), np.asarray(label, np.float32)))], pa.binary())], names=["net"])
+        release()
+
+    # The bounded sample is learned from in one task, so that the driver holds no texts.
+    fitted = sample.select("_text", "_label").mapInArrow(run, "net binary").collect()
+    return pickle.loads(fitted[0].net) if fitted else Network()
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", name: str = "_score") -> DataFrame:
