@@ -155,6 +155,21 @@ def test_very_long_pair(spark):
     assert tuple(r) == (20_000, 0, 20, 0)
 
 
+def test_pair_of_two_hundred_thousand_words():
+    """Many different words on either side: bits are kept for some of them only, and memory stays bounded."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    said = [i * 7919 % 60_000 for i in range(200_000)]
+    heard = [w if i % 2_000 != 7 else -1 for i, w in enumerate(said) if i % 5_000 != 9]
+    assert align._distance(said, heard) == 200_000 // 5_000 + 200_000 // 2_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kilobytes
+    rng = random.Random(8)
+    ref, hyp = rng.choices("abcdefghijkl", k=300), rng.choices("abcdefghijkl", k=280)
+    few, all_ = align._Places(hyp, 1), align._Places(hyp)
+    assert len(few.kept) == 1 and all(few.get(w) == all_.get(w) for w in "abcdefghijklz")
+
+
 def test_places(spark, monkeypatch):
     """Places and quantiles over ranges against sorting, with ties, nulls and groups of a single row."""
     from vocalith.operators import ranks
@@ -295,7 +310,11 @@ def test_corpus_jobs(spark):
     rows = spark.createDataFrame([("a", i) for i in range(1000)] + [("b", 5000 + i) for i in range(100)], "source string, id int")
     shares = corpus.mixture_weights(spark.createDataFrame([("a", 1.0), ("b", None)], "source string, weight double"))
     n = {r.source: r["count"] for r in corpus.mixture_sample(rows, shares, 1000, "id").groupBy("source").count().collect()}
-    assert abs(n["a"] - 500) < 60 and n["b"] == 500
+    assert n == {"a": 500, "b": 500}
+    shares = spark.createDataFrame([("a", 0.61), ("b", 0.28), ("gone", 0.11)], "source string, share double")
+    for size in (1, 7, 999, 12_345):
+        got = corpus.mixture_sample(rows, shares, size, "id").groupBy("source", "id").count().collect()
+        assert sum(r["count"] for r in got) == size and all(max(c) - min(c) <= 1 for s in "ab" for c in [[r["count"] for r in got if r.source == s] or [0]])
     s = corpus.speaker_split(spark.createDataFrame([(f"s{i % 300}",) for i in range(900)], "speaker string"))
     assert s.groupBy("speaker").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     clean = {"hel- lo [noise] (x) <y>": "hel lo", "ok*": "ok", "a uh b": "a b"}

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vocalith.operators import corpus, ranks, stats
+from vocalith.operators import corpus, ranks, routing, stats
 
 
 def plain_bh(ps):
@@ -78,3 +78,33 @@ def test_packs_of_one_speaker(spark):
     assert got == {p: (len(x), float(sum(i % 4 for i in x)), " ".join(f"t{i}" for i in x)) for p, x in want.items()}
     placed = ranks.value_ranges(ranks.order_number(df, ["speaker"], "audio_filepath"), ["speaker"], "_v").groupBy("_r").count()
     assert placed.count() > 200 and placed.agg(F.max("count")).first()[0] < n / 50
+
+
+@pytest.mark.parametrize("ranges", [256, 3])
+def test_places_of_tied_values(spark, monkeypatch, ranges):
+    """One value for all rows, one for a third of them: places have no gap, follow nothing but the rows, and no range holds all."""
+    monkeypatch.setattr(ranks, "VALUE_RANGES", ranges)
+    df = spark.range(30_000).select((F.col("id") % 2).cast("string").alias("g"), F.when((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0), 7.0).otherwise(F.col("id") / 5).alias("v"), "id")
+    got = ranks.numbered_by_value(df.repartition(7), ["g"], "v").collect()
+    for g in "01":
+        mine = sorted((r._i, r.v) for r in got if r.g == g)
+        assert [i for i, _ in mine] == list(range(15_000)) and all(a[1] <= b[1] for a, b in zip(mine, mine[1:]))
+    assert {(r.id, r._i) for r in got} == {(r.id, r._i) for r in ranks.numbered_by_value(df.repartition(3), ["g"], "v").collect()}
+    kept = routing.linspace_subsample(df.where("g = '0'"), ["g"], "v", 100)
+    assert kept.count() == 100 and kept.columns == ["g", "v", "id"]
+    windows = [line for line in ranks.numbered_by_value(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString().splitlines() if "row_number" in line]
+    assert windows and all("_r#" in line for line in windows)
+
+
+def test_spelling(spark):
+    """Words that the map knows are written its way, also twice in a text; blank texts stay blank."""
+    df = spark.createDataFrame([(1, "ala (x) ma koTa-"), (2, None), (3, "<a>"), (4, "ma ma")], "id int, t string")
+    spelling = spark.createDataFrame([("koTa", "kota"), ("koTa", "kotb"), ("ma", "MA")], "sound string, word string")
+    assert {r.id: r.t for r in corpus.spelled_transcription(df, "id", "t", spelling).collect()} == {1: "ala MA kota", 2: "", 3: "", 4: "MA MA"}
+
+
+def test_cosines(spark):
+    rows = [("l", f, e, v) for f in range(4) for e, v in enumerate([[1.0, 0.0], [0.0, 2.0], [3.0, 4.0], [0.0, 0.0]]) if (f, e) != (3, 2)]
+    got = {(r.expert_a, r.expert_b): r.cosine for r in routing.cosine_matrix(spark.createDataFrame(rows, "k string, frame_idx int, expert int, vec array<double>"), ["k"]).collect()}
+    unit = [(1, 0), (0, 1), (0.6, 0.8), (0, 0)]
+    assert len(got) == 16 and all(abs(c - sum(x * y for x, y in zip(unit[a], unit[b]))) < 1e-12 for (a, b), c in got.items())

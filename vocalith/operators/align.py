@@ -7,6 +7,7 @@ longer pairs one at a time, with rows as long integers, of which only the start
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,11 +23,13 @@ from vocalith.functions.text import words
 SHORT_REF, SHORT_HYP, TOGETHER = 256, 64, 4096
 #: A long pair is aligned in runs of at least so many rows, more while a run has no more cells than this; of each run the start is held.
 _RUN, _RUN_CELLS = 128, 1 << 26
+#: Bytes of the rows of bits that are kept for the words of one hypothesis.
+_PLACE_BYTES = 1 << 26
 
 _NAMES = {"E": "equal", "S": "sub", "D": "del", "I": "ins"}
 
 
-def _rows(ref: Sequence, where: dict, m: int, start: tuple[int, int]):
+def _rows(ref: Sequence, where: _Places, m: int, start: tuple[int, int]):
     """One (diagonal equal, deletion) per reference word, as bits over the m hypothesis words, and the state after it."""
     full = (1 << m) - 1
     up, down = start  # where a row's costs rise and fall from one hypothesis word to the next
@@ -39,11 +42,25 @@ def _rows(ref: Sequence, where: dict, m: int, start: tuple[int, int]):
         yield level, rise, (up, down)
 
 
-def _places(hyp: Sequence) -> dict:
-    where: dict = {}
-    for j, h in enumerate(hyp):
-        where.setdefault(h, bytearray(len(hyp) // 8 + 1))[j >> 3] |= 1 << (j & 7)
-    return {h: int.from_bytes(x, "little") for h, x in where.items()}
+class _Places:
+    """Where each word stands in a hypothesis, as bits. Rows of bits are kept for the frequent words, up to so many bytes; those of others are made from the few places that they have."""
+
+    def __init__(self, hyp: Sequence, most: int = _PLACE_BYTES):
+        self.size, self.at = len(hyp) // 8 + 1, {}
+        for j, h in enumerate(hyp):
+            self.at.setdefault(h, array("l")).append(j)
+        often = sorted(self.at, key=lambda h: -len(self.at[h]))[: max(1, most // self.size)]
+        self.kept = {h: self._bits(self.at[h]) for h in often}
+
+    def _bits(self, places) -> int:
+        row = bytearray(self.size)
+        for j in places:
+            row[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(row, "little")
+
+    def get(self, word, none: int = 0) -> int:
+        held = self.kept.get(word)
+        return held if held is not None else self._bits(self.at[word]) if word in self.at else none
 
 
 def _distance(ref: Sequence, hyp: Sequence) -> int:
@@ -51,7 +68,7 @@ def _distance(ref: Sequence, hyp: Sequence) -> int:
     if not hyp:
         return len(ref)
     state = ((1 << len(hyp)) - 1, 0)
-    for _, _, state in _rows(ref, _places(hyp), len(hyp), state):
+    for _, _, state in _rows(ref, _Places(hyp), len(hyp), state):
         pass
     return len(ref) + state[0].bit_count() - state[1].bit_count()
 
@@ -59,7 +76,7 @@ def _distance(ref: Sequence, hyp: Sequence) -> int:
 def _align(ref: Sequence, hyp: Sequence) -> str:
     """The ops E, S, D, I of one pair in reading order; the last run's rows are at hand, other runs are made again on the way back."""
     n, m = len(ref), len(hyp)
-    where, run, state = _places(hyp), max(_RUN, _RUN_CELLS // max(m, 1)), ((1 << m) - 1, 0)
+    where, run, state = _Places(hyp), max(_RUN, _RUN_CELLS // max(m, 1)), ((1 << m) - 1, 0)
     held, ways, out = [], [], []
     for i, (level, rise, after) in enumerate(_rows(ref, where, m, state)):
         if i % run == 0:

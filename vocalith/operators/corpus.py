@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vocalith.functions.text import basename, path_candidates, words
 from vocalith.operators.align import word_edit_distance
-from vocalith.operators.ranks import quantiles, running_total
+from vocalith.operators.ranks import numbered_by_hash, quantiles, running_total
 
 
 def drop_empty_reference(manifest: DataFrame, text: str = "text") -> DataFrame:
@@ -122,6 +122,17 @@ def clean_transcription(c: Column, tokens: tuple[str, ...] = ()) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
+def spelled_transcription(df: DataFrame, key: str, text: str, spelling: DataFrame, tokens: tuple[str, ...] = ()) -> DataFrame:
+    """(key, text) with cleaned transcriptions in which words that spelling (sound, word) knows are written its way.
+
+    key names the rows. A sound with several spellings takes the first in order; words it does not know stay.
+    """
+    said = df.select(key, F.posexplode_outer(words(clean_transcription(F.col(text), tokens))).alias("_i", "_w"))
+    known = spelling.groupBy(F.col("sound").alias("_w")).agg(F.min("word").alias("_s"))
+    in_order = F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", F.coalesce("_s", "_w").alias("w")))))  # the words of one row
+    return said.join(known, "_w", "left").groupBy(key).agg(F.array_join(F.transform(in_order, lambda x: x["w"]), " ").alias(text))
+
+
 def mixture_weights(sources: DataFrame) -> DataFrame:
     """`share`: each source's weight (absent: 1) over all."""
     w = F.coalesce("weight", F.lit(1.0))
@@ -129,11 +140,18 @@ def mixture_weights(sources: DataFrame) -> DataFrame:
 
 
 def mixture_sample(rows: DataFrame, shares: DataFrame, size: int, key: str, seed: int = 0) -> DataFrame:
-    """About `size` rows in which sources have their shares: each row stands floor(x) times and once more with probability x - floor(x), x = size * share / rows of its source."""
-    n = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).join(shares.select("source", "share"), "source").select("source", (F.lit(size) * F.col("share") / F.col("_n")).alias("_x"))
-    out = rows.join(n, "source")
-    copies = F.floor("_x") + F.when(hash_unit(F.col(key), seed) < F.col("_x") - F.floor("_x"), 1).otherwise(0)
-    return out.withColumn("_c", copies.cast("int")).where("_c > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_c")))).drop("_x", "_c")
+    """Exactly `size` rows, in which the sources that have rows hold their shares, whole numbers by cumulative rounding.
+
+    Systematic sampling: of a source's n rows in hash order, of which t are asked for, row i stands as often as multiples
+    of n/t fall between i and i + 1, so `copy` counts from 1 to floor or ceiling of t/n. Places are counted in two levels.
+    """
+    placed = numbered_by_hash(rows, ["source"], F.col(key), "_i", "_n", seed)
+    present = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_m")).join(shares.select("source", "share"), "source")
+    up_to = F.round(F.lit(size) * F.sum("share").over(Window.orderBy("source")) / F.sum("share").over(Window.partitionBy()))  # a row per source
+    asked = present.withColumn("_u", up_to).withColumn("_t", (F.col("_u") - F.coalesce(F.lag("_u").over(Window.orderBy("source")), F.lit(0.0))).cast("long"))
+    out = placed.join(asked.select("source", "_t"), "source")
+    copies = F.expr("(_i + 1) * _t div _n - _i * _t div _n").cast("int")
+    return out.withColumn("_c", copies).where("_c > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_c")))).drop("_i", "_n", "_t", "_c")
 
 
 def exposure_plan(sources: DataFrame) -> DataFrame:

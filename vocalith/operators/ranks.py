@@ -97,9 +97,23 @@ def numbered_by_hash(df: DataFrame, keys: list[str], unit: Column, place: str =
     return _numbered(u, keys, [F.col("_o"), F.col("_u")], place, size).drop("_o", "_u")
 
 
+#: Parts of the rows that share a value which is an edge of ranges.
+TIED = 64
+
+
 def numbered_by_value(df: DataFrame, keys: list[str], value: str, place: str = "_i", size: str = "_n") -> DataFrame:
-    """df with the place of each row in the order of a number and the size of its group."""
-    return _numbered(value_ranges(df, keys, value), keys, [F.col(value)], place, size)
+    """df with the place of each row in the order of a number and the size of its group; equal values stand by a hash of their rows.
+
+    Ranges lie between estimated edges. A value that many rows share is an edge, so its rows are a range of their own, and
+    such a range is dealt by hash: no task sees more than a part of it.
+    """
+    marks = [i / VALUE_RANGES for i in range(1, VALUE_RANGES)]
+    edges = df.groupBy(*keys).agg(F.percentile_approx(value, marks, 10_000).alias("_e"))
+    both = beside(df.withColumn("_h", F.struct(F.xxhash64(*df.columns).alias("a"), F.hash(*df.columns).alias("b"))), edges, keys)
+    below, tied = F.size(F.filter("_e", lambda e: e < F.col(value))), F.array_contains("_e", F.col(value))
+    part = F.shiftright(F.col("_h.a"), 58) + TIED // 2  # in the order of the hash
+    ranged = both.withColumn("_r", (2 * below + F.when(tied, 1).otherwise(0)) * TIED + F.when(tied, part).otherwise(0)).drop("_e")
+    return _numbered(ranged, keys, [F.col(value), F.col("_h")], place, size).drop("_h")
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:

@@ -281,6 +281,9 @@ def cosine_matrix(vectors: DataFrame, keys: list[str], frame: str = "frame_idx")
     """Mean over frames of the cosine between the vectors of every two experts on the same frame."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(F.col("vec"), F.col("vec")))
-    unit = vectors.select(*keys, frame, "expert", F.transform("vec", lambda x: x / F.when(norm > 0, norm).otherwise(1.0)).alias("v"))
-    a, b = (unit.select(*keys, frame, F.col("expert").alias(f"expert_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
-    return a.join(b, [*keys, frame]).groupBy(*keys, "expert_a", "expert_b").agg(F.avg(dot(F.col("va"), F.col("vb"))).alias("cosine"))
+    unit = vectors.select(*keys, frame, F.struct("expert", F.transform("vec", lambda x: x / F.when(norm > 0, norm).otherwise(1.0)).alias("v")).alias("e"))
+    # The vectors of a frame meet once, as many as there are experts; their Gram matrix is added up where they met.
+    frames = unit.groupBy(*keys, frame).agg(F.collect_list("e").alias("e"))
+    cell = lambda a, b: F.struct(a["expert"].alias("expert_a"), b["expert"].alias("expert_b"), dot(a["v"], b["v"]).alias("c"))
+    gram = frames.select(*keys, F.explode(F.flatten(F.transform("e", lambda a: F.transform("e", lambda b: cell(a, b))))).alias("g"))
+    return gram.groupBy(*keys, "g.expert_a", "g.expert_b").agg(F.avg("g.c").alias("cosine"))

@@ -435,6 +435,11 @@ def routing_from_frames(spark, sf_dir):  # G15, M3-M5, M10
     return out.select("label", "layer_idx", F.round(F.array_max("probs"), 6).alias("top_p"), r6("router_entropy"), "top1_expert")
 
 
+@_q(f"WITH {B.ROUTING}, x AS (SELECT utterance_id, layer_idx, unnest(range(8))::INT AS expert, unnest(probs) AS p FROM routing), k AS (SELECT *, row_number() OVER (PARTITION BY utterance_id, layer_idx ORDER BY p DESC, expert) AS rank FROM x) SELECT utterance_id, layer_idx, max(expert) FILTER (rank = 1) AS top1, max(expert) FILTER (rank = 2) AS top2 FROM k GROUP BY 1, 2")
+def top_experts(spark, sf_dir):  # M4
+    return B.routing_table(spark, sf_dir).select("utterance_id", "layer_idx", routing.top1(F.col("probs")).alias("top1"), routing.top2(F.col("probs")).alias("top2"))
+
+
 def _topk(spark, sf_dir):
     f = B.frames(spark, sf_dir)
     order = F.array_sort(F.transform("logits", lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
@@ -606,9 +611,23 @@ def drop_incomplete(spark, sf_dir):  # P7: conversations with exactly four turns
     return routing.drop_incomplete(B.table(spark, sf_dir, "conversations"), ["conv_id"], 4).select("conv_id", "turn", "role")
 
 
-@_q("WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), k AS (SELECT DISTINCT event_type, CASE WHEN n <= 100 THEN j ELSE (j * (n - 1)) // 99 END AS i FROM (SELECT event_type, max(n) AS n FROM r GROUP BY 1), LATERAL (SELECT unnest(range(CASE WHEN n <= 100 THEN n ELSE 100 END)) AS j)) SELECT event_type, event_id FROM r JOIN k USING (event_type, i)")
+#: Fixed value: the rows that a subsample keeps of each key.
+FRAMES = 20_000
+
+
+def _linspace_sql(key: str, columns: str, order: str, table: str) -> str:
+    return f"WITH r AS (SELECT {columns}, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS n FROM {table}), k AS (SELECT DISTINCT {key}, CASE WHEN n <= {FRAMES} THEN j ELSE (j * (n - 1)) // {FRAMES - 1} END AS i FROM (SELECT {key}, max(n) AS n FROM r GROUP BY 1), LATERAL (SELECT unnest(range(CASE WHEN n <= {FRAMES} THEN n ELSE {FRAMES} END)) AS j)) SELECT {columns} FROM r JOIN k USING ({key}, i)"
+
+
+@_q(_linspace_sql("event_type", "event_type, event_id", "event_id", "events"))
 def linspace_subsample(spark, sf_dir):  # O4
-    return routing.linspace_subsample(B.table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], "event_id", 100)
+    return routing.linspace_subsample(B.table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], "event_id", FRAMES)
+
+
+@_q(_linspace_sql("l_returnflag", "l_returnflag, line", "line", "(SELECT l_returnflag, l_orderkey * 8 + l_linenumber AS line FROM lineitem)"))
+def linspace_frames(spark, sf_dir):  # O4 where keys have more rows than are kept
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line")
+    return routing.linspace_subsample(B.table(spark, sf_dir, "lineitem").select("l_returnflag", line), ["l_returnflag"], "line", FRAMES)
 
 
 @_q(f"WITH v AS (SELECT vec_id, l.layer_idx, l.expert, list_transform(embedding[(l.layer_idx * 16 + l.expert * 4 + 1):(l.layer_idx * 16 + l.expert * 4 + 4)], lambda x: x::DOUBLE) AS vec FROM embeddings, (SELECT a AS layer_idx, b AS expert FROM (SELECT unnest(range(4))::INT AS a), (SELECT unnest(range(4))::INT AS b)) l), u AS (SELECT *, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS n FROM v) SELECT a.layer_idx, a.expert AS expert_a, b.expert AS expert_b, round(avg(list_dot_product(a.n, b.n)), 6) AS cosine FROM u a JOIN u b USING (layer_idx, vec_id) GROUP BY ALL")
@@ -696,6 +715,12 @@ def clean_transcription(spark, sf_dir):  # C8
     return B.table(spark, sf_dir, "pages").select("page_id", F.md5(corpus.clean_transcription(F.col("html")).cast("binary")).alias("text_md5"))
 
 
+@_q(rf"WITH {B.DICT}, c AS (SELECT page_id, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(html,'<[^>]*>|\[[^\]]*\]|\([^)]*\)',' ','g'),'([\p{{L}}\p{{M}}\p{{N}}_])[-*]+(\s|$)','\1\2','g'),'\s+',' ','g')), ' '), lambda x: x <> '') AS w FROM pages), x AS (SELECT page_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM c) SELECT page_id, md5(coalesce(t, '')) AS text_md5 FROM c LEFT JOIN (SELECT page_id, string_agg(coalesce(canonical, w), ' ' ORDER BY i) AS t FROM x LEFT JOIN dict ON w = token GROUP BY 1) USING (page_id)")
+def spelled_transcription(spark, sf_dir):  # C8 with a word map
+    spelling = B.dictionary(spark, sf_dir).select(F.col("token").alias("sound"), F.col("canonical").alias("word"))
+    return corpus.spelled_transcription(B.table(spark, sf_dir, "pages"), "page_id", "html", spelling).select("page_id", F.md5(F.col("html").cast("binary")).alias("text_md5"))
+
+
 _SHARES = f"WITH {B.MIXTURE}, sh AS (SELECT *, coalesce(weight, 1.0) / sum(coalesce(weight, 1.0)) OVER () AS share FROM mixture)"
 
 
@@ -704,9 +729,9 @@ def mixture_weights(spark, sf_dir):  # C9
     return corpus.mixture_weights(B.mixture(spark, sf_dir)).select("source", "weight", r6("share"))
 
 
-@_q(f"WITH s(source, share) AS (VALUES ('O', 0.6), ('F', 0.3), ('P', 0.1)), n AS (SELECT o_orderstatus AS source, 20000 * max(share) / count(*) AS x FROM orders JOIN s ON o_orderstatus = source GROUP BY 1) SELECT o_orderkey, o_orderstatus AS source, (floor(x) + CASE WHEN {_u('o_orderkey', 0)} < x - floor(x) THEN 1 ELSE 0 END)::BIGINT AS copies FROM orders JOIN n ON o_orderstatus = source WHERE floor(x) + CASE WHEN {_u('o_orderkey', 0)} < x - floor(x) THEN 1 ELSE 0 END > 0")
+@_q("WITH s(source, share) AS (VALUES ('O', 0.6), ('F', 0.3), ('P', 0.1), ('none', 0.5)), n AS (SELECT o_orderstatus AS source, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT source, n, round(20000 * sum(share) OVER (ORDER BY source) / sum(share) OVER ()) AS u FROM n JOIN s USING (source)), t AS (SELECT source, n, (u - coalesce(lag(u) OVER (ORDER BY source), 0))::BIGINT AS t FROM c), r AS (SELECT o_orderkey, o_orderstatus AS source, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ('0x' || substr(md5('0:' || o_orderkey), 1, 13))::BIGINT, o_orderkey) - 1 AS i FROM orders) SELECT * FROM (SELECT o_orderkey, source, ((i + 1) * t // n - i * t // n)::BIGINT AS copies FROM r JOIN t USING (source)) WHERE copies > 0")
 def mixture_sample(spark, sf_dir):  # C9
-    shares = spark.createDataFrame([("O", 0.6), ("F", 0.3), ("P", 0.1)], "source string, share double")
+    shares = spark.createDataFrame([("O", 0.6), ("F", 0.3), ("P", 0.1), ("none", 0.5)], "source string, share double")
     o = B.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("source"))
     return corpus.mixture_sample(o, shares, 20_000, "o_orderkey").groupBy("o_orderkey", "source").agg(F.count(F.lit(1)).alias("copies"))
 
@@ -740,6 +765,20 @@ def tokenizer_corpus_stats(spark, sf_dir):  # C14
     return corpus.corpus_stats(d).select("token", "n", F.round("share", 9).alias("share"), F.round("coverage", 9).alias("coverage"))
 
 
+@_q(f"WITH n AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(replace({B.basic_sql('text')}, ' ', ''), '')) AS token FROM conversations) WHERE token <> '' GROUP BY 1) SELECT token, n, round(n / sum(n) OVER (), 9) AS share, round(sum(n) OVER (ORDER BY n DESC RANGE UNBOUNDED PRECEDING) / sum(n) OVER (), 9) AS coverage FROM n")
+def char_corpus_stats(spark, sf_dir):  # C14 by characters
+    c = B.table(spark, sf_dir, "conversations").select(T.norm_basic(F.col("text")).alias("text"))
+    return corpus.corpus_stats(c, unit="char").select("token", "n", F.round("share", 9).alias("share"), F.round("coverage", 9).alias("coverage"))
+
+
+@_q("WITH u AS (SELECT DISTINCT url, regexp_extract(url, '[^/]*$') AS base FROM pages), d AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0), m AS (SELECT url, CASE WHEN base <> '' THEN min(url) OVER (PARTITION BY base) ELSE url END AS member FROM u) SELECT url, CASE WHEN d.url IS NULL THEN member END AS member, CASE WHEN d.url IS NULL THEN 'tar' ELSE 'disk' END AS origin FROM m LEFT JOIN d USING (url)")
+def resolve_disk_first(spark, sf_dir):  # J13: a file on disk counts before an archive's member
+    p = B.table(spark, sf_dir, "pages")
+    named = lambda df: df.select("url", F.concat(F.lit("/x.tar::"), "url").alias("audio_filepath")).distinct()
+    out = corpus.resolve_members(named(p), p.select(F.col("url").alias("member_name")).distinct(), on_disk=named(p.where("page_id % 3 = 0")))
+    return out.select("url", "member", "origin")
+
+
 @_q("WITH u AS (SELECT DISTINCT url, regexp_extract(url, '[^/]*$') AS base FROM pages) SELECT url, CASE WHEN base <> '' THEN min(url) OVER (PARTITION BY base) ELSE url END AS member, 'tar' AS origin FROM u")
 def resolve_members(spark, sf_dir):  # T15, J13: urls as members, asked for under an archive's name
     p = B.table(spark, sf_dir, "pages").select("url").distinct()
