@@ -1,11 +1,12 @@
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vocalith.llm import queries, suffix_tree, toxicity
+from vocalith.llm import common, queries, suffix_tree, toxicity
 from vocalith.llm.common import crc_fold
 
 from . import brute
@@ -178,3 +179,21 @@ def test_toxicity_edges(spark):
     nobody = toxicity.fit(frame(spark, rows), labels.limit(0), learn)
     assert toxicity.score(frame(spark, rows), nobody).count() == len(rows)
     assert len(toxicity.text_scores(net, pa.array([None, ""]))) == 2
+
+
+def test_lm_leaves_no_tables(spark):
+    """The session's catalog is as it was, and what was written can be listed and removed."""
+    before = {t.name for t in spark.catalog.listTables()}
+    out = suffix_tree.score_texts(frame(spark, [(1, "a b a b"), (2, "a b c")]))
+    assert out.count() == 2 and {t.name for t in spark.catalog.listTables()} == before
+    made = [p for p in common.stored_tables(spark) if "/lm_" in p]
+    assert made and all(os.path.isdir(p.removeprefix("file://")) for p in made)
+
+
+def test_stored_tables_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(common, "_made", {})
+    df = common.save(spark.range(5), "kept")
+    (path,) = common.stored_tables(spark)
+    assert df.count() == 5 and os.path.isdir(path.removeprefix("file://"))
+    common.remove_stored(spark)
+    assert not os.path.exists(path.removeprefix("file://")) and common.stored_tables(spark) == []

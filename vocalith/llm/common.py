@@ -32,9 +32,26 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stored_tables(spark: SparkSession) -> list[str]:
+    """The folders that operators have written for this application and that were not removed."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Delete these folders; frames that operators returned, and that were not read to their end, can't be read any more."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import FEW_ROWS, crc_fold, drop_shuffles, fresh_path, partitions, settings
-
+from .common import FEW_ROWS, crc_fold, drop_shuffles, fresh_path, partitions, save, settings
 
 
 @dataclass(frozen=True)
@@ -85,6 +84,10 @@ class Buckets:
         out.format("parquet").saveAsTable(self.table)
         return self.spark.table(self.table)
 
+    def forget(self) -> None:
+        """Take the table out of the session's catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 class Runs:
     """The runs of symbols in the texts of one block. A text is its start, its words and its end, each one place."""
@@ -276,7 +279,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     n_buckets = max(1, -(-total_bytes // (6 * BUCKET_TOKENS)))
     spark, n_tasks = docs.sparkSession, max(partitions(docs.sparkSession), total_bytes // (4 * BLOCK_BYTES))
     with settings(spark, FEW_ROWS):
-        blocks = Buckets(spark, n_tasks, "lm_blocks").add(make_blocks(docs, key, text, folds, held_out))
+        texts = Buckets(spark, n_tasks, "lm_blocks")
+        blocks = texts.add(make_blocks(docs, key, text, folds, held_out))
     n = blocks.agg(F.sum("learned").alias("n")).first().n or 0
 
     def ask(block: pa.Table) -> pa.Table:
@@ -328,4 +332,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
         return pa.table(columns)
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_block.cogroup(told.groupBy("block")).applyInArrow(score, out)
+    scores = save(by_block.cogroup(told.groupBy("block")).applyInArrow(score, out), "lm-scores")
+    for buckets in (texts, sums):
+        buckets.forget()
+    return scores
