@@ -1,11 +1,12 @@
 """JSON maps and heads of manifests, cut into blocks of any size."""
 
 import json
+import os
 import random
 
 import pytest
 
-from vocalith.sources import io, maps
+from vocalith.sources import io, maps, scratch
 
 STRINGS = ["", "a b", 'say "x", "y": z', 'ends with \\', '\\" , "', "ä€😀", "line\nbreak", ", ", '": "', "{", "}", '{"k": "v"}', "\\\\", "w " * 400, '"', 'tail"']
 
@@ -101,3 +102,12 @@ def test_a_head_reads_no_more_than_it_needs(spark, tmp_path, block_bytes):
     tasks = sum(seen.getStageInfo(s).numTasks for j in seen.getJobIdsForGroup("head") for s in seen.getJobInfo(j).stageIds if seen.getStageInfo(s))
     spark.sparkContext.setJobGroup("", "")
     assert tasks <= 6
+
+
+def test_scratch_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_made", {})
+    df = scratch.stored(spark.range(5), "kept")
+    ((path,),) = scratch._made.values()
+    assert df.count() == 5
+    scratch.remove_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file://")) and not scratch._made
