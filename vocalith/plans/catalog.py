@@ -771,6 +771,21 @@ def char_corpus_stats(spark, sf_dir):  # C14 by characters
     return corpus.corpus_stats(c, unit="char").select("token", "n", F.round("share", 9).alias("share"), F.round("coverage", 9).alias("coverage"))
 
 
+def _candidates_sql(raw: str) -> str:
+    """The rule of path candidates over a path without white space around it."""
+    parts = lambda x: f"{x}, ltrim({x}, '/'), regexp_extract({x}, '[^/]*$')"
+    rests = [f"CASE WHEN contains({raw}, '{m}') THEN substr({raw}, strpos({raw}, '{m}') + {len(m)}) END" for m in (".tar/", "::", ".tar:")]
+    return f"list_transform([[{', '.join(map(parts, [raw, *rests]))}]], lambda l: list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i))[1]"
+
+
+@_q(rf"WITH p AS (SELECT page_id, replace(CASE page_id % 5 WHEN 0 THEN '/a/b.tar/' || url WHEN 1 THEN 'x.tar::' || url WHEN 2 THEN '//x.tar:' || url WHEN 3 THEN replace(url, '/', '\') ELSE url END, '\', '/') AS raw FROM pages) SELECT page_id, len(c) AS n, array_to_string(c, '|') AS candidates FROM (SELECT page_id, {_candidates_sql('raw')} AS c FROM p)")
+def path_candidates(spark, sf_dir):  # T15 on every spelling of an archive's members
+    url, k = F.col("url"), F.col("page_id") % 5
+    path = F.when(k == 0, F.concat(F.lit("/a/b.tar/"), url)).when(k == 1, F.concat(F.lit("x.tar::"), url)).when(k == 2, F.concat(F.lit("//x.tar:"), url)).when(k == 3, F.translate(url, "/", "\\")).otherwise(url)
+    c = T.path_candidates(path)
+    return B.table(spark, sf_dir, "pages").select("page_id", F.size(c).cast("long").alias("n"), F.array_join(c, "|").alias("candidates"))
+
+
 @_q("WITH u AS (SELECT DISTINCT url, regexp_extract(url, '[^/]*$') AS base FROM pages), d AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0), m AS (SELECT url, CASE WHEN base <> '' THEN min(url) OVER (PARTITION BY base) ELSE url END AS member FROM u) SELECT url, CASE WHEN d.url IS NULL THEN member END AS member, CASE WHEN d.url IS NULL THEN 'tar' ELSE 'disk' END AS origin FROM m LEFT JOIN d USING (url)")
 def resolve_disk_first(spark, sf_dir):  # J13: a file on disk counts before an archive's member
     p = B.table(spark, sf_dir, "pages")
