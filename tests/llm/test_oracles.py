@@ -9,7 +9,7 @@ from vocalith.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark"):
+    for t in ("documents", "conversations", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
