@@ -303,12 +303,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     order = [F.xxhash64("_id"), F.col("_id"), F.col("_text")]
     sample = rows.join(F.broadcast(chosen), "_id").orderBy(*order).limit(most).coalesce(1).sortWithinPartitions(*order)
 
-    def run(batches):
+    def learned(batches) -> bytes | None:
         held = list(batches)
-        text, label = (pa.chunked_array([b.column(b.schema.get_field_index(c)) for b in held]) for c in ("_text", "_label")) if held else (None, None)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(text.combine_chunks(), np.asarray(label, np.float32)))], pa.binary())], names=["net"])
-        release()
+        if not held:
+            return None
+        text, label = (pa.chunked_array([b.column(b.schema.get_field_index(c)) for b in held]) for c in ("_text", "_label"))
+        return pickle.dumps(train(text.combine_chunks(), np.asarray(label, np.float32)))
+
+    def run(batches):
+        net = learned(batches)
+        release()  # the sample is gone by now
+        if net is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([net], pa.binary())], names=["net"])
 
     # The bounded sample is learned from in one task, so that the driver holds no texts.
     fitted = sample.select("_text", "_label").mapInArrow(run, "net binary").collect()
