@@ -39,8 +39,8 @@ def text_mask(text: Column) -> Column:
     """Bits of the filters that look at one text: A few words, B few different ones, C many capitals, D marks. Null is empty."""
     body = F.coalesce(text, F.lit(""))
     w = words(body)
-    n = F.size(w)
-    bits = [n < 50, 100 * F.size(F.array_distinct(w)) < 65 * n, 100 * (F.length(body) - F.length(F.translate(body, UPPER, ""))) > 5 * F.length(body), body.rlike(MARKS)]
+    n, different, chars, small = (x.cast("long") for x in (F.size(w), F.size(F.array_distinct(w)), F.length(body), F.length(F.translate(body, UPPER, ""))))
+    bits = [n < 50, 100 * different < 65 * n, 100 * (chars - small) > 5 * chars, body.rlike(MARKS)]
     return sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0)).cast("int")
 
 
