@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vocalith.functions.text import canonical_word, first_word
 from vocalith.operators.ranks import beside
+from vocalith.sources.scratch import stored
 
 INF = float("inf")
 
@@ -125,9 +126,9 @@ def best_predictions(counts: DataFrame, keys: list[str], pred: str, n: str, k: i
 
 
 def word_confusion(counts: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
-    """Counted pairs (ref, hyp, n) of words on canonical forms: (keys, word, pred, n, total)."""
+    """Counted pairs (ref, hyp, n) of words on canonical forms: (keys, word, pred, n, total). The counts are stored, as totals and callers read them again."""
     both = canonical_word(canonical_word(counts, "ref", dictionary, "word"), "hyp", dictionary, "pred")
-    n = both.groupBy(*keys, "word", "pred").agg(F.sum("n").alias("n"))
+    n = stored(both.groupBy(*keys, "word", "pred").agg(F.sum("n").alias("n")), "confusion")
     return beside(n, n.groupBy(*keys, "word").agg(F.sum("n").alias("total")), [*keys, "word"])
 
 
