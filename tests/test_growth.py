@@ -58,3 +58,36 @@ def test_a_large_file_is_dealt_over_more_tasks_than_cores(spark, sf, monkeypatch
     assert B.spread(d).rdd.getNumPartitions() == cores
     monkeypatch.setattr(B, "SPREAD_BYTES", 4096)
     assert B.spread(d).rdd.getNumPartitions() > 2 * cores
+
+
+def test_confusions_are_counted_once(spark, sf):
+    from vocalith.plans import catalog
+
+    plan = catalog.most_mistaken(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "benchmark.parquet" not in plan
+
+
+def test_hypotheses_are_not_dealt_by_the_name_of_their_map(spark, tmp_path):
+    from vocalith.sources import io
+
+    hyps = spark.createDataFrame([("m", "s", f"{i}.wav", f"h {i}") for i in range(50)], "model string, test_set string, audio_filepath string, hyp string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in io.hypothesis_maps(hyps)._jdf.queryExecution().executedPlan().toString()
+        io.write_hypotheses(hyps, str(tmp_path / "h"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r.audio_filepath, r.hyp) for r in io.read_hypotheses(spark, str(tmp_path / "h")).collect()} == {(f"{i}.wav", f"h {i}") for i in range(50)}
+
+
+def test_parts_of_a_table_are_written_without_a_sort(spark, tmp_path):
+    from vocalith.sources import io
+
+    rows = spark.range(1000).selectExpr("id", "cast(id % 3 as string) AS model")
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    io.write_table(rows, str(tmp_path / "t"), ["model"], keep=True)
+    io.write_table(rows.where("false"), str(tmp_path / "t"), ["model"], keep=True)
+    assert spark.conf.get(name) == before and io.WRITERS >= len(B.MODELS)
+    assert {(r.id, str(r.model)) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(i, str(i % 3)) for i in range(1000)}

@@ -108,23 +108,38 @@ def write_results_json(results: DataFrame, path: str, experiment: str) -> None:
     nested.select(F.lit(experiment).alias("experiment"), "model", "results").write.mode("overwrite").json(path)
 
 
+#: Parts of a table that a task writes side by side; Spark sorts the rows of a task where there are more.
+WRITERS = 8
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, keep: bool = False, kind: str = "parquet") -> None:
-    """K2, K3: write once (keep: leave what is there), as Parquet or CSV with a header."""
-    w = df.write.mode("ignore" if keep else "overwrite").partitionBy(*partition_by or [])
-    w.option("header", True).csv(path) if kind == "csv" else w.parquet(path)
+    """K2, K3: write once (keep: leave what is there), as Parquet or CSV with a header. A few parts are written side by side, so that no task sorts its rows by them."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, WRITERS)
+    try:
+        w = df.write.mode("ignore" if keep else "overwrite").partitionBy(*partition_by or [])
+        w.option("header", True).csv(path) if kind == "csv" else w.parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 #: Hypotheses of one JSON map; a set of more of them is written as several.
 MAP_ROWS = 20_000
 
 
-def write_hypotheses(hyps: DataFrame, path: str) -> None:
-    """K3: (model, test_set, audio_filepath, hyp) as folders hyp__MODEL__SET.json of JSON maps, none of them larger than about MAP_ROWS."""
+def hypothesis_maps(hyps: DataFrame) -> DataFrame:
+    """(file, value): the JSON maps hyp__MODEL__SET.json of hypotheses, none of them larger than about MAP_ROWS."""
     sizes = hyps.groupBy("model", "test_set").agg(F.ceil(F.count(F.lit(1)) / MAP_ROWS).alias("_n"))
-    dealt = hyps.join(sizes, ["model", "test_set"]).withColumn("_part", F.pmod(F.xxhash64("audio_filepath"), F.col("_n")))
+    # A row per map name, which is sent to the rows: dealt by name, all hypotheses of a set would meet in one task.
+    dealt = hyps.join(F.broadcast(sizes), ["model", "test_set"]).withColumn("_part", F.pmod(F.xxhash64("audio_filepath"), F.col("_n")))
     maps = dealt.groupBy("model", "test_set", "_part").agg(F.map_from_entries(F.collect_list(F.struct("audio_filepath", F.coalesce("hyp", F.lit(""))))).alias("m"))
-    named = maps.select(F.concat(F.lit("hyp__"), "model", F.lit("__"), "test_set", F.lit(".json")).alias("file"), F.to_json("m").alias("value"))
-    named.write.partitionBy("file").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+    return maps.select(F.concat(F.lit("hyp__"), "model", F.lit("__"), "test_set", F.lit(".json")).alias("file"), F.to_json("m").alias("value"))
+
+
+def write_hypotheses(hyps: DataFrame, path: str) -> None:
+    """K3: (model, test_set, audio_filepath, hyp) as folders hyp__MODEL__SET.json of JSON maps."""
+    hypothesis_maps(hyps).write.partitionBy("file").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
 def error_rows(models: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:
