@@ -91,3 +91,32 @@ def test_parts_of_a_table_are_written_without_a_sort(spark, tmp_path):
     io.write_table(rows.where("false"), str(tmp_path / "t"), ["model"], keep=True)
     assert spark.conf.get(name) == before and io.WRITERS >= len(B.MODELS)
     assert {(r.id, str(r.model)) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(i, str(i % 3)) for i in range(1000)}
+
+
+def test_pairs_of_words_are_dealt_once_and_first_predictions_before_they_meet(spark):
+    from collections import Counter
+
+    from vocalith.operators import score
+
+    texts = [("m", ["the", "cat", "the", "dog", "the", "cat"]), (None, ["the", "the"]), ("m", []), (None, None), ("n", ["hot"] * 50 + [f"w{i % 7}" for i in range(40)])]
+    pairs = score.next_word_pairs(spark.createDataFrame(texts, "model string, words array<string>"), ["model"])
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    dictionary = spark.createDataFrame([("the", "th"), ("th", "th"), ("cat", "ca"), ("hot", "w1")], "token string, canonical string")
+    form = lambda w: {"the": "th", "cat": "ca", "hot": "w1"}.get(w, w)
+    said: dict = {}
+    for model, w in texts:
+        w = w or [""]
+        for a, b in zip(w, [*w[1:], ""]):
+            said.setdefault((model, form(a)), Counter())[b] += 1
+    for strict in (False, True):
+        out = score.word_accuracy(pairs, dictionary, ["model"], strict=strict, top=2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "_part" not in plan
+        got = {(r.model, r.word): (r.total, r.correct, r.top_preds) for r in out.collect()}
+        want = {}
+        for (model, word), c in said.items():
+            right = sum(n for h, n in c.items() if form(h) == word and (not strict or word in ("th", "ca", "w1")))
+            want[model, word] = (sum(c.values()), right, ";".join(f"{h}:{n}" for h, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:2]))
+        assert got == want
+        bare = score.word_accuracy(pairs, dictionary, ["model"], strict=strict, top=0)
+        assert {(r.model, r.word): (r.total, r.correct) for r in bare.collect()} == {k: v[:2] for k, v in want.items()} and "top_preds" not in bare.columns

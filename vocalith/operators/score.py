@@ -102,11 +102,10 @@ def first_word_pairs(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: s
 
 
 def next_word_pairs(texts: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
-    """(keys, ref, hyp, n): how often a word of an array is followed by another, '' behind the last; an empty array is '' followed by ''."""
+    """(keys, ref, hyp, n): each word of an array and the one behind it, '' behind the last; an empty array is '' followed by ''. A row per place, n is 1; who takes them adds them up."""
     w = F.when(F.size(words) > 0, F.col(words)).otherwise(F.array(F.lit("")))
     both = F.arrays_zip(w.alias("ref"), F.slice(w, 2, F.size(w)).alias("hyp"))
-    pair = texts.select(*keys, F.inline(both))
-    return pair.groupBy(*keys, "ref", F.coalesce("hyp", F.lit("")).alias("hyp")).agg(F.count(F.lit(1)).alias("n"))
+    return texts.select(*keys, F.inline(both)).select(*keys, "ref", F.coalesce("hyp", F.lit("")).alias("hyp"), F.lit(1).cast("long").alias("n"))
 
 
 #: Parts into which the predictions of a word are dealt, so that a hot word is no task of its own.
@@ -143,24 +142,26 @@ def most_mistaken(confusion: DataFrame, keys: list[str], k: int = 15, top: int =
 
 
 def word_accuracy(counts: DataFrame, dictionary: DataFrame, keys: list[str], strict: bool = False, top: int = 3) -> DataFrame:
-    """Counted pairs (ref, hyp, n): per key and canonical word total, correct, accuracy, and the top predictions as 'word:count;...'.
+    """Counted pairs (ref, hyp, n), each any number of times: per key and canonical word total, correct, accuracy, and the top predictions as 'word:count;...' (none with top 0).
 
     A prediction is correct when its canonical form is the word's; with strict, words without a dictionary entry are
     never correct.
     """
-    both = canonical_word(canonical_word(counts, "ref", dictionary, "word"), "hyp", dictionary, "_p")
-    ok = F.col("_p") == F.col("word")
+    # Words take their canonical form before they are counted, predictions after, so pairs are dealt once.
+    n = canonical_word(counts, "ref", dictionary, "word").groupBy(*keys, "word", "hyp").agg(F.sum("n").alias("n"))
+    both, ok = canonical_word(n, "hyp", dictionary, "_p"), F.col("_p") == F.col("word")
     if strict:
         known = dictionary.select(F.col("canonical").alias("word")).distinct().withColumn("_known", F.lit(True))
         both, ok = both.join(known, "word", "left"), ok & F.col("_known").isNotNull()
-    # One row per prediction of a word, then its part's best and sums, then those of the word.
-    n = both.groupBy(*keys, "word", "hyp").agg(F.sum("n").alias("n"), F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("ok"))
-    best = lambda some: F.slice(F.sort_array(some), 1, top)
-    part = F.pmod(F.xxhash64("hyp"), F.lit(PARTS)).alias("_part")
-    parts = n.groupBy(*keys, "word", part).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), best(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("hyp").alias("p")))).alias("_s"))
-    out = parts.groupBy(*keys, "word").agg(F.sum("n").alias("total"), F.sum("ok").alias("correct"), best(F.flatten(F.collect_list("_s"))).alias("_s"))  # at most PARTS * top entries
-    text = F.array_join(F.transform("_s", lambda x: F.concat_ws(":", x["p"], (-x["n"]).cast("string"))), ";")
-    return out.select(*keys, "word", "total", "correct", text.alias("top_preds"), (F.col("correct") / F.col("total")).alias("accuracy"))
+    out = both.groupBy(*keys, "word").agg(F.sum("n").alias("total"), F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("correct"))
+    out = out.withColumn("accuracy", F.col("correct") / F.col("total"))
+    if not top:
+        return out
+    # Each task hands on its first rows of a word only, so a hot word is no task of its own.
+    first = top_k(n, [*keys, "word"], [F.desc("n"), F.asc("hyp")], top)
+    said = F.struct("rank", F.concat_ws(":", "hyp", F.col("n").cast("string")).alias("p"))
+    best = first.groupBy(*keys, "word").agg(F.array_join(F.sort_array(F.collect_list(said))["p"], ";").alias("top_preds"))
+    return beside(out, best, [*keys, "word"]).select(*keys, "word", "total", "correct", "top_preds", "accuracy")
 
 
 def accuracy_pivot(accuracy: DataFrame, models: list[str]) -> DataFrame:
