@@ -120,3 +120,19 @@ def test_pairs_of_words_are_dealt_once_and_first_predictions_before_they_meet(sp
         assert got == want
         bare = score.word_accuracy(pairs, dictionary, ["model"], strict=strict, top=0)
         assert {(r.model, r.word): (r.total, r.correct) for r in bare.collect()} == {k: v[:2] for k, v in want.items()} and "top_preds" not in bare.columns
+
+
+def test_the_range_of_a_value_is_found_without_a_walk_over_all_edges(spark, monkeypatch):
+    from vocalith.operators import ranks
+
+    edges, values = [-2.0, -1.0, -1.0, 0.0, 0.5, 0.5, 0.5, 3.0, 9.0], [None, -9.0, -2.0, -1.5, -1.0, -0.0, 0.0, 0.2, 0.5, 0.7, 3.0, 8.0, 9.0, 10.0, float("nan")]
+    df = spark.createDataFrame([(v, edges[:n]) for v in values for n in range(10)], "v double, _e array<double>")
+    for ranges in (10, 16, 17, 256):
+        monkeypatch.setattr(ranks, "VALUE_RANGES", ranges)
+        found = ranks.below(df, "v", "_r")
+        assert found.where(F.size(F.filter("_e", lambda e: e < F.col("v"))) != F.col("_r")).count() == 0 and found.count() == 150
+    monkeypatch.undo()
+    rows = spark.range(1000).selectExpr("id", "cast(id % 3 as string) AS g", "cast(id % 40 as double) AS v")
+    for out in (ranks.numbered_by_value(rows, ["g"], "v"), ranks.value_ranges(rows, ["g"], "v"), ranks.quantiles(rows, "v", [0.5])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "lambdafunction" not in plan and "array_contains" not in plan
