@@ -136,3 +136,17 @@ def test_the_range_of_a_value_is_found_without_a_walk_over_all_edges(spark, monk
     for out in (ranks.numbered_by_value(rows, ["g"], "v"), ranks.value_ranges(rows, ["g"], "v"), ranks.quantiles(rows, "v", [0.5])):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "lambdafunction" not in plan and "array_contains" not in plan
+
+
+def test_ops_are_listed_once_and_leave_in_pieces(spark, sf, monkeypatch):
+    import pyarrow as pa
+
+    from vocalith.plans import catalog
+
+    for out in (catalog.align_ops(spark, sf), catalog.word_error_counts(spark, sf)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sum("ArrowEvalPython [" in line for line in plan.splitlines()) == 1
+    monkeypatch.setattr(align, "LISTED", 5)
+    ref = pa.array([["a", "b"], None, ["c"] * 9, [], ["d"]] * 20, pa.list_(pa.string()))
+    pieces = list(align._pieces(ref, ref, False))
+    assert len(pieces) > 20 and sum(map(len, pieces)) == len(ref) and max(len(x.flatten()) for x in pieces) <= 12
