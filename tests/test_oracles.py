@@ -1,6 +1,7 @@
 """Every registered query of the speech operators against its SQL in DuckDB."""
 
 import math
+from collections import Counter
 
 import duckdb
 import pytest
@@ -41,3 +42,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["edit_counts", "length_scatter"])
+def test_rows_of_odd_texts_are_those_of_the_sql_in_type_and_to_the_last_bit(spark, tmp_path, name):
+    texts = ["", " ", "\n\t ", "!!!", "<a>", "+um+", "a", "a b " * 20, "a " * 39, "a " * 41, "a b c " * 27, " x\u0085y\u000bz", "日本", "zz zz " * 30, "<a> +b+ <c", "' it's"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df, res = catalog.QUERIES[name](spark, str(tmp_path)), con.execute(catalog.ORACLES[name])
+    types = {"VARCHAR": "string", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double"}
+    assert df.dtypes == [(d[0], types[str(d[1])]) for d in res.description]
+    want = Counter(res.fetchall())
+    assert Counter(map(tuple, df.collect())) == want and any(math.isinf(r[-1]) for r in want)
