@@ -1,11 +1,14 @@
 """Jobs over groups of any size against plain statements: Benjamini-Hochberg, running totals, clip packing."""
 
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vocalith.operators import corpus, ranks, routing, stats
+from vocalith.plans import catalog
 
 
 def plain_bh(ps):
@@ -65,6 +68,32 @@ def test_running_total(spark, monkeypatch, ranges):
                 total += r[3]
 
 
+def test_running_total_over_estimated_edges(spark):
+    """Rows that lie elsewhere each time they are read give other estimates of the edges; totals are those of a plain pass."""
+    n, dealt = 50_000, F.udf(lambda i: random.random(), "double").asNondeterministic()
+    df = spark.range(n).select(F.lit("s").alias("g"), (F.col("id") * 7919 % n).alias("number"), F.lit(1.0).alias("d")).repartition(6, dealt("id"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = ranks.running_total(df, ["g"], ["number"], "d").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert len(got) == n and all(r._before == r.number for r in got)
+
+
+def test_packs_of_odd_clips_are_those_of_the_sql(spark, tmp_path):
+    """Clips of no, unknown or negative length, speakers and ids that are null or repeated."""
+    rows = [(i, "s", 0 if i % 3 else 7000 + i) for i in range(60)] + [(i, "t", None if i % 2 else 9000) for i in range(60, 90)] + [(90, "u", None)]
+    rows += [(i, "v", -30000 if i < 105 else 7000) for i in range(100, 130)] + [(i // 3, None, 8001) for i in range(30)] + [(i, "", 8001) for i in range(3)]
+    rows += [(None if i == 150 else i, "w", 7001) for i in range(145, 160)] + [(None, "x", 5)]
+    spark.createDataFrame(rows, "doc_id long, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    res = con.execute(catalog.ORACLES["pack_short_clips"])
+    names = [x[0] for x in res.description]
+    want = Counter(res.fetchall())
+    assert Counter(map(tuple, catalog.QUERIES["pack_short_clips"](spark, str(tmp_path)).select(*names).collect())) == want
+
+
 def test_packs_of_one_speaker(spark):
     """All clips of one speaker lie in many ranges, and packs are those of a plain pass."""
     n = 20_000

@@ -79,15 +79,16 @@ def oracle_wer_filter(manifest: DataFrame, ref: str, oracle: str, most: float =
     return manifest.where(word_edit_distance(r, h) <= most * F.size(r))
 
 
-def pack_short_clips(manifest: DataFrame, seconds: float, speaker: str = "speaker", order: str = "audio_filepath") -> DataFrame:
+def pack_short_clips(manifest: DataFrame, seconds: float, speaker: str = "speaker", order: str = "audio_filepath", silent: bool = False) -> DataFrame:
     """C4: clips of a speaker, in order, in groups of about so many seconds: (speaker, pack, clips, duration, text).
 
     The seconds before a clip are a running total over ranges, so a speaker's clips may lie in many tasks, and what is
-    gathered is one pack. Clips of equal order stand by their text. A clip without a positive duration holds no sound and goes.
+    gathered is one pack. Clips of equal order stand by their text, those without an order last. A clip without a positive
+    duration holds no sound and goes; with silent it stays.
     """
-    placed = running_total(manifest.where("duration > 0"), [speaker], [order, "text"], "duration", "_sec")
-    grouped = placed.withColumn("pack", F.floor(F.col("_sec") / seconds).cast("long"))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), " ")
+    placed = running_total(manifest if silent else manifest.where("duration > 0"), [speaker], [order, "text"], "duration", "_sec")
+    grouped = placed.withColumn("pack", (F.col("_sec") / seconds).cast("long"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).isNull().alias("_last"), order, "text"))), lambda x: x["text"]), " ")
     return grouped.groupBy(speaker, "pack").agg(F.count(F.lit(1)).alias("clips"), F.sum("duration").alias("duration"), texts.alias("text"))
 
 
