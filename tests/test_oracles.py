@@ -58,3 +58,16 @@ def test_rows_of_odd_texts_are_those_of_the_sql_in_type_and_to_the_last_bit(spar
     assert df.dtypes == [(d[0], types[str(d[1])]) for d in res.description]
     want = Counter(res.fetchall())
     assert Counter(map(tuple, df.collect())) == want and any(math.isinf(r[-1]) for r in want)
+
+
+@pytest.mark.parametrize("name", ["edit_counts"])
+def test_rows_of_null_and_repeated_documents_are_those_of_the_sql(spark, tmp_path, name):
+    rows = [(1, None), (2, "\u0130stanbul x"), (3, "a\u0130b " * 50), (4, "a b " * 30), (4, "a b " * 30), (4, "c d"), (None, "a b"), (None, "a b"), (None, None), (5, None), (5, "")]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df, res = catalog.QUERIES[name](spark, str(tmp_path)), con.execute(catalog.ORACLES[name])
+    assert df.columns == [d[0] for d in res.description]
+    assert Counter(map(tuple, df.collect())) == Counter(res.fetchall())
